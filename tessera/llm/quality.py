@@ -134,22 +134,23 @@ def quality_rules(
     frequent = materialise(frequent_lines(docs, text, host, min_line_docs, max_line_share), "lines")
     hostname = F.coalesce(F.col(host), F.lit(""))
     key = F.xxhash64(hostname, F.coalesce(F.col(text), F.lit("")))
-    # which frequent lines stand in which texts: only those rows move
-    lines = docs.select(hostname.alias("host"), key.alias("qr_key"), F.explode(F.array_distinct(F.transform(line_items(F.col(text)), lambda s: s["h"]))).alias("line_hash"))
-    found = lines.join(frequent, ["host", "line_hash"]).groupBy("qr_key").agg(F.collect_set("line_hash").alias("qr_removed"))
-    found = materialise(found, "removed")
-    judged = base_counts(docs.withColumn("qr_key", key), text).join(found, "qr_key", "left")
-    removed = F.col("qr_removed")
-    left = F.when(removed.isNull(), F.col("qr_stats")["n_words"]).otherwise(
-        F.aggregate(line_items(F.col(text)), F.lit(0).cast("long"), lambda a, s: a + F.when(F.array_contains(removed, s["h"]), F.lit(0).cast("long")).otherwise(s["w"]))
-    )
+    # which frequent lines stand in which rows; copies of a text on a host lose the same lines
+    rows = docs.select(hostname.alias("host"), key.alias("qr_key"), F.monotonically_increasing_id().alias("qr_row"), line_items(F.col(text)).alias("items"))
+    lines = rows.select("host", "qr_key", "qr_row", F.inline("items")).withColumnRenamed("h", "line_hash")
+    hits = lines.join(frequent, ["host", "line_hash"])
+    lost = hits.groupBy("qr_key", "qr_row").agg(F.sum("w").alias("qr_lost")).groupBy("qr_key").agg(F.max("qr_lost").alias("qr_lost"))
+    if clean:
+        lost = lost.join(hits.groupBy("qr_key").agg(F.collect_set("line_hash").alias("qr_removed")), "qr_key")
+    lost = materialise(lost, "removed")
+    judged = base_counts(docs.withColumn("qr_key", key), text).join(lost.hint("merge"), "qr_key", "left")
     n, rep = F.col("qr_stats")["n_words"], F.col("qr_stats")["n_repeat_words"]
-    out = judged.withColumns({"words_left": left, "base_failed": (n < min_words) | (rep * 100 > n * max_repeat_percent)})
+    out = judged.withColumns({"words_left": n - F.coalesce("qr_lost", F.lit(0)), "base_failed": (n < min_words) | (rep * 100 > n * max_repeat_percent)})
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= min_words))
     if clean:
+        removed = F.col("qr_removed")
         kept_lines = F.filter(F.split(F.col(text), "\n"), lambda x: _let(normal_line(x), lambda t: (t == "") | ~F.array_contains(removed, F.xxhash64(t))))
         out = out.withColumn(text, F.when(removed.isNull(), F.col(text)).otherwise(F.array_join(kept_lines, "\n")))
-    return out.drop("qr_key", "qr_removed")
+    return out.drop("qr_key", "qr_lost", "qr_removed")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
