@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import decontaminate, langid, packing, quality, sharding, toxicity, urlfilter
 
 MODULES = {
+    "op4_toxicity": toxicity,
+    "op5_decontaminate": decontaminate,
+    "op6_language_id": langid,
+    "op7_histogram_shards": sharding,
+    "op8_url_filter": urlfilter,
     "op9_quality_rules": quality,
+    "op10_pack": packing,
 }
 
 

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import materialise
+
 SHARDS = 40
 OVERHEAD = 16
 #: Splitters may miss their exact place by this share of a shard.
@@ -31,53 +33,70 @@ def _keys(df: DataFrame, text: str, id_column: str | None) -> DataFrame:
     return df.withColumns({"hs_size": (F.octet_length(body) + OVERHEAD).cast("long"), "hs_k1": F.xxhash64(body), "hs_k2": rid})
 
 
-def _probe(rows: DataFrame, key: str, wanted: list[tuple[int, float]], base: float, tolerance: float) -> list[tuple[int, int, float, float]]:
-    """Refine splitters over one 64-bit key.
+class Cut:
+    """A wanted splitter: about ``target`` bytes below it, within ``slack``."""
+
+    def __init__(self, target: float, slack: float):
+        self.target, self.slack = target, slack
+        self.k1, self.k2 = 0, _LOW
+        self.open(0, 0)
+
+    def open(self, atom: int, below: int) -> None:
+        """Start probing inside one key value (``atom``) that has ``below`` bytes before it."""
+        self.atom, self.prefix, self.below, self.settled, self.value, self.heavy = atom, 0, below, False, 0, False
+
+    def narrow(self, bins: list[tuple[int, int, int]], width: int, shift: int) -> None:
+        """Take the bin that the target falls into, or settle on one of its borders."""
+        run, at, size, rows = self.below, None, 0, 0
+        for b, s, n in bins:
+            if run + s > self.target:
+                at, size, rows = b, s, n
+                break
+            run += s
+        if at is None:  # all bytes lie below the target: after the last bin
+            self.settle((self.prefix << width) + (bins[-1][0] + 1 if bins else 0), shift)
+            return
+        full = (self.prefix << width) | at
+        low, high = self.target - run, run + size - self.target
+        self.heavy = False
+        if low <= self.slack or high <= self.slack or rows == 1 or shift == 0:
+            self.heavy = shift == 0 and rows > 1 and min(low, high) > self.slack
+            self.below = run
+            self.settle(full if low <= high or self.heavy else full + 1, shift)
+        else:
+            self.prefix, self.below = full, run
+
+    def settle(self, prefix: int, shift: int) -> None:
+        self.value, self.settled = _as_signed(prefix, shift), True
+
 
-    ``wanted``: (id, target bytes below). Returns (id, key value, bytes below it, bytes of the one
-    key value at it, 0 if the splitter needs none of it). Each round counts bytes per bin exactly
-    (partial sums, then one row per bin: at most splitters x 2**BITS) and keeps the bins that
-    targets fall into.
+def _probe(rows: DataFrame, key: str, cuts: list[Cut], atom: Column) -> None:
+    """Settle every cut on ``key``, a few bits of it at a time.
+
+    Each round counts the bytes of every live bin exactly: partial sums on the executors, then one
+    row per bin, at most cuts x 2**BITS rows.
     """
-    unsigned_top = F.col(key).bitwiseXOR(F.lit(_LOW))  # order of signed keys as order of bit strings
-    cells = {i: (0, base) for i, _ in wanted}  # prefix so far, bytes below the prefix's range
-    targets, done, depth = dict(wanted), {}, 0
-    while cells:
+    bits = F.col(key).bitwiseXOR(F.lit(_LOW))  # signed order as the order of bit strings
+    depth = 0
+    while live := [c for c in cuts if not c.settled]:
         width = min(BITS, 64 - depth)
         shift = 64 - depth - width
-        prefix = F.shiftrightunsigned(unsigned_top, 64 - depth) if depth else F.lit(0)
-        live = rows if depth == 0 else rows.filter(prefix.isin(sorted({p if p < 1 << 63 else p - (1 << 64) for p, _ in cells.values()})))
-        sub = F.shiftrightunsigned(unsigned_top, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
-        bins: dict[int, list[tuple[int, int]]] = {}
-        for r in live.groupBy(prefix.cast("long").alias("p"), sub.alias("b")).agg(F.sum("hs_size").alias("s")).collect():
-            bins.setdefault(r.p & ((1 << 64) - 1), []).append((r.b, r.s))
+        prefix = F.shiftrightunsigned(bits, 64 - depth) if depth else F.lit(0).cast("long")
+        probed = rows.filter(atom.isin(sorted({c.atom for c in live})) & prefix.isin(sorted({_signed(c.prefix) for c in live})))
+        sub = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+        bins: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        counted = probed.groupBy(atom.alias("a"), prefix.alias("p"), sub.alias("b")).agg(F.sum("hs_size").alias("s"), F.count(F.lit(1)).alias("n"))
+        for r in counted.collect():
+            bins.setdefault((r.a, r.p), []).append((r.b, r.s, r.n))
         for b in bins.values():
             b.sort()
-        after = {}
-        for i, (p, below) in cells.items():
-            at, run = (1 << width), below
-            for b, s in bins.get(p, []):
-                if run + s > targets[i]:
-                    at, mass = b, s
-                    break
-                run += s
-            else:
-                after_last = bins.get(p, [(0, 0)])[-1]
-                at, mass = after_last[0], 0
-                run -= 0
-                done[i] = (_as_signed(((p << width) | at) + 1, shift), run, 0)
-                continue
-            full = (p << width) | at
-            if targets[i] - run <= tolerance:
-                done[i] = (_as_signed(full, shift), run, 0)
-            elif run + mass - targets[i] <= tolerance:
-                done[i] = (_as_signed(full + 1, shift), run + mass, 0)
-            elif shift == 0:
-                done[i] = (_as_signed(full, 0), run, mass)
-            else:
-                after[i] = (full, run)
-        cells, depth = after, depth + width
-    return [(i, *done[i]) for i, _ in wanted]
+        for c in live:
+            c.narrow(bins.get((c.atom, _signed(c.prefix)), []), width, shift)
+        depth += width
+
+
+def _signed(x: int) -> int:
+    return x if x < 1 << 63 else x - (1 << 64)
 
 
 def _as_signed(prefix: int, shift: int) -> int:
@@ -85,20 +104,19 @@ def _as_signed(prefix: int, shift: int) -> int:
     return min(prefix << shift, (1 << 64) - 1) + _LOW
 
 
-def find_splitters(rows: DataFrame, cuts: list[float], tolerance: float) -> list[tuple[int, int]]:
-    """(k1, k2) splitters with about ``cuts`` bytes below each; equal texts are parted only where one text alone is too heavy."""
-    first = _probe(rows, "hs_k1", list(enumerate(cuts)), 0, tolerance)
-    out: dict[int, tuple[int, int]] = {}
-    heavy: dict[int, list[tuple[int, float, float]]] = {}
-    for i, k1, below, mass in first:
-        if mass:
-            heavy.setdefault(k1, []).append((i, cuts[i], below))
-        else:
-            out[i] = (k1, _LOW)
-    for k1, parts in heavy.items():  # texts heavier than the tolerance: at most as many as splitters
-        for i, k2, _, _ in _probe(rows.filter(F.col("hs_k1") == k1), "hs_k2", [(i, t) for i, t, _ in parts], parts[0][2], tolerance):
-            out[i] = (k1, k2)
-    return sorted(out.values())
+def find_splitters(rows: DataFrame, cuts: list[Cut]) -> list[tuple[int, int]]:
+    """(k1, k2) splitters; equal texts are parted only where their bytes exceed the slack."""
+    _probe(rows, "hs_k1", cuts, F.lit(0))
+    again = []
+    for c in cuts:
+        c.k1, c.k2 = c.value, _LOW
+        if c.heavy:  # copies of one text outweigh the slack: part them by id
+            again.append(c)
+            c.open(c.k1, c.below)
+    _probe(rows, "hs_k2", again, F.col("hs_k1"))
+    for c in again:
+        c.k2 = c.value
+    return sorted((c.k1, c.k2) for c in cuts)
 
 
 def _at_or_above(splitters: list[tuple[int, int]]) -> Column:
@@ -118,15 +136,20 @@ def histogram_shards(df: DataFrame, shards: int = SHARDS, text: str = "text", id
     parted by id. Repeated rows (same id and text) stay together. Columns hs_* are reserved.
     """
     keyed = _keys(df, text, id_column)
-    probes = keyed.select("hs_size", "hs_k1", "hs_k2")
+    probes = materialise(keyed.select("hs_size", "hs_k1", "hs_k2"), "probes")
     total = probes.agg(F.sum("hs_size")).first()[0] or 0
     pieces = max(LEAST_PIECES, min(MOST_PIECES, math.ceil(total / shards / PIECE_BYTES)))
-    borders = find_splitters(probes, [total * i / shards for i in range(1, shards)], tolerance * total / shards) if total else []
-    fine_cuts = [total * i / (shards * pieces) for i in range(1, shards * pieces) if i % pieces]
-    fine = find_splitters(probes, fine_cuts, 0.25 * total / (shards * pieces)) if total else []
+    piece = total / (shards * pieces)
+    borders = [Cut(total * i / shards, tolerance * total / shards) for i in range(1, shards)]
+    inner = [Cut(piece * i, piece / 2) for i in range(1, shards * pieces) if i % pieces]
+    if total:
+        splitters = find_splitters(probes, borders + inner)
+        borders = sorted((c.k1, c.k2) for c in borders)
+    else:
+        splitters, borders = [], []
     shard = _at_or_above(borders)
-    # pieces: how many of all finer splitters lie below; a binary search over bounded literals
-    placed = keyed.withColumn("hs_shard", shard.cast("int")).withColumn("hs_piece", _search(fine))
+    # pieces: how many splitters lie at or below the key, a binary search over bounded literals
+    placed = keyed.withColumn("hs_shard", shard.cast("int")).withColumn("hs_piece", _search(splitters))
     counts = placed.groupBy("hs_shard", "hs_piece").agg(F.count(F.lit(1)).alias("hs_n"))
     before = Window.partitionBy("hs_shard").orderBy("hs_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("hs_shard", "hs_piece", F.coalesce(F.sum("hs_n").over(before), F.lit(0)).alias("hs_before"))
