@@ -16,8 +16,8 @@ DIM_BITS = 20
 THRESHOLD = 0.3
 #: Most labelled rows of each label that the classifier is fitted on (those with the least row hashes).
 MOST_POSITIVE, MOST_NEGATIVE = 2000, 4000
-#: An n-gram must stand in so many fitted texts.
-MIN_TEXTS = 3
+#: An n-gram must stand in this share of the fitted texts, but no fewer than the first and no more than the second bound.
+MIN_SHARE, MIN_TEXTS = 0.003, (5, 20)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,7 +59,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, odds_shift: float = 0.0, rounds: int = 60, decay: float = 3e-3, rate: float = 0.05) -> Model:
+def fit(texts: list[str | None], labels: np.ndarray, odds_shift: float = 0.0, rounds: int = 60, decay: float = 20.0, rate: float = 0.02) -> Model:
     """Fit on binary features. ``odds_shift`` is added to the bias: log-odds lost by sampling the labels unequally."""
     dim = 1 << DIM_BITS
     y = np.asarray(labels, np.float32)
@@ -75,7 +75,8 @@ def fit(texts: list[str | None], labels: np.ndarray, odds_shift: float = 0.0, ro
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     # log-count ratio with smoothing; n-grams as common among both labels carry no ratio
     ratio = np.log((positive + 1) / (n1 + 2)) - np.log((seen - positive + 1) / (n0 + 2))
-    known = (seen >= MIN_TEXTS) & (np.abs(ratio) > 0.5)
+    least = min(max(len(rows) * MIN_SHARE, MIN_TEXTS[0]), MIN_TEXTS[1])
+    known = (seen >= least) & (np.abs(ratio) > 0.5)
     compact = np.cumsum(known, dtype=np.int32) - 1
     index = [compact[ids[known[ids]]] for ids in rows]
     del rows
@@ -123,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         chosen = part if chosen is None else chosen.unionByName(part)
     # one text for each chosen id: at most MOST_POSITIVE + MOST_NEGATIVE ids
     found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "tx_label").agg(F.max(F.col(text)).alias("tx_text"))
-    rows = sorted(found.collect(), key=lambda r: r.doc_id)
+    once = {r.tx_text: r for r in sorted(found.collect(), key=lambda r: (r.tx_label, r.doc_id))}  # copies teach once, as toxic if any is
+    rows = list(once.values())
     y = np.array([r.tx_label for r in rows], np.int64)
     taken = {label: min(n, limit.get(label, n)) for label, n in sizes.items()}
     shift = 0.0
