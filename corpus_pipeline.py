@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.decontaminate import contamination, verdict
+from tessera.llm.nearjoin import one_of_each
+from tessera.llm.packing import pack
 from tessera.llm.quality import quality_rules
 from tessera.llm.scratch import materialise
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+from tessera.llm.toxicity import toxicity
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,11 +21,38 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the labels come from the ``labels`` table."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity(docs, labels).filter("toxic_predicted = 0").select(*docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return one_of_each(docs).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover a twentieth of the words or more go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contamination(docs, items)
+    return found.filter(~verdict(F.col("contamination"))["contaminated"]).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every remaining document with its sequence and offset."""
+    return pack(docs.select("doc_id", "text"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
-#: The trained classifier and the similarity join can't be expressed in SQL.
+#: The trained classifier, the similarity join and the tokenizer can't be expressed in SQL.
 ORACLE_SQL = None
 
 

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing, quality, sharding, toxicity, urlfilter
+from . import decontaminate, langid, licences, nearjoin, packing, quality, sharding, toxicity, urlfilter, warc
 
 MODULES = {
+    "op1_ngram_jaccard_join": nearjoin,
+    "op2_warc": warc,
+    "op3_licence_scan": licences,
     "op4_toxicity": toxicity,
     "op5_decontaminate": decontaminate,
     "op6_language_id": langid,
