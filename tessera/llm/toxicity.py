@@ -15,9 +15,10 @@ ORDERS = (3, 4, 5, 6)
 DIM_BITS = 20
 THRESHOLD = 0.3
 #: Most labelled rows of each label that the classifier is fitted on (those with the least row hashes).
-MOST_POSITIVE, MOST_NEGATIVE = 2000, 4000
+MOST_POSITIVE, MOST_NEGATIVE = 1500, 3500
 #: An n-gram must stand in this share of the fitted texts, but no fewer than the first and no more than the second bound.
 MIN_SHARE, MIN_TEXTS = 0.003, (5, 20)
+_BLOCK = 128
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +48,11 @@ def ngram_ids(texts: list[str | None]):
         yield ids
 
 
+def _in_parts(texts: list[str | None]):
+    for i in range(0, len(texts), _BLOCK):
+        yield from ngram_ids(texts[i : i + _BLOCK])
+
+
 @dataclass
 class Model:
     """score = sigmoid(sum of weights of the distinct n-grams + bias)."""
@@ -65,35 +71,32 @@ def fit(texts: list[str | None], labels: np.ndarray, odds_shift: float = 0.0, ro
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(dim, np.float32), -40.0 if not len(y) or y.max() == 0 else 40.0)
-    rows = list(ngram_ids(texts))
-    seen = np.zeros(dim, np.int32)
-    positive = np.zeros(dim, np.int32)
-    for ids, label in zip(rows, y, strict=True):
+    seen, positive = np.zeros(dim, np.int32), np.zeros(dim, np.int32)
+    for ids, label in zip(_in_parts(texts), y, strict=True):
         seen[ids] += 1
         if label:
             positive[ids] += 1
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     # log-count ratio with smoothing; n-grams as common among both labels carry no ratio
     ratio = np.log((positive + 1) / (n1 + 2)) - np.log((seen - positive + 1) / (n0 + 2))
-    least = min(max(len(rows) * MIN_SHARE, MIN_TEXTS[0]), MIN_TEXTS[1])
+    least = min(max(len(y) * MIN_SHARE, MIN_TEXTS[0]), MIN_TEXTS[1])
     known = (seen >= least) & (np.abs(ratio) > 0.5)
     compact = np.cumsum(known, dtype=np.int32) - 1
-    index = [compact[ids[known[ids]]] for ids in rows]
-    del rows
+    index = [compact[ids[known[ids]]] for ids in _in_parts(texts)]  # the n-grams are hashed again rather than held
     r = ratio[known].astype(np.float32)
-    sizes = np.array([len(i) for i in index])
-    flat = np.concatenate(index) if sizes.sum() else np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
-    values = r[flat]
-    w = np.zeros(len(r), np.float64)
+    w = np.zeros(len(r))
     bias = float(np.log(n1 / n0))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(owner, w[flat] * values, len(y)) + bias
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        e = (p - y) / len(y)
-        g = np.bincount(flat, e[owner] * values, len(r)) + decay * w / len(y)
-        gb = float(e.sum())
+        scaled, g, gb = w * r, decay * w / len(y), 0.0
+        for i in range(0, len(y), _BLOCK):
+            part, truth = index[i : i + _BLOCK], y[i : i + _BLOCK]
+            flat = np.concatenate(part)
+            owner = np.repeat(np.arange(len(part)), [len(x) for x in part])
+            z = np.bincount(owner, scaled[flat], len(part)) + bias
+            e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - truth) / len(y)
+            g += np.bincount(flat, e[owner], len(r)) * r
+            gb += float(e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
