@@ -1,0 +1,66 @@
+"""Track files, manifests and log lines as tables, and back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, value) of text files; line numbers count from 0 within a file."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    return whole
+
+
+def parse_tracks(lines: DataFrame, extra_tokens: bool = False, duplicates: str = "report") -> tuple[DataFrame, DataFrame]:
+    """(tracks, problems) of 'L B E P' lines [O-10, V-05 … V-09].
+
+    Blank lines are skipped. Lines need exactly four integers (at least four with ``extra_tokens``).
+    ``duplicates``: 'report' marks repeated labels as problems, 'last' keeps the last line of each.
+    """
+    t = F.split(F.trim("value"), r"\s+")
+    rows = lines.filter(F.trim("value") != "").withColumn("t", t)
+    numbers = [F.expr(f"try_cast(get(t, {i}) AS INT)") for i in range(4)]
+    size_ok = F.size("t") >= 4 if extra_tokens else F.size("t") == 4
+    rows = rows.select("line_no", "value", size_ok.alias("four"), *[n.alias(c) for n, c in zip(numbers, ("label", "begin", "end", "parent"), strict=True)])
+    whole = F.col("four") & F.col("label").isNotNull() & F.col("begin").isNotNull() & F.col("end").isNotNull() & F.col("parent").isNotNull()
+    n = F.count(F.lit(1)).over(Window.partitionBy("label"))
+    problem = (
+        F.when(~whole, "V-05")
+        .when((F.col("label") <= 0) | (F.col("label") > 65535), "V-06")
+        .when((F.col("begin") < 0) | (F.col("begin") > F.col("end")), "V-07")
+        .when((F.col("parent") < 0) | (F.col("parent") == F.col("label")), "V-08")
+        .when(F.lit(duplicates == "report") & (n > 1), "V-09")
+    )
+    checked = rows.withColumn("problem", problem)
+    good = checked.filter("problem is null")
+    if duplicates == "last":
+        good = good.groupBy("label").agg(F.max_by(F.struct("begin", "end", "parent"), "line_no").alias("r")).select("label", "r.*")
+    return good.select("label", "begin", "end", "parent"), checked.filter("problem is not null").select("line_no", "value", "problem")
+
+
+def track_lines(tracks: DataFrame) -> DataFrame:
+    """'L B E P' lines in label order [O-21]."""
+    return tracks.orderBy("label").select(F.concat_ws(" ", "label", "begin", "end", "parent").alias("value"))
+
+
+def write_tracks(tracks: DataFrame, path: str, overwrite: bool = False) -> None:
+    """One text file of track lines; an existing folder is an error unless ``overwrite`` [O-21, O-26]."""
+    track_lines(tracks).coalesce(1).write.mode("overwrite" if overwrite else "error").text(path)
+
+
+def parse_manifest(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, value) settings and (place, name) files of a manifest [O-20, Q23]."""
+    pairs = lines.filter(F.col("value").rlike(r"^[^\s=]+=")).select(F.regexp_extract("value", "^([^=]+)=", 1).alias("key"), F.regexp_extract("value", "^[^=]+=(.*)$", 1).alias("value"))
+    files = lines.filter(F.col("value").rlike(r"^\s+\S")).select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("line_no")) - 1).alias("place"), F.trim("value").alias("name"))
+    return pairs, files
+
+
+def manifest_lines(settings: dict[str, str], names: list[str]) -> list[str]:
+    """Lines of a manifest [O-28]."""
+    return [f"{k}={v}" for k, v in settings.items()] + ["mask_files:"] + [f"  {n}" for n in names]
+
+
+def write_csv(table: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A header and rows in one CSV file, for reports [O-23, O-24]."""
+    table.coalesce(1).write.mode("overwrite" if overwrite else "error").option("header", True).csv(path)
