@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import possible_members
 from .components import components
 from .scratch import materialise, shuffle_parts
 from .words import hash_words, mix, shingle_hashes, shingle_sets, slices, string_buffers
@@ -226,7 +227,8 @@ def near_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thres
     per_class = kept.groupBy("sid").agg(F.collect_list(F.struct("bucket", "m", "bytes")).alias("in"))  # at most one per band
     need = materialise(per_class.join(classes.select("sid", "th", "n_docs"), "sid"), "needed")
 
-    texts = docs.select(F.xxhash64(body).alias("th"), body.alias("text")).join(need, "th").dropDuplicates(["th"])
+    texts = possible_members(docs.select(F.xxhash64(body).alias("th"), body.alias("text")), "th", need.select("th"))
+    texts = texts.dropDuplicates(["th"]).join(need, "th")  # copies collapse before the shuffle
     blocks = F.ceil(F.greatest(F.col("i.m") / BLOCK_CLASSES, F.col("i.bytes") / BLOCK_BYTES)).cast("int")
     placed = texts.select("text", "sid", "n_docs", F.transform("in", lambda s: s["bucket"]).alias("kept"), F.explode("in").alias("i")).withColumn("blocks", blocks)
     placed = placed.withColumn("side", F.pmod(F.xxhash64("sid", "i.bucket"), F.col("blocks")).cast("int"))

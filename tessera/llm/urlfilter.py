@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import BROADCAST_BYTES, block_of, bloom_table, blocks_for, bytes_of, holds
 from .scratch import materialise
 
 #: (action, host, path). The longest fitting rule wins.
@@ -20,10 +21,6 @@ RULES = (
 )
 #: First labels of hosts (after www., m. or blog.) whose pages make up the query's list of URLs.
 LISTED_LABELS = ("spam-farm", "cheap-pills")
-BITS_PER_KEY = 16
-WORDS = 8
-#: The filter is broadcast up to this size (its exact size is known before); beyond it, it is joined by block.
-BROADCAST_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,18 +55,6 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, action
 
 
-def _bits(key: str) -> list[Column]:
-    """One bit in each of the block's eight 64-bit words, from slices of a second hash."""
-    return [F.expr(f"shiftleft(1L, cast(shiftright(xxhash64({key}, 'bits'), {6 * j}) & 63 AS INT))") for j in range(WORDS)]
-
-
-def bloom_table(keys: DataFrame, key: str, n_blocks: int) -> DataFrame:
-    """Rows (bf_block, bf_w0 … bf_w7): each key touches one 512-bit block, one bit per word."""
-    bits = _bits(key)
-    rows = keys.select(F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("bf_block"), *[b.alias(f"bf_w{j}") for j, b in enumerate(bits)])
-    return rows.groupBy("bf_block").agg(*[F.bit_or(f"bf_w{j}").alias(f"bf_w{j}") for j in range(WORDS)])
-
-
 def url_filter(pages: DataFrame, listed: DataFrame, url: str = "url", listed_url: str = "url", rules=RULES) -> DataFrame:
     """``pages`` with uf_host, uf_path, uf_rule and uf_verdict ('allow' or 'block'), every row once.
 
@@ -79,27 +64,22 @@ def url_filter(pages: DataFrame, listed: DataFrame, url: str = "url", listed_url
     host and path and are allowed. Repeated rows and repeated list entries change nothing; an
     empty list blocks nothing. Columns named uf_* and bf_* are reserved.
     """
-    spark = pages.sparkSession
     own = listed.select(canonical_of(F.col(listed_url), host_of(F.col(listed_url)), path_of(F.col(listed_url))).alias("uf_key"))
     own = materialise(own.filter(F.col("uf_key").isNotNull()).distinct(), "listed")
-    n_blocks = max(1, -(-own.count() * BITS_PER_KEY // (64 * WORDS)))
-    bloom = bloom_table(own, "uf_key", n_blocks)
-    if n_blocks * 8 * (WORDS + 1) <= BROADCAST_BYTES:
+    blocks = blocks_for(own.count())
+    bloom = bloom_table(own, "uf_key", blocks)
+    if bytes_of(blocks) <= BROADCAST_BYTES:  # beyond it, blocks are joined by a shuffle
         bloom = F.broadcast(bloom)
 
     base = pages.withColumns({"uf_host": host_of(F.col(url)), "uf_path": path_of(F.col(url))})
     rule, action = rule_of(F.col("uf_host"), F.col("uf_path"), rules)
     base = base.withColumns({"uf_rule": rule, "uf_action": action, "uf_key": canonical_of(F.col(url), F.col("uf_host"), F.col("uf_path"))})
-    base = base.withColumn("bf_block", F.pmod(F.xxhash64("uf_key"), F.lit(n_blocks)))
-    hit = F.lit(True)
-    for j, b in enumerate(_bits("uf_key")):
-        hit = hit & (F.col(f"bf_w{j}").bitwiseAND(b) != 0)
-    probed = base.join(bloom, "bf_block", "left").withColumn("uf_maybe", F.coalesce(F.col("uf_action").isNull() & F.col("uf_key").isNotNull() & hit, F.lit(False)))
+    base = base.withColumn("bf_block", block_of("uf_key", blocks))
+    probed = base.join(bloom, "bf_block", "left").withColumn("uf_maybe", F.coalesce(F.col("uf_action").isNull() & F.col("uf_key").isNotNull() & holds("uf_key"), F.lit(False)))
     keep = [*pages.columns, "uf_host", "uf_path", "uf_rule"]
     passed = probed.filter(~F.col("uf_maybe")).select(*keep, F.coalesce("uf_action", F.lit("allow")).alias("uf_verdict"))
     exact = probed.filter("uf_maybe").join(own.withColumn("uf_listed", F.lit(True)), "uf_key", "left")
     checked = exact.select(*keep, F.when(F.col("uf_listed"), F.lit("block")).otherwise(F.lit("allow")).alias("uf_verdict"))
-    del spark
     return passed.unionByName(checked)
 
 
