@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import hash_of, in_sample
 from .toxicity import held_out
 from .words import slices, string_buffers
 
@@ -124,12 +125,15 @@ def fit(block: np.ndarray, labels: np.ndarray, classes: int, epochs: int = 6, ra
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Network | None, list[str]]:
     """Fit on a bounded sample of documents with a language that are not held out."""
-    usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) > 0) & ~held_out(F.col("doc_id")))
-    sample = usable.select("doc_id", F.col(text).alias("t"), F.col(lang).alias("l")).withColumn("o", F.xxhash64("doc_id", F.lit("lang")))
+    usable = docs.filter(F.col(lang).isNotNull() & ~held_out(F.col("doc_id")))
+    total = usable.count()
+    usable = usable.filter(in_sample("doc_id", "lang", MOST_DOCUMENTS, total) & F.col(text).isNotNull() & (F.octet_length(text) > 0))
+    sample = usable.select("doc_id", F.col(text).alias("t"), F.col(lang).alias("l"), hash_of("doc_id", "lang").alias("o"))
     n = F.octet_length("t")
     pieces = [F.substring(F.col("t").cast("binary"), F.greatest(F.lit(1), (n - LENGTH) * i / max(1, WINDOWS_EACH - 1) + 1).cast("int"), F.lit(LENGTH)) for i in range(WINDOWS_EACH)]
     # windows are cut where the texts are, so that the driver gets a fixed number of bytes of each sampled text
-    rows = sample.select("o", "doc_id", "l", F.array_distinct(F.array(*pieces)).alias("w")).orderBy("o", "doc_id", "l").limit(MOST_DOCUMENTS).collect()
+    rows = sample.select("o", "doc_id", "l", F.array_distinct(F.array(*pieces)).alias("w")).collect()
+    rows = sorted(rows, key=lambda r: (r.o, r.doc_id or 0, r.l))[:MOST_DOCUMENTS]
     names = sorted({r.l for r in rows})
     if not names:
         return None, names

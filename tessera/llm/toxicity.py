@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import hash_of, in_sample
 from .words import slices
 
 ORDERS = (3, 4, 5, 6)
@@ -120,15 +121,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     truth = truth.filter(~held_out(F.col("doc_id")))
     sizes = {r.tx_label: r.n for r in truth.groupBy("tx_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     limit = {1: MOST_POSITIVE, 0: MOST_NEGATIVE}
-    order = F.xxhash64("doc_id", F.lit("sample"))
-    chosen = None
+    chosen = F.lit(False)
     for label, most in limit.items():
-        part = truth.filter(F.col("tx_label") == label).orderBy(order, "doc_id").limit(most)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    # one text for each chosen id: at most MOST_POSITIVE + MOST_NEGATIVE ids
-    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "tx_label").agg(F.max(F.col(text)).alias("tx_text"))
-    once = {r.tx_text: r for r in sorted(found.collect(), key=lambda r: (r.tx_label, r.doc_id))}  # copies teach once, as toxic if any is
-    rows = list(once.values())
+        chosen = chosen | ((F.col("tx_label") == label) & in_sample("doc_id", "toxic", most, sizes.get(label, 0)))
+    picked = truth.filter(chosen).withColumn("tx_order", hash_of("doc_id", "toxic"))
+    # one text for each chosen id: about MARGIN times the bounds at most
+    found = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "tx_label", "tx_order").agg(F.max(F.col(text)).alias("tx_text"))
+    ranked, rows = sorted(found.collect(), key=lambda r: (r.tx_order, r.doc_id)), []
+    for label, most in limit.items():
+        rows += [r for r in ranked if r.tx_label == label][:most]
+    rows = list({r.tx_text: r for r in rows[::-1]}.values())  # copies teach once, as toxic if any is
     y = np.array([r.tx_label for r in rows], np.int64)
     taken = {label: min(n, limit.get(label, n)) for label, n in sizes.items()}
     shift = 0.0
