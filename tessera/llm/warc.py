@@ -89,7 +89,7 @@ class ArchiveWriter:
         system, root = _filesystem(directory)
         system.create_dir(root, recursive=True)
         self.path = f"{directory}/{name}"
-        self.out = system.open_output_stream(f"{root}/{name}")
+        self.out = system.open_output_stream(f"{root}/{name}", compression=None)  # the name would have it compressed once more
         self.held: list[bytes] | None = []
         self.held_bytes = self.records = self.bytes = self.dictionary_bytes = 0
         self.compressor = None
@@ -134,7 +134,7 @@ def read_archive(uri: str, chunk: int = 1 << 20) -> Iterator[bytes]:
     import zstandard
 
     system, path = _filesystem(uri)
-    with system.open_input_stream(path) as stream:
+    with system.open_input_stream(path, compression=None) as stream:
         data = stream.read(8)
         plain = zstandard.ZstdDecompressor()
         if len(data) == 8 and struct.unpack("<II", data)[0] == DICTIONARY_MAGIC:
