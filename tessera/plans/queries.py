@@ -693,13 +693,19 @@ def flagship(m: Masks) -> DataFrame:
     return m.matched.join(switch, [*K, "gt"], "left").select(*K, "gt", "res", "n", r6("coverage"), "res_before")
 
 
+def _all() -> dict[str, tuple[Query, str | None]]:
+    from . import file_queries  # noqa: F401  registers its own
+
+    return _QUERIES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Masks(spark, sf_dir))) for name, (f, _) in _QUERIES.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Masks(spark, sf_dir))) for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for name, (_, sql) in _QUERIES.items():
+    for name, (_, sql) in _all().items():
         if sql == "__EVENTS__":
             out[name] = EVENT_SESSIONS
         elif sql is not None:
