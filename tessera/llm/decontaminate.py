@@ -9,14 +9,12 @@ fit, and the rest is verified word by word on the bytes.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import LUT, hash_words, shingle_hashes, slices, string_buffers
+from .words import LUT, hash_words, release_memory, shingle_hashes, slices, string_buffers
 
 WINDOW = 13
 SHINGLE = 4
@@ -155,18 +153,14 @@ def _place(p: Prefixes, raw, words, starts, ends, at) -> tuple[np.ndarray, np.nd
         where.append(begin[fits])
         wins.append(win[fits])
     begin, win = np.concatenate(where) if where else np.zeros(0, np.int64), np.concatenate(wins) if wins else np.zeros(0, np.int64)
-    for _ in range(1):
-        if not len(begin):
-            break
+    if len(begin):
         size = p.size[win]
         here, there = _ranges(begin, size), _ranges(p.word_at[win], size)
         same = (words[here] == p.words[there]) & (ends[here] - starts[here] == p.sizes[there])
         ok = np.logical_and.reduceat(same, np.concatenate(([0], np.cumsum(size)[:-1])))
         begin, win = begin[ok], win[ok]
-        if not len(begin):
-            break
-        size = p.size[win]
-        here = _ranges(begin, size)
+    if len(begin):
+        here = _ranges(begin, p.size[win])
         doc_bytes = LUT[raw[_ranges(starts[here], ends[here] - starts[here])]]
         length = p.byte_at[win + 1] - p.byte_at[win]
         same = doc_bytes == p.bytes[_ranges(p.byte_at[win], length)]
@@ -205,6 +199,7 @@ def _match_udf(p: Prefixes):
                 hs = s[new]
                 he = reach[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(s) - 1]))]
                 out.append({"n_words": n, "n_hit": int((he - hs).sum()), "items": sorted(items), "hit_starts": hs.tolist(), "hit_ends": he.tolist()})
+        release_memory()
         return pa.array(out, _RESULT)
 
     return match

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .bloom import possible_members
 from .components import components
 from .scratch import materialise, shuffle_parts
-from .words import hash_words, mix, shingle_hashes, shingle_sets, slices, string_buffers
+from .words import hash_words, mix, release_memory, shingle_hashes, shingle_sets, slices, string_buffers
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -76,6 +76,7 @@ def _signature_udf(shingle: int, bands: int, rows: int):
             for i in range(b - a):
                 s = np.unique(shingle_hashes(words[at[i] : at[i + 1]], shingle))
                 out.append({"sid": set_id(s), "bands": signature(s, bands, rows).view(np.int64)} if len(s) else {"sid": None, "bands": None})
+        release_memory()
         return pa.array(out, _SIGNATURE)
 
     return sign
@@ -181,6 +182,7 @@ def _verify(shingle: int, threshold: float):
                 yield _batch(out)
                 out = []
         yield _batch(out)
+        release_memory()
 
     return verify
 

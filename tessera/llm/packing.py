@@ -9,17 +9,16 @@ windows. Every piece then finds its place from its rank among the pieces of its
 
 from __future__ import annotations
 
-import base64
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pretokens import token_ids
 from .scratch import materialise
-from .words import slices, string_buffers
+from .words import release_memory, slices
 
 WINDOW = 2048
 END_ID = 1
@@ -28,82 +27,33 @@ _PIECES = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("i
 _PLACE = pa.struct([("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def tokenizer_paths() -> tuple[str, str]:
-    """The public vocabulary, as a tokenizers file and as ranks of the same vocabulary."""
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
-def _encoders(json_path: str, ranks_path: str | None):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    slow, fast = Tokenizer.from_file(json_path), None
-    if ranks_path:
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return slow, fast
-
-
-def plain_texts(column: pa.Array) -> np.ndarray:
-    """Texts of printable ASCII, tab, line ends and U+00A1 to U+024F, without '<|' or runs of 200 bytes without a space.
+def ranks_path() -> str:
+    """The same vocabulary as ranks."""
+    import public_tokenizers
 
-    For those the rank encoder gives the tokenizer's ids; any other text goes to the tokenizer itself.
-    """
-    raw, offsets = string_buffers(column)
-    ok = np.ones(256, bool)
-    ok[:0x20] = False
-    ok[[9, 10, 13]] = True
-    ok[0x7F] = False
-    ok[0xCA:] = False
-    bad = ~ok[raw]
-    if len(raw) > 1:
-        two = np.zeros(len(raw), bool)
-        two[:-1] = ((raw[:-1] == 0xC2) & (raw[1:] <= 0xA0)) | ((raw[:-1] == 0xC9) & (raw[1:] > 0x8F)) | ((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
-        bad |= two
-    spaces = np.flatnonzero((raw == 0x20) | (raw == 0x0A))
-    marks = np.unique(np.concatenate((spaces, offsets)))
-    wide = np.flatnonzero(np.diff(marks) > 200)
-    counts = np.concatenate(([0], np.cumsum(bad)))
-    out = counts[offsets[1:]] == counts[offsets[:-1]]
-    for i in marks[wide].tolist():
-        out[np.searchsorted(offsets, i, side="right") - 1] = False
-    return out
-
-
-def encode(column: pa.Array, json_path: str, ranks_path: str | None) -> list[np.ndarray]:
-    """Token ids of every text (null: empty), add_special_tokens=False."""
-    slow, fast = _encoders(json_path, ranks_path)
-    plain = plain_texts(column) if fast else np.zeros(len(column), bool)
-    out = []
-    for text, easy in zip(column.to_pylist(), plain.tolist(), strict=True):
-        if easy:
-            out.append(fast.encode_to_numpy(text or "", disallowed_special=()))
-        else:
-            out.append(np.array(slow.encode(text or "", add_special_tokens=False).ids, np.uint32))
-    return out
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _cut_udf(json_path: str, ranks_path: str | None, window: int, end_id: int):
+def _cut_udf(json_path: str, ranks: str | None, window: int, end_id: int):
     @F.arrow_udf(PIECES)
     def cut(text: pa.Array) -> pa.Array:
         if isinstance(text, pa.ChunkedArray):
             text = text.combine_chunks()
         end = np.array([end_id], "<u4")
         out = []
-        for a, b in slices(text):
-            for ids in encode(text.slice(a, b - a), json_path, ranks_path):
+        for a, b in slices(text, 1 << 20):
+            for ids in token_ids(text.slice(a, b - a), json_path, ranks):
                 ids = np.concatenate((ids.astype("<u4"), end))
                 n = len(ids)
                 out.append([{"start": s, "length": min(window, n - s), "ids_crc32": zlib.crc32(ids[s : s + window].tobytes()), "doc_tokens": n} for s in range(0, n, window)])
+        release_memory()
         return pa.array(out, _PIECES)
 
     return cut
@@ -162,12 +112,12 @@ def best_fit_plan(counts: dict[int, int], window: int = WINDOW) -> tuple[dict[st
             if full:
                 rows.append((length, rank, first, each, window - room))
                 rank, left = rank + full * each, left - full * each
-                if rest := room - full_length(each, length):
+                if rest := room - each * length:
                     open_at.setdefault(rest, []).append((first, full))
                     tree.add(rest, full)
             if left and full < n:
                 rows.append((length, rank, first + full, left, window - room))
-                if rest := room - full_length(left, length):
+                if rest := room - left * length:
                     open_at.setdefault(rest, []).append((first + full, 1))
                     tree.add(rest, 1)
                 rank, left, full = rank + left, 0, full + 1
@@ -179,10 +129,6 @@ def best_fit_plan(counts: dict[int, int], window: int = WINDOW) -> tuple[dict[st
     return {name: np.array([r[i] for r in rows], np.int64) for i, name in enumerate(names)}, sequences
 
 
-def full_length(n: int, length: int) -> int:
-    return n * length
-
-
 def _place_udf(plan: dict[str, np.ndarray]):
     """(length, rank) to (sequence_id, offset); the plan's size is bounded by the window."""
 
@@ -202,7 +148,7 @@ def _place_udf(plan: dict[str, np.ndarray]):
     return place
 
 
-def pack(docs: DataFrame, text: str = "text", window: int = WINDOW, end_id: int = END_ID, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", window: int = WINDOW, end_id: int = END_ID, json_path: str | None = None, ranks: str | None = None) -> DataFrame:
     """One row per piece: the columns of ``docs`` but the text, and start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document is its token ids and ``end_id``; a null or empty text is the end id alone. Each
@@ -212,10 +158,10 @@ def pack(docs: DataFrame, text: str = "text", window: int = WINDOW, end_id: int
     dropped.
     """
     if json_path is None:
-        json_path, ranks_path = tokenizer_paths()
+        json_path, ranks = tokenizer_path(), ranks_path()
     made = {"start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "pk_part", "pk_pieces", "pk_rank", "pk_n"}
     keep = [c for c in docs.columns if c != text and c.lower() not in made]
-    cut = docs.select(*keep, _cut_udf(json_path, ranks_path, window, end_id)(F.col(text)).alias("pk_pieces"))
+    cut = docs.select(*keep, _cut_udf(json_path, ranks, window, end_id)(F.col(text)).alias("pk_pieces"))
     pieces = materialise(cut.select(*keep, F.spark_partition_id().alias("pk_part"), F.inline("pk_pieces")), "pieces")
 
     per_part = materialise(pieces.groupBy("length", "pk_part").agg(F.count(F.lit(1)).alias("pk_n")), "lengths")

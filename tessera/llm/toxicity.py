@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import hash_of, in_sample
-from .words import slices
+from .words import release_memory, slices
 
 ORDERS = (3, 4, 5, 6)
 DIM_BITS = 20
@@ -149,6 +149,7 @@ def score_column(model: Model, text: Column) -> Column:
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         parts = [own.score(texts.slice(a, b - a).to_pylist()) for a, b in slices(texts, 2 << 20)]
+        release_memory()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return toxic(text)

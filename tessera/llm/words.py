@@ -7,6 +7,7 @@ on bytes. Each word gets a 64-bit hash; the caller verifies exactly where exactn
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +32,21 @@ def _lut() -> np.ndarray:
 LUT = _lut()
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release_memory() -> None:
+    """Give freed memory back to the machine: idle Python workers would hold it beside the next stage's heap."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
 @lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_B, -1, 1 << 64)

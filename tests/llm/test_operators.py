@@ -496,5 +496,6 @@ def test_pieces_give_the_tokenizers_ids():
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     texts += ["don't we'll 'sun 's's  'tis\n'sx ''s I'ved", "", " ", "  ", "a  ", "\n\n a", "日本 x", "a<|endoftext|>b"]
     own = pretokens.encoder(path)
-    for t, ids in zip(texts, pretokens.token_ids(pa.array([*texts, None]), path), strict=False):
-        assert ids.tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+    for ranks in (None, packing.ranks_path()):
+        for t, ids in zip(texts, pretokens.token_ids(pa.array([*texts, None]), path, ranks), strict=False):
+            assert ids.tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
