@@ -2,7 +2,8 @@
 
 Every line of a file, and every run of up to three lines, is a candidate notice; so headers, footers
 and licence files are all covered. Terms are words and word pairs of the templates; their document
-frequencies are counted over all files. A file without a licence of its own takes that of the
+frequencies are counted over all files. Lines are scored around the words without which no text
+reaches the threshold, however many files hold them. A file without a licence of its own takes that of the
 nearest directory above it that has a licence file.
 """
 
@@ -35,8 +36,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Proprietary": ("All rights reserved.",),
 }
 THRESHOLD = 0.6
-#: A line is looked at if it holds a template word that fewer than this share of the files hold.
-COMMON = 0.2
 LINES = 3
 LICENCE_NAMES = ("LICENSE", "LICENCE", "COPYING", "NOTICE")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -62,7 +61,6 @@ class Templates:
             norm = math.sqrt(sum(x * x for x in v.values()))
             self.names.append(name)
             self.vectors.append({t: x / norm for t, x in v.items()})
-        self.rare = {t for t in self.idf if " " not in t and frequency.get(t, 0) <= COMMON * files}
         self.where: dict[str, list[int]] = {}
         for i, v in enumerate(self.vectors):
             for t in v:
@@ -81,10 +79,22 @@ class Templates:
         i = min(dots, key=lambda k: (-round(dots[k] / norm, 9), self.names[k], k))
         return self.names[i], round(dots[i] / norm, 9)
 
-    def scan(self, text: str, marks: list[int]) -> tuple[str | None, float]:
-        """Best of the runs of one to LINES lines around each marked character position."""
+    def marks(self, threshold: float) -> set[str]:
+        """Words of which every text that reaches ``threshold`` holds one.
+
+        The least frequent words of each template, until the terms made of its other words alone
+        have a norm below the threshold: no text without a marked word can have such a cosine.
+        """
+        out: set[str] = set()
+        for v in self.vectors:
+            rest = sorted((t for t in v if " " not in t), key=lambda t: (self.frequency.get(t, 0), t))
+            while rest and sum(x * x for t, x in v.items() if all(w in rest for w in t.split(" "))) >= max(threshold - 1e-6, 0.0) ** 2:
+                out.add(rest.pop(0))
+        return out
+
+    def scan(self, text: str, lines: list[int]) -> tuple[str | None, float]:
+        """Best of the runs of one to LINES lines around each of the numbered lines."""
         starts = [0, *[m.end() for m in re.finditer("\n", text)]]
-        lines = sorted({int(np.searchsorted(starts, m, side="right")) - 1 for m in marks})
         found: tuple[str | None, float] = (None, 0.0)
         seen = set()
         for line in lines:
@@ -139,13 +149,13 @@ def _presence_udf(vocabulary: list[str]):
 
 
 def _scan_udf(model: Templates, threshold: float):
-    rare = sorted(model.rare)
+    marked = sorted(model.marks(threshold))
 
     @F.arrow_udf("struct<licence:string,score:double>")
     def scan(text: pa.Array) -> pa.Array:
         if isinstance(text, pa.ChunkedArray):
             text = text.combine_chunks()
-        keys = np.sort(_hash_of(rare))
+        keys = np.sort(_hash_of(marked))
         out: list[dict | None] = []
         for a, b in slices(text):
             part = text.slice(a, b - a)
@@ -159,27 +169,14 @@ def _scan_udf(model: Templates, threshold: float):
                 if not len(marks):
                     out.append(None)
                     continue
-                body = part[d].as_py()
-                data = body.encode()
-                at_char = marks.tolist() if len(data) == len(body) else [len(data[:m].decode()) for m in _one_per_line(data, marks.tolist())]
-                name, score = model.scan(body, at_char)
+                breaks = np.flatnonzero(raw[offsets[d] : offsets[d + 1]] == 10)
+                name, score = model.scan(part[d].as_py(), np.unique(np.searchsorted(breaks, marks)).tolist())
                 out.append({"licence": name, "score": score} if score >= threshold else None)
         return pa.array(out, _FOUND)
 
     return scan
 
 
-def _one_per_line(data: bytes, marks: list[int]) -> list[int]:
-    """The first mark of every line."""
-    out, until = [], -1
-    for m in marks:
-        if m > until:
-            out.append(m)
-            end = data.find(b"\n", m)
-            until = len(data) if end < 0 else end
-    return out
-
-
 def directory_of(path: Column) -> Column:
     """What stands before the last '/'; '' at the top."""
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))

@@ -208,6 +208,33 @@ def test_licences_odd_rows(odd, empty):
     assert licences.licence_scan(licences.paths_of(empty)).count() == 0
 
 
+def test_licences_of_notices_in_many_files(spark):
+    apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
+    for notice, name in ((apache, "Apache-2.0"), (mit, "MIT")):
+        for n, every in ((1, 1), (3, 1), (60, 3), (60, 1)):
+            rows = [(i, f"p{i}/LICENSE", "größe\nplain text\n" + (notice if i % every == 0 else "of another kind")) for i in range(n)]
+            got = licences.licence_scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()
+            assert {(r.doc_id, r.licence, r.licence_from) for r in got} == {(i, name, "own") if i % every == 0 else (i, None, None) for i in range(n)}
+
+
+def test_marked_words_miss_no_run_that_reaches_the_threshold():
+    rng = np.random.default_rng(5)
+    vocabulary = sorted({t for texts in licences.TEMPLATES.values() for x in texts for t in licences.terms_of(x)})
+    pieces = [t for texts in licences.TEMPLATES.values() for t in texts]
+    reached = 0
+    for _ in range(40):
+        files = int(rng.integers(1, 1000))
+        model = licences.Templates(licences.TEMPLATES, {t: int(rng.integers(files + 1)) for t in vocabulary}, files)
+        marked = model.marks(licences.THRESHOLD)
+        for _ in range(50):
+            w = words(pieces[rng.integers(len(pieces))])
+            text = " ".join(x for x in w if rng.random() < 0.7)
+            if model.best(text)[1] >= licences.THRESHOLD:
+                reached += 1
+                assert marked & set(licences.terms_of(text))
+    assert reached > 200
+
+
 # 4 toxicity
 
 
