@@ -7,7 +7,9 @@ its windows' probabilities are averaged by the bytes they cover.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import hash_of, in_sample
+from .sampling import hash_of, limit_of
 from .toxicity import held_out
 from .words import slices, string_buffers
 
@@ -23,8 +25,10 @@ LENGTH = 256
 EMBED = 8
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 8
-#: Most labelled documents that the network is fitted on (those with the least row hashes), and windows of each.
+#: Most labelled texts that the network is fitted on, shared out evenly among the languages, and windows of each.
 MOST_DOCUMENTS, WINDOWS_EACH = 4000, 4
+#: A language's share is no smaller than this, however many languages there are.
+LEAST_EACH = 20
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _SPAN = max(WIDTHS)
@@ -123,25 +127,44 @@ def fit(block: np.ndarray, labels: np.ndarray, classes: int, epochs: int = 6, ra
     return Network(*p)
 
 
+def shares(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """Texts to take of each language: small languages whole, the others evenly, about ``most`` in all."""
+    out, left = {}, most
+    for i, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(n, max(LEAST_EACH, left // (len(sizes) - i)))
+        left = max(0, left - out[name])
+    return out
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Network | None, list[str]]:
-    """Fit on a bounded sample of documents with a language that are not held out."""
-    usable = docs.filter(F.col(lang).isNotNull() & ~held_out(F.col("doc_id")))
-    total = usable.count()
-    usable = usable.filter(in_sample("doc_id", "lang", MOST_DOCUMENTS, total) & F.col(text).isNotNull() & (F.octet_length(text) > 0))
-    sample = usable.select("doc_id", F.col(text).alias("t"), F.col(lang).alias("l"), hash_of("doc_id", "lang").alias("o"))
+    """Fit on a bounded sample, for each language, of documents with a language that are not held out.
+
+    Each language gives its distinct texts with the least hashes (``shares``), copies once; so
+    every language with a usable text is learned. A text under several languages counts for each.
+    """
+    usable = docs.filter(F.col(lang).isNotNull() & ~held_out(F.col("doc_id")) & F.col(text).isNotNull() & (F.octet_length(text) > 0))
+    sample = usable.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(text, F.lit("lang")).alias("h"), hash_of(text, "lang").alias("o"))
+    sizes = {r.l: r.n for r in sample.groupBy("l").agg(F.countDistinct("h").alias("n")).collect()}  # a row for each language
+    if not sizes:
+        return None, []
+    most = shares(sizes, MOST_DOCUMENTS)
+    limits = [(name, limit_of(n + 4 * math.isqrt(n), sizes[name])) for name, n in most.items()]
+    limits = docs.sparkSession.createDataFrame(limits, "l string, below bigint")
     n = F.octet_length("t")
     pieces = [F.substring(F.col("t").cast("binary"), F.greatest(F.lit(1), (n - LENGTH) * i / max(1, WINDOWS_EACH - 1) + 1).cast("int"), F.lit(LENGTH)) for i in range(WINDOWS_EACH)]
     # windows are cut where the texts are, so that the driver gets a fixed number of bytes of each sampled text
-    rows = sample.select("o", "doc_id", "l", F.array_distinct(F.array(*pieces)).alias("w")).collect()
-    rows = sorted(rows, key=lambda r: (r.o, r.doc_id or 0, r.l))[:MOST_DOCUMENTS]
-    names = sorted({r.l for r in rows})
-    if not names:
-        return None, names
+    picked = sample.join(F.broadcast(limits), "l").filter(F.col("o") < F.col("below"))
+    found: dict[str, list] = defaultdict(list)
+    for r in picked.select("l", "o", "h", F.array_distinct(F.array(*pieces)).alias("w")).distinct().collect():
+        found[r.l].append(r)
+    rows = [r for name in sorted(found) for r in sorted(found[name], key=lambda r: (r.o, r.h))[: most[name]]]
+    names = sorted(found)
+    number = {name: i for i, name in enumerate(names)}
     block, y = [], []
     for r in rows:
         for w in r.w:
             block.append(np.frombuffer(bytes(w).ljust(LENGTH, b"\0"), np.uint8))
-            y.append(names.index(r.l))
+            y.append(number[r.l])
     return fit(np.stack(block), np.array(y), len(names)), names
 
 

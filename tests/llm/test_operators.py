@@ -328,6 +328,20 @@ def test_language_learns(spark):
     assert got.filter("language.lang = lang").count() >= 198
 
 
+def test_language_learns_rare_languages_and_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_DOCUMENTS", 300)
+    rows = [(i, "the same text again and again" if i % 3 == 0 else prose(i, 12), "common") for i in range(3000)]
+    rows += [(10_000 + i, "".join(chr(0x400 + 16 * (i % 20) + j % 16) for j in range(i, i + 60)), f"rare{i % 20:02d}") for i in range(200)]
+    held, fit = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda block, labels, classes: held.append((block, labels)) or fit(block, labels, classes))
+    _, names = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert names == ["common", *[f"rare{i:02d}" for i in range(20)]]
+    (block, labels), = held
+    assert len({(b.tobytes(), y) for b, y in zip(block, labels, strict=True)}) == len(block)
+    assert langid.shares({"a": 5, "b": 10_000, "c": 400, "d": 10_000}, 4000) == {"a": 5, "c": 400, "b": 1797, "d": 1798}
+    assert min(langid.shares({str(i): 50 for i in range(1000)}, 4000).values()) == langid.LEAST_EACH
+
+
 # 7 shards
 
 
