@@ -30,6 +30,8 @@ DATE = "1970-01-01T00:00:00Z"
 LEVEL = 6
 #: The dictionary is trained on so many bytes of an archive's first records.
 SAMPLE_BYTES, SAMPLE_EACH, DICTIONARY_BYTES = 1 << 20, 16 << 10, 32 << 10
+#: Small archives: the least dictionary, and the least number of samples it is trained on.
+LEAST_DICTIONARY, LEAST_SAMPLES = 1 << 10, 8
 ARCHIVE_BYTES = 64 << 20
 MANIFEST = "path string, records bigint, bytes bigint, dictionary_bytes bigint"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
@@ -67,19 +69,23 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes | None, di
 
 
 def train_dictionary(records: list[bytes]) -> bytes:
-    """A Zstandard dictionary of the records; empty if they are too few to train one."""
+    """A Zstandard dictionary of the records, an eighth of their samples' size within bounds.
+
+    Few or small records count several times, beside empty records of the same form (the trainer
+    needs some samples and repeats). Where the records can't train one, those empty ones do alone.
+    """
     import zstandard
 
-    samples, total = [], 0
-    for r in records:
-        samples.append(r[:SAMPLE_EACH])
-        total += len(samples[-1])
-    if len(samples) < 8 or total < 8 * DICTIONARY_BYTES:
-        return b""
+    samples = [r[:SAMPLE_EACH] for r in records if r]
+    total = sum(map(len, samples))
+    size = min(max(total // 8, LEAST_DICTIONARY), DICTIONARY_BYTES)
+    bare = [record_bytes(i, f"http://example.org/{i}", b"", f"{i:032d}", 0, None) for i in range(4 * LEAST_SAMPLES)]
+    if len(samples) < LEAST_SAMPLES or total < 8 * LEAST_SAMPLES * LEAST_DICTIONARY:
+        samples = samples * LEAST_SAMPLES + bare
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(LEAST_DICTIONARY, bare, k=256, d=8).as_bytes()
 
 
 class ArchiveWriter:
@@ -99,11 +105,8 @@ class ArchiveWriter:
 
         dictionary = train_dictionary(self.held)
         self.dictionary_bytes = len(dictionary)
-        if dictionary:
-            self._put(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
-            self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
-        else:
-            self.compressor = zstandard.ZstdCompressor(level=LEVEL)
+        self._put(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         held, self.held = self.held, None
         for r in held:
             self._put(self.compressor.compress(r))

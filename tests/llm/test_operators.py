@@ -5,11 +5,13 @@ from __future__ import annotations
 import collections
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tessera.llm import bloom, decontaminate, langid, licences, nearjoin, packing, quality, sharding, toxicity, urlfilter, warc
@@ -170,6 +172,23 @@ def test_archives_of_nothing(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages, f"file://{tmp_path}/e")).count() == 0
 
 
+def test_every_archive_leads_with_a_dictionary(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", prose(i, 40)) for i in range(60)] + [(None, None, None), (60, None, "x" * 50_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    noise = bytes(np.random.default_rng(1).integers(0, 256, 300_000, np.uint8))
+    for name, table in (("many", pages.repartition(40)), ("one", pages.limit(1)), ("null", pages.filter("page_id is null"))):
+        manifest = warc.write_archives(table, f"file://{tmp_path}/{name}")
+        found = manifest.collect()
+        assert found and all(struct.unpack("<II", open(r.path.removeprefix("file://"), "rb").read(8)) == (warc.DICTIONARY_MAGIC, r.dictionary_bytes) for r in found)
+        got = warc.read_archives(manifest).collect()
+        assert sorted(((r.page_id, r.payload.decode()) for r in got), key=str) == sorted(((r.page_id, r.html or "") for r in table.collect()), key=str)
+    for records in ([], [b""], [b"x"], [b"x" * 100], [b"x" * 20_000] * 9, [noise], [noise[i : i + 99] for i in range(0, 9900, 99)], [bytes(range(256))] * 3):
+        dictionary = zstandard.ZstdCompressionDict(warc.train_dictionary(records))
+        assert dictionary.dict_id() > 0  # a dictionary of the format, not plain content
+        for r in records:
+            assert zstandard.ZstdDecompressor(dict_data=dictionary).decompress(zstandard.ZstdCompressor(level=warc.LEVEL, dict_data=dictionary).compress(r)) == r
+
+
 # 3 licences
 
 
