@@ -1,7 +1,12 @@
-"""Toxicity: a logistic classifier on binary character n-grams scaled by naive Bayes log-count ratios."""
+"""Toxicity: a logistic classifier on binary character n-grams scaled by naive Bayes log-count ratios.
+
+The learned n-grams are held by their 64-bit hashes and looked up exactly, so a text of any length
+hits none but its own.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,77 +18,172 @@ from .sampling import hash_of, in_sample
 from .words import release_memory, slices
 
 ORDERS = (3, 4, 5, 6)
-DIM_BITS = 20
+#: Hashes are found by their first bits; n-grams that may be frequent enough, by more of them.
+DIRECT_BITS, SKETCH_BITS = 20, 24
 THRESHOLD = 0.3
 #: Most labelled rows of each label that the classifier is fitted on (those with the least row hashes).
 MOST_POSITIVE, MOST_NEGATIVE = 1500, 3500
 #: An n-gram must stand in this share of the fitted texts, but no fewer than the first and no more than the second bound.
 MIN_SHARE, MIN_TEXTS = 0.003, (5, 20)
 _BLOCK = 128
+#: Characters hashed at a time, and hits held before repeats are dropped.
+_PIECE, _HELD = 1 << 18, 1 << 22
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def ngram_ids(texts: list[str | None]):
-    """Yield every text's distinct hashed n-gram ids (characters, lower-cased, padded with one space)."""
-    lowered = [" " + (t or "").lower() + " " for t in texts]
-    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    at = np.concatenate(([0], np.cumsum([len(t) for t in lowered])))
-    grams, acc = [], codes.copy()
-    with np.errstate(over="ignore"):
-        for n in range(2, max(ORDERS) + 1):
-            acc = acc[:-1] * _MUL + codes[n - 1 :] if len(acc) > 1 else acc[:0]
-            if n in ORDERS:
+def _pieces(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Characters of texts (lower-cased, padded with one space) in bounded blocks of segments.
+
+    A block has its codes, and of every segment the text, the length and the n-gram starts that it
+    answers for: a long text is cut into segments that overlap by an n-gram.
+    """
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        low = " " + (t or "").lower() + " "
+        for a in range(0, len(low), _PIECE):
+            part = low[a : a + _PIECE + max(ORDERS) - 1]
+            held.append((part, i, len(part), _PIECE))
+            size += len(part)
+            if size >= _PIECE:
+                yield _block(held)
+                held, size = [], 0
+    if held:
+        yield _block(held)
+
+
+def _block(held: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    parts, owners, lengths, starts = zip(*held, strict=True)
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return codes, np.array(owners), np.array(lengths), np.array(starts)
+
+
+def ngrams(texts: Iterable[str | None], pick: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yield (text numbers, values) of the n-grams that ``pick`` takes from an array of hashes (their positions, their values)."""
+    for codes, owners, lengths, starts in _pieces(texts):
+        ends = np.cumsum(lengths)
+        acc, who, what = codes, [], []
+        with np.errstate(over="ignore"):
+            for n in range(2, max(ORDERS) + 1):
+                acc = acc[:-1] * _MUL + codes[n - 1 :] if len(acc) > 1 else acc[:0]
+                if n not in ORDERS:
+                    continue
                 h = acc * np.uint64(0xD6E8FEB86659FD93) + np.uint64(n)
-                grams.append(((h ^ (h >> np.uint64(32))) * _MUL >> np.uint64(64 - DIM_BITS)).astype(np.int32))
-    flags = np.zeros(1 << DIM_BITS, bool)
-    for i in range(len(lowered)):
-        a, b = int(at[i]), int(at[i + 1])
-        ids = np.concatenate([g[a : max(a, b - n + 1)] for g, n in zip(grams, ORDERS, strict=True)])
-        if len(ids) > 1 << 15:
-            flags[ids] = True
-            ids = np.flatnonzero(flags).astype(np.int32)
-            flags[ids] = False
-        elif len(ids):
-            ids.sort()
-            ids = ids[np.concatenate(([True], ids[1:] != ids[:-1]))]
-        yield ids
-
-
-def _in_parts(texts: list[str | None]):
+                pos, value = pick((h ^ (h >> np.uint64(32))) * _MUL)
+                segment = np.searchsorted(ends, pos, side="right")
+                own = pos - (ends - lengths)[segment] < np.minimum(starts, lengths - n + 1)[segment]
+                who.append(owners[segment[own]])
+                what.append(value[own])
+        yield np.concatenate(who), np.concatenate(what)
+
+
+class Grams:
+    """A set of n-grams by sorted 64-bit hashes."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.count = np.bincount(_top(keys, DIRECT_BITS), minlength=1 << DIRECT_BITS)
+        self.first = (np.cumsum(self.count) - self.count).astype(np.int32)
+        self.most = int(self.count.max())
+        self.count = self.count.astype(np.int32)
+
+    def pick(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the set's members in ``hashes``, and their numbers in the set."""
+        top = _top(hashes, DIRECT_BITS)
+        pos = np.flatnonzero(self.count[top])
+        top, h = top[pos], hashes[pos]
+        at = self.first[top]
+        found = self.keys[at] == h
+        for r in range(1, self.most):
+            more = np.flatnonzero(~found & (self.count[top] > r))
+            at[more] += 1
+            found[more] = self.keys[at[more]] == h[more]
+        return pos[found], at[found]
+
+    def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(text number, number in the set) of every distinct member of every text, sorted."""
+        size, parts, held = max(len(self.keys), 1), [np.zeros(0, np.int64)], 0
+        for who, what in ngrams(texts, self.pick):
+            parts.append(_distinct(who * size + what))
+            held += len(parts[-1])
+            if held > _HELD:
+                parts = [_distinct(np.concatenate(parts))]
+                held = 0
+        both = _distinct(np.concatenate(parts)) if len(parts) > 2 else np.concatenate(parts)
+        return both // size, both % size
+
+
+def _top(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (np.unique hashes, which takes several times as long)."""
+    values = np.sort(values)
+    return values[np.concatenate((np.ones(min(len(values), 1), bool), values[1:] != values[:-1]))]
+
+
+def _in_parts(texts: list[str | None], grams: Grams) -> Iterator[np.ndarray]:
+    """Every text's distinct members of the set."""
     for i in range(0, len(texts), _BLOCK):
-        yield from ngram_ids(texts[i : i + _BLOCK])
+        part = texts[i : i + _BLOCK]
+        who, what = grams.hits(part)
+        yield from np.split(what, np.searchsorted(who, np.arange(1, len(part))))
+
+
+def _candidates(texts: list[str | None], least: float) -> Grams:
+    """The n-grams that stand in ``least`` of the texts, and some more: none that does is left out."""
+    sketch = np.zeros(1 << SKETCH_BITS, np.int32)
+    for _, top in ngrams(texts, lambda h: (np.arange(len(h)), _top(h, SKETCH_BITS))):
+        np.add.at(sketch, top, 1)
+
+    def frequent(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pos = np.flatnonzero(sketch[_top(h, SKETCH_BITS)] >= least)
+        return pos, h[pos]
+
+    parts, held = [np.zeros(0, np.uint64)], 0
+    for _, h in ngrams(texts, frequent):
+        parts.append(_distinct(h))
+        held += len(parts[-1])
+        if held > _HELD:
+            parts, held = [_distinct(np.concatenate(parts))], 0
+    return Grams(_distinct(np.concatenate(parts)))
 
 
 @dataclass
 class Model:
-    """score = sigmoid(sum of weights of the distinct n-grams + bias)."""
+    """score = sigmoid(sum of weights of the distinct learned n-grams + bias); ``keys`` are their sorted hashes."""
 
+    keys: np.ndarray
     weights: np.ndarray
     bias: float
 
+    def __post_init__(self):
+        self.grams = Grams(self.keys)
+
     def score(self, texts: list[str | None]) -> np.ndarray:
-        z = np.array([float(self.weights[ids].sum(dtype=np.float64)) for ids in ngram_ids(texts)]) + self.bias
+        who, what = self.grams.hits(texts)
+        z = np.bincount(who, self.weights[what], len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def fit(texts: list[str | None], labels: np.ndarray, odds_shift: float = 0.0, rounds: int = 60, decay: float = 20.0, rate: float = 0.02) -> Model:
     """Fit on binary features. ``odds_shift`` is added to the bias: log-odds lost by sampling the labels unequally."""
-    dim = 1 << DIM_BITS
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(dim, np.float32), -40.0 if not len(y) or y.max() == 0 else 40.0)
-    seen, positive = np.zeros(dim, np.int32), np.zeros(dim, np.int32)
-    for ids, label in zip(_in_parts(texts), y, strict=True):
+        return Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), -40.0 if not len(y) or y.max() == 0 else 40.0)
+    least = min(max(len(y) * MIN_SHARE, MIN_TEXTS[0]), MIN_TEXTS[1])
+    grams = _candidates(texts, least)
+    seen, positive = np.zeros(len(grams.keys), np.int32), np.zeros(len(grams.keys), np.int32)
+    for ids, label in zip(_in_parts(texts, grams), y, strict=True):
         seen[ids] += 1
         if label:
             positive[ids] += 1
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     # log-count ratio with smoothing; n-grams as common among both labels carry no ratio
     ratio = np.log((positive + 1) / (n1 + 2)) - np.log((seen - positive + 1) / (n0 + 2))
-    least = min(max(len(y) * MIN_SHARE, MIN_TEXTS[0]), MIN_TEXTS[1])
     known = (seen >= least) & (np.abs(ratio) > 0.5)
-    compact = np.cumsum(known, dtype=np.int32) - 1
-    index = [compact[ids[known[ids]]] for ids in _in_parts(texts)]  # the n-grams are hashed again rather than held
+    grams = Grams(grams.keys[known])
+    index = [ids.astype(np.int32) for ids in _in_parts(texts, grams)]  # the n-grams are hashed again rather than held
     r = ratio[known].astype(np.float32)
     w = np.zeros(len(r))
     bias = float(np.log(n1 / n0))
@@ -102,9 +202,7 @@ def fit(texts: list[str | None], labels: np.ndarray, odds_shift: float = 0.0, ro
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
         bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-7)
-    weights = np.zeros(dim, np.float32)
-    weights[known] = w * r
-    return Model(weights, bias + odds_shift)
+    return Model(grams.keys, (w * r).astype(np.float32), bias + odds_shift)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -141,11 +239,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
 
 def score_column(model: Model, text: Column) -> Column:
     """Score of every whole text, from 0 to 1; null is scored as the empty text."""
-    weights, bias = model.weights, model.bias
+    keys, weights, bias = model.keys, model.weights, model.bias
 
     @F.arrow_udf("double")
     def toxic(texts: pa.Array) -> pa.Array:
-        own = Model(weights, bias)
+        own = Model(keys, weights, bias)
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         parts = [own.score(texts.slice(a, b - a).to_pylist()) for a, b in slices(texts, 2 << 20)]

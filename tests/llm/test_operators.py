@@ -273,6 +273,31 @@ def test_toxicity_learns_and_leaves_clean_texts(spark):
     assert np.mean([got[i].toxic_predicted == int(i % 5 == 0) for i in unseen]) > 0.97
 
 
+def test_toxicity_of_long_texts_is_that_of_their_own_ngrams(monkeypatch):
+    texts = [prose(i, 60) + (" dreadfulslur" if i % 4 == 0 else "") for i in range(400)]
+    model = toxicity.fit(texts, np.array([int(i % 4 == 0) for i in range(400)]))
+    rng = np.random.default_rng(9)
+    clean = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 1_000_000)))  # no learned n-gram, however many others
+    short, *scores = model.score([clean[:50], clean, clean + " dreadfulslur", "dreadfulslur", None])
+    assert scores[0] == short == scores[3] < 0.5
+    assert abs(scores[1] - scores[2]) < 1e-6 and scores[1] > short
+    mixed = [prose(i, 300) + " Größe dreadfulslur" for i in range(6)] + ["", None, "a"]
+    whole = model.score(mixed)
+    monkeypatch.setattr(toxicity, "_PIECE", 50)
+    monkeypatch.setattr(toxicity, "_HELD", 20)
+    assert np.allclose(model.score(mixed), whole, rtol=0, atol=1e-12)
+
+
+def test_toxicity_counts_ngrams_exactly(monkeypatch):
+    texts = [prose(i, 80, 60) for i in range(50)]
+    counts = collections.Counter(g for t in texts for g in {(" " + t + " ")[i : i + n] for n in toxicity.ORDERS for i in range(len(t) + 3 - n)})
+    grams = toxicity._candidates(texts, 5)
+    seen = np.zeros(len(grams.keys), int)
+    for ids in toxicity._in_parts(texts, grams):
+        seen[ids] += 1
+    assert sorted(seen[seen >= 5]) == sorted(n for n in counts.values() if n >= 5)
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (2, 0, None), (None, 0, 1), (5, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = toxicity.toxicity(odd.withColumn("Toxicity_Score", F.lit("x")), labels).collect()
