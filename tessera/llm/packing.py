@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import as_row
 from .pretokens import token_ids
 from .scratch import materialise
 from .words import release_memory, slices
 
 WINDOW = 2048
 END_ID = 1
+#: Pieces of one length are ranked in hash groups of about this size.
+GROUP_ROWS = 1_000_000
 PIECES = "array<struct<start:bigint,length:bigint,ids_crc32:bigint,doc_tokens:bigint>>"
 _PIECES = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]))
 _PLACE = pa.struct([("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -148,6 +151,11 @@ def _place_udf(plan: dict[str, np.ndarray]):
     return place
 
 
+def _groups(counts: dict[int, int]) -> list[tuple[int, int]]:
+    """(length, hash groups that its pieces are ranked in): about GROUP_ROWS pieces in each."""
+    return [(length, -(-n // GROUP_ROWS)) for length, n in sorted(counts.items())]
+
+
 def pack(docs: DataFrame, text: str = "text", window: int = WINDOW, end_id: int = END_ID, json_path: str | None = None, ranks: str | None = None) -> DataFrame:
     """One row per piece: the columns of ``docs`` but the text, and start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -159,36 +167,28 @@ def pack(docs: DataFrame, text: str = "text", window: int = WINDOW, end_id: int
     """
     if json_path is None:
         json_path, ranks = tokenizer_path(), ranks_path()
-    made = {"start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "pk_part", "pk_pieces", "pk_rank", "pk_n"}
-    keep = [c for c in docs.columns if c != text and c.lower() not in made]
-    cut = docs.select(*keep, _cut_udf(json_path, ranks, window, end_id)(F.col(text)).alias("pk_pieces"))
-    pieces = materialise(cut.select(*keep, F.spark_partition_id().alias("pk_part"), F.inline("pk_pieces")), "pieces")
+    spark = docs.sparkSession
+    made = {"start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+    keep = docs.select(*[f"`{c}`" for c in docs.columns if c != text and c.lower() not in made])
+    cut = docs.select(as_row(keep).alias("row") if keep.columns else F.lit(None).cast("struct<none:int>").alias("row"), _cut_udf(json_path, ranks, window, end_id)(F.col(text)).alias("pieces"))
+    pieces = materialise(cut.select("row", F.inline("pieces")).withColumn("place", F.xxhash64(F.monotonically_increasing_id())), "pieces")
 
-    per_part = materialise(pieces.groupBy("length", "pk_part").agg(F.count(F.lit(1)).alias("pk_n")), "lengths")
-    totals = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("pk_n").alias("n")).collect()}
+    totals = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most a row per length
     plan, _ = best_fit_plan(totals, window)
-    before = Window.partitionBy("length").orderBy("pk_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select("length", "pk_part", F.coalesce(F.sum("pk_n").over(before), F.lit(0)).alias("pk_before"))
-    inside = Window.partitionBy("length", "pk_part").orderBy("ids_crc32", "start", "doc_tokens", *[c for c in keep if c == "doc_id"])
-    ranked = pieces.withColumn("pk_rank", F.row_number().over(inside) - 1).join(offsets, ["length", "pk_part"])
-    if not totals:
-        placed = ranked.withColumn("pk_place", F.lit(None).cast("struct<sequence_id:bigint,offset:bigint>"))
+    groups = F.broadcast(spark.createDataFrame(_groups(totals), "length bigint, n_groups bigint"))
+    grouped = pieces.join(groups, "length").withColumn("part", F.pmod("place", "n_groups"))
+    sizes = grouped.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # a row per GROUP_ROWS pieces and one per length
+    inside = Window.partitionBy("length", "part").orderBy("place", "ids_crc32", "start", "doc_tokens")
+    ranked = grouped.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["length", "part"])
+    if totals:
+        placed = ranked.withColumn("at", _place_udf(plan)(F.col("length"), F.col("rank") + F.col("first")))
     else:
-        placed = ranked.withColumn("pk_place", _place_udf(plan)(F.col("length"), F.col("pk_rank") + F.col("pk_before")))
-    return placed.select(*keep, "start", "length", "ids_crc32", "doc_tokens", "pk_place.sequence_id", "pk_place.offset")
+        placed = ranked.withColumn("at", F.lit(None).cast("struct<sequence_id:bigint,offset:bigint>"))
+    return placed.select(*[F.col(f"row.`{c}`") for c in keep.columns], "start", "length", "ids_crc32", "doc_tokens", "at.sequence_id", "at.offset")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return pack(docs)
-
-
-def report(p, spark, sf_dir):
-    g = p.groupby("sequence_id")
-    tot = g.length.sum()
-    print("sequences", len(tot), "tokens", int(tot.sum()), "fill", tot.sum() / (len(tot) * WINDOW), "max", tot.max())
-    q = p.sort_values(["sequence_id", "offset"])
-    assert ((q.groupby("sequence_id").length.cumsum() - q.length) == q.offset).all()
-    q = p.sort_values(["doc_id", "start"])
-    assert ((q.groupby("doc_id").length.cumsum() - q.length) == q.start).all()
-    assert (q.groupby("doc_id").length.sum() == q.groupby("doc_id").doc_tokens.first()).all()

@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .words import SEGMENT, _long_word_hash, _powers, mix, string_buffers
+from .words import span_hashes, string_buffers
 
 #: Code points below this are classed here; letters, numbers and other signs of Latin scripts.
 LIMIT = 0x250
@@ -94,31 +94,8 @@ def piece_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of every span up to the next start."""
-    power, inverse = _powers()
-    ends = np.concatenate((starts[1:], [len(codes)]))
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    with np.errstate(over="ignore"):
-        while i < len(starts):
-            a = starts[i]
-            j = int(np.searchsorted(ends, a + SEGMENT, side="right"))
-            if j <= i:
-                out[i] = _long_word_hash((codes[a : ends[i]] + 1).astype(np.uint64))
-                i += 1
-                continue
-            b = ends[j - 1]
-            total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum((codes[a:b] + 1).astype(np.uint64) * power[: b - a], out=total[1:])
-            s = starts[i:j] - a
-            out[i:j] = (total[ends[i:j] - a] - total[s]) * inverse[s]
-            i = j
-    return mix(out)
-
-
 class PieceEncoder:
-    """Token ids of texts, remembering the ids of pieces by their hash."""
+    """Token ids of texts, remembering the ids of pieces by their hash and characters."""
 
     def __init__(self, json_path: str, ranks_path: str | None = None):
         import os
@@ -147,6 +124,9 @@ class PieceEncoder:
         self.count = np.zeros(0, np.int64)
         self.seen = np.zeros(0, np.int64)  # calls that used the piece
         self.flat = np.zeros(0, np.uint32)
+        self.spelt = np.zeros(0, np.uint16)  # the pieces' characters
+        self.spelt_first = np.zeros(0, np.int64)
+        self.spelt_count = np.zeros(0, np.int64)
 
     def _make_room(self, coming: int) -> None:
         """Forget the pieces used least often, those of one call first."""
@@ -155,11 +135,14 @@ class PieceEncoder:
             keep = self.seen >= least
             at, n = self.first[keep], self.count[keep]
             start = np.cumsum(n) - n
-            self.flat = self.flat[np.repeat(at - start, n) + np.arange(n.sum())]
+            self.flat = self.flat[_ranges(at, n)]
             self.keys, self.first, self.count, self.seen = self.keys[keep], start, n, self.seen[keep]
+            at, n = self.spelt_first[keep], self.spelt_count[keep]
+            self.spelt = self.spelt[_ranges(at, n)]
+            self.spelt_first, self.spelt_count = np.cumsum(n) - n, n
             least *= 2
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, pieces: list[str], codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         count, parts = [], [self.flat]
         for i in range(0, len(pieces), AT_ONCE):
             ids = self._encode(pieces[i : i + AT_ONCE])
@@ -174,34 +157,70 @@ class PieceEncoder:
         self.first = np.concatenate((self.first, first))[order]
         self.count = np.concatenate((self.count, count))[order]
         self.seen = np.concatenate((self.seen, np.zeros(len(count), np.int64)))[order]
+        size = ends - starts
+        self.spelt_first = np.concatenate((self.spelt_first, len(self.spelt) + np.cumsum(size) - size))[order]
+        self.spelt_count = np.concatenate((self.spelt_count, size))[order]
+        self.spelt = np.concatenate((self.spelt, codes[_ranges(starts, size)]))
 
     def _known(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(keys), bool)
         return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of plain texts in a row, and where each text's begin (n + 1)."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of plain texts in a row, where each text's begin (n + 1), and which texts must be encoded whole.
+
+        A piece is known by its hash and its characters: where a hash meets other characters, the texts
+        that hold the piece go to the tokenizer instead.
+        """
         lengths = np.array([len(t) for t in texts], np.int64)
         text_at = np.concatenate(([0], np.cumsum(lengths)))
+        whole = np.zeros(len(texts), bool)
         if not text_at[-1]:
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64), whole
         joined = "".join(texts)
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint16)
         starts = piece_starts(codes, text_at[:-1])
-        distinct, index, back = np.unique(span_hashes(codes, starts), return_index=True, return_inverse=True)
+        ends = np.concatenate((starts[1:], [len(codes)]))
+        distinct, index, back = np.unique(span_hashes(codes + np.uint16(1), starts, ends), return_index=True, return_inverse=True)
         self._make_room(len(distinct))
-        new = distinct[~self._known(distinct)]
-        if len(new):
-            ends = np.concatenate((starts[1:], [len(codes)]))
-            at = index[np.searchsorted(distinct, new)]
-            self._learn(new, [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        known = self._known(distinct)
+        if not known.all():
+            at = index[~known]
+            self._learn(distinct[~known], [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], codes, starts[at], ends[at])
         slot = np.searchsorted(self.keys, distinct)
         self.seen[slot] += 1
+        other = _differ(codes, starts, ends, codes, starts[index][back], ends[index][back])
+        if known.any():  # pieces of this call against the remembered ones
+            old, at = slot[known], index[known]
+            strange = np.zeros(len(distinct), bool)
+            strange[known] = _differ(codes, starts[at], ends[at], self.spelt, self.spelt_first[old], self.spelt_first[old] + self.spelt_count[old])
+            other |= strange[back]
+        if other.any():
+            whole[np.unique(np.searchsorted(text_at, starts[other], side="right") - 1)] = True
         count, first = self.count[slot][back], self.first[slot][back]
         total = np.concatenate(([0], np.cumsum(count)))
         ids = self.flat[np.repeat(first - total[:-1], count) + np.arange(total[-1])]
-        return ids, total[np.searchsorted(starts, text_at)]
+        return ids, total[np.searchsorted(starts, text_at)], whole
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0] … first[0] + count[0] - 1, then the same for the next, as one array."""
+    at = np.cumsum(count) - count
+    return np.repeat(first - at, count) + np.arange(int(count.sum()))
+
+
+def _differ(a: np.ndarray, a_first: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_first: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Which spans of ``a`` are not the spans of ``b`` beside them, symbol by symbol."""
+    n = a_end - a_first
+    out = n != b_end - b_first
+    todo = np.flatnonzero(~out & (a_first != b_first if a is b else True))
+    step = 1 << 16
+    for i in range(0, len(todo), step):
+        t = todo[i : i + step]
+        same = a[_ranges(a_first[t], n[t])] == b[_ranges(b_first[t], n[t])]
+        out[t] = ~np.logical_and.reduceat(same, np.cumsum(n[t]) - n[t])
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -215,13 +234,13 @@ def token_ids(column: pa.Array, json_path: str, ranks_path: str | None = None) -
     own = encoder(json_path, ranks_path)
     texts = ["" if t is None else t for t in column.to_pylist()]
     plain = plain_texts(column)
-    ids, at = own.encode([t for t, ok in zip(texts, plain.tolist(), strict=True) if ok])
+    ids, at, whole = own.encode([t for t, ok in zip(texts, plain.tolist(), strict=True) if ok])
     out, k = [], 0
     for t, ok in zip(texts, plain.tolist(), strict=True):
         if ok:
             out.append(ids[at[k] : at[k + 1]])
             k += 1
-        else:
-            out.append(np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
+        if not ok or whole[k - 1]:
+            found = np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+            out[len(out) - ok :] = [found]
     return out
-

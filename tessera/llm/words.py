@@ -2,7 +2,8 @@
 
 A word is a maximal run of characters other than ASCII control, punctuation and white space, with
 A-Z lower-cased: every byte of a multi-byte UTF-8 character belongs to a word, so the scan works
-on bytes. Each word gets a 64-bit hash; the caller verifies exactly where exactness matters.
+on bytes. Each word gets a 64-bit hash made of a polynomial modulo 2**64, one modulo a prime (the first alone
+has words that collide by construction, such as the Thue-Morse word and its complement) and the length.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ _B = 0x9E3779B97F4A7C15 | 1
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: The prime field's size and base; sums of a segment's terms stay below 2**64.
+_PRIME, _G = (1 << 31) - 1, 1_173_914_813
 
 
 def _lut() -> np.ndarray:
@@ -48,15 +51,21 @@ def release_memory() -> None:
 
 
 @lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_B, -1, 1 << 64)
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of both bases and of their inverses."""
     out = []
-    for base in (_B, inverse):
+    for base in (_B, pow(_B, -1, 1 << 64)):
         p = np.full(SEGMENT, base, np.uint64)
         p[0] = 1
         with np.errstate(over="ignore"):
             out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    for base in (_G, pow(_G, -1, _PRIME)):
+        p, n = np.ones(SEGMENT, np.uint64), 1
+        while n < SEGMENT:
+            p[n : 2 * n] = p[:n] * np.uint64(pow(base, n, _PRIME)) % np.uint64(_PRIME)
+            n *= 2
+        out.append(p)
+    return tuple(out)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -83,16 +92,52 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def _long_word_hash(low: np.ndarray) -> np.uint64:
-    """The same polynomial for a word longer than a segment, piece by piece."""
-    power, _ = _powers()
-    total, scale = np.uint64(0), np.uint64(1)
+def _joined(wide: np.ndarray, field: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """One hash of both polynomials and the length."""
     with np.errstate(over="ignore"):
-        for i in range(0, len(low), SEGMENT):
-            part = low[i : i + SEGMENT].astype(np.uint64)
-            total = total + scale * np.sum(part * power[: len(part)], dtype=np.uint64)
+        return mix(wide + mix(field | (lengths.astype(np.uint64) << np.uint64(32))))
+
+
+def _long_span(symbols: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Both polynomials of a span longer than a segment, piece by piece."""
+    power, _, field_power, _ = _powers()
+    prime = np.uint64(_PRIME)
+    wide, field, scale, field_scale = np.uint64(0), np.uint64(0), np.uint64(1), np.uint64(1)
+    step = np.uint64(pow(_G, SEGMENT, _PRIME))
+    with np.errstate(over="ignore"):
+        for i in range(0, len(symbols), SEGMENT):
+            part = symbols[i : i + SEGMENT].astype(np.uint64)
+            wide = wide + scale * np.sum(part * power[: len(part)], dtype=np.uint64)
             scale = scale * power[-1] * np.uint64(_B)
-    return total
+            field = (field + field_scale * (np.sum(part * field_power[: len(part)], dtype=np.uint64) % prime)) % prime
+            field_scale = field_scale * step % prime
+    return wide, field
+
+
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every span of symbols (below 2**12), segment by segment; spans are in order and apart."""
+    power, inverse, field_power, field_inverse = _powers()
+    prime = np.uint64(_PRIME)
+    wide, field = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+    i = 0
+    with np.errstate(over="ignore"):
+        while i < len(starts):
+            a = starts[i]
+            j = int(np.searchsorted(ends, a + SEGMENT, side="right"))
+            if j <= i:
+                wide[i], field[i] = _long_span(symbols[a : ends[i]])
+                i += 1
+                continue
+            b = ends[j - 1]
+            part = symbols[a:b].astype(np.uint64)
+            total = np.zeros(b - a + 1, np.uint64)
+            s, e = starts[i:j] - a, ends[i:j] - a
+            np.cumsum(part * power[: b - a], out=total[1:])
+            wide[i:j] = (total[e] - total[s]) * inverse[s]
+            np.cumsum(part * field_power[: b - a], out=total[1:])
+            field[i:j] = (total[e] - total[s]) % prime * field_inverse[s] % prime
+            i = j
+    return _joined(wide, field, ends - starts)
 
 
 def hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,24 +158,7 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         ends = np.flatnonzero(inside & (~after | first[1:])) + 1
     else:
         starts = ends = np.zeros(0, np.int64)
-    power, inverse = _powers()
-    hashes = np.empty(len(starts), np.uint64)
-    i = 0
-    with np.errstate(over="ignore"):
-        while i < len(starts):
-            a = starts[i]
-            j = int(np.searchsorted(ends, a + SEGMENT, side="right"))
-            if j <= i:
-                hashes[i] = _long_word_hash(low[a : ends[i]])
-                i += 1
-                continue
-            b = ends[j - 1]
-            total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(low[a:b].astype(np.uint64) * power[: b - a], out=total[1:])
-            s = starts[i:j] - a
-            hashes[i:j] = (total[ends[i:j] - a] - total[s]) * inverse[s]
-            i = j
-    return mix(hashes), starts, ends, np.searchsorted(starts, offsets)
+    return span_hashes(low, starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
