@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 BITS_PER_KEY = 16
 WORDS = 8
-#: A filter is broadcast up to this size, which is known before it is built.
+#: Most bytes of a filter, so that it can always be broadcast. With more keys than fit at BITS_PER_KEY it
+#: lets more false positives through, which the exact join behind it removes.
 BROADCAST_BYTES = 32 << 20
 
 
 def blocks_for(keys: int) -> int:
-    return max(1, -(-keys * BITS_PER_KEY // (64 * WORDS)))
-
-
-def bytes_of(blocks: int) -> int:
-    return blocks * 8 * (WORDS + 1)
+    """Blocks of a filter for so many keys, within BROADCAST_BYTES."""
+    return max(1, min(-(-keys * BITS_PER_KEY // (64 * WORDS)), BROADCAST_BYTES // (8 * (WORDS + 1))))
 
 
 def block_of(key: str, blocks: int) -> Column:
@@ -42,13 +40,17 @@ def holds(key: str) -> Column:
     return out
 
 
-def possible_members(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key may be among ``keys``: none that is gets lost.
+def possible(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` with ``bf_maybe``: false only where the row's key (from a column ``key`` of both) is none of ``keys``.
 
-    All rows where the filter would be too large to broadcast; the exact join that follows does the rest.
+    No shuffle of ``df``: the filter's size is bounded and it is broadcast.
     """
     blocks = blocks_for(keys.count())
-    if bytes_of(blocks) > BROADCAST_BYTES:
-        return df
     table = F.broadcast(bloom_table(keys, key, blocks))
-    return df.withColumn("bf_block", block_of(key, blocks)).join(table, "bf_block").filter(holds(key)).select(*df.columns)
+    probed = df.withColumn("bf_block", block_of(key, blocks)).join(table, "bf_block", "left")
+    return probed.select(*df.columns, F.coalesce(holds(key), F.lit(False)).alias("bf_maybe"))
+
+
+def possible_members(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``keys``: none that is gets lost."""
+    return possible(df, key, keys).filter("bf_maybe").drop("bf_maybe")

@@ -1,6 +1,7 @@
 """N-gram Jaccard join by MinHash banding, verified on full n-gram sets.
 
-1. Every text becomes its set of 5-word shingles; equal sets are one *class* (copies collapse here).
+1. Every text becomes its set of 5-word shingles; equal sets are one *class* (copies collapse here). Sets
+   and texts are told apart by 128 bits of hash, and classes are numbered.
 2. Classes that share a band of their MinHash signature meet in a bucket. Buckets with the same
    members are one bucket.
 3. Members meet in groups of bounded size: a large bucket is dealt into blocks, and each pair of
@@ -17,11 +18,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import possible_members
+from .bloom import possible, possible_members
 from .components import components
+from .joins import as_row, many_to_one
 from .scratch import materialise, shuffle_parts
 from .words import hash_words, mix, release_memory, shingle_hashes, shingle_sets, slices, string_buffers
 
@@ -31,7 +33,7 @@ RECALL = 0.9999
 ROWS = 5
 #: A bucket is dealt into blocks of about so many classes, or so many bytes of text.
 BLOCK_CLASSES, BLOCK_BYTES = 512, 4 << 20
-_SIGNATURE = pa.struct([("sid", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNATURE = pa.struct([("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _FOUND = "is_edge boolean, a bigint, b bigint, links bigint, doc_links bigint"
 _CHUNK = 4096
 
@@ -59,14 +61,19 @@ def signature(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc
 
 
-def set_id(shingles: np.ndarray) -> int:
+def set_id(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of shingles."""
+    out = []
     with np.errstate(over="ignore"):
-        total = np.add.reduce(mix(shingles)) + np.bitwise_xor.reduce(shingles) * np.uint64(0xD6E8FEB86659FD93)
-        return int(mix(np.array([total + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+        for odd in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
+            spread = mix(shingles * np.uint64(odd) + np.uint64(odd >> 7))
+            total = np.add.reduce(spread) + np.bitwise_xor.reduce(spread) * np.uint64(odd) + np.uint64(len(shingles))
+            out.append(int(mix(np.array([total], np.uint64)).view(np.int64)[0]))
+    return out[0], out[1]
 
 
 def _signature_udf(shingle: int, bands: int, rows: int):
-    @F.arrow_udf("struct<sid:bigint,bands:array<bigint>>")
+    @F.arrow_udf("struct<s1:bigint,s2:bigint,bands:array<bigint>>")
     def sign(text: pa.Array) -> pa.Array:
         if isinstance(text, pa.ChunkedArray):
             text = text.combine_chunks()
@@ -75,7 +82,8 @@ def _signature_udf(shingle: int, bands: int, rows: int):
             words, _, _, at = hash_words(*string_buffers(text.slice(a, b - a)))
             for i in range(b - a):
                 s = np.unique(shingle_hashes(words[at[i] : at[i + 1]], shingle))
-                out.append({"sid": set_id(s), "bands": signature(s, bands, rows).view(np.int64)} if len(s) else {"sid": None, "bands": None})
+                one, two = set_id(s) if len(s) else (None, None)
+                out.append({"s1": one, "s2": two, "bands": signature(s, bands, rows).view(np.int64) if len(s) else None})
         release_memory()
         return pa.array(out, _SIGNATURE)
 
@@ -146,7 +154,7 @@ def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _verify(shingle: int, threshold: float):
-    columns = ("key", "bucket", "lo", "hi", "side", "sid", "n_docs", "kept", "text")
+    columns = ("key", "bucket", "lo", "hi", "side", "cid", "n_docs", "kept", "text")
 
     def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list[pa.Table] = []
@@ -169,15 +177,15 @@ def _verify(shingle: int, threshold: float):
             cols = {c: group.column(c) for c in columns}
             if len(group) < 2:
                 continue
-            sid, n_docs = cols["sid"].to_pylist(), np.asarray(cols["n_docs"])
+            cid, n_docs = cols["cid"].to_pylist(), np.asarray(cols["n_docs"])
             sets = shingle_sets(cols["text"], shingle)
             bucket, lo, hi = (cols[c][0].as_py() for c in ("bucket", "lo", "hi"))
             pairs, own = verify_group(bucket, lo, hi, np.asarray(cols["side"]), cols["kept"].to_pylist(), sets, threshold)
-            out += [(True, sid[i], sid[j], None, None) for i, j in forest(len(sid), pairs)]
+            out += [(True, cid[i], cid[j], None, None) for i, j in forest(len(cid), pairs)]
             i, j = pairs[own].T if own.any() else (np.zeros(0, np.int64),) * 2
-            links = np.bincount(i, minlength=len(sid)) + np.bincount(j, minlength=len(sid))
-            docs = np.bincount(i, n_docs[j], len(sid)) + np.bincount(j, n_docs[i], len(sid))
-            out += [(False, sid[r], None, int(links[r]), int(docs[r])) for r in np.flatnonzero(links).tolist()]
+            links = np.bincount(i, minlength=len(cid)) + np.bincount(j, minlength=len(cid))
+            docs = np.bincount(i, n_docs[j], len(cid)) + np.bincount(j, n_docs[i], len(cid))
+            out += [(False, cid[r], None, int(links[r]), int(docs[r])) for r in np.flatnonzero(links).tolist()]
             if len(out) > 20_000:
                 yield _batch(out)
                 out = []
@@ -194,114 +202,87 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def near_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, row_key, class_key, class_id, n_links.
+    """One row per document: doc_id, k1, k2, class_key, class_id, n_links.
 
     Words are lower-cased (A-Z) runs of characters other than ASCII control, space and punctuation;
     a text of fewer than five words is one shingle. Two documents link when the Jaccard
     similarity of their shingle sets is at least ``threshold``. ``n_links`` counts the other documents
-    that link, copies included; ``class_key`` names the connected component and ``class_id`` is the
-    least doc_id in it. Texts without words (null, empty) link only to equal texts. Null ids are
-    never a class_id unless all of the class are null; repeated rows are copies of each other.
-    ``row_key`` is the same for rows equal in id and text. Other columns are ignored.
+    that link, copies included; ``class_key`` names the connected component (null: a document alone) and
+    ``class_id`` is the least doc_id in it. Texts without words (null, empty) link only to equal texts.
+    Null ids are never a class_id unless all of the class are null; repeated rows are copies of each
+    other. ``k1`` and ``k2`` are a 128-bit hash of id and text. Other columns are ignored.
     """
     spark = docs.sparkSession
     bands = band_count(threshold, recall, rows)
     if bands > 32:
         raise ValueError("at most 32 bands: raise rows or lower recall")
-    body = F.coalesce(F.col(text), F.lit(""))
-    signed = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.xxhash64(F.col(doc_id), body).alias("row_key"),
-        F.xxhash64(body).alias("th"),
-        F.octet_length(body).cast("long").alias("n_bytes"),
-        _signature_udf(shingle, bands, rows)(F.col(text)).alias("s"),
-    )
-    signed = signed.select("doc_id", "row_key", "th", "n_bytes", F.coalesce("s.sid", F.xxhash64(F.lit("no words"), "th")).alias("sid"), "s.bands")
+    signed = docs.select(F.col(doc_id).alias("doc_id"), *row_keys(docs, text, doc_id), *text_keys(text), F.octet_length(text).cast("long").alias("n_bytes"), _signature_udf(shingle, bands, rows)(F.col(text)).alias("s"))
+    signed = signed.select("doc_id", "k1", "k2", "t1", "t2", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.coalesce("s.s1", F.xxhash64(F.lit("no words"), "t1")).alias("s1"), F.coalesce("s.s2", "t2").alias("s2"), "s.bands")
     signed = materialise(signed, "signatures")
 
-    classes = signed.groupBy("sid").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("low_id"), F.min("th").alias("th"), F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
-    classes = materialise(classes, "classes")
-    members = classes.filter(F.col("bands").isNotNull()).select("sid", "n_bytes", F.posexplode("bands").alias("band", "value"))
-    members = members.select("sid", "n_bytes", F.xxhash64("band", "value").bitwiseAND(F.lit(~31)).bitwiseOR(F.col("band").cast("long")).alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n_bytes").alias("bytes"), F.expr("bit_xor(sid)").alias("x"), F.expr("bit_xor(xxhash64(sid))").alias("y")).filter("m > 1")
-    buckets = buckets.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket"), F.max("bytes").alias("bytes")).select("bucket", "m", "bytes")
-    kept = materialise(members.select("sid", "bucket").join(buckets, "bucket"), "members")
-    per_class = kept.groupBy("sid").agg(F.collect_list(F.struct("bucket", "m", "bytes")).alias("in"))  # at most one per band
-    need = materialise(per_class.join(classes.select("sid", "th", "n_docs"), "sid"), "needed")
-
-    texts = possible_members(docs.select(F.xxhash64(body).alias("th"), body.alias("text")), "th", need.select("th"))
-    texts = texts.dropDuplicates(["th"]).join(need, "th")  # copies collapse before the shuffle
+    classes = signed.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("low_id"), F.min(F.struct("t1", "t2", "n_bytes")).alias("t"), F.first("bands").alias("bands"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("cid"), "s1", "s2", "n_docs", "low_id", "t.*", "bands"), "classes")
+    members = classes.filter(F.col("bands").isNotNull()).select("cid", "n_bytes", F.posexplode("bands").alias("band", "value"))
+    members = members.select("cid", "n_bytes", F.xxhash64("band", "value").bitwiseAND(F.lit(~31)).bitwiseOR(F.col("band").cast("long")).alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n_bytes").alias("bytes"), F.expr("bit_xor(xxhash64(cid))").alias("x"), F.expr("bit_xor(xxhash64(cid, 'other'))").alias("y")).filter("m > 1")
+    buckets = buckets.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket"), F.max("bytes").alias("bytes")).select("bucket", "m", "bytes", F.col("m").alias("jn_rows"))
+    buckets = materialise(buckets, "buckets")
+    kept = materialise(many_to_one(members.select("cid", "bucket"), buckets, ["bucket"]), "members")
+    per_class = kept.groupBy("cid").agg(F.collect_list(F.struct("bucket", "m", "bytes")).alias("in"))  # at most one per band
+    need = materialise(per_class.join(classes.select("cid", "t1", "t2", "n_docs"), "cid"), "needed")
+
+    texts = possible_members(docs.select(*text_keys(text), F.col(text).alias("text")), "t1", need.select("t1"))
+    texts = texts.dropDuplicates(["t1", "t2"]).join(need, ["t1", "t2"])  # copies collapse before the shuffle
     blocks = F.ceil(F.greatest(F.col("i.m") / BLOCK_CLASSES, F.col("i.bytes") / BLOCK_BYTES)).cast("int")
-    placed = texts.select("text", "sid", "n_docs", F.transform("in", lambda s: s["bucket"]).alias("kept"), F.explode("in").alias("i")).withColumn("blocks", blocks)
-    placed = placed.withColumn("side", F.pmod(F.xxhash64("sid", "i.bucket"), F.col("blocks")).cast("int"))
+    placed = texts.select("text", "cid", "n_docs", F.transform("in", lambda s: s["bucket"]).alias("kept"), F.explode("in").alias("i")).withColumn("blocks", blocks)
+    placed = placed.withColumn("side", F.pmod(F.xxhash64("cid", "i.bucket"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(F.col("i.bucket").alias("bucket"), F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "sid", "n_docs", "kept", "text")
+    placed = placed.select(F.col("i.bucket").alias("bucket"), F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "cid", "n_docs", "kept", "text")
     placed = placed.withColumn("key", F.xxhash64("bucket", "lo", "hi"))
-    dealt = placed.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "bucket", "lo", "hi", "sid")
+    dealt = placed.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "bucket", "lo", "hi", "cid")
     found = materialise(dealt.mapInArrow(_verify(shingle, threshold), _FOUND), "found")
 
     roots = components(found.filter("is_edge").select("a", "b"))
-    links = found.filter("not is_edge").groupBy(F.col("a").alias("sid")).agg(F.sum("doc_links").alias("doc_links"))
-    rooted = roots.withColumnRenamed("node", "sid").join(classes.select("sid", "low_id"), "sid")
-    least = rooted.groupBy("root").agg(F.min("low_id").alias("class_id"))
-    linked = rooted.select("sid", "root").join(least, "root").join(links, "sid", "left")
+    links = found.filter("not is_edge").groupBy(F.col("a").alias("cid")).agg(F.sum("doc_links").alias("doc_links"))
+    rooted = materialise(roots.withColumnRenamed("node", "cid").join(classes.select("cid", "low_id"), "cid").select("cid", "root", "low_id"), "rooted")
+    least = materialise(rooted.groupBy("root").agg(F.min("low_id").alias("class_id"), F.count(F.lit(1)).alias("jn_rows")), "roots")
+    linked = many_to_one(rooted.select("cid", "root"), least, ["root"]).join(links, "cid", "left")
     # classes that need more than their own row: copies or links
-    info = classes.select("sid", "n_docs", "low_id").join(linked, "sid", "left").filter((F.col("n_docs") > 1) | F.col("root").isNotNull())
-    info = materialise(info.select("sid", F.coalesce("root", "sid").alias("class_key"), F.when(F.col("root").isNull(), F.col("low_id")).otherwise(F.col("class_id")).alias("class_id"), (F.col("n_docs") - 1 + F.coalesce("doc_links", F.lit(0))).alias("n_links")), "classes")
-    out = signed.select("doc_id", "row_key", "sid").join(info, "sid", "left")
-    alone = F.col("class_key").isNull()
-    return out.select("doc_id", "row_key", F.coalesce("class_key", "sid").alias("class_key"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    info = classes.select("cid", "s1", "s2", "n_docs", "low_id").join(linked, "cid", "left").filter((F.col("n_docs") > 1) | F.col("root").isNotNull())
+    info = info.select("s1", "s2", F.coalesce("root", "cid").alias("class_key"), F.when(F.col("root").isNull(), F.col("low_id")).otherwise(F.col("class_id")).alias("class_id"), (F.col("n_docs") - 1 + F.coalesce("doc_links", F.lit(0))).alias("n_links"), F.col("n_docs").alias("jn_rows"))
+    out = many_to_one(signed.select("doc_id", "k1", "k2", "s1", "s2"), materialise(info, "info"), ["s1", "s2"], "left")
+    return out.select("doc_id", "k1", "k2", "class_key", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def text_keys(text: str) -> list[Column]:
+    """128 bits that name a text; null and empty are one."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(body).alias("t1"), F.xxhash64(F.lit("text"), body).alias("t2")]
+
+
+def row_keys(docs: DataFrame, text: str, doc_id: str) -> list[Column]:
+    """128 bits that name an id (null unlike any) with its text."""
+    body, rid = F.coalesce(F.col(text), F.lit("")), F.col(doc_id)
+    return [F.xxhash64(rid, rid.isNull(), body).alias("k1"), F.xxhash64(body, rid, rid.isNull(), F.lit("row")).alias("k2")]
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the least id (null last), then the least row key."""
-    marked = near_join(docs, text, doc_id)
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("row_key").alias("k"))
-    keep = materialise(marked.groupBy("class_key").agg(F.min(order).alias("o")).select(F.col("o.k").alias("nj_row")), "keep")
-    keyed = docs.withColumn("nj_row", F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
-    return keyed.join(keep.hint("merge"), "nj_row", "left_semi").dropDuplicates(["nj_row"]).drop("nj_row")
+    """``docs`` with one document of each group of near duplicates: the least id (null last), then the least key of id and text.
+
+    Rows equal in id and text are copies even where other columns differ. Documents alone stay where
+    they are; only the possible members of groups, found by a Bloom filter, are shuffled.
+    """
+    marked = materialise(near_join(docs, text, doc_id).filter(F.col("class_key").isNotNull()).select("class_key", "doc_id", "k1", "k2"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")
+    first = marked.groupBy("class_key").agg(F.min(order).alias("o")).select("o.k1", "o.k2", F.lit(True).alias("stays"))
+    rows = marked.select("k1", "k2").distinct().join(first, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("stays", F.lit(False)).alias("stays"))
+    rows = materialise(rows, "grouped")
+    keyed = possible(docs.select(as_row(docs).alias("row"), *row_keys(docs, text, doc_id)), "k1", rows.select("k1"))
+    maybe = keyed.filter("bf_maybe").drop("bf_maybe").dropDuplicates(["k1", "k2"])  # repeated rows collapse before the shuffle
+    chosen = maybe.join(rows, ["k1", "k2"], "left").filter(F.coalesce("stays", F.lit(True)))
+    return keyed.filter("not bf_maybe").select("row.*").unionByName(chosen.select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_join(docs).select("doc_id", "class_id", "n_links")
-
-
-def report(p, spark, sf_dir):
-    import re
-
-    t = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id").text
-    sets = {}
-    for d, x in t.items():
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.lower())
-        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {x}
-    ids = list(sets)
-    where = {}
-    for d, s in sets.items():
-        for g in s:
-            where.setdefault(g, []).append(d)
-    import collections
-
-    inter = collections.Counter()
-    for v in where.values():
-        for x in range(len(v)):
-            for y in range(x):
-                inter[v[y], v[x]] += 1
-    links = collections.Counter()
-    root = {d: d for d in ids}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    n = 0
-    for (a, b), c in inter.items():
-        if c / (len(sets[a]) + len(sets[b]) - c) >= 0.8:
-            links[a] += 1
-            links[b] += 1
-            n += 1
-            x, y = find(a), find(b)
-            root[max(x, y)] = min(x, y)
-    bad = [(d, links[d], find(d)) for d in ids if (links[d], find(d)) != tuple(p.set_index("doc_id").loc[d][["n_links", "class_id"]])]
-    print("links", n, "differ", len(bad), bad[:5])

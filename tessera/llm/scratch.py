@@ -6,45 +6,40 @@ a lost executor costs a re-read and never a recomputation of a Python stage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Where that is unset: a temporary folder in local mode (one machine, as in tests), else a
-    folder below the warehouse, which every executor reaches. It is then set for the session's
-    lifetime by being remembered on the session object.
-    """
-    known = getattr(spark, "_tessera_shared", None)
-    if known:
-        return known
+    """Folder that driver and executors share: the session's ``spark.checkpoint.dir``, else one below its warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera_scratch"
-    spark._tessera_shared = base.rstrip("/")
-    return spark._tessera_shared
+    return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera_scratch").rstrip("/")
+
+
+def _filesystem(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, system = _filesystem(spark, path)
+    system.deleteOnExit(target)
     return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path of ``fresh_path`` that nothing reads any more."""
+    target, system = _filesystem(spark, path)
+    system.delete(target, True)
+
+
+def materialise(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it (exact size statistics)."""
     spark = df.sparkSession
-    path = fresh_path(spark, tag)
+    path = path or fresh_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
