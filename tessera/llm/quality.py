@@ -1,4 +1,8 @@
-"""Quality rules with cross-document line frequency (DataFrame functions only)."""
+"""Quality rules with cross-document line frequency (DataFrame functions only).
+
+One pass over the texts gives every document's counts and the hashes of its lines, written once to the
+shared folder; line frequencies, the lines that each document loses and the verdicts come from that table.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import possible, possible_members
+from .joins import as_row, many_to_one
 from .scratch import materialise
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is removed above both limits: distinct texts of its host that hold it, and their share of the host's distinct texts.
+#: A line is removed above both limits: documents of its host that hold it, and their share of the host's documents.
 MIN_LINE_DOCS = 20
-MAX_LINE_SHARE = 0.01
+MAX_LINE_SHARE = 0.1
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,88 +28,75 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
-
-
-def normal_line(line: Column) -> Column:
-    """A-Z lower-cased, runs of white space as one space, trimmed; a line without a word gives ''."""
-    return F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), SPACE, " "))
+def _spaced(text: Column) -> Column:
+    """White space as spaces; the regular expression runs only over texts with other white space than line ends."""
+    return F.replace(F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(text, r"[\x09-\x0D]", " ")).otherwise(text), F.lit("\n"), F.lit(" "))
 
 
-def repeated_window_words(words: Column) -> Column:
-    """Words inside any 3-word window that occurs at least twice in the array."""
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(_spaced(text), " "), "")
 
-    def count(ws: Column) -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(0), F.size(ws) - 3),
-            lambda i: F.struct(F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), i.alias("i")),
-        )
 
-        def covered(s: Column) -> Column:
-            hits = F.filter(s, lambda x, j: (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]))
-            return _let(
-                F.array_sort(F.transform(hits, lambda x: x["i"])),
-                lambda p: F.aggregate(
-                    F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))),
-                    F.lit(0).cast("long"),
-                    lambda a, x: a + x,
-                ),
-            )
+def normal_lines(text: Column) -> Column:
+    """The text's lines in lower case, runs of white space as one space, trimmed; lines without a word are ''."""
+    low = F.lower(text)
+    even = F.when(low.rlike(r"[\x09\x0B-\x0D]|  "), F.regexp_replace(low, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(low)
+    return F.transform(F.split(even, "\n"), lambda x: F.trim(x))
 
-        return F.when(F.size(ws) < 4, F.lit(0).cast("long")).otherwise(_let(F.sort_array(windows), covered))
 
-    return _let(words, count)
+def _covered(windows: Column) -> Column:
+    """Places that any window found more than once covers; ``windows`` are (hash, place), sorted."""
+    hits = F.filter(windows, lambda x, j: (F.get(windows, j - 1)["h"] == x["h"]) | (F.get(windows, j + 1)["h"] == x["h"]))
+    return _let(
+        F.sort_array(F.transform(hits, lambda x: x["i"])),
+        lambda p: F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x),
+    )
 
 
-def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``qr_stats``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def with_counts(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with ``s``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and lines of a whole text.
 
-    def stats(t: Column) -> Column:
-        return _let(
-            F.struct(words_of(t).alias("w"), F.filter(F.split(t, "\n"), lambda x: F.regexp_replace(x, SPACE, "") != "").alias("l")),
-            lambda s: F.struct(
-                F.size(s["w"]).cast("long").alias("n_words"),
-                F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
-                F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-                (F.size(s["l"]) - F.size(F.array_distinct(s["l"]))).cast("long").alias("n_dup_lines"),
-                repeated_window_words(s["w"]).alias("n_repeat_words"),
-            ),
-        )
-
-    return docs.withColumn("qr_stats", _let(body, stats))
-
-
-def line_items(text: Column) -> Column:
-    """Lines that hold a word, as (hash of the normalised line, words in it)."""
-    return F.filter(
-        F.transform(
-            F.split(F.coalesce(text, F.lit("")), "\n"),
-            lambda x: _let(
-                normal_line(x),
-                lambda n: F.struct(
-                    F.when(n != "", F.xxhash64(n)).alias("h"),
-                    (F.length(n) - F.length(F.translate(n, " ", "")) + 1).cast("long").alias("w"),
-                ),
-            ),
-        ),
-        lambda s: s["h"].isNotNull(),
+    ``lines`` has (hash of the normalised line, its words) for every line that holds a word. Arrays that
+    several results need are columns of a projection of their own, so that generated code evaluates each once. Columns named qr_* are reserved.
+    """
+    own = df.columns
+    d = df.withColumn("qr_t", F.coalesce(text, F.lit("")))
+    d = d.withColumns({"qr_w": words_of(F.col("qr_t")), "qr_l": F.filter(F.split("qr_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    last = F.when(F.size("qr_w") < 4, F.lit(0)).otherwise(F.size("qr_w") - 3)
+    d = d.withColumn("qr_h", F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get("qr_w", i), F.get("qr_w", i + 1), F.get("qr_w", i + 2))))
+    placed = F.transform("qr_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    d = d.withColumn("qr_p", F.when(F.size(F.array_distinct("qr_h")) < F.size("qr_h"), F.sort_array(placed)))
+    lines = F.filter(normal_lines(F.col("qr_t")), lambda n: n != "")
+    return d.select(
+        *own,
+        F.struct(
+            F.size("qr_w").cast("long").alias("n_words"),
+            F.length(F.array_join("qr_w", "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace("qr_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            (F.size("qr_l") - F.size(F.array_distinct("qr_l"))).cast("long").alias("n_dup_lines"),
+            F.when(F.col("qr_p").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("qr_p"))).alias("n_repeat_words"),
+            F.transform(lines, lambda n: F.struct(F.xxhash64(n).alias("h"), F.size(F.split(n, " ")).cast("long").alias("w"))).alias("lines"),
+        ).alias("s"),
     )
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_LINE_DOCS, max_share: float = MAX_LINE_SHARE) -> DataFrame:
-    """(host, line_hash) of lines above the limits.
+def frequent_lines(counted: DataFrame, min_docs: int, max_share: float, copies_once: bool) -> DataFrame:
+    """(host, h, jn_rows) of lines above the limits; jn_rows is the number of documents with the line.
 
-    Copies of one text count as one document. Counting first drops repeats of (host, line, text),
-    keyed by all three, then adds up per (host, line) before the shuffle, so no task gets a hot
-    host or line whole.
+    Every document counts once for each of its lines; the counts add up per (host, line) before the
+    shuffle, so no task gets a hot host or line whole.
     """
-    keyed = docs.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.transform(line_items(F.col(text)), lambda s: s["h"]).alias("hashes"))
-    lines = keyed.select("host", "text_hash", F.explode(F.array_distinct("hashes")).alias("line_hash"))
-    counts = lines.groupBy("host", "line_hash").agg(F.countDistinct("text_hash").alias("n")).filter(F.col("n") > min_docs)
-    hosts = keyed.groupBy("host").agg(F.countDistinct("text_hash").alias("n_host"))
-    return counts.join(hosts, "host").filter(F.col("n") > F.col("n_host") * max_share).select("host", "line_hash")
+    docs = counted.dropDuplicates(["host", "t1", "t2"]) if copies_once else counted
+    hashes = F.array_distinct(F.transform("s.lines", lambda x: x["h"]))
+    counts = docs.select("host", F.explode(hashes).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
+    hosts = docs.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
+    # lines per host are skewed like hosts: the hosts' table meets them by the same rule
+    lines = materialise(counts, "counts")
+    sized = hosts.join(lines.groupBy("host").agg(F.count(F.lit(1)).alias("jn_rows")), "host")
+    above = many_to_one(lines, materialise(sized, "hosts"), ["host"]).filter(F.col("n") > F.col("n_host") * max_share)
+    if copies_once:  # how many rows will meet the line: copies too
+        above = above.join(counted.select("host", F.explode(hashes).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("all")), ["host", "h"]).withColumn("n", F.col("all"))
+    return above.select("host", "h", F.col("n").alias("jn_rows"))
 
 
 def quality_rules(
@@ -116,45 +107,55 @@ def quality_rules(
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
     min_line_docs: int = MIN_LINE_DOCS,
     max_line_share: float = MAX_LINE_SHARE,
-    clean: bool = False,
+    copies_once: bool = False,
+    with_text: str | None = None,
 ) -> DataFrame:
     """Judge every document by base counts and by what frequent lines leave of it.
 
     Words are runs of non-white-space characters of the whole text. A document fails the base rules
     with fewer than ``min_words`` words, or with more than ``max_repeat_percent`` percent of its words
     in repeated 3-word windows. A line (normalised: case and white space) found in more than
-    ``min_line_docs`` distinct texts of its host *and* in more than ``max_line_share`` of them is
-    removed; a document left with fewer than ``min_words`` words is depleted and rejected.
-
-    Adds ``qr_stats``, ``words_left``, ``base_failed`` and ``kept``; with ``clean`` the text comes
-    back without the removed lines. Null text: no words, so it fails. Null host: a host of its own
-    ('' and null are one). Repeated rows are judged alike and all stay. Columns named ``qr_*``
-    are reserved; any other column passes through.
+    ``min_line_docs`` documents of its host *and* in more than ``max_line_share`` of them is
+    removed; a document left with fewer than ``min_words`` words is depleted and rejected. Every row is a
+    document; with ``copies_once`` rows of a host with equal texts count as one.
+
+    Returns the columns of ``docs`` but the text, and ``qr_stats``, ``words_left``, ``base_failed`` and
+    ``kept`` (columns of these names are replaced). ``with_text``: 'whole' keeps the text, 'clean' gives it without the removed lines.
+    Null text: no words, so it fails. Null host: a host of its own ('' and null are one). Repeated rows are
+    judged alike and all stay.
     """
-    frequent = materialise(frequent_lines(docs, text, host, min_line_docs, max_line_share), "lines")
-    hostname = F.coalesce(F.col(host), F.lit(""))
-    key = F.xxhash64(hostname, F.coalesce(F.col(text), F.lit("")))
-    # which frequent lines stand in which rows; copies of a text on a host lose the same lines
-    rows = docs.select(hostname.alias("host"), key.alias("qr_key"), F.monotonically_increasing_id().alias("qr_row"), line_items(F.col(text)).alias("items"))
-    lines = rows.select("host", "qr_key", "qr_row", F.inline("items")).withColumnRenamed("h", "line_hash")
-    hits = lines.join(frequent, ["host", "line_hash"])
-    lost = hits.groupBy("qr_key", "qr_row").agg(F.sum("w").alias("qr_lost")).groupBy("qr_key").agg(F.max("qr_lost").alias("qr_lost"))
-    if clean:
-        lost = lost.join(hits.groupBy("qr_key").agg(F.collect_set("line_hash").alias("qr_removed")), "qr_key")
-    lost = materialise(lost, "removed")
-    judged = base_counts(docs.withColumn("qr_key", key), text).join(lost.hint("merge"), "qr_key", "left")
-    n, rep = F.col("qr_stats")["n_words"], F.col("qr_stats")["n_repeat_words"]
-    out = judged.withColumns({"words_left": n - F.coalesce("qr_lost", F.lit(0)), "base_failed": (n < min_words) | (rep * 100 > n * max_repeat_percent)})
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= min_words))
-    if clean:
-        removed = F.col("qr_removed")
-        kept_lines = F.filter(F.split(F.col(text), "\n"), lambda x: _let(normal_line(x), lambda t: (t == "") | ~F.array_contains(removed, F.xxhash64(t))))
-        out = out.withColumn(text, F.when(removed.isNull(), F.col(text)).otherwise(F.array_join(kept_lines, "\n")))
-    return out.drop("qr_key", "qr_lost", "qr_removed")
+    made = {"qr_stats", "words_left", "base_failed", "kept", *([] if with_text else [text.lower()])}
+    keep = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in made])
+    body = F.coalesce(F.col(text), F.lit(""))
+    copies = [F.xxhash64(body).alias("t1"), F.xxhash64(F.lit("text"), body).alias("t2")] if copies_once else []
+    row = as_row(keep) if keep.columns else F.lit(None).cast("struct<none:int>")
+    counted = with_counts(docs.select(row.alias("row"), F.coalesce(F.col(host), F.lit("")).alias("host"), *copies, F.col(text).alias("t")), F.col("t")).drop("t")
+    counted = materialise(counted.withColumn("id", F.monotonically_increasing_id()), "counted")
+
+    frequent = materialise(frequent_lines(counted, min_line_docs, max_line_share, copies_once).withColumn("k", F.xxhash64("host", "h")), "frequent")
+    lines = possible_members(counted.select("id", "host", F.inline("s.lines")).withColumn("k", F.xxhash64("host", "h")), "k", frequent)
+    hits = many_to_one(lines.drop("k"), frequent.drop("k"), ["host", "h"])
+    lost = materialise(hits.groupBy("id").agg(F.sum("w").alias("lost"), F.collect_set("h").alias("removed")), "lost")
+    # documents that lose nothing stay where they are
+    marked = possible(counted.drop("host", "t1", "t2"), "id", lost)
+    fields = ["row", "s", "lost", "removed"]
+    hit = marked.filter("bf_maybe").join(lost, "id", "left").select(*fields)
+    judged = marked.filter("not bf_maybe").select("row", "s", F.lit(0).cast("long").alias("lost"), F.lit(None).cast("array<bigint>").alias("removed")).unionByName(hit)
+    stats = F.col("s").dropFields("lines")
+    n, rep = F.col("s.n_words"), F.col("s.n_repeat_words")
+    failed = (n < min_words) | (rep * 100 > n * max_repeat_percent)
+    left = n - F.coalesce("lost", F.lit(0))
+    columns = {c: F.col(f"row.`{c}`") for c in keep.columns}
+    if with_text == "clean":
+        whole, gone = columns[text], F.col("removed")
+        pairs = F.arrays_zip(F.split(whole, "\n").alias("raw"), normal_lines(whole).alias("line"))
+        kept_lines = F.transform(F.filter(pairs, lambda x: (x["line"] == "") | ~F.array_contains(gone, F.xxhash64(x["line"]))), lambda x: x["raw"])
+        columns[text] = F.when(gone.isNull(), whole).otherwise(F.array_join(kept_lines, "\n"))
+    return judged.select(*[v.alias(c) for c, v in columns.items()], stats.alias("qr_stats"), left.alias("words_left"), failed.alias("base_failed"), (~failed & (left >= min_words)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     s = F.col("qr_stats")
     return quality_rules(docs).select("doc_id", *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
@@ -175,13 +176,13 @@ WITH base AS (
 ), rawlines AS (
   SELECT rid, host, text, unnest(ls) AS line FROM split
 ), lines AS (
-  SELECT rid, host, text, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
+  SELECT rid, host, text, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
   FROM rawlines WHERE regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g') <> ''
 ), hosts AS (
-  SELECT host, count(DISTINCT text) AS n_host FROM base GROUP BY host
+  SELECT host, count(*) AS n_host FROM base GROUP BY host
 ), freq AS (
   SELECT l.host, l.norm FROM lines l JOIN hosts h ON l.host = h.host
-  GROUP BY l.host, l.norm, h.n_host HAVING count(DISTINCT l.text) > 20 AND count(DISTINCT l.text) > h.n_host * 0.01
+  GROUP BY l.host, l.norm, h.n_host HAVING count(DISTINCT l.rid) > 20 AND count(DISTINCT l.rid) > h.n_host * 0.1
 ), lost AS (
   SELECT l.rid, sum(length(norm) - length(replace(norm, ' ', '')) + 1) AS n_lost
   FROM lines l SEMI JOIN freq f ON l.host = f.host AND l.norm = f.norm GROUP BY l.rid
