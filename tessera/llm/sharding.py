@@ -1,24 +1,29 @@
-"""Sharding by histogram sort: near-equal bytes, one exchange.
+"""Sharding by histogram sort: near-equal bytes, equal texts together, one exchange.
 
-Rows are ordered by (hash of the text, hash of the row). Exact byte counts below candidate
-boundaries are gathered as histograms over hash prefixes; only the bins that hold a wanted splitter
-are probed again, with the next bits, until each splitter is within tolerance. Then every row knows
-its shard from the splitters, and one exchange brings the rows together.
+Rows are ordered by the hash of their text. Exact byte counts below candidate boundaries are gathered as
+histograms over hash prefixes; only the bins that hold a wanted splitter are probed again, with the
+next bits, until each splitter is within tolerance or at the edge of one text's copies. Texts whose copies
+weigh more than a share of a shard are placed first, whole, each in the emptiest shard; the splitters then
+share out the rest. Then every row knows its shard, and one exchange brings the rows together.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import as_row
 from .scratch import materialise
 
 SHARDS = 40
 OVERHEAD = 16
 #: Splitters may miss their exact place by this share of a shard.
 TOLERANCE = 0.002
+#: Copies of a text that weigh more than this share of a shard are placed before the rest: no more than shards / HEAVY texts can.
+HEAVY = 0.01
 BITS = 12
 #: A shard is sorted in pieces of about this size, at most MOST_PIECES of them.
 PIECE_BYTES = 64 << 20
@@ -30,20 +35,15 @@ def _keys(df: DataFrame, text: str, id_column: str | None) -> DataFrame:
     """hs_size, hs_k1 (equal texts share it) and hs_k2 (spreads equal texts by id)."""
     body = F.coalesce(F.col(text), F.lit(""))
     rid = F.xxhash64(F.col(id_column), F.lit("row")) if id_column else F.xxhash64(F.lit("row"))
-    return df.withColumns({"hs_size": (F.octet_length(body) + OVERHEAD).cast("long"), "hs_k1": F.xxhash64(body), "hs_k2": rid})
+    return df.select(as_row(df).alias("row"), (F.octet_length(body) + OVERHEAD).cast("long").alias("hs_size"), F.xxhash64(body).alias("hs_k1"), rid.alias("hs_k2"))
 
 
 class Cut:
-    """A wanted splitter: about ``target`` bytes below it, within ``slack``."""
+    """A wanted splitter: about ``target`` bytes below it, within ``slack``. ``atom``: inside the copies of one text."""
 
-    def __init__(self, target: float, slack: float):
-        self.target, self.slack = target, slack
-        self.k1, self.k2 = 0, _LOW
-        self.open(0, 0)
-
-    def open(self, atom: int, below: int) -> None:
-        """Start probing inside one key value (``atom``) that has ``below`` bytes before it."""
-        self.atom, self.prefix, self.below, self.settled, self.value, self.heavy = atom, 0, below, False, 0, False
+    def __init__(self, target: float, slack: float, atom: int = 0):
+        self.target, self.slack, self.atom = target, slack, atom
+        self.prefix, self.below, self.settled, self.value = 0, 0, False, 0
 
     def narrow(self, bins: list[tuple[int, int, int]], width: int, shift: int) -> None:
         """Take the bin that the target falls into, or settle on one of its borders."""
@@ -58,11 +58,8 @@ class Cut:
             return
         full = (self.prefix << width) | at
         low, high = self.target - run, run + size - self.target
-        self.heavy = False
         if low <= self.slack or high <= self.slack or rows == 1 or shift == 0:
-            self.heavy = shift == 0 and rows > 1 and min(low, high) > self.slack
-            self.below = run
-            self.settle(full if low <= high or self.heavy else full + 1, shift)
+            self.settle(full if low <= high else full + 1, shift)
         else:
             self.prefix, self.below = full, run
 
@@ -104,73 +101,104 @@ def _as_signed(prefix: int, shift: int) -> int:
     return min(prefix << shift, (1 << 64) - 1) + _LOW
 
 
-def find_splitters(rows: DataFrame, cuts: list[Cut]) -> list[tuple[int, int]]:
-    """(k1, k2) splitters; equal texts are parted only where their bytes exceed the slack."""
-    _probe(rows, "hs_k1", cuts, F.lit(0))
-    again = []
-    for c in cuts:
-        c.k1, c.k2 = c.value, _LOW
-        if c.heavy:  # copies of one text outweigh the slack: part them by id
-            again.append(c)
-            c.open(c.k1, c.below)
-    _probe(rows, "hs_k2", again, F.col("hs_k1"))
-    for c in again:
-        c.k2 = c.value
-    return sorted((c.k1, c.k2) for c in cuts)
-
+def place_heavy(groups: dict[int, int], shards: int, share: float) -> tuple[dict[int, list[int]], list[float]]:
+    """Shards of every heavy text, and the bytes that they put into each shard.
 
-def _at_or_above(splitters: list[tuple[int, int]]) -> Column:
-    """How many splitters are at or below the row's key."""
-    k1, k2, n = F.col("hs_k1"), F.col("hs_k2"), F.lit(0)
-    for a, b in splitters:
-        n = n + ((k1 > a) | ((k1 == a) & (k2 >= b))).cast("int")
-    return n
+    The largest first, each whole into the emptiest shard. A text that outweighs a shard is cut into the
+    fewest equal parts that don't, each placed so.
+    """
+    parts = sorted(((size / n, k) for k, size in groups.items() for n in [max(1, math.ceil(size / share))] for _ in range(n)), key=lambda p: (-p[0], p[1]))
+    load, heap, where = [0.0] * shards, [(0.0, s) for s in range(shards)], {}
+    for size, k in parts:
+        used, s = heapq.heappop(heap)
+        where.setdefault(k, []).append(s)
+        load[s] = used + size
+        heapq.heappush(heap, (load[s], s))
+    return where, load
+
+
+def rooms(load: list[float], total: float) -> list[float]:
+    """Bytes of the other rows that each shard takes, so that the shards end as level as they can."""
+    rest, level = total - sum(load), 0.0
+    order = sorted(load)
+    for i, x in enumerate(order, 1):  # water level over the i emptiest shards
+        level = (rest + sum(order[:i])) / i
+        if i == len(order) or level <= order[i]:
+            break
+    return [max(0.0, level - x) for x in load]
+
+
+def _lookup(spark, splitters: list[int], name: str) -> DataFrame:
+    """A row for each of the 2**BITS prefixes: the splitters inside it, sorted, and how many lie below it."""
+    inside: dict[int, list[int]] = {}
+    for k in sorted(splitters):
+        inside.setdefault((k - _LOW) >> (64 - BITS), []).append(k)
+    rows, below = [], 0
+    for prefix in range(1 << BITS):
+        rows.append((prefix, below, inside.get(prefix, [])))
+        below += len(inside.get(prefix, []))
+    return spark.createDataFrame(rows, f"hs_prefix int, {name}_below int, {name}_cuts array<bigint>")
+
+
+def _at_or_above(cuts: Column, key: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c <= key))
 
 
 def histogram_shards(df: DataFrame, shards: int = SHARDS, text: str = "text", id_column: str | None = "doc_id", tolerance: float = TOLERANCE) -> DataFrame:
     """``df`` with hs_size, hs_shard (0 to shards - 1) and hs_slot (gapless from 0 in each shard).
 
-    A row counts its text's UTF-8 bytes (null: none) plus 16. Shards hold near-equal bytes: each
-    border is within ``tolerance`` of a shard of its exact place, but for rows larger than that.
-    Copies of a text stay in one shard unless that text alone outweighs the tolerance; then they are
-    parted by id. Repeated rows (same id and text) stay together. Columns hs_* are reserved.
+    A row counts its text's UTF-8 bytes (null: none) plus 16. Equal texts are in one shard, unless
+    their bytes outweigh a whole shard: then they are parted by id into the fewest equal parts that
+    don't. Shards hold near-equal bytes: texts above HEAVY of a shard go to the emptiest shards first, and the
+    rest levels them, each border within half of HEAVY or ``tolerance`` of a shard from its exact place (more only
+    where single rows, or too few others, leave no choice). Repeated rows (same id and text) stay together. Null and empty
+    texts are equal. Columns of ``df`` with these three names are replaced.
     """
+    spark = df.sparkSession
+    made = {"hs_size", "hs_shard", "hs_slot"}
+    df = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in made])
     keyed = _keys(df, text, id_column)
     probes = materialise(keyed.select("hs_size", "hs_k1", "hs_k2"), "probes")
     total = probes.agg(F.sum("hs_size")).first()[0] or 0
-    pieces = max(LEAST_PIECES, min(MOST_PIECES, math.ceil(total / shards / PIECE_BYTES)))
-    piece = total / (shards * pieces)
-    borders = [Cut(total * i / shards, tolerance * total / shards) for i in range(1, shards)]
-    inner = [Cut(piece * i, piece / 2) for i in range(1, shards * pieces) if i % pieces]
+    share = total / shards
+    weights = probes.groupBy("hs_k1").agg(F.sum("hs_size").alias("w")).filter(F.col("w") > HEAVY * share)
+    groups = {r.hs_k1: r.w for r in weights.collect()}  # at most shards / HEAVY
+    where, load = place_heavy(groups, shards, share) if groups else ({}, [0.0] * shards)
+    parted = [(k, s) for k, s in where.items() if len(s) > 1]
+    cuts = [Cut(groups[k] * i / len(s), tolerance * share, k) for k, s in parted for i in range(1, len(s))]
+    _probe(probes.filter(F.col("hs_k1").isin([k for k, _ in parted])), "hs_k2", cuts, F.col("hs_k1"))
+    inner_cuts: dict[int, list[int]] = {}
+    for c in cuts:
+        inner_cuts.setdefault(c.atom, []).append(c.value)
+    heavy = spark.createDataFrame([(k, s, sorted(inner_cuts.get(k, []))) for k, s in where.items()], "hs_k1 bigint, hs_in array<int>, hs_parts array<bigint>")
+    heavy = F.broadcast(heavy)
+
+    room = rooms(load, total)
+    pieces = max(LEAST_PIECES, min(MOST_PIECES, math.ceil(share / PIECE_BYTES)))
+    ends = [sum(room[: i + 1]) for i in range(shards)]
+    borders = [Cut(x, tolerance * share) for x in ends[:-1]]
+    inner = [Cut(ends[s] - room[s] * i / pieces, share / pieces / 2) for s in range(shards) for i in range(1, pieces) if room[s]]
     if total:
-        splitters = find_splitters(probes, borders + inner)
-        borders = sorted((c.k1, c.k2) for c in borders)
-    else:
-        splitters, borders = [], []
-    shard = _at_or_above(borders)
-    # pieces: how many splitters lie at or below the key, a binary search over bounded literals
-    placed = keyed.withColumn("hs_shard", shard.cast("int")).withColumn("hs_piece", _search(splitters))
+        light = probes.join(heavy, "hs_k1", "left_anti") if groups else probes
+        _probe(light, "hs_k1", borders + inner, F.lit(0))
+    prefix = F.shiftrightunsigned(F.col("hs_k1").bitwiseXOR(F.lit(_LOW)), 64 - BITS).cast("int")
+    lookup = F.broadcast(_lookup(spark, [c.value for c in borders], "b").join(_lookup(spark, [c.value for c in inner], "i"), "hs_prefix"))
+    placed = keyed.withColumn("hs_prefix", prefix).join(lookup, "hs_prefix").join(heavy, "hs_k1", "left")
+    part = _at_or_above(F.col("hs_parts"), F.col("hs_k2"))
+    placed = placed.withColumns(
+        {
+            "hs_shard": F.when(F.col("hs_in").isNotNull(), F.get("hs_in", part)).otherwise(F.col("b_below") + _at_or_above(F.col("b_cuts"), F.col("hs_k1"))).cast("int"),
+            # copies of heavy texts are sorted apart from the rest, dealt by id
+            "hs_piece": F.when(F.col("hs_in").isNotNull(), -1 - F.pmod(F.xxhash64("hs_k1", "hs_k2"), F.lit(pieces))).otherwise(F.col("i_below") + _at_or_above(F.col("i_cuts"), F.col("hs_k1"))).cast("int"),
+        }
+    ).select("row", "hs_size", "hs_k1", "hs_k2", "hs_shard", "hs_piece")
     counts = placed.groupBy("hs_shard", "hs_piece").agg(F.count(F.lit(1)).alias("hs_n"))
     before = Window.partitionBy("hs_shard").orderBy("hs_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("hs_shard", "hs_piece", F.coalesce(F.sum("hs_n").over(before), F.lit(0)).alias("hs_before"))
     inside = Window.partitionBy("hs_shard", "hs_piece").orderBy("hs_k1", "hs_k2")
     ranked = placed.withColumn("hs_rank", F.row_number().over(inside) - 1)
-    out = ranked.join(F.broadcast(offsets), ["hs_shard", "hs_piece"])  # at most shards x (pieces + 1) rows
-    return out.withColumn("hs_slot", (F.col("hs_rank") + F.col("hs_before")).cast("long")).drop("hs_piece", "hs_rank", "hs_before", "hs_k1", "hs_k2")
-
-
-def _search(splitters: list[tuple[int, int]]) -> Column:
-    """Number of splitters at or below the key, as a balanced tree of comparisons."""
-    k1, k2 = F.col("hs_k1"), F.col("hs_k2")
-
-    def below(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        a, b = splitters[mid]
-        return F.when((k1 > a) | ((k1 == a) & (k2 >= b)), below(mid + 1, hi)).otherwise(below(lo, mid))
-
-    return below(0, len(splitters))
+    out = ranked.join(F.broadcast(offsets), ["hs_shard", "hs_piece"])  # at most shards x (2 x pieces + 1) rows
+    return out.select("row.*", "hs_size", "hs_shard", (F.col("hs_rank") + F.col("hs_before")).cast("long").alias("hs_slot"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -178,12 +206,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
     out = histogram_shards(docs)
     return out.select("doc_id", F.col("hs_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("hs_shard").alias("shard"), F.col("hs_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-
-
-def report(p, spark, sf_dir):
-    g = p.groupby("shard")
-    b = g["size"].sum()
-    print("shards", len(b), "bytes min/max over mean", b.min() / b.mean(), b.max() / b.mean())
-    q = p.sort_values(["shard", "slot"])
-    assert (q.groupby("shard").cumcount() == q.slot).all()
-    print("texts in more than one shard", (p.groupby(["text_crc32", "size"]).shard.nunique() > 1).sum())
