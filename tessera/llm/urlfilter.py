@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import BROADCAST_BYTES, block_of, bloom_table, blocks_for, bytes_of, holds
+from .bloom import WORDS, block_of, bloom_table, blocks_for, holds
+from .joins import as_row
 from .scratch import materialise
 
 #: (action, host, path). The longest fitting rule wins.
@@ -21,6 +22,8 @@ RULES = (
 )
 #: First labels of hosts (after www., m. or blog.) whose pages make up the query's list of URLs.
 LISTED_LABELS = ("spam-farm", "cheap-pills")
+#: A list of at most so many bytes is broadcast for the exact join.
+SMALL_LIST = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,32 +58,39 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, action
 
 
-def url_filter(pages: DataFrame, listed: DataFrame, url: str = "url", listed_url: str = "url", rules=RULES) -> DataFrame:
+def url_filter(pages: DataFrame, listed: DataFrame, url: str = "url", listed_url: str = "url", rules=RULES, small_list: int = SMALL_LIST) -> DataFrame:
     """``pages`` with uf_host, uf_path, uf_rule and uf_verdict ('allow' or 'block'), every row once.
 
     A fitting rule decides. Otherwise a URL is blocked when its canonical form is in ``listed``:
     the blocked Bloom filter lets absent URLs pass without a shuffle, and only possible hits go
-    to the exact join, which removes false positives. Null urls and urls without '://' have empty
-    host and path and are allowed. Repeated rows and repeated list entries change nothing; an
-    empty list blocks nothing. Columns named uf_* and bf_* are reserved.
+    to the exact hash join, which removes false positives. Where the list's canonical URLs weigh at most
+    ``small_list`` bytes (measured) that join needs no shuffle either and the pages are read once. Null urls and urls
+    without '://' have empty host and path and are allowed. Repeated rows and repeated list entries change
+    nothing; an empty list blocks nothing. Columns of ``pages`` named like the result are replaced.
     """
     own = listed.select(canonical_of(F.col(listed_url), host_of(F.col(listed_url)), path_of(F.col(listed_url))).alias("uf_key"))
     own = materialise(own.filter(F.col("uf_key").isNotNull()).distinct(), "listed")
-    blocks = blocks_for(own.count())
-    bloom = bloom_table(own, "uf_key", blocks)
-    if bytes_of(blocks) <= BROADCAST_BYTES:  # beyond it, blocks are joined by a shuffle
-        bloom = F.broadcast(bloom)
-
-    base = pages.withColumns({"uf_host": host_of(F.col(url)), "uf_path": path_of(F.col(url))})
+    size, entries = own.agg(F.sum(F.octet_length("uf_key") + 32), F.count(F.lit(1))).first()
+    blocks = blocks_for(entries)
+    bloom = F.broadcast(bloom_table(own, "uf_key", blocks))  # of bounded size
+    found = own.withColumn("uf_listed", F.lit(True))
+
+    made = {"uf_host", "uf_path", "uf_rule", "uf_verdict"}
+    keep = pages.select(*[f"`{c}`" for c in pages.columns if c.lower() not in made])
+    base = pages.select(as_row(keep).alias("row"), F.col(url).alias("uf_url"), host_of(F.col(url)).alias("uf_host"), path_of(F.col(url)).alias("uf_path"))
     rule, action = rule_of(F.col("uf_host"), F.col("uf_path"), rules)
-    base = base.withColumns({"uf_rule": rule, "uf_action": action, "uf_key": canonical_of(F.col(url), F.col("uf_host"), F.col("uf_path"))})
-    base = base.withColumn("bf_block", block_of("uf_key", blocks))
-    probed = base.join(bloom, "bf_block", "left").withColumn("uf_maybe", F.coalesce(F.col("uf_action").isNull() & F.col("uf_key").isNotNull() & holds("uf_key"), F.lit(False)))
-    keep = [*pages.columns, "uf_host", "uf_path", "uf_rule"]
-    passed = probed.filter(~F.col("uf_maybe")).select(*keep, F.coalesce("uf_action", F.lit("allow")).alias("uf_verdict"))
-    exact = probed.filter("uf_maybe").join(own.withColumn("uf_listed", F.lit(True)), "uf_key", "left")
-    checked = exact.select(*keep, F.when(F.col("uf_listed"), F.lit("block")).otherwise(F.lit("allow")).alias("uf_verdict"))
-    return passed.unionByName(checked)
+    base = base.withColumns({"uf_rule": rule, "uf_action": action})
+    # only urls that no rule decides are probed
+    base = base.withColumn("uf_key", F.when(F.col("uf_action").isNull(), canonical_of(F.col("uf_url"), F.col("uf_host"), F.col("uf_path"))))
+    probed = base.withColumn("bf_block", block_of("uf_key", blocks)).join(bloom, "bf_block", "left")
+    probed = probed.withColumn("uf_key", F.when(holds("uf_key"), F.col("uf_key"))).drop("bf_block", *[f"bf_w{j}" for j in range(WORDS)])
+    if (size or 0) <= small_list:
+        out = probed.join(F.broadcast(found), "uf_key", "left")
+    else:
+        hits = probed.filter(F.col("uf_key").isNotNull()).join(found.hint("shuffle_hash"), "uf_key", "left")
+        out = probed.filter(F.col("uf_key").isNull()).withColumn("uf_listed", F.lit(None).cast("boolean")).unionByName(hits)
+    verdict = F.coalesce("uf_action", F.when(F.col("uf_listed"), F.lit("block")).otherwise(F.lit("allow")))
+    return out.select("row.*", "uf_host", "uf_path", "uf_rule", verdict.alias("uf_verdict"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
