@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import possible
+from .joins import many_to_one
 from .scratch import fresh_path, materialise
 
 #: Fixed values of the format: magic of the dictionary's skippable frame, and of a Zstandard frame.
@@ -42,7 +45,7 @@ def _filesystem(uri: str):
     """A file system and path for any URI that pyarrow knows."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes | None, digest: str, length: int, refers_to: int | None) -> bytes:
@@ -59,7 +62,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes | None, di
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~-._')}")
+        head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=~-._')}")
     if payload is None:
         head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(_URN, str(refers_to))}>"]
         if refers_to is not None:
@@ -221,8 +224,12 @@ def write_archives(pages: DataFrame, directory: str, page_id: str = "page_id", u
     same = keys.groupBy("wa_sha1").agg(F.max("row").alias("wa_keeper"), F.count(F.lit(1)).alias("wa_n")).filter("wa_n > 1")
     # of rows that equal the keeper in every key, only one may hold the payload
     twins = keys.groupBy("wa_sha1", "row").agg(F.count(F.lit(1)).alias("wa_twins")).filter("wa_twins > 1").select("wa_sha1", F.col("row").alias("wa_keeper"), "wa_twins")
-    same = materialise(same.join(twins, ["wa_sha1", "wa_keeper"], "left"), "digests")
-    joined = rows.join(same, "wa_sha1", "left")
+    same = materialise(same.join(twins, ["wa_sha1", "wa_keeper"], "left").withColumn("wa_key", F.xxhash64("wa_sha1")), "digests")
+    # pages with a payload of their own stay where they are; so do hot payloads' copies. The others meet their keeper by a shuffle
+    marked = possible(rows.withColumn("wa_key", F.xxhash64("wa_sha1")), "wa_key", same.select("wa_key")).drop("wa_key")
+    near = many_to_one(marked.filter("bf_maybe").drop("bf_maybe"), same.select("wa_sha1", "wa_keeper", "wa_twins", F.col("wa_n").alias("jn_rows")), ["wa_sha1"], "left")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in near.schema.fields if f.name in ("wa_keeper", "wa_twins")}
+    joined = marked.filter("not bf_maybe").drop("bf_maybe").withColumns(none).unionByName(near)
     own = (F.coalesce("wa_id", F.lit(0)) == F.col("wa_keeper.id")) & (F.col("wa_id").isNotNull() == F.col("wa_keeper.k")) & (F.coalesce("wa_url", F.lit("")) == F.col("wa_keeper.url"))
     single = joined.withColumns({"wa_first": F.col("wa_keeper").isNull() | own, "wa_refers": F.when(F.col("wa_keeper").isNotNull() & ~own & F.col("wa_keeper.k"), F.col("wa_keeper.id"))})
     columns = ["wa_id", "wa_url", "wa_html", "wa_sha1", "wa_bytes", "wa_refers", "wa_first"]
@@ -285,7 +292,3 @@ SELECT page_id, payload_bytes, {_HEX} AS payload_digest,
        CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
 FROM w
 """
-
-
-def report(p, spark, sf_dir):
-    print(p.record_type.value_counts())
