@@ -1,10 +1,10 @@
-"""Licence scan: sparse TF-IDF cosine of notices to templates, inherited down directories.
+"""Licence scan: sparse TF-IDF cosine of headers and licence files to templates, inherited down directories.
 
-Every line of a file, and every run of up to three lines, is a candidate notice; so headers, footers
-and licence files are all covered. Terms are words and word pairs of the templates; their document
-frequencies are counted over all files. Lines are scored around the words without which no text
-reaches the threshold, however many files hold them. A file without a licence of its own takes that of the
-nearest directory above it that has a licence file.
+Every line of a file, every run of up to three lines, every paragraph and the whole file is a candidate, so headers,
+footers and licence files are all covered. Terms are words and word pairs; document frequencies of the
+templates' terms are counted over all files, and every other term of a candidate weighs as one that all files hold. Lines are
+scored around the words without which no text reaches the threshold, however many files hold them. A
+file without a licence of its own takes that of the nearest directory above it that has a licence file.
 """
 
 from __future__ import annotations
@@ -18,16 +18,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import as_row, many_to_one
 from .scratch import materialise
-from .words import hash_words, slices, string_buffers
-
+from .words import hash_words, shingle_hashes, slices, string_buffers
+
+#: The bodies of two licences as files and headers carry them.
+MIT_TEXT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
+    "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+    "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
+    "or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+)
+APACHE_HEADER = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+    "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+    "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+)
 #: Short notices by which licences are stated, by public licence identifier.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004"),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004", APACHE_HEADER),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", MIT_TEXT),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "GNU General Public License Version 3, 29 June 2007"),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "GNU General Public License Version 2, June 1991"),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License."),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Licensed under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International"),
@@ -37,6 +58,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 THRESHOLD = 0.6
 LINES = 3
+#: Longest paragraph or file that is a candidate as a whole, in characters; lines and runs of lines have no bound.
+MOST_CHARACTERS = 20_000
+#: Weight of a term that no template has: that of one which every file holds.
+OTHER_IDF = 1.0
+#: Longer candidates are counted by hashes, in bounded memory.
+_LONG = 20_000
 LICENCE_NAMES = ("LICENSE", "LICENCE", "COPYING", "NOTICE")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOUND = pa.struct([("licence", pa.string()), ("score", pa.float64())])
@@ -61,23 +88,41 @@ class Templates:
             norm = math.sqrt(sum(x * x for x in v.values()))
             self.names.append(name)
             self.vectors.append({t: x / norm for t, x in v.items()})
-        self.where: dict[str, list[int]] = {}
+        terms = sorted(self.idf)
+        self.column = {t: i for i, t in enumerate(terms)}
+        self.weight = np.array([self.idf[t] for t in terms])
+        self.matrix = np.zeros((len(self.vectors), len(terms)))
         for i, v in enumerate(self.vectors):
-            for t in v:
-                self.where.setdefault(t, []).append(i)
+            for t, x in v.items():
+                self.matrix[i, self.column[t]] = x
+        hashes = np.array([_term_hash(t) for t in terms], np.uint64)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+    def _cosines(self, columns: np.ndarray, counts: np.ndarray, others: float) -> tuple[str | None, float]:
+        if not len(columns):
+            return None, 0.0
+        x = counts * self.weight[columns]
+        cosines = np.round(self.matrix[:, columns] @ x / math.sqrt(float(x @ x) + OTHER_IDF**2 * others), 9)
+        i = min(np.flatnonzero(cosines == cosines.max()).tolist(), key=lambda k: (self.names[k], k))
+        return (self.names[i], float(cosines[i])) if cosines[i] > 0 else (None, 0.0)
 
     def best(self, text: str) -> tuple[str | None, float]:
-        """The most similar template's licence and the cosine; template terms only, ties to the first name."""
-        v = {t: n * self.idf[t] for t, n in terms_of(text).items() if t in self.idf}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        dots: dict[int, float] = {}
-        for t, x in v.items():
-            for i in self.where[t]:
-                dots[i] = dots.get(i, 0.0) + x * self.vectors[i][t]
-        if not dots:
-            return None, 0.0
-        i = min(dots, key=lambda k: (-round(dots[k] / norm, 9), self.names[k], k))
-        return self.names[i], round(dots[i] / norm, 9)
+        """The most similar template's licence and the cosine, which all terms of the text take part in; ties to the first name."""
+        if len(text) > _LONG:
+            return self.best_long(text)
+        counts = terms_of(text)
+        known = [(self.column[t], n) for t, n in counts.items() if t in self.column]
+        others = sum(n * n for t, n in counts.items() if t not in self.column)
+        return self._cosines(np.array([k for k, _ in known], np.int64), np.array([n for _, n in known], np.float64), others)
+
+    def best_long(self, text: str) -> tuple[str | None, float]:
+        """``best`` over hashes of the terms."""
+        words = _hash_of([text])
+        terms, counts = np.unique(np.concatenate((words, shingle_hashes(words, 2) if len(words) > 1 else words[:0])), return_counts=True)
+        k = np.minimum(np.searchsorted(self.hashes, terms), len(self.hashes) - 1)
+        known = self.hashes[k] == terms
+        return self._cosines(self.order[k[known]], counts[known].astype(np.float64), float((counts[~known].astype(np.float64) ** 2).sum()))
 
     def marks(self, threshold: float) -> set[str]:
         """Words of which every text that reaches ``threshold`` holds one.
@@ -93,20 +138,28 @@ class Templates:
         return out
 
     def scan(self, text: str, lines: list[int]) -> tuple[str | None, float]:
-        """Best of the runs of one to LINES lines around each of the numbered lines."""
+        """Best of the candidates that hold one of the numbered lines: runs of one to LINES lines, paragraphs, the file."""
         starts = [0, *[m.end() for m in re.finditer("\n", text)]]
-        found: tuple[str | None, float] = (None, 0.0)
-        seen = set()
+        most = len(starts) - 1
+        at = [*starts, len(text) + 1]
+        blank = [not text[at[i] : at[i + 1] - 1].strip() for i in range(most + 1)] if len(text) <= MOST_CHARACTERS else None
+        seen = {(0, most)} if len(text) <= MOST_CHARACTERS else set()
         for line in lines:
             for first in range(max(0, line - LINES + 1), line + 1):
-                for last in range(line, min(first + LINES, len(starts))):
-                    if (first, last) in seen:
-                        continue
-                    seen.add((first, last))
-                    end = starts[last + 1] if last + 1 < len(starts) else len(text)
-                    name, score = self.best(text[starts[first] : end])
-                    if name is not None and (-score, name) < (-found[1], found[0] or "~"):
-                        found = (name, score)
+                seen.update((first, last) for last in range(line, min(first + LINES, most + 1)))
+            first = last = line
+            limit = MOST_CHARACTERS if blank is None else len(text)
+            while first and at[line] - at[first] <= limit and not (blank[first - 1] if blank else not text[at[first - 1] : at[first] - 1].strip()):
+                first -= 1
+            while last < most and at[last + 1] - at[line] <= limit and not (blank[last + 1] if blank else not text[at[last + 1] : at[last + 2] - 1].strip()):
+                last += 1
+            if at[last + 1] - 1 - at[first] <= MOST_CHARACTERS:
+                seen.add((first, last))
+        found: tuple[str | None, float] = (None, 0.0)
+        for first, last in seen:
+            name, score = self.best(text[at[first] : at[last + 1] - 1])
+            if name is not None and (-score, name) < (-found[1], found[0] or "~"):
+                found = (name, score)
         return found
 
 
@@ -115,8 +168,14 @@ def _hash_of(words: list[str]) -> np.ndarray:
     return hash_words(raw, offsets)[0]
 
 
+def _term_hash(term: str) -> int:
+    """Of a word or a pair, as in ``best_long``."""
+    words = _hash_of([term])
+    return int(words[0] if len(words) == 1 else shingle_hashes(words, 2)[0])
+
+
 def _presence_udf(vocabulary: list[str]):
-    """Which template words and pairs a file holds."""
+    """Which template words and pairs a file holds, and -1 for every file."""
     singles = [t for t in vocabulary if " " not in t]
     pairs = [t.split(" ") for t in vocabulary if " " in t]
     number = {t: i for i, t in enumerate(vocabulary)}
@@ -142,7 +201,7 @@ def _presence_udf(vocabulary: list[str]):
                 got = {number[singles[i]] for i in np.unique(w).tolist()}
                 near = np.flatnonzero(np.diff(p) == 1)
                 got |= {pair_id[x] for x in set(zip(w[near].tolist(), w[near + 1].tolist(), strict=True)) if x in pair_id}
-                out.append(sorted(got))
+                out.append([-1, *sorted(got)])
         return pa.array(out, pa.list_(pa.int32()))
 
     return present
@@ -191,44 +250,39 @@ def licence_scan(files: DataFrame, text: str = "text", path: str = "path", templ
     then the first name, counts. Other files inherit from the nearest directory at or above their own.
     Null or empty texts have no licence of their own; a null path is a file at the top that
     inherits nothing and gives nothing. Repeated rows are judged alike. Columns of these names are
-    replaced; ls_* is reserved.
+    replaced.
     """
-    files = files.drop("licence", "licence_score", "licence_from")
+    made = {"licence", "licence_score", "licence_from", text.lower()}
+    keep = files.select(*[f"`{c}`" for c in files.columns if c.lower() not in made])
     vocabulary = sorted({t for texts in templates.values() for x in texts for t in terms_of(x)})
-    held = files.select(F.explode(_presence_udf(vocabulary)(F.col(text))).alias("k")).groupBy("k").count().collect()  # at most one row per template term
-    model = Templates(templates, {vocabulary[r.k]: r["count"] for r in held}, files.count())
-
-    out = files.withColumn("ls_own", _scan_udf(model, threshold)(F.col(text))).withColumn("ls_dir", directory_of(F.col(path)))
-    out = materialise(out.drop(text), "licences")
-    name = F.upper(F.regexp_extract(path, r"([^/.]*)[^/]*$", 1))
-    giving = out.filter(name.isin(*LICENCE_NAMES) & F.col("ls_own.licence").isNotNull())
-    best = giving.groupBy("ls_dir").agg(F.min(F.struct((-F.col("ls_own.score")).alias("s"), F.col("ls_own.licence").alias("l"))).alias("b"))
-    best = materialise(best.select(F.col("ls_dir").alias("ls_above"), F.col("b.l").alias("ls_licence"), (-F.col("b.s")).alias("ls_score")), "directories")
-
-    # every directory once, with all directories at or above it: depth bounds the rows per directory
-    dirs = out.filter(F.col(path).isNotNull() & F.col("ls_own").isNull()).select("ls_dir").distinct()
-    parts = F.split("ls_dir", "/")
+    held = {r.k: r["count"] for r in files.select(F.explode(_presence_udf(vocabulary)(F.col(text))).alias("k")).groupBy("k").count().collect()}  # at most one row per template term
+    model = Templates(templates, {vocabulary[k]: n for k, n in held.items() if k >= 0}, held.get(-1, 0))
+
+    out = files.select(as_row(keep).alias("row"), F.col(path).alias("path"), directory_of(F.col(path)).alias("dir"), _scan_udf(model, threshold)(F.col(text)).alias("own"))
+    out = materialise(out, "licences")
+    name = F.upper(F.regexp_extract("path", r"([^/.]*)[^/]*$", 1))
+    giving = out.filter(name.isin(*LICENCE_NAMES) & F.col("own.licence").isNotNull())
+    best = giving.groupBy("dir").agg(F.min(F.struct((-F.col("own.score")).alias("s"), F.col("own.licence").alias("l"))).alias("b"))
+    best = materialise(best.select(F.col("dir").alias("above"), F.col("b.l").alias("licence"), (-F.col("b.s")).alias("score")), "directories")
+
+    # every directory of a bare file once, with all directories at or above it: depth bounds the rows per directory
+    bare = F.col("path").isNotNull() & F.col("own").isNull()
+    dirs = materialise(out.filter(bare).groupBy("dir").agg(F.count(F.lit(1)).alias("jn_rows")), "bare")
+    parts = F.split("dir", "/")
     ups = F.array_union(F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")), F.array(F.lit("")))
-    chains = dirs.select("ls_dir", F.posexplode(ups).alias("ls_up", "ls_above"))
-    nearest = chains.join(best, "ls_above").groupBy("ls_dir").agg(F.min(F.struct("ls_up", "ls_above", "ls_licence", "ls_score")).alias("ls_near"))
-
-    own, near, bare = F.col("ls_own"), F.col("ls_near"), own_is_null()
-    joined = out.join(nearest, "ls_dir", "left")
-    near = F.when(F.col(path).isNotNull(), near)
-    return joined.select(
-        *[c for c in files.columns if c != text],
-        F.when(bare, near["ls_licence"]).otherwise(own["licence"]).alias("licence"),
-        F.when(bare, near["ls_score"]).otherwise(own["score"]).alias("licence_score"),
-        F.when(bare, near["ls_above"]).otherwise(F.lit("own")).alias("licence_from"),
-    )
-
-
-def own_is_null() -> Column:
-    return F.col("ls_own").isNull()
+    chains = dirs.select("dir", F.posexplode(ups).alias("up", "above"))
+    wanted = materialise(best.join(chains.groupBy("above").agg(F.count(F.lit(1)).alias("jn_rows")), "above"), "wanted")
+    nearest = many_to_one(chains, wanted, ["above"]).groupBy("dir").agg(F.min(F.struct("up", "above", "licence", "score")).alias("near"))
+    nearest = materialise(nearest.join(dirs, "dir"), "nearest")
+    found = many_to_one(out.filter(bare), nearest, ["dir"], "left")
+    columns = [F.col(f"row.`{c}`") for c in keep.columns]
+    inherited = found.select(*columns, F.col("near.licence").alias("licence"), F.col("near.score").alias("licence_score"), F.col("near.above").alias("licence_from"))
+    rest = out.filter(~bare).select(*columns, F.col("own.licence").alias("licence"), F.col("own.score").alias("licence_score"), F.when(F.col("own").isNotNull(), F.lit("own")).alias("licence_from"))
+    return rest.unionByName(inherited)
 
 
 def paths_of(docs: DataFrame) -> DataFrame:
-    """``docs`` laid out as files: 64 to a project below source and language, 8 to a folder; the first of each folder is its LICENSE."""
+    """``docs`` laid out as files by id, since they have no paths: 64 to a project, 8 to a folder; the first of each folder is its LICENSE."""
     n = F.coalesce("doc_id", F.lit(0))
     project, folder = F.floor(n / 64).cast("string"), F.floor((n % 64) / 8).cast("string")
     file = F.when(n % 64 == 0, F.lit("LICENSE")).otherwise(F.concat(n.cast("string"), F.lit(".txt")))
@@ -241,12 +295,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = paths_of(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     out = licence_scan(docs)
     return out.select("doc_id", "path", "licence", F.round("licence_score", 6).alias("score"), "licence_from")
-
-
-def report(p, spark, sf_dir):
-    t = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas()
-    q = p.merge(t, on="doc_id")
-    own = q[q.licence_from == "own"]
-    print(q.licence_from.isna().sum(), len(own), own.groupby("licence").score.describe()[["count", "min", "mean"]])
-    line = t[t.text.str.contains("icensed under|MIT License|rights reserved")]
-    print("lines", len(line), "caught", line.doc_id.isin(own.doc_id).sum(), "others", (~own.doc_id.isin(line.doc_id)).sum())
