@@ -8,12 +8,13 @@ its windows' probabilities are averaged by the bytes they cover.
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,23 +31,28 @@ MOST_DOCUMENTS, WINDOWS_EACH = 4000, 4
 #: A language's share is no smaller than this, however many languages there are.
 LEAST_EACH = 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SPAN = max(WIDTHS)
 _STEP = LENGTH - _SPAN + 1
 _BATCH = 64
+#: Windows of long texts that are held at a time.
+MOST_WINDOWS = 4096
 
 
-def windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte windows (zero-padded) over all texts, the text of each, and the bytes each covers first."""
+def windows(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Byte windows (zero-padded) over all texts, the text of each, and the bytes each covers first; MOST_WINDOWS at a time."""
     n = np.diff(offsets)
     count = np.maximum(1, -(-np.maximum(n - (_SPAN - 1), 0) // _STEP))
-    owner = np.repeat(np.arange(len(n)), count)
-    start = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * _STEP
-    size = np.minimum(LENGTH, n[owner] - start)
-    at = offsets[owner] + start
-    grid = at[:, None] + np.arange(LENGTH)
-    block = np.where(np.arange(LENGTH) < size[:, None], raw[np.minimum(grid, max(len(raw) - 1, 0))] if len(raw) else 0, 0).astype(np.uint8)
-    return block, owner, np.minimum(size, _STEP)
+    first = np.cumsum(count) - count
+    for i in range(0, int(count.sum()), MOST_WINDOWS):
+        number = np.arange(i, min(i + MOST_WINDOWS, int(count.sum())))
+        owner = np.searchsorted(first, number, side="right") - 1
+        start = (number - first[owner]) * _STEP
+        size = np.minimum(LENGTH, n[owner] - start)
+        grid = (offsets[owner] + start)[:, None] + np.arange(LENGTH)
+        held = np.arange(LENGTH) < size[:, None]
+        block = np.where(held, raw[np.minimum(grid, len(raw) - 1)] if len(raw) else 0, 0).astype(np.uint8)
+        yield block, owner, np.minimum(size, _STEP)
 
 
 def _mask() -> np.ndarray:
@@ -183,9 +189,10 @@ def language_column(network: Network | None, names: list[str], text: Column) ->
                 best += [UNKNOWN] * len(letters)
                 score += [0.0] * len(letters)
                 continue
-            block, owner, covers = windows(*string_buffers(part))
-            p = network.probabilities(block) * covers[:, None]
-            total = np.stack([np.bincount(owner, p[:, j], len(part)) for j in range(len(names))], 1)
+            total = np.zeros((len(part), len(names)))
+            for block, owner, covers in windows(*string_buffers(part)):
+                p = network.probabilities(block) * covers[:, None]
+                total += np.stack([np.bincount(owner, p[:, j], len(part)) for j in range(len(names))], 1)
             total /= np.maximum(total.sum(1, keepdims=True), 1e-12)
             top = total.argmax(1)
             best += [names[t] if ok else UNKNOWN for t, ok in zip(top, letters, strict=True)]
@@ -199,7 +206,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     """``docs`` with a struct column ``language``: lang and score.
 
     Learns from the rows' own language column where it is set. A null text, or one without a
-    letter, is 'und' with score 0, as is every text if nothing can be learned. Ties between languages
+    letter (category L: no numerals or other signs), is 'und' with score 0, as is every text if nothing can be learned. Ties between languages
     go to the first by name. A column ``language`` is replaced.
     """
     network, names = train(docs, text, lang)
@@ -210,10 +217,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = identify(docs)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
-
-
-def report(p, spark, sf_dir):
-    t = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text").toPandas()
-    q = p.merge(t, on="doc_id")
-    print(q.groupby("held_out").apply(lambda g: (g.lang == g.lang_pred).mean()))
-    print(q[q.lang != q.lang_pred][["lang", "lang_pred", "score", "text"]].head(5).to_string(max_colwidth=100))
