@@ -19,7 +19,7 @@ from .words import LUT, hash_words, release_memory, shingle_hashes, slices, stri
 WINDOW = 13
 SHINGLE = 4
 #: Bytes of item text in a block. A larger benchmark is joined block after block, each exactly.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,hit_starts:array<bigint>,hit_ends:array<bigint>>"
 _RESULT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hit_starts", pa.list_(pa.int64())), ("hit_ends", pa.list_(pa.int64()))])
 _FILTER_BITS = 20
@@ -43,37 +43,77 @@ class Member:
         return at[ok], k[ok]
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0] … first[0] + count[0] - 1, then the same for the next, as one array."""
+    total = int(count.sum())
+    return np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(total)
+
+
 class Windows:
-    """The distinct windows of a block of items, with word hashes, lengths and bytes."""
+    """The distinct windows of a block of items, as word ranges of the items' texts."""
 
     def __init__(self, texts: list[str], ids: list[str | None], window: int):
         raw, offsets = string_buffers(pa.array(texts, pa.string()))
-        words, starts, ends, at = hash_words(raw, offsets)
-        low, seen = LUT[raw], {}
-        self.words: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.bytes: list[bytes] = []
-        self.items: list[list[str]] = []
-        for i, item in enumerate(ids):
-            a, b = int(at[i]), int(at[i + 1])
-            n = min(window, b - a)
-            for s in range(a, b - n + 1 if n else a):
-                spelt = b"\0".join(low[starts[j] : ends[j]].tobytes() for j in range(s, s + n))
-                w = seen.setdefault(spelt, len(self.words))
-                if w == len(self.words):
-                    self.words.append(words[s : s + n])
-                    self.sizes.append(ends[s : s + n] - starts[s : s + n])
-                    self.bytes.append(spelt.replace(b"\0", b""))
-                    self.items.append([])
-                if item is not None and item not in self.items[w]:
-                    self.items[w].append(item)
-        self.shingles = [shingle_hashes(w, SHINGLE) for w in self.words]
-
-    def vocabulary(self) -> np.ndarray:
-        return np.unique(np.concatenate(self.shingles)) if self.shingles else np.zeros(0, np.uint64)
+        self.words, self.starts, self.ends, at = hash_words(raw, offsets)
+        self.low = LUT[raw]
+        n_words = np.diff(at)
+        size = np.minimum(window, n_words)
+        count = np.where(n_words > 0, n_words - size + 1, 0)
+        item = np.repeat(np.arange(len(texts)), count)
+        first, size = _ranges(at[:-1], count), size[item]
+        # equal windows become one: by hash, then word by word and byte by byte against the first of that hash
+        name = np.zeros(len(first), np.uint64)
+        for n in np.unique(size).tolist():
+            w = np.flatnonzero(size == n)
+            name[w] = shingle_hashes(self.words, n)[first[w]]
+        _, one, same = np.unique(name, return_index=True, return_inverse=True)
+        one = one[same]
+        alone = ~self._equal(first, size, one)
+        one[alone] = np.flatnonzero(alone)
+        kept, number = np.unique(one, return_inverse=True)
+        self.first, self.size = first[kept], size[kept]
+        named = np.array([i is not None for i in ids], bool)[item] if len(item) else np.zeros(0, bool)
+        self.ids = sorted({i for i in ids if i is not None})
+        rank = {x: k for k, x in enumerate(self.ids)}
+        who = np.array([rank.get(i, -1) for i in ids], np.int64)[item] if len(item) else np.zeros(0, np.int64)
+        pairs = np.unique(number[named] * max(len(self.ids), 1) + who[named])
+        self.item_at = np.searchsorted(pairs // max(len(self.ids), 1), np.arange(len(kept) + 1))
+        self.items = pairs % max(len(self.ids), 1)
+
+    def _equal(self, first: np.ndarray, size: np.ndarray, one: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+        out = np.ones(len(first), bool)
+        todo = np.flatnonzero(one != np.arange(len(first)))
+        length = self.ends - self.starts
+        for i in range(0, len(todo), step):
+            t = todo[i : i + step]
+            ok = size[t] == size[one[t]]
+            n = np.where(ok, size[t], 1)
+            here, there = _ranges(first[t], n), _ranges(first[one[t]], n)
+            ok &= np.logical_and.reduceat((self.words[here] == self.words[there]) & (length[here] == length[there]), np.cumsum(n) - n)
+            u = np.flatnonzero(ok)
+            if len(u):
+                here, there = _ranges(first[t[u]], size[t[u]]), _ranges(first[one[t[u]]], size[t[u]])
+                same = self.low[_ranges(self.starts[here], length[here])] == self.low[_ranges(self.starts[there], length[there])]
+                ok[u] = np.logical_and.reduceat(same, np.concatenate(([0], np.cumsum(np.add.reduceat(length[here], np.cumsum(size[t[u]]) - size[t[u]]))[:-1])))
+            out[t] = ok
+        return out
 
     def widths(self) -> list[int]:
-        return sorted({min(SHINGLE, len(w)) for w in self.words})
+        return np.unique(np.minimum(SHINGLE, self.size)).tolist()
+
+    def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Windows of this shingle width, the hash of the shingle at every word, and the most shingles a window has."""
+        which = np.flatnonzero(np.minimum(SHINGLE, self.size) == width)
+        most = int(self.size[which].max()) - width + 1 if len(which) else 0
+        return which, shingle_hashes(self.words, width) if len(self.words) >= width else np.zeros(0, np.uint64), most
+
+    def vocabulary(self) -> np.ndarray:
+        out = [np.zeros(0, np.uint64)]
+        for width in self.widths():
+            which, hashes, most = self.shingles(width)
+            for o in range(most):
+                out.append(np.unique(hashes[self.first[which[self.size[which] - width >= o]] + o]))
+        return np.unique(np.concatenate(out))
 
 
 def _scan(column: pa.Array):
@@ -112,36 +152,28 @@ class Prefixes:
     """Inverted index from each window's rarest shingle to (window, offset)."""
 
     def __init__(self, windows: Windows, vocabulary: np.ndarray, frequency: np.ndarray):
-        keys, win, off = [], [], []
-        for w, shingles in enumerate(windows.shingles):
-            f = frequency[np.searchsorted(vocabulary, shingles)]
-            o = int(np.lexsort((shingles, f))[0])
-            keys.append(shingles[o])
-            win.append(w)
-            off.append(o)
-        self.table = Member(np.array(keys, np.uint64))
-        slot = np.searchsorted(self.table.keys, np.array(keys, np.uint64))
+        self.w, self.widths = windows, windows.widths()
+        n = len(windows.first)
+        key, off = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        for width in self.widths:
+            which, hashes, most = windows.shingles(width)
+            best = np.full(len(which), np.iinfo(np.int64).max)
+            for o in range(most):
+                fits = np.flatnonzero(windows.size[which] - width >= o)
+                h = hashes[windows.first[which[fits]] + o]
+                f = frequency[np.searchsorted(vocabulary, h)]
+                less = (f < best[fits]) | ((f == best[fits]) & (h < key[which[fits]]))
+                best[fits[less]], key[which[fits[less]]], off[which[fits[less]]] = f[less], h[less], o
+        self.table = Member(key)
+        slot = np.searchsorted(self.table.keys, key)
         order = np.argsort(slot, kind="stable")
-        self.win, self.off = np.array(win, np.int64)[order], np.array(off, np.int64)[order]
+        self.win, self.off = order, off[order]
         self.first = np.searchsorted(slot[order], np.arange(len(self.table.keys) + 1))
-        self.size = np.array([len(w) for w in windows.words], np.int64)
-        self.word_at = np.concatenate(([0], np.cumsum(self.size)))
-        self.words = np.concatenate(windows.words) if windows.words else np.zeros(0, np.uint64)
-        self.sizes = np.concatenate(windows.sizes) if windows.sizes else np.zeros(0, np.int64)
-        self.byte_at = np.concatenate(([0], np.cumsum([len(b) for b in windows.bytes]))).astype(np.int64)
-        self.bytes = np.frombuffer(b"".join(windows.bytes), np.uint8)
-        self.items, self.widths = windows.items, windows.widths()
-
-
-def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first[0] … first[0] + count[0] - 1, then the same for the next, as one array."""
-    total = int(count.sum())
-    return np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(total)
 
 
 def _place(p: Prefixes, raw, words, starts, ends, at) -> tuple[np.ndarray, np.ndarray]:
     """Verified placements: first word position and window."""
-    where, wins = [], []
+    where, wins, w = [], [], p.w
     for width in p.widths:
         pos, k = _positions(words, at, width, p.table)
         count = p.first[k + 1] - p.first[k]
@@ -149,24 +181,25 @@ def _place(p: Prefixes, raw, words, starts, ends, at) -> tuple[np.ndarray, np.nd
         win, begin = p.win[entry], np.repeat(pos, count) - p.off[entry]
         at_pos = np.repeat(pos, count)
         doc = np.searchsorted(at, at_pos, side="right") - 1
-        fits = (np.minimum(SHINGLE, p.size[win]) == width) & (begin >= at[doc]) & (begin + p.size[win] <= at[doc + 1])
+        fits = (np.minimum(SHINGLE, w.size[win]) == width) & (begin >= at[doc]) & (begin + w.size[win] <= at[doc + 1])
         where.append(begin[fits])
         wins.append(win[fits])
     begin, win = np.concatenate(where) if where else np.zeros(0, np.int64), np.concatenate(wins) if wins else np.zeros(0, np.int64)
-    if len(begin):
-        size = p.size[win]
-        here, there = _ranges(begin, size), _ranges(p.word_at[win], size)
-        same = (words[here] == p.words[there]) & (ends[here] - starts[here] == p.sizes[there])
-        ok = np.logical_and.reduceat(same, np.concatenate(([0], np.cumsum(size)[:-1])))
-        begin, win = begin[ok], win[ok]
-    if len(begin):
-        here = _ranges(begin, p.size[win])
-        doc_bytes = LUT[raw[_ranges(starts[here], ends[here] - starts[here])]]
-        length = p.byte_at[win + 1] - p.byte_at[win]
-        same = doc_bytes == p.bytes[_ranges(p.byte_at[win], length)]
-        ok = np.logical_and.reduceat(same, np.concatenate(([0], np.cumsum(length)[:-1])))
-        begin, win = begin[ok], win[ok]
-    return begin, win
+    good = np.zeros(len(begin), bool)
+    for i in range(0, len(begin), 1 << 15):  # candidates of many documents in bounded memory
+        b, x = begin[i : i + (1 << 15)], win[i : i + (1 << 15)]
+        here, there = _ranges(b, w.size[x]), _ranges(w.first[x], w.size[x])
+        same = (words[here] == w.words[there]) & (ends[here] - starts[here] == w.ends[there] - w.starts[there])
+        ok = np.logical_and.reduceat(same, np.cumsum(w.size[x]) - w.size[x])
+        u = np.flatnonzero(ok)
+        if len(u):
+            here, there = _ranges(b[u], w.size[x[u]]), _ranges(w.first[x[u]], w.size[x[u]])
+            length = ends[here] - starts[here]
+            same = LUT[raw[_ranges(starts[here], length)]] == w.low[_ranges(w.starts[there], length)]
+            of_window = np.add.reduceat(length, np.cumsum(w.size[x[u]]) - w.size[x[u]])
+            ok[u] = np.logical_and.reduceat(same, np.cumsum(of_window) - of_window)
+        good[i : i + (1 << 15)] = ok
+    return begin[good], win[good]
 
 
 def _match_udf(p: Prefixes):
@@ -187,8 +220,8 @@ def _match_udf(p: Prefixes):
                 if a == b:
                     out.append(old or {"n_words": n, "n_hit": 0, "items": [], "hit_starts": [], "hit_ends": []})
                     continue
-                s, e = begin[a:b] - at[d], begin[a:b] - at[d] + p.size[win[a:b]]
-                items = {i for w in set(win[a:b].tolist()) for i in p.items[w]}
+                s, e = begin[a:b] - at[d], begin[a:b] - at[d] + p.w.size[win[a:b]]
+                items = {p.w.ids[i] for w in set(win[a:b].tolist()) for i in p.w.items[p.w.item_at[w] : p.w.item_at[w + 1]].tolist()}
                 if old:
                     s, e = np.concatenate((s, old["hit_starts"])).astype(np.int64), np.concatenate((e, old["hit_ends"])).astype(np.int64)
                     order = np.argsort(s, kind="stable")
