@@ -270,15 +270,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = toxicity(docs, labels)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
-
-
-def report(p, spark, sf_dir):
-    y = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").toPandas()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas()
-    words = "loser idiot pathetic scum worthless moron trash clown disgusting stupid".split()
-    docs["truth"] = docs.text.str.lower().apply(lambda t: any(f" {w}" in " " + t.replace("\n", " ") for w in words))
-    q = p.merge(docs[["doc_id", "truth", "text"]], on="doc_id")
-    print(q.groupby(["held_out", "truth", "predicted"]).size())
-    print(q[(q.truth) & (q.predicted == 0)].score.describe(), q[(~q.truth) & (q.predicted == 1)].text.str[:150].tolist()[:5])
-    q = q.merge(y, on="doc_id")
-    print(q[q.held_out].groupby(["toxic", "predicted"]).size())
