@@ -354,10 +354,12 @@ def test_language_odd_rows(odd, empty):
     assert langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).filter("language.lang <> 'und'").count() == 0
 
 
-def test_windows_cover_every_byte_once():
+def test_windows_cover_every_byte_once(monkeypatch):
     texts = ["", "a" * 10, "b" * 256, "c" * 257, "d" * 1000]
     raw, offsets = string_buffers(pa.array(texts))
-    block, owner, covers = langid.windows(raw, offsets)
+    monkeypatch.setattr(langid, "MOST_WINDOWS", 2)
+    parts = list(langid.windows(raw, offsets))
+    block, owner, covers = (np.concatenate(x) for x in zip(*parts, strict=True))
     total = np.bincount(owner, covers, len(texts))
     for t, n in zip(texts, total, strict=True):
         assert len(t) <= n + langid._SPAN - 1 and n <= max(len(t), langid._STEP)
@@ -440,10 +442,7 @@ def test_url_filter(spark):
     ]
     pages = spark.createDataFrame(rows, "page_id bigint, url string").withColumn("host", F.lit(1))
     listed = spark.createDataFrame([("ftp://b.net/bad?b=2&a=1",), (None,), ("http://a.com/de/1",)], "url string")
-    got = collections.defaultdict(set)
-    for r in urlfilter.url_filter(pages, listed).collect():
-        got[r.page_id].add((r.uf_rule, r.uf_verdict))
-    assert got == {
+    want = {
         1: {("example.org/en/1", "block")},
         2: {("org/", "allow")},
         3: {("com/de/", "block")},
@@ -456,6 +455,12 @@ def test_url_filter(spark):
         10: {(None, "allow")},
         11: {(None, "block")},
     }
+    for small in (urlfilter.SMALL_LIST, -1):  # both ways of the exact join
+        got = collections.defaultdict(set)
+        for r in urlfilter.url_filter(pages.withColumns({"UF_Rule": F.lit(1), "bf_block": F.lit(2)}), listed, small_list=small).collect():
+            got[r.page_id].add((r.uf_rule, r.uf_verdict))
+            assert (r.host, r.bf_block) == (1, 2)
+        assert got == want
     assert urlfilter.url_filter(pages, listed.limit(0)).filter("uf_rule is null and uf_verdict = 'block'").count() == 0
     assert urlfilter.url_filter(pages.limit(0), listed).count() == 0
 
@@ -469,9 +474,10 @@ def test_bloom_filter_has_no_false_negatives(spark):
     assert found.filter("id >= 2000").count() < 400  # one in a hundred
 
 
-def test_bloom_filter_gives_way_to_the_join(spark, monkeypatch):
-    monkeypatch.setattr(bloom, "BROADCAST_BYTES", 10)
-    assert bloom.possible_members(spark.range(50), "id", spark.range(5)).count() == 50
+def test_small_bloom_filter_still_filters(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "BROADCAST_BYTES", 72 * 8)  # an eighth of what the keys want
+    got = bloom.possible_members(spark.range(4000), "id", spark.range(400))
+    assert got.filter("id < 400").count() == 400 and got.count() < 4000
 
 
 # 9 quality
@@ -497,14 +503,14 @@ def test_quality_frequent_lines(spark):
     rows = [(i, f"{common}\n{prose(i, 60)}", "en", "a", 0) for i in range(40)]
     rows += [(100 + i, f"{common}\n{common}\n{common}\n{common}\n{common}\n{prose(i, 45)}", "en", "a", 0) for i in range(5)]
     rows += [(200, f"{common}\n{prose(7, 60)}", "en", "b", 0)]
-    out = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, DOCS), clean=True, max_line_share=0.5, max_repeat_percent=100).collect()}
+    out = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, DOCS), with_text="clean", max_line_share=0.5, max_repeat_percent=100).collect()}
     assert all(out[i].kept and common not in out[i].text and out[i].words_left == 60 for i in range(40))
     assert not any(out[100 + i].kept or out[100 + i].base_failed for i in range(5))
     assert common in out[200].text
 
 
 def test_quality_odd_rows(odd, empty):
-    assert quality.quality_rules(odd, clean=True).count() == odd.count()
+    assert quality.quality_rules(odd, with_text="clean").count() == odd.count()
     assert quality.quality_rules(empty).count() == 0
 
 
