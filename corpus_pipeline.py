@@ -1,4 +1,11 @@
-"""A corpus from raw documents: quality rules, toxicity, near duplicates, decontamination, packing."""
+"""A corpus from raw documents: quality rules, toxicity, near duplicates, decontamination, packing.
+
+Every stage takes and (but for the last) returns rows with the columns of ``documents``. A null or empty text has no
+words, so the quality stage rejects it; a null source is a host of its own. Null or repeated ids are rows
+like any other: the near-duplicate stage keeps one row of equal id and text, and of a group the least id (null last), then
+the least key of id and text. Without usable labels nothing is toxic; without benchmark items nothing is
+contaminated. Empty tables give empty tables. Other columns than doc_id, text, source and n_chars pass through untouched.
+"""
 
 from __future__ import annotations
 
@@ -11,14 +18,14 @@ from tessera.llm.decontaminate import contamination, verdict
 from tessera.llm.nearjoin import one_of_each
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_rules
-from tessera.llm.scratch import materialise
+from tessera.llm.scratch import discard, fresh_path, materialise
 from tessera.llm.toxicity import toxicity
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are too frequent on their host are cut; documents rejected by the rules go."""
-    judged = quality_rules(docs, clean=True).filter("kept")
-    return judged.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    judged = quality_rules(docs, with_text="clean").filter("kept").select(*docs.columns)
+    return judged.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else judged
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +65,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = fresh_path(spark, f"stage-{name}")
+        docs = materialise(stage(spark, docs, sf_dir), name, path)
+        if before:  # nothing reads the stage before any more
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
