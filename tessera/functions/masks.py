@@ -47,7 +47,12 @@ def results(lineitem: DataFrame, sequences: int = 2) -> DataFrame:
     return _pixels(c, label, x)
 
 
-#: The same masks in SQL, as common table expressions gt and res.
+def segmentation(lineitem: DataFrame, sequences: int = 2) -> DataFrame:
+    """pixels(seq, frame, y, x, label) of outlines: the ground truth's objects, drawn one pixel further right."""
+    return ground_truth(lineitem, sequences).withColumn("x", F.col("x") + 1)
+
+
+#: The same masks in SQL, as common table expressions gt, res and seg.
 SQL = """
 cells AS (
   SELECT DISTINCT lpad(CAST(1 + l_linenumber % 2 AS VARCHAR), 2, '0') AS seq, CAST(l_orderkey % 20 AS INTEGER) AS frame,
@@ -65,4 +70,6 @@ cells AS (
                 WHEN obj % 3 = 0 AND frame >= 10 THEN obj + 12 ELSE obj END AS label
     FROM cells WHERE NOT ((obj + frame) % 7 = 0) AND NOT (obj = 2 AND frame = 8 AND dx >= 2)) t
   GROUP BY seq, frame, y, x
+), seg AS (
+  SELECT seq, frame, y, x + 1 AS x, label FROM gt
 )"""

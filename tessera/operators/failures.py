@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written_once
+
 from . import raster
 
 KEY = ["seq", "frame"]
@@ -29,9 +31,19 @@ def matches(gt: DataFrame, res: DataFrame, limits: Limits = Limits()) -> DataFra
     return best.withColumn("matched", (F.col("res") > 0) & (F.col("coverage") >= limits.coverage))
 
 
-def common_frames(gt: DataFrame, res: DataFrame) -> DataFrame:
-    """Frames that both sides have [O-54, O-122]."""
-    return gt.select(*KEY).intersect(res.select(*KEY))
+def common_frames(gt: DataFrame, res: DataFrame, seg: DataFrame | None = None) -> DataFrame:
+    """Frames that truth and result both have; where markers and result share none in a sequence, those of ``seg`` [O-54, O-122]."""
+    r = res.select(*KEY).distinct()
+    both = gt.select(*KEY).distinct().join(r, KEY, "left_semi")
+    if seg is None:
+        return both
+    rest = seg.select(*KEY).distinct().join(r, KEY, "left_semi").join(both.select("seq").distinct(), "seq", "left_anti")
+    return both.unionByName(rest)
+
+
+def choose_truth(tra: DataFrame, seg: DataFrame) -> DataFrame:
+    """Pixels of the markers in every frame that has any, else of the segmentation [O-55]."""
+    return tra.unionByName(seg.join(tra.select(*KEY).distinct(), KEY, "left_anti").select(*tra.columns))
 
 
 def merges(matched: DataFrame) -> DataFrame:
@@ -68,14 +80,15 @@ def steps(objects: DataFrame) -> DataFrame:
 
 
 def median_step(step_table: DataFrame) -> DataFrame:
-    """Median of the positive steps of a sequence, 0 if none [O-89, Q26]."""
-    return step_table.groupBy("seq").agg(F.coalesce(F.median(F.when(F.col("step") > 0, F.col("step"))), F.lit(0.0)).alias("median"))
+    """Median of the positive steps of every result track, 0 if none [O-89, Q26]."""
+    return step_table.groupBy("seq", "label").agg(F.coalesce(F.median(F.when(F.col("step") > 0, F.col("step"))), F.lit(0.0)).alias("median"))
 
 
 def jumps(step_table: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Steps longer than both the fixed distance and a multiple of the median [O-106]."""
+    """Steps longer than both the fixed distance and a multiple of their track's median [O-106]."""
     limit = F.greatest(F.lit(limits.jump), F.col("median") * limits.jump_factor)
-    return step_table.join(median_step(step_table), "seq").filter(F.col("step") > limit).select(*KEY, "label", "step")
+    j = step_table.join(median_step(step_table), ["seq", "label"]).withColumn("threshold", limit)
+    return j.filter(F.col("step") > F.col("threshold")).select(*KEY, "label", "step", "median", "threshold")
 
 
 def divisions(gt_tracks: DataFrame, matched: DataFrame, res_tracks: DataFrame) -> DataFrame:
@@ -93,37 +106,96 @@ def divisions(gt_tracks: DataFrame, matched: DataFrame, res_tracks: DataFrame) -
     return j.select("seq", "frame", "child", "parent", "res_child", "res_parent", "found_parent", what.alias("outcome"))
 
 
-def _event(df: DataFrame, kind: str | Column, gt: str | Column, res: str | Column, score: Column, details: Column) -> DataFrame:
+def pixel_counts(gt: DataFrame, res: DataFrame) -> DataFrame:
+    """(seq, frame, a, b, n, sy, sx): pixels of every pair of labels in place, null where one side has none [O-51 … O-53].
+
+    One shuffle by pixel; both areas, every overlap and both sides' centroids come from this table, whose
+    size goes with the objects. It is written once.
+    """
+    none = F.lit(None).cast("int")
+    sides = gt.select(*raster.PIXEL, F.col("label").alias("a"), none.alias("b")).unionByName(res.select(*raster.PIXEL, none.alias("a"), F.col("label").alias("b")))
+    cells = sides.groupBy(*raster.PIXEL).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    return written_once(cells.groupBy(*KEY, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum("x").alias("sx")), "pixel-counts")
+
+
+class Pairs:
+    """What ``pixel_counts`` says of frames that both sides have."""
+
+    def __init__(self, counts: DataFrame):
+        frame = Window.partitionBy(*KEY)
+        both = counts.withColumns({"in_a": F.count("a").over(frame), "in_b": F.count("b").over(frame)}).filter("in_a > 0 and in_b > 0")
+        areas = {"a_area": F.sum("n").over(Window.partitionBy(*KEY, "a")), "b_area": F.sum("n").over(Window.partitionBy(*KEY, "b"))}
+        self.table = both.withColumns(areas)
+
+    def best(self, own: str, other: str) -> DataFrame:
+        """Best cover of every label of one side, as ``raster.best_overlap``: (seq, frame, own, best, n, coverage)."""
+        n = F.when(F.col(other).isNull(), F.lit(-1)).otherwise(F.col("n"))
+        g = self.table.filter(F.col(own).isNotNull()).groupBy(*KEY, own).agg(F.max_by(F.struct(F.coalesce(other, F.lit(0)).alias("best"), F.greatest(n, F.lit(0)).alias("n")), F.struct(n, -F.coalesce(other, F.lit(0)))).alias("m"), F.sum("n").alias("area"))
+        return g.select(*KEY, own, "m.best", "m.n", (F.col("m.n") / F.col("area")).alias("coverage"))
+
+    def best_iou(self, own: str) -> DataFrame:
+        iou = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("n") / (F.col("a_area") + F.col("b_area") - F.col("n")))
+        return self.table.filter(F.col(own).isNotNull()).groupBy(*KEY, F.col(own).alias("label")).agg(F.coalesce(F.max(iou), F.lit(0.0)).alias("iou"))
+
+    def parts(self, share: float) -> DataFrame:
+        """Pairs in which the result covers at least ``share`` of the truth's object."""
+        return self.table.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("n") / F.col("a_area") >= share))
+
+    def result_objects(self) -> DataFrame:
+        g = self.table.filter("b is not null").groupBy(*KEY, F.col("b").alias("label")).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("sx").alias("sx"))
+        return g.select(*KEY, "label", (F.col("sy") / F.col("n")).alias("cy"), (F.col("sx") / F.col("n")).alias("cx"))
+
+
+def _text(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("None")) for p in parts])
+
+
+def _event(df: DataFrame, kind: str | Column, gt: str, res: str, score: Column, details: Column, *place: int | str) -> DataFrame:
+    """Event rows; ``place`` orders them as a run over the frames meets them."""
+
     def side(x):
-        return (F.lit(x) if x == "" else F.col(x)) if isinstance(x, str) else x
+        return F.lit(x) if x == "" else F.coalesce(F.col(x).cast("string"), F.lit(""))
 
-    return df.select("seq", "frame", (F.lit(kind) if isinstance(kind, str) else kind).alias("event_type"), side(gt).cast("string").alias("gt_id"), side(res).cast("string").alias("res_id"), score.cast("double").alias("score"), details.alias("details"))
+    order = F.struct(*[(F.lit(p) if isinstance(p, int) else F.col(p).cast("int")).alias(f"p{i}") for i, p in enumerate(place)])
+    return df.select("seq", "frame", (F.lit(kind) if isinstance(kind, str) else kind).alias("event_type"), side(gt).alias("gt_id"), side(res).alias("res_id"), score.cast("double").alias("score"), details.alias("details"), order.alias("place"))
 
 
-def events(gt: DataFrame, res: DataFrame, gt_tracks: DataFrame, res_tracks: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """All twelve kinds of events: (seq, frame, event_type, gt_id, res_id, score, details) [O-124].
+def events(gt: DataFrame, res: DataFrame, gt_tracks: DataFrame, res_tracks: DataFrame, limits: Limits = Limits(), seg: DataFrame | None = None) -> DataFrame:
+    """All twelve kinds of events: (seq, frame, event_type, gt_id, res_id, score, details, place) [O-124].
 
-    Scores stay numeric; text formatting is the sink's.
+    ``gt`` are markers. ``seg`` are full outlines, where annotated: IoU events come from the frames that
+    it has; None: the markers are full outlines themselves. A sequence whose markers share no frame with the result
+    is judged by ``seg`` alone. Scores stay numeric; text formatting is the sink's.
     """
-    frames = common_frames(gt, res)
-    gt, res = gt.join(frames, KEY, "left_semi"), res.join(frames, KEY, "left_semi")
-    m = matches(gt, res, limits)
-    back = raster.best_overlap(res, gt)
-    none, empty = F.lit(None), F.lit("")
+    if seg is not None:
+        frames = common_frames(gt, res, seg)
+        gt = choose_truth(gt.join(frames, KEY, "left_semi"), seg.join(frames, KEY, "left_semi"))
+    pairs = Pairs(pixel_counts(gt, res))
+    outlines = pairs if seg is None else Pairs(pixel_counts(seg.join(gt.select(*KEY).distinct(), KEY, "left_semi"), res))
+    m = pairs.best("a", "b").withColumnsRenamed({"a": "gt", "best": "res"}).withColumn("matched", (F.col("res") > 0) & (F.col("coverage") >= limits.coverage))
+    m = written_once(m, "matches")
+    good = m.filter("matched")
+    none, empty, zero = F.lit(None), F.lit(""), F.lit(0.0)
+    against = F.lit("Computed against GT SEG frame.")
+    split = pairs.parts(limits.split).groupBy(*KEY, F.col("a").alias("gt")).agg(F.sort_array(F.collect_list("b")).alias("ids")).filter(F.size("ids") > 1)
+    fragments = good.groupBy("seq", "gt").agg(F.min("frame").alias("frame"), F.sort_array(F.collect_set("res")).alias("ids")).filter(F.size("ids") > 1)
+    merged = good.groupBy(*KEY, "res").agg(F.sort_array(F.collect_list("gt")).alias("ids")).filter(F.size("ids") > 1)
+    joined = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    d = divisions(gt_tracks, m, res_tracks).filter("outcome <> 'ok'").withColumn("res_id", F.when(F.col("outcome") == "wrong_division_parent", F.col("res_child")))
+    mapping = F.when(F.col("outcome") == "wrong_division_parent", _text("Expected result parent ", F.col("res_parent"), ", observed ", F.col("found_parent"), ".")).otherwise(_text("GT parent=", F.col("parent"), "; res_child=", F.col("res_child"), "; res_parent=", F.col("res_parent"), "."))
     parts = [
-        _event(m.filter("res = 0"), "missed_gt_object", "gt", "", F.lit(0.0), empty),
-        _event(m.filter(f"res > 0 and coverage < {limits.coverage}"), "low_gt_marker_coverage", "gt", "res", F.col("coverage"), empty),
-        _event(back.filter("best = 0"), "extra_result_no_gt_marker", "", "a", F.lit(0.0), empty),
-        _event(merges(m), "many_gt_to_one_result_merge", "gt_ids", "res", none, empty),
-        _event(splits(gt, res, limits), "one_gt_to_many_results_split", "gt", "res_ids", none, empty),
-        _event(raster.best_iou(gt, res).filter(F.col("iou") < limits.iou), "low_segmentation_iou", "label", "", F.col("iou"), empty),
-        _event(raster.best_iou(res, gt).filter(F.col("iou") < limits.iou), "extra_or_low_iou_result_object", "", "label", F.col("iou"), empty),
-        _event(id_switches(m), "id_switch", "gt", "res", none, F.concat(F.col("res_before").cast("string"), F.lit("->"), F.col("res").cast("string"))),
-        _event(fragmented(m), "fragmented_gt_track", "gt", "", F.col("n_results"), empty),
-        _event(jumps(steps(raster.objects(res)), limits), "suspicious_centroid_jump", "", "label", F.col("step"), empty),
+        _event(m.filter("res = 0"), "missed_gt_object", "gt", "", zero, empty, 0, "frame", 0),
+        _event(m.filter(f"res > 0 and coverage < {limits.coverage}"), "low_gt_marker_coverage", "gt", "res", F.col("coverage"), empty, 0, "frame", 0),
+        _event(pairs.best("b", "a").filter("best = 0"), "extra_result_no_gt_marker", "", "b", zero, F.lit("Marker-based check; confirm visually if GT TRA markers are sparse."), 0, "frame", 1),
+        _event(merged.withColumn("gt_ids", joined), "many_gt_to_one_result_merge", "gt_ids", "res", none, _text(F.size("ids"), " GT labels matched one result label."), 0, "frame", 2),
+        _event(split.withColumn("res_ids", joined), "one_gt_to_many_results_split", "gt", "res_ids", none, _text(F.size("ids"), " result labels cover one GT marker/segment."), 0, "frame", 3),
+        _event(outlines.best_iou("a").filter(F.col("iou") < limits.iou), "low_segmentation_iou", "label", "", F.col("iou"), against, 0, "frame", 4),
+        _event(outlines.best_iou("b").filter(F.col("iou") < limits.iou), "extra_or_low_iou_result_object", "", "label", F.col("iou"), against, 0, "frame", 5),
+        _event(id_switches(m), "id_switch", "gt", "res", none, _text("Previous result label was ", F.col("res_before"), " at frame ", F.col("frame") - 1, "."), 1, "gt", "frame"),
+        _event(fragments.withColumn("res_ids", joined), "fragmented_gt_track", "gt", "res_ids", none, _text("GT track matched ", F.size("ids"), " result IDs over time."), 1, "gt", 1 << 30),
+        _event(jumps(steps(pairs.result_objects()), limits), "suspicious_centroid_jump", "", "label", F.col("step"), F.format_string("Threshold=%.2f; median_step=%.2f.", "threshold", "median"), 2, "label", "frame"),
+        _event(d, F.col("outcome"), "child", "res_id", none, mapping, 3, "child", 0),
     ]
-    d = divisions(gt_tracks, m, res_tracks).filter("outcome <> 'ok'")
-    parts.append(_event(d, F.col("outcome"), "child", F.coalesce(F.col("res_child").cast("string"), empty), none, F.concat(F.lit("parent="), F.col("parent").cast("string"))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -143,15 +215,15 @@ def by_track(event_table: DataFrame) -> DataFrame:
 
 def cube(event_table: DataFrame) -> DataFrame:
     """Counts by kind, by frame and kind, and in all, from one aggregation over grouping sets."""
-    event_table.createOrReplaceTempView("tessera_events")
-    return event_table.sparkSession.sql(
-        "SELECT seq, frame, event_type, count(*) AS n FROM tessera_events GROUP BY GROUPING SETS ((seq, frame, event_type), (seq, event_type), (seq), ())"
-    )
+    c = event_table.groupingSets([["seq", "frame", "event_type"], ["seq", "event_type"], ["seq"], []], "seq", "frame", "event_type")
+    return c.agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_frames(event_table: DataFrame, k: int = 25) -> DataFrame:
-    """The k frames with most events; ties to the earlier frame [O-117, O-121]."""
-    return event_table.groupBy("seq", "frame").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "seq", "frame").limit(k)
+    """The k frames of every sequence with most events; ties to the frame whose first event a run meets first [O-117, O-121]."""
+    n = event_table.groupBy("seq", "frame").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("seq").orderBy(F.desc("n"), "first"))
+    return n.withColumn("place", rank).filter(F.col("place") <= k).select("seq", "frame", "n", "place")
 
 
 def title(event_table: DataFrame, width: int = 160) -> DataFrame:
