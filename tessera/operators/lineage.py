@@ -2,50 +2,64 @@
 
 from __future__ import annotations
 
-import uuid
+from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+DEPTHS = "seq string, label int, root int, depth int"
+LAYOUT = "seq string, label int, y double"
 
-def depths(tracks: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(seq, label, root, depth, path) from the roots down, by recursion [O-156].
 
-    Roots have parent 0; the path is the (begin, label) pairs from the root, the layout's order.
-    Orphans (unknown parent) are roots of their own. Needs a sequence's lineage to be acyclic.
-    """
-    spark = tracks.sparkSession
-    view = f"tessera_tracks_{uuid.uuid4().hex[:8]}"
-    known = tracks.select("seq", F.col("label").alias("parent"), F.lit(1).alias("known"))
-    t = tracks.join(known, ["seq", "parent"], "left").select("seq", "label", "begin", F.when(F.col("known").isNull(), 0).otherwise(F.col("parent")).alias("parent"))
-    t.createOrReplaceTempView(view)
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(max_depth, 100)))
-    return spark.sql(f"""
-        WITH RECURSIVE down AS (
-          SELECT seq, label, label AS root, 0 AS depth, array(struct(begin, label)) AS path FROM {view} WHERE parent = 0
-          UNION ALL
-          SELECT c.seq, c.label, d.root, d.depth + 1, concat(d.path, array(struct(c.begin, c.label)))
-          FROM {view} c JOIN down d ON c.seq = d.seq AND c.parent = d.label
-        ) SELECT * FROM down""")
-
-
-def layout(tracks: DataFrame, max_depth: int = 100) -> DataFrame:
-    """Row of every track: leaves in depth-first order from 0; a parent at the mean of its children [O-120, O-154].
-
-    The mean is over children, not leaves, so it is carried up level by level: one join per level.
+def _forest(group: pd.DataFrame) -> tuple[list[int], dict[int, list[int]]]:
+    """Roots and children of one sequence, each in order of (begin, label); an unknown parent makes a root."""
+    rows = sorted(zip(group["begin"].tolist(), group["label"].tolist(), group["parent"].tolist(), strict=True))
+    known = set(group["label"].tolist())
+    roots, children = [], defaultdict(list)
+    for _, label, parent in rows:
+        (children[parent] if parent in known and parent != 0 else roots).append(label)
+    return roots, children
+
+
+def _depths(group: pd.DataFrame) -> pd.DataFrame:
+    roots, children = _forest(group)
+    out, level = [], [(r, r) for r in roots]
+    depth = 0
+    while level:
+        out += [(label, root, depth) for label, root in level]
+        level, depth = [(c, root) for label, root in level for c in children[label]], depth + 1
+    return pd.DataFrame(out, columns=["label", "root", "depth"]).assign(seq=group["seq"].iloc[0])[["seq", "label", "root", "depth"]]
+
+
+def _layout(group: pd.DataFrame) -> pd.DataFrame:
+    roots, children = _forest(group)
+    y: dict[int, float] = {}
+    leaves, stack = 0, [(r, False) for r in reversed(roots)]
+    while stack:
+        label, seen = stack.pop()
+        if not children[label]:
+            y[label], leaves = float(leaves), leaves + 1
+        elif seen:
+            y[label] = sum(y[c] for c in children[label]) / len(children[label])
+        else:
+            stack.append((label, True))
+            stack += [(c, False) for c in reversed(children[label])]
+    return pd.DataFrame({"seq": group["seq"].iloc[0], "label": list(y), "y": list(y.values())})
+
+
+def depths(tracks: DataFrame) -> DataFrame:
+    """(seq, label, root, depth) from the roots down, at any depth [O-156].
+
+    Roots have parent 0; orphans (unknown parent) are roots of their own; tracks on a cycle have no root
+    and are left out. A group is one sequence, which the label capacity bounds to 65,535 tracks.
     """
-    d = depths(tracks, max_depth).select("seq", "label", "depth", "path")
-    parent_of = tracks.select("seq", "label", "parent")
-    d = d.join(parent_of, ["seq", "label"])
-    parents = d.filter("parent <> 0").select("seq", F.col("parent").alias("label")).distinct()
-    leaves = d.join(parents, ["seq", "label"], "left_anti")
-    y = leaves.select("seq", "label", "parent", "depth", (F.row_number().over(Window.partitionBy("seq").orderBy("path")) - 1).cast("double").alias("y"))
-    inner = d.join(parents, ["seq", "label"], "left_semi").select("seq", "label", "parent", "depth")
-    deepest = d.agg(F.max("depth")).first()[0] or 0
-    for level in range(deepest, 0, -1):  # as many joins as generations
-        up = y.filter(F.col("depth") == level).groupBy("seq", F.col("parent").alias("label")).agg(F.avg("y").alias("y"))
-        y = y.unionByName(inner.filter(F.col("depth") == level - 1).join(up, ["seq", "label"]).select("seq", "label", "parent", "depth", "y"))
-    return y.select("seq", "label", "y")
+    return tracks.select("seq", "label", "begin", "parent").groupBy("seq").applyInPandas(_depths, DEPTHS)
+
+
+def layout(tracks: DataFrame) -> DataFrame:
+    """Row of every track: leaves in depth-first order from 0; a parent at the mean of its children [O-120, O-154]."""
+    return tracks.select("seq", "label", "begin", "parent").groupBy("seq").applyInPandas(_layout, LAYOUT)
 
 
 def segments(tracks: DataFrame, start: int, stop: int, reveal: int | None = None) -> DataFrame:

@@ -11,10 +11,10 @@ SECTIONS = {
     "DET": ("Splitting Operations", "False Negative Vertices", "False Positive Vertices"),
 }
 #: Line patterns of the logs.
-HEADER = r"^-+\s*(.+?)\s*\(Penalty=([^)]*)\)\s*-+$"
-SCORE = r"(TRA|DET|SEG) measure: (\S+)"
-FRAME = r"^-*\s*T=(\d+)\s+Z=(\d+)"
-OBJECT = r"GT_label=(\d+)\s+J=(\S+)"
+HEADER = r"^-+\s*(.*?)\s*(?:\(Penalty=([^)]*)\))?-+$"
+SCORE = r"(?i)\b(TRA|DET|SEG)\s+measure:\s*([-+]?(?:\d+\.\d+|\d+)(?:[eE][-+]?\d+)?)"
+FRAME = r"^-+T=(\d+)(?:\s+Z=(-?\d+))?-+\s*$"
+OBJECT = r"^GT_label=(\d+)\s+J=([-+]?(?:\d+\.\d+|\d+)(?:[eE][-+]?\d+)?)$"
 NUMBER = r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
 
 
@@ -27,24 +27,23 @@ def penalties(lines: DataFrame, metric: str = "TRA") -> DataFrame:
 
     ``lines``: (seq, line_no, value). A section runs from its header to the next header or a line of
     '='; blank lines don't count, repeated lines do. Known sections without lines count 0; an
-    unreadable penalty gives a null product.
+    unreadable or absent penalty gives a null product.
     """
     v = F.trim("value")
-    name = F.regexp_extract(v, HEADER, 1)
-    start = F.when(name != "", F.struct(name.alias("title"), F.regexp_extract(v, HEADER, 2).alias("penalty"))).when(v.startswith("="), F.struct(F.lit("").alias("title"), F.lit("").alias("penalty")))
+    title = F.trim(F.regexp_extract(v, HEADER, 1))
+    start = F.when(v.rlike(HEADER), F.struct(title.alias("title"), F.regexp_extract(v, HEADER, 2).alias("penalty"))).when(v.startswith("="), F.struct(F.lit("").alias("title"), F.lit("").alias("penalty")))
     marked = lines.withColumns({"head": start, "v": v}).withColumn("section", _fill(F.col("head")))
-    counted = marked.filter("head is null and v <> ''").groupBy("seq", F.lower("section.title").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    weights = marked.filter("head is not null").groupBy("seq", F.lower("head.title").alias("key")).agg(F.max(F.expr("try_cast(head.penalty AS DOUBLE)")).alias("penalty"))
+    counted = marked.filter("head is null and v <> ''").groupBy("seq", F.col("section.title").alias("section")).agg(F.count(F.lit(1)).alias("n"))
+    weights = marked.filter("head is not null").groupBy("seq", F.col("head.title").alias("section")).agg(F.max_by(F.expr("try_cast(head.penalty AS DOUBLE)"), "line_no").alias("penalty"))
     known = lines.select("seq").distinct().select("seq", F.explode(F.array(*[F.lit(s) for s in SECTIONS[metric]])).alias("section"))
-    known = known.withColumn("key", F.lower("section"))
-    out = known.join(weights, ["seq", "key"], "left").join(counted, ["seq", "key"], "left")
+    out = known.join(weights, ["seq", "section"], "left").join(counted, ["seq", "section"], "left")
     n = F.coalesce("n", F.lit(0))
     return out.select("seq", F.lit(metric).alias("metric"), "section", "penalty", n.alias("count"), (F.col("penalty") * n).alias("weighted"))
 
 
 def official_score(lines: DataFrame, metric: str) -> DataFrame:
     """The last '<metric> measure: x' of every log [O-11]."""
-    s = lines.filter(F.regexp_extract("value", SCORE, 1) == metric).select("seq", "line_no", F.expr(f"try_cast(regexp_extract(value, '{SCORE}', 2) AS DOUBLE)".replace("\\", "\\\\")).alias("score"))
+    s = lines.filter(F.upper(F.regexp_extract("value", SCORE, 1)) == metric).select("seq", "line_no", F.regexp_extract("value", SCORE, 2).try_cast("double").alias("score"))
     return s.groupBy("seq").agg(F.max_by("score", "line_no").alias("score"))
 
 
@@ -54,12 +53,13 @@ def free_score(text: Column) -> Column:
 
 
 def seg_objects(lines: DataFrame) -> DataFrame:
-    """(seq, t, z, gt_label, jaccard): frame headers carried down to the object lines [O-12, O-107]."""
-    t, z = F.regexp_extract("value", FRAME, 1), F.regexp_extract("value", FRAME, 2)
-    head = F.when(t != "", F.struct(t.cast("int").alias("t"), z.cast("int").alias("z")))
+    """(seq, t, z, gt_label, jaccard): frame headers carried down to the object lines; z is null where a header has none [O-12, O-107]."""
+    v = F.trim("value")
+    t, z = F.regexp_extract(v, FRAME, 1), F.regexp_extract(v, FRAME, 2)
+    head = F.when(t != "", F.struct(t.try_cast("int").alias("t"), z.try_cast("int").alias("z")))
     marked = lines.withColumn("head", head).withColumn("frame", _fill(F.col("head")))
-    g, j = F.regexp_extract("value", OBJECT, 1), F.regexp_extract("value", OBJECT, 2)
-    return marked.filter(g != "").select("seq", "frame.t", "frame.z", g.cast("int").alias("gt_label"), j.cast("double").alias("jaccard"))
+    g, j = F.regexp_extract(v, OBJECT, 1), F.regexp_extract(v, OBJECT, 2)
+    return marked.filter(g != "").select("seq", "frame.t", "frame.z", g.try_cast("int").alias("gt_label"), j.try_cast("double").alias("jaccard"))
 
 
 def seg_summary(objects: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .raster import KEY
@@ -16,24 +14,37 @@ PARTS = "seq string, frame int, y int, x int, label int, part int, size int"
 
 
 def _components(frame: pd.DataFrame) -> pd.DataFrame:
-    cells = dict(zip(zip(frame["y"].tolist(), frame["x"].tolist(), strict=True), frame["label"].tolist(), strict=True))
-    part: dict[tuple[int, int], int] = {}
-    sizes: list[int] = []
-    for start in sorted(cells):
-        if start in part:
-            continue
-        part[start], queue, n = len(sizes), deque([start]), 0
-        while queue:
-            y, x = queue.popleft()
-            n += 1
-            for dy, dx in _AROUND:
-                p = (y + dy, x + dx)
-                if p not in part and cells.get(p) == cells[start]:
-                    part[p] = len(sizes)
-                    queue.append(p)
-        sizes.append(n)
-    rows = [(frame["seq"].iloc[0], int(frame["frame"].iloc[0]), y, x, cells[y, x], k, sizes[k]) for (y, x), k in part.items()]
-    return pd.DataFrame(rows, columns=["seq", "frame", "y", "x", "label", "part", "size"])
+    """Runs of equal labels along a row are joined with the runs that touch them in the row before."""
+    order = np.lexsort((frame["x"], frame["y"]))
+    y, x, label = (frame[c].to_numpy(np.int64)[order] for c in ("y", "x", "label"))
+    new = np.ones(len(y), bool)
+    new[1:] = (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1) | (label[1:] != label[:-1])
+    run = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    root = np.arange(len(first))
+    near = [np.flatnonzero(_at(y, x, y - 1, x + dx) >= 0) for dx in (-1, 0, 1)]
+    pairs = [np.stack([run[p], run[_at(y, x, y - 1, x + dx)[p]]], 1) for dx, p in zip((-1, 0, 1), near, strict=True)]
+    links = np.unique(np.concatenate(pairs), axis=0)
+    links = links[label[first[links[:, 0]]] == label[first[links[:, 1]]]]
+    while True:  # every run takes the least root of the runs that it touches, and roots are shortened
+        low = root.copy()
+        np.minimum.at(low, links[:, 0], root[links[:, 1]])
+        np.minimum.at(low, links[:, 1], root[links[:, 0]])
+        np.minimum.at(low, root, low)
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    _, part, size = np.unique(root[run], return_inverse=True, return_counts=True)
+    return pd.DataFrame({"seq": frame["seq"].iloc[0], "frame": int(frame["frame"].iloc[0]), "y": y, "x": x, "label": label, "part": part, "size": size[part]})
+
+
+def _at(y: np.ndarray, x: np.ndarray, to_y: np.ndarray, to_x: np.ndarray) -> np.ndarray:
+    """Index of the pixels at the given places among pixels in row order, -1 where there is none."""
+    wide = int(x.max()) + 3
+    codes, wanted = y * wide + x + 1, to_y * wide + to_x + 1
+    at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+    return np.where(codes[at] == wanted, at, -1)
 
 
 def connected_parts(pixels: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
@@ -53,9 +64,17 @@ def neighbour_counts(pixels: DataFrame) -> DataFrame:
 
 
 def orientation(pixels: DataFrame) -> DataFrame:
-    """Angle of the major axis of every object from second moments, in radians [O-133]."""
-    g = pixels.groupBy(*KEY, "label").agg(F.var_pop("y").alias("vy"), F.var_pop("x").alias("vx"), F.covar_pop("y", "x").alias("c"))
-    return g.select(*KEY, "label", (F.atan2(2 * F.col("c"), F.col("vy") - F.col("vx")) / 2).alias("angle"))
+    """Angle of the major axis of every object from second moments, in radians; 0 for a round one [O-133].
+
+    Moments are whole numbers (n times a sum of products less the product of sums), so equal ones are equal.
+    """
+    n, y, x = F.count(F.lit(1)), F.col("y").cast("long"), F.col("x").cast("long")
+
+    def moment(a: Column, b: Column) -> Column:
+        return n * F.sum(a * b) - F.sum(a) * F.sum(b)
+
+    g = pixels.groupBy(*KEY, "label").agg(moment(y, y).alias("vy"), moment(x, x).alias("vx"), moment(y, x).alias("c"))
+    return g.select(*KEY, "label", (F.atan2((2 * F.col("c")).cast("double"), (F.col("vy") - F.col("vx")).cast("double")) / 2).alias("angle"))
 
 
 def _box(mask: np.ndarray, k: int, grow: bool) -> np.ndarray:

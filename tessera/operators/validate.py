@@ -49,10 +49,11 @@ def parent_violations(tracks: DataFrame) -> DataFrame:
     return j.select("seq", "label", "parent", F.when(F.col("parent_end").isNull(), "unknown parent").otherwise("parent too long").alias("what"))
 
 
-def violations(pixels: DataFrame, tracks: DataFrame, source_frames: DataFrame | None = None, meta: DataFrame | None = None) -> DataFrame:
+def violations(pixels: DataFrame, tracks: DataFrame, source_frames: DataFrame | None = None, meta: DataFrame | None = None, dtype: str = "uint16") -> DataFrame:
     """All violations of a result's masks and track table [V-03 … V-16].
 
-    ``source_frames``: (seq, frame) of the images; ``meta``: (seq, frame, height, width, dtype).
+    ``source_frames``: (seq, frame) of the images; ``meta``: (seq, frame, height, width, dtype); masks of another type
+    than ``dtype`` are violations.
     """
     out = [
         _row(missing_frames(pixels), "V-03", F.col("frame"), F.lit("missing frame")),
@@ -75,12 +76,35 @@ def violations(pixels: DataFrame, tracks: DataFrame, source_frames: DataFrame |
     if meta is not None:
         shapes = meta.groupBy("seq").agg(F.countDistinct("height", "width").alias("n")).filter("n > 1")
         out.append(_row(shapes, "V-11", F.lit(""), F.col("n")))
+        if "dtype" in meta.columns:
+            out.append(_row(meta.filter(F.col("dtype") != dtype), "V-10", F.col("frame"), F.col("dtype")))
     all_rows = out[0]
     for part in out[1:]:
         all_rows = all_rows.unionByName(part)
     return all_rows
 
 
+def missing_folders(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """Sequences whose result folder is not there [V-01]; both sides have (seq)."""
+    return _row(wanted.select("seq").distinct().join(found.select("seq").distinct(), "seq", "left_anti"), "V-01", F.col("seq"), F.lit("no result folder"))
+
+
+def export_violations(pixels: DataFrame, tracks: DataFrame, frames: int) -> DataFrame:
+    """What an exporter checks of its own rows: ranges within the frames, the masks' labels, valid parents [V-17].
+
+    Weaker than ``violations``: begin and end need not be the first and last frame with pixels, nor the range
+    without holes, and a parent only has to exist and to be another track.
+    """
+    ids = tracks.select("seq", F.col("label").alias("parent"), F.lit(True).alias("known")).distinct()
+    wrong = tracks.join(ids, ["seq", "parent"], "left").filter("parent <> 0 and (known is null or parent = label)")
+    parts = [
+        _row(tracks.filter((F.col("begin") < 0) | (F.col("begin") > F.col("end")) | (F.col("end") >= frames)), "V-17", F.col("label"), F.concat_ws("-", "begin", "end")),
+        _row(label_track_reconcile(pixels, tracks), "V-17", F.col("label"), F.col("what")),
+        _row(wrong, "V-17", F.col("label"), F.concat(F.lit("parent "), F.col("parent").cast("string"))),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def preview(items: DataFrame, by: list[str], item: str, n: int = 20) -> DataFrame:
     """The first n items of each group [O-98, O-121]."""
     return items.groupBy(*by).agg(F.slice(F.sort_array(F.collect_set(item)), 1, n).alias("preview"), F.count(F.lit(1)).alias("n"))
