@@ -60,6 +60,10 @@ class Divider:
         self.until: dict[int, int] = {}
         self.last: tuple[np.ndarray, np.ndarray] | None = None
 
+    def rows(self, seq: str) -> list[tuple]:
+        """Parents and cooldowns at the end of the sequence."""
+        return [(seq, "parent", None, c, p) for c, p in self.parents.items()] + [(seq, "cooldown", end, c, None) for c, end in self.until.items()]
+
     def _ids(self, labels: np.ndarray) -> np.ndarray:
         raw, back = np.unique(labels, return_inverse=True)
         return np.array([self.names.get(r, r) for r in raw.tolist()], np.int64)[back] if len(raw) else labels
@@ -135,7 +139,8 @@ class Divider:
 
 
 def normalise_divisions(pixels: DataFrame, cooldown: int = 20, rule: str = "base") -> DataFrame:
-    """(seq, kind, frame, label, id): kind 'object' gives the id of each raw object, 'parent' the parent (id) of a track (label).
+    """(seq, kind, frame, label, id): kind 'object' gives the id of each raw object, 'parent' the parent (id) of a track (label),
+    'cooldown' the last frame (frame) in which a daughter (label) is guarded.
 
     [O-60, O-74, O-113, O-143, O-144]. Frames are dealt by sequence and sorted, so a task streams
     its sequences frame by frame.
@@ -152,7 +157,7 @@ def normalise_divisions(pixels: DataFrame, cooldown: int = 20, rule: str = "base
             for r in batch.itertuples():
                 if r.seq != seq:
                     if divider is not None:
-                        out += [(seq, "parent", None, c, p) for c, p in divider.parents.items()]
+                        out += divider.rows(seq)
                     seq, divider, at = r.seq, Divider(int(r.top), cooldown, rule), -1
                 codes, labels = np.asarray(r.codes, np.int64), np.asarray(r.labels, np.int64)
                 if r.frame != at + 1:  # blank frames between: nothing to go on from
@@ -162,7 +167,6 @@ def normalise_divisions(pixels: DataFrame, cooldown: int = 20, rule: str = "base
                 out += [(seq, "object", r.frame, a, b) for a, b in sorted(set(zip(labels.tolist(), ids.tolist(), strict=True)))]
             yield pd.DataFrame(out, columns=["seq", "kind", "frame", "label", "id"]).astype({"frame": "Int32", "label": "Int32", "id": "Int32"})
         if divider is not None:
-            out = [(seq, "parent", None, c, p) for c, p in divider.parents.items()]
-            yield pd.DataFrame(out, columns=["seq", "kind", "frame", "label", "id"]).astype({"frame": "Int32", "label": "Int32", "id": "Int32"})
+            yield pd.DataFrame(divider.rows(seq), columns=["seq", "kind", "frame", "label", "id"]).astype({"frame": "Int32", "label": "Int32", "id": "Int32"})
 
     return frames.repartition(n, "seq").sortWithinPartitions("seq", "frame").mapInPandas(run, OUTPUT)

@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .divide import _WIDE, Frame, grown
+from tessera.sources.shared import written_once
+
+from .divide import _WIDE, Frame, grown, normalise_divisions
 
 OUTPUT = "seq string, kind string, frame int, label int, id int, event string, score double, second double"
 
@@ -86,14 +88,20 @@ class IdentityRescue:
             self.audit.append((frame, lost, event, first, second))
 
 
-def rescue_identities(pixels: DataFrame, gap: int = 1, threshold: float = 0.3, reach: float = 50.0) -> DataFrame:
+def rescue_identities(pixels: DataFrame, gap: int = 1, threshold: float = 0.3, reach: float = 50.0, history: DataFrame | None = None) -> DataFrame:
     """(seq, kind, frame, label, id, event, score, second) [O-95, O-119, O-147].
 
     kind 'object': the id of each raw object; 'audit': what became of a lost id. A task streams its
-    sequences in frame order and holds gap + 1 frames. A gap of 0 changes nothing.
+    sequences in frame order and holds gap + 1 frames. A gap of 0 changes nothing. ``history``: rows of
+    ``normalise_divisions``; its cooldowns raise scores and its mothers are never rescued.
     """
     frames = pixels.groupBy("seq", "frame").agg(F.collect_list(F.struct((F.col("y").cast("long") * _WIDE + F.col("x")).alias("c"), F.col("label").cast("long").alias("l"))).alias("p"))
     frames = frames.select("seq", "frame", F.col("p.c").alias("codes"), F.col("p.l").alias("labels"))
+    if history is None:
+        frames = frames.withColumns({"guarded": F.array().cast("array<struct<l:int,f:int>>"), "mothers": F.array().cast("array<int>")})
+    else:  # at most a row per track of the sequence
+        h = history.groupBy("seq").agg(F.collect_list(F.when(F.col("kind") == "cooldown", F.struct(F.col("label").alias("l"), F.col("frame").alias("f")))).alias("guarded"), F.collect_set(F.when(F.col("kind") == "parent", F.col("id"))).alias("mothers"))
+        frames = frames.join(h, "seq", "left")
     n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     empty = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -125,7 +133,9 @@ def rescue_identities(pixels: DataFrame, gap: int = 1, threshold: float = 0.3, r
                 if r.seq != seq:
                     if state is not None:
                         finish()
-                    seq, state, queue, before, last = r.seq, IdentityRescue(gap, threshold, reach), deque(), empty, None
+                    until = {int(g["l"]): int(g["f"]) for g in (r.guarded if r.guarded is not None else [])}
+                    mothers = frozenset(map(int, r.mothers if r.mothers is not None else []))
+                    seq, state, queue, before, last = r.seq, IdentityRescue(gap, threshold, reach, until, mothers), deque(), empty, None
                 for blank in range(last + 1 if last is not None else r.frame, r.frame):
                     queue.append((blank, *empty))
                 queue.append((int(r.frame), np.asarray(r.codes, np.int64), np.asarray(r.labels, np.int64)))
@@ -138,3 +148,35 @@ def rescue_identities(pixels: DataFrame, gap: int = 1, threshold: float = 0.3, r
             yield table(out)
 
     return frames.repartition(n, "seq").sortWithinPartitions("seq", "frame").mapInPandas(run, OUTPUT)
+
+
+def audit_counts(rows: DataFrame) -> DataFrame:
+    """How often each event befell a lost id, per sequence [O-95]."""
+    return rows.filter("kind = 'audit'").groupBy("seq", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _renamed(pixels: DataFrame, rows: DataFrame) -> DataFrame:
+    names = rows.filter("kind = 'object'").select("seq", "frame", "label", "id")
+    return pixels.join(names, ["seq", "frame", "label"]).select("seq", "frame", "y", "x", F.col("id").alias("label"))
+
+
+def repair(pixels: DataFrame, cooldown: int = 20, rule: str = "base", gap: int = 1, threshold: float = 0.3, reach: float = 50.0) -> dict[str, DataFrame]:
+    """Rescue identities, normalise divisions, and rescue again with the cooldowns and without the mothers [O-148].
+
+    Tables: pixels, parents (seq, label, parent), before and after (audits of both rescues). A gap of 0 leaves both
+    rescues out; a sequence without divisions has no second one. Every stage is written once, so that a later stage doesn't
+    run an earlier one again.
+    """
+    first = written_once(rescue_identities(pixels, gap, threshold, reach), "rescue") if gap else None
+    named = written_once(_renamed(pixels, first), "rescued") if gap else pixels
+    divided = written_once(normalise_divisions(named, cooldown, rule), "divided")
+    parents = divided.filter("kind = 'parent'").select("seq", "label", F.col("id").alias("parent"))
+    out = written_once(_renamed(named, divided), "divided-pixels")
+    last = None
+    if gap and cooldown:
+        some = divided.filter("kind = 'cooldown'").select("seq").distinct()
+        last = written_once(rescue_identities(out.join(some, "seq", "left_semi"), gap, threshold, reach, divided), "rescue")
+        out = _renamed(out.join(some, "seq", "left_semi"), last).unionByName(out.join(some, "seq", "left_anti"))
+    none = divided.filter("false").select("seq", "frame", "label", F.lit("").alias("event"), F.lit(0.0).alias("score"))
+    audits = [none if x is None else x.filter("kind = 'audit'").select("seq", "frame", "label", "event", "score") for x in (first, last)]
+    return {"pixels": out, "parents": parents, "before": audits[0], "after": audits[1]}

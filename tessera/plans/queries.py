@@ -37,6 +37,10 @@ class Masks:
     def res(self) -> DataFrame:
         return masks.results(self.table("lineitem"), self.sequences)
 
+    @cached_property
+    def seg(self) -> DataFrame:
+        return masks.segmentation(self.table("lineitem"), self.sequences)
+
     @cached_property
     def gt_parents(self) -> DataFrame:
         return self.gt.select("seq", "label").distinct().withColumn("parent", F.when(F.col("label") > 24, F.col("label") - 24).otherwise(0))
@@ -59,19 +63,21 @@ class Masks:
 
     @cached_property
     def events(self) -> DataFrame:
-        return failures.events(self.gt, self.res, self.gt_tracks, self.res_tracks)
+        return failures.events(self.gt, self.res, self.gt_tracks, self.res_tracks, seg=self.seg)
 
     @cached_property
     def tra_log(self) -> DataFrame:
         """A penalty log written from the switches, misses and extras of every sequence."""
-        heads = [(0, "Splitting Operations", "5"), (100000, "False Negative Vertices", "10"), (200000, "False Positive Vertices", "1"), (300000, "Edges To Be Added", "x"), (400000, "Unknown Things", "3")]
+        heads = [(0, "Splitting Operations", " (Penalty=5)"), (100000, "False Negative Vertices", " (Penalty=10)"), (200000, "False Positive Vertices", ""), (300000, "Edges To Be Added", " (Penalty=x)"), (400000, "Unknown Things", "")]
         seqs = self.gt.select("seq").distinct()
-        lines = [seqs.select("seq", F.lit(n).alias("line_no"), F.lit(f"----------{t} (Penalty={p})----------").alias("value")) for n, t, p in heads]
+        lines = [seqs.select("seq", F.lit(n).alias("line_no"), F.lit(f"----------{t}{p}----------").alias("value")) for n, t, p in heads]
         miss, extra = self.matched.filter("res = 0").select("seq", "frame", F.col("gt").alias("label")), raster.best_overlap(self.res, self.gt).filter("best = 0").select("seq", "frame", F.col("a").alias("label"))
         for base, part in ((100000, miss), (200000, extra), (400000, miss)):
             lines.append(part.select("seq", (F.lit(base + 1) + F.col("frame") * 100 + F.col("label")).alias("line_no"), F.concat(F.lit("T="), F.col("frame").cast("string"), F.lit(" Label="), F.col("label").cast("string")).alias("value")))
         lines.append(seqs.select("seq", F.lit(500000).alias("line_no"), F.lit("=" * 40).alias("value")))
-        lines.append(seqs.select("seq", F.lit(500001).alias("line_no"), F.lit("TRA measure: 0.75").alias("value")))
+        score = miss.groupBy("seq").agg((1 - F.count(F.lit(1)) / 1000).alias("score"))
+        lines.append(score.select("seq", F.lit(500001).alias("line_no"), F.format_string("Tra measure: %.6f", "score").alias("value")))
+        lines.append(seqs.select("seq", F.lit(499999).alias("line_no"), F.lit("TRA measure: 0.75").alias("value")))
         out = lines[0]
         for x in lines[1:]:
             out = out.unionByName(x)
@@ -79,9 +85,9 @@ class Masks:
 
     @cached_property
     def seg_log(self) -> DataFrame:
-        """An object log: a header per frame, then each object's best IoU."""
+        """An object log: a header per frame (even ones without Z), then each object's best IoU."""
         iou = raster.best_iou(self.gt, self.res)
-        head = iou.select(*K).distinct().select("seq", (F.col("frame") * 1000).alias("line_no"), F.concat(F.lit("----------T="), F.col("frame").cast("string"), F.lit(" Z=0----------")).alias("value"))
+        head = iou.select(*K).distinct().select("seq", (F.col("frame") * 1000).alias("line_no"), F.concat(F.lit("----------T="), F.col("frame").cast("string"), F.when(F.col("frame") % 2 == 0, "").otherwise(" Z=-1"), F.lit("----------")).alias("value"))
         rows = iou.select("seq", (F.col("frame") * 1000 + F.col("label")).alias("line_no"), F.concat(F.lit("GT_label="), F.col("label").cast("string"), F.lit(" J="), F.format_string("%.6f", "iou")).alias("value"))
         return head.unionByName(rows)
 
@@ -118,18 +124,18 @@ SQL_BASE = f"""WITH {masks.SQL.strip()}, gto AS (
     SELECT *, lag(res) OVER w AS before, lag(frame) OVER w AS last FROM m WINDOW w AS (PARTITION BY seq, gt ORDER BY frame)) t
   WHERE last = frame - 1 AND before <> res
 ), mrg AS (
-  SELECT seq, frame, res, string_agg(CAST(gt AS VARCHAR), ',' ORDER BY gt) AS gt_ids FROM m GROUP BY seq, frame, res HAVING count(*) > 1
+  SELECT seq, frame, res, string_agg(CAST(gt AS VARCHAR), ',' ORDER BY gt) AS gt_ids, count(*) AS n_ids FROM m GROUP BY seq, frame, res HAVING count(*) > 1
 ), spl AS (
-  SELECT o.seq, o.frame, a AS gt, string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) AS res_ids FROM iou o WHERE n_both / a_area >= 0.2 GROUP BY o.seq, o.frame, a HAVING count(*) > 1
+  SELECT o.seq, o.frame, a AS gt, string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) AS res_ids, count(*) AS n_ids FROM iou o WHERE n_both / a_area >= 0.2 GROUP BY o.seq, o.frame, a HAVING count(*) > 1
 ), frag AS (
-  SELECT seq, gt, min(frame) AS frame, count(DISTINCT res) AS n_results FROM m GROUP BY seq, gt HAVING count(DISTINCT res) > 1
+  SELECT seq, gt, min(frame) AS frame, count(DISTINCT res) AS n_results, array_to_string(list_sort(list(DISTINCT res)), ',') AS res_ids FROM m GROUP BY seq, gt HAVING count(DISTINCT res) > 1
 ), steps AS (
   SELECT seq, frame, label, sqrt((cy - py) * (cy - py) + (cx - px) * (cx - px)) AS step FROM (
     SELECT *, lag(cy) OVER w AS py, lag(cx) OVER w AS px, lag(frame) OVER w AS pf FROM reso WINDOW w AS (PARTITION BY seq, label ORDER BY frame)) t WHERE pf = frame - 1
 ), med AS (
-  SELECT seq, coalesce(median(CASE WHEN step > 0 THEN step END), 0) AS md FROM steps GROUP BY seq
+  SELECT seq, label, coalesce(median(CASE WHEN step > 0 THEN step END), 0) AS md FROM steps GROUP BY seq, label
 ), jmp AS (
-  SELECT s.* FROM steps s JOIN med USING (seq) WHERE step > greatest(50.0, md * 5)
+  SELECT s.*, md, greatest(50.0, md * 5) AS threshold FROM steps s JOIN med USING (seq, label) WHERE step > greatest(50.0, md * 5)
 ), giou AS (
   SELECT g.seq, g.frame, g.label, coalesce(max(iou), 0) AS iou FROM gto g LEFT JOIN iou i ON g.seq = i.seq AND g.frame = i.frame AND g.label = i.a GROUP BY g.seq, g.frame, g.label
 ), riou AS (
@@ -142,18 +148,28 @@ SQL_BASE = f"""WITH {masks.SQL.strip()}, gto AS (
   LEFT JOIN m mp ON c.seq = mp.seq AND p.e = mp.frame AND c.parent = mp.gt
   LEFT JOIN rest r ON c.seq = r.seq AND mc.res = r.label
   WHERE c.parent > 0
+), sov AS (
+  SELECT g.seq, g.frame, g.label AS a, r.label AS b, count(*) AS n_both FROM seg g JOIN res r ON g.seq = r.seq AND g.frame = r.frame AND g.y = r.y AND g.x = r.x GROUP BY g.seq, g.frame, g.label, r.label
+), siou AS (
+  SELECT o.*, n_both / (g.area + r.area - n_both) AS iou FROM sov o JOIN gto g ON o.seq = g.seq AND o.frame = g.frame AND o.a = g.label JOIN reso r ON o.seq = r.seq AND o.frame = r.frame AND o.b = r.label
+), sgiou AS (
+  SELECT g.seq, g.frame, g.label, coalesce(max(iou), 0) AS iou FROM gto g LEFT JOIN siou i ON g.seq = i.seq AND g.frame = i.frame AND g.label = i.a GROUP BY g.seq, g.frame, g.label
+), sriou AS (
+  SELECT g.seq, g.frame, g.label, coalesce(max(iou), 0) AS iou FROM reso g LEFT JOIN siou i ON g.seq = i.seq AND g.frame = i.frame AND g.label = i.b GROUP BY g.seq, g.frame, g.label
 ), ev AS (
-  SELECT seq, frame, 'missed_gt_object' AS event_type, CAST(gt AS VARCHAR) AS gt_id, '' AS res_id FROM best WHERE res = 0
-  UNION ALL SELECT seq, frame, 'low_gt_marker_coverage', CAST(gt AS VARCHAR), CAST(res AS VARCHAR) FROM best WHERE res > 0 AND coverage < 0.5
-  UNION ALL SELECT seq, frame, 'extra_result_no_gt_marker', '', CAST(res AS VARCHAR) FROM back WHERE gt = 0
-  UNION ALL SELECT seq, frame, 'many_gt_to_one_result_merge', gt_ids, CAST(res AS VARCHAR) FROM mrg
-  UNION ALL SELECT seq, frame, 'one_gt_to_many_results_split', CAST(gt AS VARCHAR), res_ids FROM spl
-  UNION ALL SELECT seq, frame, 'low_segmentation_iou', CAST(label AS VARCHAR), '' FROM giou WHERE iou < 0.5
-  UNION ALL SELECT seq, frame, 'extra_or_low_iou_result_object', '', CAST(label AS VARCHAR) FROM riou WHERE iou < 0.5
-  UNION ALL SELECT seq, frame, 'id_switch', CAST(gt AS VARCHAR), CAST(res AS VARCHAR) FROM sw
-  UNION ALL SELECT seq, frame, 'fragmented_gt_track', CAST(gt AS VARCHAR), '' FROM frag
-  UNION ALL SELECT seq, frame, 'suspicious_centroid_jump', '', CAST(label AS VARCHAR) FROM jmp
-  UNION ALL SELECT seq, frame, outcome, CAST(child AS VARCHAR), coalesce(CAST(res_child AS VARCHAR), '') FROM div WHERE outcome <> 'ok'
+  SELECT seq, frame, 'missed_gt_object' AS event_type, CAST(gt AS VARCHAR) AS gt_id, '' AS res_id, CAST(0 AS DOUBLE) AS score, '' AS details, 0 AS p0, frame AS p1, 0 AS p2 FROM best WHERE res = 0
+  UNION ALL SELECT seq, frame, 'low_gt_marker_coverage', CAST(gt AS VARCHAR), CAST(res AS VARCHAR), coverage, '', 0, frame, 0 FROM best WHERE res > 0 AND coverage < 0.5
+  UNION ALL SELECT seq, frame, 'extra_result_no_gt_marker', '', CAST(res AS VARCHAR), 0, 'Marker-based check; confirm visually if GT TRA markers are sparse.', 0, frame, 1 FROM back WHERE gt = 0
+  UNION ALL SELECT seq, frame, 'many_gt_to_one_result_merge', gt_ids, CAST(res AS VARCHAR), NULL, n_ids || ' GT labels matched one result label.', 0, frame, 2 FROM mrg
+  UNION ALL SELECT seq, frame, 'one_gt_to_many_results_split', CAST(gt AS VARCHAR), res_ids, NULL, n_ids || ' result labels cover one GT marker/segment.', 0, frame, 3 FROM spl
+  UNION ALL SELECT seq, frame, 'low_segmentation_iou', CAST(label AS VARCHAR), '', iou, 'Computed against GT SEG frame.', 0, frame, 4 FROM sgiou WHERE iou < 0.5
+  UNION ALL SELECT seq, frame, 'extra_or_low_iou_result_object', '', CAST(label AS VARCHAR), iou, 'Computed against GT SEG frame.', 0, frame, 5 FROM sriou WHERE iou < 0.5
+  UNION ALL SELECT seq, frame, 'id_switch', CAST(gt AS VARCHAR), CAST(res AS VARCHAR), NULL, 'Previous result label was ' || res_before || ' at frame ' || (frame - 1) || '.', 1, gt, frame FROM sw
+  UNION ALL SELECT seq, frame, 'fragmented_gt_track', CAST(gt AS VARCHAR), res_ids, NULL, 'GT track matched ' || n_results || ' result IDs over time.', 1, gt, 1073741824 FROM frag
+  UNION ALL SELECT seq, frame, 'suspicious_centroid_jump', '', CAST(label AS VARCHAR), step, printf('Threshold=%.2f; median_step=%.2f.', threshold, md), 2, label, frame FROM jmp
+  UNION ALL SELECT seq, frame, outcome, CAST(child AS VARCHAR), CASE WHEN outcome = 'wrong_division_parent' THEN CAST(res_child AS VARCHAR) ELSE '' END, NULL,
+    CASE WHEN outcome = 'wrong_division_parent' THEN 'Expected result parent ' || res_parent || ', observed ' || coalesce(CAST(found_parent AS VARCHAR), 'None') || '.'
+         ELSE 'GT parent=' || parent || '; res_child=' || coalesce(CAST(res_child AS VARCHAR), 'None') || '; res_parent=' || coalesce(CAST(res_parent AS VARCHAR), 'None') || '.' END, 3, child, 0 FROM div WHERE outcome <> 'ok'
 ), near AS (SELECT dy, dx FROM (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)
 ), con AS (
   SELECT c.seq, c.frame, p.label AS prev_label, c.label AS curr_label, count(DISTINCT p.y * 100000 + p.x) AS touch_prev, count(DISTINCT c.y * 100000 + c.x) AS touch_curr
@@ -279,9 +295,9 @@ def step_distance(m: Masks) -> DataFrame:
     return failures.steps(raster.objects(m.res)).select(*K, "label", r6("step"))
 
 
-@query("SELECT seq, round(md, 6) AS median FROM med")
+@query("SELECT seq, label, round(md, 6) AS median FROM med")
 def median_step(m: Masks) -> DataFrame:
-    return failures.median_step(failures.steps(raster.objects(m.res))).select("seq", r6("median"))
+    return failures.median_step(failures.steps(raster.objects(m.res))).select("seq", "label", r6("median"))
 
 
 @query("SELECT seq, frame, label, round(step, 6) AS step FROM jmp")
@@ -294,9 +310,9 @@ def division_mapping(m: Masks) -> DataFrame:
     return failures.divisions(m.gt_tracks, m.matched, m.res_tracks)
 
 
-@query("SELECT seq, frame, event_type, gt_id, res_id FROM ev")
+@query("SELECT seq, frame, event_type, gt_id, res_id, round(score, 6) AS score, details FROM ev")
 def failure_events(m: Masks) -> DataFrame:
-    return m.events.select(*K, "event_type", "gt_id", "res_id")
+    return m.events.select(*K, "event_type", "gt_id", "res_id", r6("score"), "details")
 
 
 @query('SELECT seq, frame, event_type, count(*) AS "count" FROM ev GROUP BY seq, frame, event_type')
@@ -314,7 +330,7 @@ def failure_cube(m: Masks) -> DataFrame:
     return failures.cube(m.events)
 
 
-@query("SELECT seq, frame, count(*) AS n FROM ev GROUP BY seq, frame ORDER BY n DESC, seq, frame LIMIT 25")
+@query("SELECT seq, frame, n, CAST(place AS INTEGER) AS place FROM (SELECT seq, frame, count(*) AS n, row_number() OVER (PARTITION BY seq ORDER BY count(*) DESC, min((p0, p1, p2))) AS place FROM ev GROUP BY seq, frame) t WHERE place <= 25")
 def top_failure_frames(m: Masks) -> DataFrame:
     return failures.top_frames(m.events)
 
@@ -431,9 +447,14 @@ def run_report(m: Masks) -> DataFrame:
 # integrity
 
 
-@query("SELECT coalesce(g.seq, r.seq) AS seq, coalesce(g.frame, r.frame) AS frame, CASE WHEN r.seq IS NULL THEN 'missing' ELSE 'extra' END AS what FROM (SELECT DISTINCT seq, frame FROM gt WHERE label <> 3) g FULL JOIN (SELECT DISTINCT seq, frame FROM res WHERE frame % 6 <> 1) r ON g.seq = r.seq AND g.frame = r.frame WHERE g.seq IS NULL OR r.seq IS NULL")
+def _by_object(pixels: DataFrame) -> DataFrame:
+    """Every object of a sequence as a sequence of its own: unlike the sequences themselves, these have holes."""
+    return pixels.select(F.concat_ws(":", "seq", "label").alias("seq"), "frame")
+
+
+@query("SELECT coalesce(g.seq, r.seq) AS seq, coalesce(g.frame, r.frame) AS frame, CASE WHEN r.seq IS NULL THEN 'missing' ELSE 'extra' END AS what FROM (SELECT DISTINCT seq || ':' || label AS seq, frame FROM gt) g FULL JOIN (SELECT DISTINCT seq || ':' || label AS seq, frame FROM res) r ON g.seq = r.seq AND g.frame = r.frame WHERE g.seq IS NULL OR r.seq IS NULL")
 def frame_reconcile(m: Masks) -> DataFrame:
-    return validate.frame_reconcile(m.gt.filter("label <> 3"), m.res.filter("frame % 6 <> 1"))
+    return validate.frame_reconcile(_by_object(m.gt), _by_object(m.res))
 
 
 @query("SELECT coalesce(g.seq, r.seq) AS seq, coalesce(g.label, r.label) AS label, CASE WHEN r.seq IS NULL THEN 'no track row' ELSE 'no pixels' END AS what FROM (SELECT DISTINCT seq, label FROM gt) g FULL JOIN rest r ON g.seq = r.seq AND g.label = r.label WHERE g.seq IS NULL OR r.seq IS NULL")
@@ -446,9 +467,9 @@ def inactive_labels(m: Masks) -> DataFrame:
     return validate.inactive_labels(m.gt, m.res_tracks)
 
 
-@query("SELECT s.seq, CAST(s.frame AS INTEGER) AS frame FROM (SELECT seq, unnest(range(min(frame), max(frame) + 1)) AS frame FROM (SELECT seq, frame FROM gt WHERE frame % 7 <> 3) q GROUP BY seq) s WHERE s.frame % 7 = 3 OR NOT EXISTS (SELECT 1 FROM gt g WHERE g.seq = s.seq AND g.frame = s.frame)")
+@query("SELECT s.seq || ':' || s.label AS seq, CAST(s.frame AS INTEGER) AS frame FROM (SELECT seq, label, unnest(range(min(frame), max(frame) + 1)) AS frame FROM res GROUP BY seq, label) s WHERE NOT EXISTS (SELECT 1 FROM res g WHERE g.seq = s.seq AND g.label = s.label AND g.frame = s.frame)")
 def contiguity(m: Masks) -> DataFrame:
-    return validate.missing_frames(m.gt.filter("frame % 7 <> 3"))
+    return validate.missing_frames(_by_object(m.res))
 
 
 _VIOLATIONS = """
@@ -458,13 +479,13 @@ UNION ALL SELECT 'V-13', t.seq, CAST(t.label AS VARCHAR), CAST(t.e AS VARCHAR) F
 UNION ALL SELECT 'V-14', t.seq, CAST(t.label AS VARCHAR), s.b || '-' || s.e FROM gtt t JOIN rest s ON t.seq = s.seq AND t.label = s.label WHERE t.b <> s.b OR t.e <> s.e
 UNION ALL SELECT 'V-15', t.seq, CAST(t.label AS VARCHAR), 'gap' FROM gtt t JOIN rest s ON t.seq = s.seq AND t.label = s.label WHERE s.e - s.b + 1 <> s.n
 UNION ALL SELECT 'V-16', c.seq, CAST(c.label AS VARCHAR), CASE WHEN p.e IS NULL THEN 'unknown parent' ELSE 'parent too long' END FROM gtt c LEFT JOIN gtt p ON c.seq = p.seq AND c.parent = p.label WHERE c.parent <> 0 AND (p.e IS NULL OR p.e >= c.b)
-UNION ALL SELECT 'V-04', coalesce(g.seq, r.seq), CAST(coalesce(g.frame, r.frame) AS VARCHAR), CASE WHEN r.seq IS NULL THEN 'missing' ELSE 'extra' END FROM (SELECT DISTINCT seq, frame FROM gt WHERE frame <> 4) g FULL JOIN (SELECT DISTINCT seq, frame FROM res) r ON g.seq = r.seq AND g.frame = r.frame WHERE g.seq IS NULL OR r.seq IS NULL
+UNION ALL SELECT 'V-04', coalesce(g.seq, r.seq), CAST(coalesce(g.frame, r.frame) AS VARCHAR), CASE WHEN r.seq IS NULL THEN 'missing' ELSE 'extra' END FROM (SELECT DISTINCT seq, frame + 1 AS frame FROM gt) g FULL JOIN (SELECT DISTINCT seq, frame FROM res) r ON g.seq = r.seq AND g.frame = r.frame WHERE g.seq IS NULL OR r.seq IS NULL
 """
 
 
 @query(_VIOLATIONS)
 def violations_all(m: Masks) -> DataFrame:
-    return validate.violations(m.res, m.gt_tracks, m.gt.filter("frame <> 4"))
+    return validate.violations(m.res, m.gt_tracks, m.gt.withColumn("frame", F.col("frame") + 1))
 
 
 @query("SELECT seq, array_to_string(list_slice(list_sort(list(DISTINCT label)), 1, 5), ',') AS preview, count(*) AS n FROM gtt GROUP BY seq")
@@ -609,15 +630,21 @@ def lineage_connectors(m: Masks) -> DataFrame:
 
 @query("""SELECT q.seq, 'TRA' AS metric, s.section, CASE WHEN s.w > 0 THEN s.w END AS penalty, CAST(coalesce(CASE s.section WHEN 'False Negative Vertices' THEN mi.n WHEN 'False Positive Vertices' THEN ex.n END, 0) AS BIGINT) AS count,
   CASE WHEN s.w > 0 THEN s.w * coalesce(CASE s.section WHEN 'False Negative Vertices' THEN mi.n WHEN 'False Positive Vertices' THEN ex.n END, 0) END AS weighted
-  FROM (SELECT DISTINCT seq FROM gt) q CROSS JOIN (VALUES ('Splitting Operations', CAST(5 AS DOUBLE)), ('False Negative Vertices', 10), ('False Positive Vertices', 1), ('Redundant Edges To Be Deleted', 0), ('Edges To Be Added', 0), ('Edges with Wrong Semantics', 0)) s(section, w)
+  FROM (SELECT DISTINCT seq FROM gt) q CROSS JOIN (VALUES ('Splitting Operations', CAST(5 AS DOUBLE)), ('False Negative Vertices', 10), ('False Positive Vertices', 0), ('Redundant Edges To Be Deleted', 0), ('Edges To Be Added', 0), ('Edges with Wrong Semantics', 0)) s(section, w)
   LEFT JOIN (SELECT seq, count(*) AS n FROM best WHERE res = 0 GROUP BY seq) mi ON mi.seq = q.seq LEFT JOIN (SELECT seq, count(*) AS n FROM back WHERE gt = 0 GROUP BY seq) ex ON ex.seq = q.seq""")
 def log_penalties(m: Masks) -> DataFrame:
     return logs.penalties(m.tra_log)
 
 
-@query("SELECT DISTINCT seq, CAST(0.75 AS DOUBLE) AS score FROM gt")
+@query("SELECT seq, round(1 - count(*) / 1000, 6) AS score FROM best WHERE res = 0 GROUP BY seq")
 def log_scores(m: Masks) -> DataFrame:
-    return logs.official_score(m.tra_log, "TRA")
+    return logs.official_score(m.tra_log, "TRA").select("seq", r6("score"))
+
+
+@query("SELECT seq, frame AS t, CASE WHEN frame % 2 = 1 THEN -1 END AS z, label AS gt_label, round(iou, 6) AS jaccard FROM giou")
+def log_objects(m: Masks) -> DataFrame:
+    """[O-12, O-107]"""
+    return logs.seg_objects(m.seg_log)
 
 
 @query("SELECT seq, count(*) AS objects, sum((round(iou, 6) < 0.5)::INT)::BIGINT AS low, sum((iou = 0)::INT)::BIGINT AS zero, round(min(iou), 6) AS min_jaccard FROM giou GROUP BY seq")
