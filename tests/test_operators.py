@@ -331,8 +331,8 @@ def test_track_text(spark):
     good, bad = text.parse_tracks(spark.createDataFrame(list(enumerate(rows)), "line_no int, value string"))
     assert {r.problem for r in bad.collect()} == {"V-05", "V-07", "V-08", "V-09"}
     assert [r.label for r in good.collect()] == [2]
-    last, _ = text.parse_tracks(spark.createDataFrame(list(enumerate(rows)), "line_no int, value string"), duplicates="last")
-    assert {(r.label, r.end) for r in last.collect()} == {(1, 9), (2, 9)}
+    last, _ = text.parse_tracks(spark.createDataFrame(list(enumerate(rows)), "line_no int, value string"), "downsampler")
+    assert {(r.label, r.end) for r in last.collect()} == {(1, 9), (2, 9), (3, 4), (4, 1)}
 
 
 def test_tiff_round_trip(spark):
