@@ -10,11 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the session's ``spark.checkpoint.dir``, else one below its warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera_scratch").rstrip("/")
+from tessera.sources.shared import shared_dir
 
 
 def _filesystem(spark: SparkSession, path: str):
