@@ -10,6 +10,7 @@ windows. Every piece then finds its place from its rank among the pieces of its
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import as_row
-from .pretokens import token_ids
+from .pretokens import encoder, token_ids
 from .scratch import materialise
 from .words import release_memory, slices
 
@@ -46,18 +47,22 @@ def ranks_path() -> str:
 
 def _cut_udf(json_path: str, ranks: str | None, window: int, end_id: int):
     @F.arrow_udf(PIECES)
-    def cut(text: pa.Array) -> pa.Array:
-        if isinstance(text, pa.ChunkedArray):
-            text = text.combine_chunks()
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         end = np.array([end_id], "<u4")
-        out = []
-        for a, b in slices(text, 1 << 20):
-            for ids in token_ids(text.slice(a, b - a), json_path, ranks):
-                ids = np.concatenate((ids.astype("<u4"), end))
-                n = len(ids)
-                out.append([{"start": s, "length": min(window, n - s), "ids_crc32": zlib.crc32(ids[s : s + window].tobytes()), "doc_tokens": n} for s in range(0, n, window)])
+        for text in batches:
+            if isinstance(text, pa.ChunkedArray):
+                text = text.combine_chunks()
+            out = []
+            for a, b in slices(text, 1 << 20):
+                for ids in token_ids(text.slice(a, b - a), json_path, ranks):
+                    ids = np.concatenate((ids.astype("<u4"), end))
+                    n = len(ids)
+                    out.append([{"start": s, "length": min(window, n - s), "ids_crc32": zlib.crc32(ids[s : s + window].tobytes()), "doc_tokens": n} for s in range(0, n, window)])
+            yield pa.array(out, _PIECES)
+            del out, text
+            release_memory()
+        encoder.cache_clear()  # the worker lives on, into tasks that need no tokenizer
         release_memory()
-        return pa.array(out, _PIECES)
 
     return cut
 

@@ -24,6 +24,9 @@ SPACE, BLANK, LETTER, NUMBER, OTHER = range(5)
 ANYTHING = r"[\s\S]+"
 #: Pieces remembered per worker, and how many are encoded at once.
 MOST_PIECES, AT_ONCE = 400_000, 2048
+#: Columns beside a remembered piece's key.
+FIRST, COUNT, SEEN, SPELT, SIZE = range(5)
+_HIGH, _TOP = np.uint64(0x8080808080808080), np.uint64(1 << 63)
 
 
 def _classes() -> np.ndarray:
@@ -94,6 +97,34 @@ def piece_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _tails() -> np.ndarray:
+    """Masks of the first 0 to 8 bytes of a number."""
+    rows = np.zeros((9, 8), np.uint8)
+    for n in range(9):
+        rows[n, :n] = 0xFF
+    return rows.view(np.uint64)[:, 0]
+
+
+TAILS = _tails()
+
+
+def piece_keys(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key of every piece, and which pieces are hashed.
+
+    A piece of up to eight ASCII characters is its own key, so that equal keys are equal pieces. Others are hashed, with the
+    highest bit set, which no piece of ASCII characters has; the caller compares these.
+    """
+    low = np.minimum(codes, 0xFF).astype(np.uint8)
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((low, np.zeros(8, np.uint8))), 8)
+    size = ends - starts
+    keys = rows[starts].view(np.uint64)[:, 0] & TAILS[np.minimum(size, 8)]
+    hashed = np.flatnonzero((size > 8) | (keys & _HIGH != 0))
+    n = size[hashed]
+    spelt = codes[_ranges(starts[hashed], n)] + np.uint16(1)
+    keys[hashed] = span_hashes(spelt, np.cumsum(n) - n, np.cumsum(n)) | _TOP
+    return keys, hashed
+
+
 class PieceEncoder:
     """Token ids of texts, remembering the ids of pieces by their hash and characters."""
 
@@ -120,47 +151,43 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.seen = np.zeros(0, np.int64)  # calls that used the piece
+        #: Where its ids begin in ``flat`` and how many, calls that used it, and where the characters of a hashed piece begin in ``spelt`` and how many.
+        self.info = np.zeros((0, 5), np.int64)
         self.flat = np.zeros(0, np.uint32)
-        self.spelt = np.zeros(0, np.uint16)  # the pieces' characters
-        self.spelt_first = np.zeros(0, np.int64)
-        self.spelt_count = np.zeros(0, np.int64)
+        self.spelt = np.zeros(0, np.uint16)
 
     def _make_room(self, coming: int) -> None:
         """Forget the pieces used least often, those of one call first."""
         least = 2
         while len(self.keys) and len(self.keys) + coming > MOST_PIECES:
-            keep = self.seen >= least
-            at, n = self.first[keep], self.count[keep]
-            start = np.cumsum(n) - n
-            self.flat = self.flat[_ranges(at, n)]
-            self.keys, self.first, self.count, self.seen = self.keys[keep], start, n, self.seen[keep]
-            at, n = self.spelt_first[keep], self.spelt_count[keep]
-            self.spelt = self.spelt[_ranges(at, n)]
-            self.spelt_first, self.spelt_count = np.cumsum(n) - n, n
+            keep = self.info[:, SEEN] >= least
+            self.keys, self.info = self.keys[keep], self.info[keep]
+            n = self.info[:, COUNT]
+            self.flat = self.flat[_ranges(self.info[:, FIRST], n)]
+            self.info[:, FIRST] = np.cumsum(n) - n
+            n = self.info[:, SIZE]
+            self.spelt = self.spelt[_ranges(self.info[:, SPELT], n)]
+            self.info[:, SPELT] = np.cumsum(n) - n
             least *= 2
 
-    def _learn(self, keys: np.ndarray, pieces: list[str], codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, pieces: list[str], codes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
         count, parts = [], [self.flat]
         for i in range(0, len(pieces), AT_ONCE):
             ids = self._encode(pieces[i : i + AT_ONCE])
             count += map(len, ids)
             parts.append(np.fromiter(chain.from_iterable(ids), np.uint32))
-        count = np.array(count, np.int64)
-        first = len(self.flat) + np.cumsum(count) - count
+        count, held = np.array(count, np.int64), np.where(keys >= _TOP, size, 0)
+        new = np.stack([len(self.flat) + np.cumsum(count) - count, count, np.zeros(len(count), np.int64), len(self.spelt) + np.cumsum(held) - held, held], 1)
         self.flat = np.concatenate(parts)
-        keys = np.concatenate((self.keys, keys))
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.first = np.concatenate((self.first, first))[order]
-        self.count = np.concatenate((self.count, count))[order]
-        self.seen = np.concatenate((self.seen, np.zeros(len(count), np.int64)))[order]
-        size = ends - starts
-        self.spelt_first = np.concatenate((self.spelt_first, len(self.spelt) + np.cumsum(size) - size))[order]
-        self.spelt_count = np.concatenate((self.spelt_count, size))[order]
-        self.spelt = np.concatenate((self.spelt, codes[_ranges(starts, size)]))
+        self.spelt = np.concatenate((self.spelt, codes[_ranges(starts, held)]))
+        # both tables are sorted: every new key has a place among the old ones
+        at = np.searchsorted(self.keys, keys) + np.arange(len(keys))
+        old = np.ones(len(self.keys) + len(keys), bool)
+        old[at] = False
+        merged, info = np.empty(len(old), np.uint64), np.empty((len(old), 5), np.int64)
+        merged[old], merged[at] = self.keys, keys
+        info[old], info[at] = self.info, new
+        self.keys, self.info = merged, info
 
     def _known(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -182,23 +209,22 @@ class PieceEncoder:
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint16)
         starts = piece_starts(codes, text_at[:-1])
         ends = np.concatenate((starts[1:], [len(codes)]))
-        distinct, index, back = np.unique(span_hashes(codes + np.uint16(1), starts, ends), return_index=True, return_inverse=True)
+        size = ends - starts
+        keys, hashed = piece_keys(codes, starts, ends)
+        distinct, index, back = np.unique(keys, return_index=True, return_inverse=True)
         self._make_room(len(distinct))
         known = self._known(distinct)
         if not known.all():
             at = index[~known]
-            self._learn(distinct[~known], [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], codes, starts[at], ends[at])
+            self._learn(distinct[~known], [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], codes, starts[at], size[at])
         slot = np.searchsorted(self.keys, distinct)
-        self.seen[slot] += 1
-        other = _differ(codes, starts, ends, codes, starts[index][back], ends[index][back])
-        if known.any():  # pieces of this call against the remembered ones
-            old, at = slot[known], index[known]
-            strange = np.zeros(len(distinct), bool)
-            strange[known] = _differ(codes, starts[at], ends[at], self.spelt, self.spelt_first[old], self.spelt_first[old] + self.spelt_count[old])
-            other |= strange[back]
-        if other.any():
-            whole[np.unique(np.searchsorted(text_at, starts[other], side="right") - 1)] = True
-        count, first = self.count[slot][back], self.first[slot][back]
+        self.info[slot, SEEN] += 1
+        # hashed pieces against what is remembered under their key, earlier pieces of this call included
+        held = slot[back[hashed]]
+        other = hashed[_differ(codes, starts[hashed], size[hashed], self.spelt, self.info[held, SPELT], self.info[held, SIZE])]
+        if len(other):
+            whole[np.searchsorted(text_at, starts[other], side="right") - 1] = True
+        first, count = self.info[slot, FIRST][back], self.info[slot, COUNT][back]
         total = np.concatenate(([0], np.cumsum(count)))
         ids = self.flat[np.repeat(first - total[:-1], count) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, text_at)], whole
@@ -210,16 +236,15 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - at, count) + np.arange(int(count.sum()))
 
 
-def _differ(a: np.ndarray, a_first: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_first: np.ndarray, b_end: np.ndarray) -> np.ndarray:
-    """Which spans of ``a`` are not the spans of ``b`` beside them, symbol by symbol."""
-    n = a_end - a_first
-    out = n != b_end - b_first
-    todo = np.flatnonzero(~out & (a_first != b_first if a is b else True))
+def _differ(a: np.ndarray, a_first: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_first: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Which spans of ``a`` are not the spans of ``b`` beside them, character by character."""
+    out = a_size != b_size
+    todo = np.flatnonzero(~out)
     step = 1 << 16
     for i in range(0, len(todo), step):
         t = todo[i : i + step]
-        same = a[_ranges(a_first[t], n[t])] == b[_ranges(b_first[t], n[t])]
-        out[t] = ~np.logical_and.reduceat(same, np.cumsum(n[t]) - n[t])
+        same = a[_ranges(a_first[t], a_size[t])] == b[_ranges(b_first[t], b_size[t])]
+        out[t] = ~np.logical_and.reduceat(same, np.cumsum(a_size[t]) - a_size[t])
     return out
 
 

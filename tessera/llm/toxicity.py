@@ -134,7 +134,7 @@ def _candidates(texts: list[str | None], least: float) -> Grams:
     """The n-grams that stand in ``least`` of the texts, and some more: none that does is left out."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int32)
     for _, top in ngrams(texts, lambda h: (np.arange(len(h)), _top(h, SKETCH_BITS))):
-        np.add.at(sketch, top, 1)
+        np.add.at(sketch, top, np.int32(1))  # of the sketch's own type, which takes a tenth of the time
 
     def frequent(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pos = np.flatnonzero(sketch[_top(h, SKETCH_BITS)] >= least)

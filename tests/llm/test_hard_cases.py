@@ -85,10 +85,11 @@ def test_words_that_collide_modulo_two_to_the_64(spark):
 
 def test_pieces_whose_hashes_collide_are_encoded_by_the_tokenizer(monkeypatch):
     monkeypatch.setattr(pretokens, "span_hashes", lambda codes, starts, ends: (ends - starts).astype(np.uint64))
-    texts = ["abc de fgh", "xyz de abc", "qrs tu vw", None, "日本"]
+    long = "abcdefghij" * 9
+    texts = ["abc de fgh", "xyz de abc", "qrs tu vw", None, "日本", "ab\x00c", "é è ab éa èa abcdefgh abcdefghi bcdefghij", f"x {long}y", f"x {long}z", f"x {long[:20]} {long[:19]}q", f"x {long[:19]}q"]
     own = pretokens.PieceEncoder(packing.tokenizer_path(), packing.ranks_path())
     monkeypatch.setattr(pretokens, "encoder", lambda *_: own)
-    for part in (texts, texts[::-1], texts[1:2]):  # later calls meet pieces of earlier ones
+    for part in (texts, texts[::-1], texts[1:2], texts[5:6], texts[6:7], texts[8:]):  # later calls meet pieces of earlier ones
         for t, ids in zip(part, pretokens.token_ids(pa.array(part), "", None), strict=True):
             assert ids.tolist() == own.tokenizer.encode(t or "", add_special_tokens=False).ids
 
