@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licences, nearjoin, packing, quality, sharding, toxicity, urlfilter, warc
+from . import capfilters, centroids, decontaminate, langid, licences, nearjoin, packing, quality, sharding, toxicity, urlfilter, warc
 
 MODULES = {
     "op1_ngram_jaccard_join": nearjoin,
@@ -19,6 +19,8 @@ MODULES = {
     "op8_url_filter": urlfilter,
     "op9_quality_rules": quality,
     "op10_pack": packing,
+    "op11_centroid_clustering": centroids,
+    "op12_vector_near_dedup": capfilters,
 }
 
 
