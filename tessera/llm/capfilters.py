@@ -42,10 +42,10 @@ LONGEST_LIST = 8
 CLOSE = 1e-12
 _FOUND = "is_edge boolean, a bigint, b bigint, links bigint, row_links bigint"
 _PAIRS = 1500
-_CELLS = 1 << 21
+_CELLS = 1 << 19
 
 
-@lru_cache(64)
+@lru_cache(32)
 def product_code(dims: int, bits: int, code: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """A rotation of the space and a codebook of unit vectors for each block of dimensions."""
     rng = np.random.default_rng((77, dims, bits, code))
@@ -102,21 +102,23 @@ def random_pairs(n: int, dims: int, cosine: float, seed: int = 5) -> tuple[np.nd
 def calibrated(dims: int, bits: int, threshold: float, recall: float, codes: int) -> tuple[int, float]:
     """(bits, bound): the tightest bound at which one code joins a random pair at the threshold with the probability that
     makes ``recall`` of all codes, and the bits of the largest code whose lists stay short at it."""
-    wanted = 1 - (1 - recall) ** (1 / codes)
+    wanted = (1 - (1 - recall) ** (1 / codes)) * _PAIRS
     u, v = random_pairs(_PAIRS, dims, threshold)
+    bits = min(bits, 2 * dims)
+
+    def met(bound: float) -> int:
+        (r1, d1), (r2, d2) = list_decode(u, code, bound), list_decode(v, code, bound)
+        return len(np.unique(np.intersect1d((r1 << bits) + d1, (r2 << bits) + d2) >> bits))
+
     while True:
-        code, low, high = product_code(dims, bits, 0), -1.0, 1.0
-        for _ in range(9):
-            bound = (low + high) / 2
-            few = len(list_decode(u[:64], code, bound)[0])
-            if few > 64 * 64 * LONGEST_LIST:
-                low = bound
-                continue
-            (r1, d1), (r2, d2) = list_decode(u, code, bound), list_decode(v, code, bound)
-            met = np.unique(np.intersect1d((r1.astype(np.int64) << bits) + d1, (r2.astype(np.int64) << bits) + d2) >> bits)
-            low, high = (bound, high) if len(met) >= wanted * _PAIRS else (low, bound)
-        if bits == 0 or len(list_decode(u[:256], code, low)[0]) <= 256 * LONGEST_LIST:
-            return bits, low
+        code, high, step = product_code(dims, bits, 0), 1.0, 1 / 16
+        while len(list_decode(u[:32], code, high)[0]) <= 64 * LONGEST_LIST * 32 and met(high) < wanted:  # from above: lists stay short
+            high -= step
+        for _ in range(6):
+            step /= 2
+            high += step if met(high + step) >= wanted else 0.0
+        if bits == 0 or len(list_decode(u[:256], code, high)[0]) <= 256 * LONGEST_LIST:
+            return bits, high - 1e-6  # room for rounding
         bits = max(0, bits - 2)
 
 
