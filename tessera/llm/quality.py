@@ -19,7 +19,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A line is removed above both limits: documents of its host that hold it, and their share of the host's documents.
 MIN_LINE_DOCS = 20
-MAX_LINE_SHARE = 0.1
+MAX_LINE_SHARE = 0.01
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -182,7 +182,7 @@ WITH base AS (
   SELECT host, count(*) AS n_host FROM base GROUP BY host
 ), freq AS (
   SELECT l.host, l.norm FROM lines l JOIN hosts h ON l.host = h.host
-  GROUP BY l.host, l.norm, h.n_host HAVING count(DISTINCT l.rid) > 20 AND count(DISTINCT l.rid) > h.n_host * 0.1
+  GROUP BY l.host, l.norm, h.n_host HAVING count(DISTINCT l.rid) > 20 AND count(DISTINCT l.rid) > h.n_host * 0.01
 ), lost AS (
   SELECT l.rid, sum(length(norm) - length(replace(norm, ' ', '')) + 1) AS n_lost
   FROM lines l SEMI JOIN freq f ON l.host = f.host AND l.norm = f.norm GROUP BY l.rid

@@ -74,7 +74,7 @@ def test_pipeline_equals_plain_python(spark):
     held, hosts = collections.Counter(), collections.Counter(h for *_, h in rows)
     for _, t, h in rows:
         held.update({(h, norm(x)) for x in t.split("\n")} - {(h, "")})
-    cut = {k for k, n in held.items() if n > 20 and n > 0.1 * hosts[k[0]]}
+    cut = {k for k, n in held.items() if n > 20 and n > 0.01 * hosts[k[0]]}
     kept = []
     for d, t, h in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
