@@ -22,7 +22,7 @@ from .joins import as_row, many_to_one
 from .scratch import materialise
 from .words import hash_words, shingle_hashes, slices, string_buffers
 
-#: The bodies of two licences as files and headers carry them.
+#: The bodies and headers of licences as files and headers carry them.
 MIT_TEXT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
     "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
@@ -35,12 +35,17 @@ APACHE_HEADER = (
     "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
 )
+GPL_HEADER = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either {}, or "
+    "(at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+    "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."
+)
 #: Short notices by which licences are stated, by public licence identifier.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004", APACHE_HEADER),
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", MIT_TEXT),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "GNU General Public License Version 3, 29 June 2007"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "GNU General Public License Version 2, June 1991"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "GNU General Public License Version 3, 29 June 2007", GPL_HEADER.format("version 3 of the License")),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "GNU General Public License Version 2, June 1991", GPL_HEADER.format("version 2 of the License")),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted",
         "Licensed under the BSD 3-Clause License.",
@@ -49,7 +54,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
         "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International"),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International"),
@@ -58,8 +66,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 THRESHOLD = 0.6
 LINES = 3
-#: Longest paragraph or file that is a candidate as a whole, in characters; lines and runs of lines have no bound.
-MOST_CHARACTERS = 20_000
 #: Weight of a term that no template has: that of one which every file holds.
 OTHER_IDF = 1.0
 #: Longer candidates are counted by hashes, in bounded memory.
@@ -142,19 +148,14 @@ class Templates:
         starts = [0, *[m.end() for m in re.finditer("\n", text)]]
         most = len(starts) - 1
         at = [*starts, len(text) + 1]
-        blank = [not text[at[i] : at[i + 1] - 1].strip() for i in range(most + 1)] if len(text) <= MOST_CHARACTERS else None
-        seen = {(0, most)} if len(text) <= MOST_CHARACTERS else set()
+        blank = np.array([not text[at[i] : at[i + 1] - 1].strip() for i in range(most + 1)])
+        gaps = np.flatnonzero(blank)
+        seen = {(0, most)}
         for line in lines:
             for first in range(max(0, line - LINES + 1), line + 1):
                 seen.update((first, last) for last in range(line, min(first + LINES, most + 1)))
-            first = last = line
-            limit = MOST_CHARACTERS if blank is None else len(text)
-            while first and at[line] - at[first] <= limit and not (blank[first - 1] if blank else not text[at[first - 1] : at[first] - 1].strip()):
-                first -= 1
-            while last < most and at[last + 1] - at[line] <= limit and not (blank[last + 1] if blank else not text[at[last + 1] : at[last + 2] - 1].strip()):
-                last += 1
-            if at[last + 1] - 1 - at[first] <= MOST_CHARACTERS:
-                seen.add((first, last))
+            k = int(np.searchsorted(gaps, line))  # blank lines before this one; a marked line isn't blank
+            seen.add((int(gaps[k - 1]) + 1 if k else 0, int(gaps[k]) - 1 if k < len(gaps) else most))
         found: tuple[str | None, float] = (None, 0.0)
         for first, last in seen:
             name, score = self.best(text[at[first] : at[last + 1] - 1])

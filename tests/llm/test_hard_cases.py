@@ -173,6 +173,27 @@ def brute_licences(rows):
     return out
 
 
+def test_licence_texts_of_any_length(spark):
+    """A file equal to a long template, and files and paragraphs just below and above the length from which terms are hashed."""
+    body = " ".join(f"clause{i} of the licence grants right{i % 90} to holder{i % 40}" for i in range(620))
+    templates = {"Long-1.0": (body,), "MIT": licences.TEMPLATES["MIT"]}
+    assert len(body) > 29_000
+    held = {t: 1 for t in licences.terms_of(body)}
+    model = licences.Templates(templates, held, 10)
+    wrapped = body.replace(" clause", "\nclause")
+    for text in (body, wrapped, f"intro words here\n\n{wrapped}\n\nmore words"):
+        files = spark.createDataFrame([(1, "a/x", text), (2, "a/y", "plain words")], "doc_id bigint, path string, text string")
+        got = {r.doc_id: (r.licence, r.licence_score) for r in licences.licence_scan(files, templates=templates).collect()}
+        assert got[1][0] == "Long-1.0" and got[1][1] > 0.999 and got[2][0] is None
+    mit = licences.MIT_TEXT
+    for size in (19_999, 20_001, 60_000):
+        text = (mit + "\n") * (size // (len(mit) + 1) + 1)
+        whole = text[:size]
+        scores = [model.best(whole)[1], model.best_long(whole)[1]]
+        assert abs(scores[0] - scores[1]) < 1e-9 and scores[0] > 0.99
+        assert model.scan(whole, [0])[0] == "MIT" and model.scan(whole, [0])[1] >= scores[0] - 1e-9
+
+
 def test_licences_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     notices = [t for ts in licences.TEMPLATES.values() for t in ts]

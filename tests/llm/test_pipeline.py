@@ -51,6 +51,22 @@ def test_stages_keep_the_columns_and_do_their_work(spark, tables):
     assert collections.Counter(r.doc_id for r in packed if r.start == 0) == ids
 
 
+def test_columns_of_the_caller_pass_every_stage(spark, tables):
+    """Columns named as the operators name their own, and a very long text."""
+    root, _ = tables
+    names = ("kept", "qr_stats", "words_left", "base_failed", "toxicity_score", "toxic_predicted", "contamination", "row", "rest", "host", "stays", "bf_maybe")
+    long = spark.createDataFrame([(9000, prose(3, 300_000, 40_000), "en", "h9", 1, "extra")], DOCS + ", k1 string")
+    docs = spark.read.parquet(f"{root}/documents.parquet").unionByName(long).withColumns({n: F.lit("mine") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, root)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert all(r[n] == "mine" for r in rows for n in names), name
+        assert [len(r.text) for r in rows if r.doc_id == 9000] == [len(long.first().text)], name
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert {r.doc_id for r in corpus_pipeline.packing_stage(spark, docs, root).collect()} >= {9000}
+
+
 def test_stages_of_empty_and_odd_tables(spark, tables, tmp_path):
     root, _ = tables
     docs = spark.read.parquet(f"{root}/documents.parquet")
