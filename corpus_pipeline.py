@@ -22,16 +22,28 @@ from tessera.llm.scratch import discard, fresh_path, materialise
 from tessera.llm.toxicity import toxicity
 
 
+def _packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns that a stage works on, and all others in one struct, so that no name can clash with the operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*rest) if rest else F.lit(None)).alias("rest"))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    return df.select(*[F.col(c) if c in used else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are too frequent on their host are cut; documents rejected by the rules go."""
-    judged = quality_rules(docs, with_text="clean").filter("kept").select(*docs.columns)
-    return judged.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else judged
+    judged = quality_rules(_packed(docs, "text", "source"), with_text="clean").filter("kept")
+    kept = _unpacked(judged, docs, "text", "source")
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the labels come from the ``labels`` table."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity(docs, labels).filter("toxic_predicted = 0").select(*docs.columns)
+    return _unpacked(toxicity(_packed(docs, "doc_id", "text"), labels).filter("toxic_predicted = 0"), docs, "doc_id", "text")
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +54,8 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover a twentieth of the words or more go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contamination(docs, items)
-    return found.filter(~verdict(F.col("contamination"))["contaminated"]).select(*docs.columns)
+    found = contamination(_packed(docs, "doc_id", "text"), items)
+    return _unpacked(found.filter(~verdict(F.col("contamination"))["contaminated"]), docs, "doc_id", "text")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
