@@ -146,8 +146,22 @@ class Pairs:
         return g.select(*KEY, "label", (F.col("sy") / F.col("n")).alias("cy"), (F.col("sx") / F.col("n")).alias("cx"))
 
 
-def _text(*parts: str | Column) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("None")) for p in parts])
+#: Sentences of a report's details; {} takes the next value, and an absent one reads None.
+DETAILS = {
+    "extra": "Marker-based check; confirm visually if GT TRA markers are sparse.",
+    "merge": "{} GT labels matched one result label.",
+    "split": "{} result labels cover one GT marker/segment.",
+    "iou": "Computed against GT SEG frame.",
+    "switch": "Previous result label was {} at frame {}.",
+    "fragments": "GT track matched {} result IDs over time.",
+    "jump": "Threshold=%.2f; median_step=%.2f.",
+    "parent": "Expected result parent {}, observed {}.",
+    "mapping": "GT parent={}; res_child={}; res_parent={}.",
+}
+
+
+def _filled(sentence: str, *values: Column) -> Column:
+    return F.format_string(DETAILS[sentence].replace("{}", "%s"), *[F.coalesce(v.cast("string"), F.lit("None")) for v in values])
 
 
 def _event(df: DataFrame, kind: str | Column, gt: str, res: str, score: Column, details: Column, *place: int | str) -> DataFrame:
@@ -164,38 +178,39 @@ def events(gt: DataFrame, res: DataFrame, gt_tracks: DataFrame, res_tracks: Data
     """All twelve kinds of events: (seq, frame, event_type, gt_id, res_id, score, details, place) [O-124].
 
     ``gt`` are markers. ``seg`` are full outlines, where annotated: IoU events come from the frames that
-    it has; None: the markers are full outlines themselves. A sequence whose markers share no frame with the result
+    it has; None: nothing is annotated, so there are no IoU events. A sequence whose markers share no frame with the result
     is judged by ``seg`` alone. Scores stay numeric; text formatting is the sink's.
     """
     if seg is not None:
         frames = common_frames(gt, res, seg)
         gt = choose_truth(gt.join(frames, KEY, "left_semi"), seg.join(frames, KEY, "left_semi"))
     pairs = Pairs(pixel_counts(gt, res))
-    outlines = pairs if seg is None else Pairs(pixel_counts(seg.join(gt.select(*KEY).distinct(), KEY, "left_semi"), res))
+    outlines = None if seg is None else Pairs(pixel_counts(seg.join(gt.select(*KEY).distinct(), KEY, "left_semi"), res))
     m = pairs.best("a", "b").withColumnsRenamed({"a": "gt", "best": "res"}).withColumn("matched", (F.col("res") > 0) & (F.col("coverage") >= limits.coverage))
     m = written_once(m, "matches")
     good = m.filter("matched")
-    none, empty, zero = F.lit(None), F.lit(""), F.lit(0.0)
-    against = F.lit("Computed against GT SEG frame.")
+    none, empty, zero, says = F.lit(None), F.lit(""), F.lit(0.0), DETAILS
     split = pairs.parts(limits.split).groupBy(*KEY, F.col("a").alias("gt")).agg(F.sort_array(F.collect_list("b")).alias("ids")).filter(F.size("ids") > 1)
     fragments = good.groupBy("seq", "gt").agg(F.min("frame").alias("frame"), F.sort_array(F.collect_set("res")).alias("ids")).filter(F.size("ids") > 1)
     merged = good.groupBy(*KEY, "res").agg(F.sort_array(F.collect_list("gt")).alias("ids")).filter(F.size("ids") > 1)
     joined = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
     d = divisions(gt_tracks, m, res_tracks).filter("outcome <> 'ok'").withColumn("res_id", F.when(F.col("outcome") == "wrong_division_parent", F.col("res_child")))
-    mapping = F.when(F.col("outcome") == "wrong_division_parent", _text("Expected result parent ", F.col("res_parent"), ", observed ", F.col("found_parent"), ".")).otherwise(_text("GT parent=", F.col("parent"), "; res_child=", F.col("res_child"), "; res_parent=", F.col("res_parent"), "."))
+    mapping = F.when(F.col("outcome") == "wrong_division_parent", _filled("parent", F.col("res_parent"), F.col("found_parent"))).otherwise(_filled("mapping", F.col("parent"), F.col("res_child"), F.col("res_parent")))
     parts = [
         _event(m.filter("res = 0"), "missed_gt_object", "gt", "", zero, empty, 0, "frame", 0),
         _event(m.filter(f"res > 0 and coverage < {limits.coverage}"), "low_gt_marker_coverage", "gt", "res", F.col("coverage"), empty, 0, "frame", 0),
-        _event(pairs.best("b", "a").filter("best = 0"), "extra_result_no_gt_marker", "", "b", zero, F.lit("Marker-based check; confirm visually if GT TRA markers are sparse."), 0, "frame", 1),
-        _event(merged.withColumn("gt_ids", joined), "many_gt_to_one_result_merge", "gt_ids", "res", none, _text(F.size("ids"), " GT labels matched one result label."), 0, "frame", 2),
-        _event(split.withColumn("res_ids", joined), "one_gt_to_many_results_split", "gt", "res_ids", none, _text(F.size("ids"), " result labels cover one GT marker/segment."), 0, "frame", 3),
-        _event(outlines.best_iou("a").filter(F.col("iou") < limits.iou), "low_segmentation_iou", "label", "", F.col("iou"), against, 0, "frame", 4),
-        _event(outlines.best_iou("b").filter(F.col("iou") < limits.iou), "extra_or_low_iou_result_object", "", "label", F.col("iou"), against, 0, "frame", 5),
-        _event(id_switches(m), "id_switch", "gt", "res", none, _text("Previous result label was ", F.col("res_before"), " at frame ", F.col("frame") - 1, "."), 1, "gt", "frame"),
-        _event(fragments.withColumn("res_ids", joined), "fragmented_gt_track", "gt", "res_ids", none, _text("GT track matched ", F.size("ids"), " result IDs over time."), 1, "gt", 1 << 30),
-        _event(jumps(steps(pairs.result_objects()), limits), "suspicious_centroid_jump", "", "label", F.col("step"), F.format_string("Threshold=%.2f; median_step=%.2f.", "threshold", "median"), 2, "label", "frame"),
+        _event(pairs.best("b", "a").filter("best = 0"), "extra_result_no_gt_marker", "", "b", zero, F.lit(says["extra"]), 0, "frame", 1),
+        _event(merged.withColumn("gt_ids", joined), "many_gt_to_one_result_merge", "gt_ids", "res", none, _filled("merge", F.size("ids")), 0, "frame", 2),
+        _event(split.withColumn("res_ids", joined), "one_gt_to_many_results_split", "gt", "res_ids", none, _filled("split", F.size("ids")), 0, "frame", 3),
+        _event(id_switches(m), "id_switch", "gt", "res", none, _filled("switch", F.col("res_before"), F.col("frame") - 1), 1, "gt", "frame"),
+        _event(fragments.withColumn("res_ids", joined), "fragmented_gt_track", "gt", "res_ids", none, _filled("fragments", F.size("ids")), 1, "gt", 1 << 30),
+        _event(jumps(steps(pairs.result_objects()), limits), "suspicious_centroid_jump", "", "label", F.col("step"), F.format_string(says["jump"], "threshold", "median"), 2, "label", "frame"),
         _event(d, F.col("outcome"), "child", "res_id", none, mapping, 3, "child", 0),
     ]
+    if outlines is not None:
+        against = F.lit(says["iou"])
+        parts.append(_event(outlines.best_iou("a").filter(F.col("iou") < limits.iou), "low_segmentation_iou", "label", "", F.col("iou"), against, 0, "frame", 4))
+        parts.append(_event(outlines.best_iou("b").filter(F.col("iou") < limits.iou), "extra_or_low_iou_result_object", "", "label", F.col("iou"), against, 0, "frame", 5))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -99,12 +99,10 @@ def time_axis(shape: tuple[int, ...], wanted: str = "auto") -> int:
     others, else the last of three.
     """
     if wanted != "auto":
-        axis = {"first": 0, "last": len(shape) - 1}.get(wanted)
-        axis = int(wanted) if axis is None else axis
-        axis += len(shape) if axis < 0 else 0
-        if not 0 <= axis < len(shape):
+        places = {str(i - n): i for n in (0, len(shape)) for i in range(len(shape))} | {"first": 0, "last": len(shape) - 1}
+        if wanted not in places:
             raise ValueError(f"{wanted} is no axis of {len(shape)}")
-        return axis
+        return places[wanted]
     if len(shape) != 3:
         raise ValueError(f"a stack has three axes, not {len(shape)}")
     least = min(range(3), key=lambda i: (shape[i], i))

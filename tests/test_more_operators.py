@@ -67,8 +67,7 @@ def test_events_use_outlines_where_annotated(spark):
     res = spark.createDataFrame(box(0, 1, 4, 4) + box(1, 1, 4, 4), PIXELS)
     seg = spark.createDataFrame(box(1, 1, 4, 4, 4, 2), PIXELS)
     t = spark.createDataFrame([("01", 1, 0, 1, 0)], TRACKS)
-    own = failures.events(gt, res, t, t).collect()
-    assert {(r.frame, r.event_type) for r in own} == {(f, k) for f in (0, 1) for k in ("low_segmentation_iou", "extra_or_low_iou_result_object")}
+    assert failures.events(gt, res, t, t).count() == 0  # nothing annotated: markers alone say nothing of outlines
     assert failures.events(gt, res, t, t, seg=seg).count() == 0  # half covered, and frame 0 has no outline
     thin = spark.createDataFrame(box(1, 1, 4, 4, 4, 1), PIXELS)
     assert {(r.frame, r.score) for r in failures.events(gt, res, t, t, seg=thin).collect()} == {(1, 0.25)}
