@@ -122,9 +122,25 @@ def track_color(label: Column) -> tuple[Column, Column, Column]:
 
 
 def short_number(value: Column) -> Column:
-    """Up to 12 significant digits without closing zeros, as '%.12g' for ordinary magnitudes [O-37, Q25]."""
-    text = F.format_string("%.12f", value.cast("double"))
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """'%.12g' of a number: twelve significant digits without closing zeros, in exponent form below 1e-4 and from 1e12 on [O-37, Q25].
+
+    Null stays null; nan, inf and -inf read so; a zero keeps its sign. Subnormal numbers have fewer digits here.
+    """
+    v = value.cast("double")
+    said = F.format_string("%.11e", v)  # d.ddddddddddde±dd: rounded to twelve digits, so the exponent is the final one
+    sign = F.when(said.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    digits = F.replace(F.replace(F.substring_index(said, "e", 1), F.lit(".")), F.lit("-"))
+    power = F.substring_index(said, "e", -1).try_cast("int")
+
+    def joined(whole: Column, rest: Column) -> Column:
+        rest = F.rtrim(rest, F.lit("0"))
+        return F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
+
+    scientific = F.concat(joined(F.substring(digits, 1, 1), F.substring(digits, 2, 11)), F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    above = joined(F.substring(digits, F.lit(1), power + 1), F.substring(digits, power + 2, F.lit(12)))
+    below = joined(F.lit("0"), F.concat(F.repeat(F.lit("0"), -power - 1), digits))
+    text = F.concat(sign, F.when((power < -4) | (power >= 12), scientific).when(power >= 0, above).otherwise(below))
+    return F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf").when(v.isNotNull(), text)
 
 
 def fixed_number(value: Column, digits: int) -> Column:

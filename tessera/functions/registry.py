@@ -39,7 +39,12 @@ FUNCTIONS = (
     r"""CREATE OR REPLACE TEMPORARY FUNCTION ctc_digits(name STRING) RETURNS INT
         RETURN nullif(length(regexp_extract(name, '(?i)^(mask|t|man_track|man_seg)(\\d+)\\.tiff?$', 2)), 0)""",
     r"""CREATE OR REPLACE TEMPORARY FUNCTION fmt_g12(value DOUBLE) RETURNS STRING
-        RETURN regexp_replace(regexp_replace(format_string('%.12f', value), '(\\.\\d*?)0+$', '$1'), '\\.$', '')""",
+        RETURN (SELECT CASE WHEN isnan(value) THEN 'nan' WHEN abs(value) = double('inf') THEN CASE WHEN value > 0 THEN 'inf' ELSE '-inf' END ELSE concat(sign, rtrim('.', CASE
+            WHEN power < -4 OR power >= 12 THEN concat(rtrim('.', rtrim('0', concat(left(digits, 1), '.', substring(digits, 2)))), CASE WHEN power < 0 THEN 'e-' ELSE 'e+' END, lpad(abs(power), greatest(length(abs(power)), 2), '0'))
+            WHEN power >= 0 THEN rtrim('0', concat(left(digits, power + 1), '.', substring(digits, power + 2)))
+            ELSE rtrim('0', concat('0.', repeat('0', -power - 1), digits, '0')) END)) END
+          FROM (SELECT replace(replace(substring_index(said, 'e', 1), '.'), '-') AS digits, try_cast(substring_index(said, 'e', -1) AS INT) AS power, CASE WHEN said LIKE '-%' THEN '-' ELSE '' END AS sign
+                FROM (SELECT format_string('%.11e', value) AS said)))""",
     r"""CREATE OR REPLACE TEMPORARY FUNCTION dilate3(y INT, x INT) RETURNS TABLE (ny INT, nx INT)
         RETURN SELECT y + dy, x + dx FROM VALUES (-1), (0), (1) AS a(dy) CROSS JOIN VALUES (-1), (0), (1) AS b(dx) WHERE y + dy >= 0 AND x + dx >= 0""",
 )

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shapes
 from .raster import KEY
 
 _AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
@@ -77,25 +78,68 @@ def orientation(pixels: DataFrame) -> DataFrame:
     return g.select(*KEY, "label", (F.atan2((2 * F.col("c")).cast("double"), (F.col("vy") - F.col("vx")).cast("double")) / 2).alias("angle"))
 
 
-def _box(mask: np.ndarray, k: int, grow: bool) -> np.ndarray:
-    """k x k dilation or erosion by running sums over both axes."""
-    out = mask.astype(np.int64)
-    r = k // 2
-    for axis in (0, 1):
-        padded = np.pad(out, [(r, r) if a == axis else (0, 0) for a in (0, 1)], constant_values=0 if grow else 1)
-        total = np.cumsum(np.insert(padded, 0, 0, axis=axis), axis=axis)
-        window = np.take(total, range(k, total.shape[axis]), axis) - np.take(total, range(total.shape[axis] - k), axis)
-        out = (window > 0 if grow else window == k).astype(np.int64)
-    return out.astype(bool)
-
-
 def box_morphology(pixels: DataFrame, height: int, width: int, k: int, operation: str = "dilate") -> DataFrame:
     """Dilation or erosion of the foreground by a k x k square; outside the image neither grows nor eats [O-130]."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         mask = np.zeros((height, width), bool)
         mask[frame["y"], frame["x"]] = True
-        y, x = np.nonzero(_box(mask, k, operation == "dilate"))
+        y, x = np.nonzero(shapes.box(mask, k, operation == "dilate"))
         return pd.DataFrame({"seq": frame["seq"].iloc[0], "frame": frame["frame"].iloc[0], "y": y, "x": x})
 
     return pixels.groupBy(*KEY).applyInPandas(run, "seq string, frame int, y int, x int")
+
+
+def skeletons(pixels: DataFrame) -> DataFrame:
+    """The thinned pixels of every object; a group is one frame, an object is thinned in its own box [O-132]."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for label, own in frame.groupby("label"):
+            top, left = own["y"].min(), own["x"].min()
+            mask = np.zeros((own["y"].max() - top + 1, own["x"].max() - left + 1), bool)
+            mask[own["y"] - top, own["x"] - left] = True
+            y, x = np.nonzero(shapes.skeleton(mask))
+            parts.append(pd.DataFrame({"seq": frame["seq"].iloc[0], "frame": frame["frame"].iloc[0], "y": y + top, "x": x + left, "label": label}))
+        return pd.concat(parts)
+
+    return pixels.select("seq", "frame", "y", "x", "label").groupBy(*KEY).applyInPandas(run, "seq string, frame int, y int, x int, label int")
+
+
+def line_offsets(angle: Column, length: int) -> Column:
+    """The (dy, dx) places of a line of odd ``length`` along the second axis, turned by ``angle``, as an array."""
+    r = length // 2
+    reach = F.sequence(F.lit(-r), F.lit(r))
+    places = F.flatten(F.transform(reach, lambda dy: F.transform(reach, lambda dx: F.struct(dy.alias("dy"), dx.alias("dx")))))
+    c, s = F.cos(angle), F.sin(angle)
+
+    def on(p: Column) -> Column:
+        return (F.floor(c * p["dy"] + s * p["dx"] + 0.5) == 0) & (F.abs(c * p["dx"] - s * p["dy"]) <= r + 1e-9)
+
+    return F.filter(places, on)
+
+
+def line_dilation(pixels: DataFrame, angles: DataFrame, length: int, height: int, width: int) -> DataFrame:
+    """Every object dilated by a line turned to the object's own angle (seq, frame, label, angle), inside the image [O-130].
+
+    The element is made once an object and meets its pixels by equality.
+    """
+    elements = angles.select(*KEY, "label", F.explode(line_offsets(F.col("angle"), length)).alias("o"))
+    moved = pixels.join(elements, [*KEY, "label"]).select(*KEY, "label", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
+    return moved.filter(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+
+
+def new_branch_labels(shape: DataFrame, old_shape: DataFrame, under: DataFrame) -> DataFrame:
+    """(seq, frame, label, labels): labels of ``under`` within one step of the branch points of an object's skeleton, but for
+    those near branch points of its old shape's skeleton [O-127]. ``under``: the pixels that the objects lie on."""
+
+    def near(pixels: DataFrame, name: str) -> DataFrame:
+        from .raster import PIXEL, dilate
+
+        at = dilate(neighbour_counts(skeletons(pixels)).filter("branch").select(*PIXEL, "label"))
+        met = at.join(under.select(*PIXEL, F.col("label").alias("u")), PIXEL)
+        return met.groupBy(*KEY, "label").agg(F.sort_array(F.collect_set("u")).alias(name))
+
+    both = near(shape, "new").join(near(old_shape, "old"), [*KEY, "label"], "left")
+    left = F.array_except("new", F.coalesce("old", F.array().cast("array<int>")))
+    return both.select(*KEY, "label", left.alias("labels")).filter(F.size("labels") > 0)

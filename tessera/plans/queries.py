@@ -721,7 +721,7 @@ def flagship(m: Masks) -> DataFrame:
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    from . import file_queries  # noqa: F401  registers its own
+    from . import file_queries, shape_queries  # noqa: F401  register their own
 
     return _QUERIES
 
