@@ -110,22 +110,22 @@ def pixel_counts(gt: DataFrame, res: DataFrame) -> DataFrame:
     """(seq, frame, a, b, n, sy, sx): pixels of every pair of labels in place, null where one side has none [O-51 … O-53].
 
     One shuffle by pixel; both areas, every overlap and both sides' centroids come from this table, whose
-    size goes with the objects. It is written once.
+    size goes with the objects.
     """
     none = F.lit(None).cast("int")
     sides = gt.select(*raster.PIXEL, F.col("label").alias("a"), none.alias("b")).unionByName(res.select(*raster.PIXEL, none.alias("a"), F.col("label").alias("b")))
     cells = sides.groupBy(*raster.PIXEL).agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    return written_once(cells.groupBy(*KEY, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum("x").alias("sx")), "pixel-counts")
+    return cells.groupBy(*KEY, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum("x").alias("sx"))
 
 
 class Pairs:
-    """What ``pixel_counts`` says of frames that both sides have."""
+    """What ``pixel_counts`` says of frames that both sides have; written once, since every kind of event reads it."""
 
     def __init__(self, counts: DataFrame):
         frame = Window.partitionBy(*KEY)
         both = counts.withColumns({"in_a": F.count("a").over(frame), "in_b": F.count("b").over(frame)}).filter("in_a > 0 and in_b > 0")
         areas = {"a_area": F.sum("n").over(Window.partitionBy(*KEY, "a")), "b_area": F.sum("n").over(Window.partitionBy(*KEY, "b"))}
-        self.table = both.withColumns(areas)
+        self.table = written_once(both.withColumns(areas), "pixel-counts")
 
     def best(self, own: str, other: str) -> DataFrame:
         """Best cover of every label of one side, as ``raster.best_overlap``: (seq, frame, own, best, n, coverage)."""

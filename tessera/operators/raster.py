@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written_once
+
 KEY = ["seq", "frame"]
 PIXEL = [*KEY, "y", "x"]
 #: The 3 x 3 neighbourhood.
@@ -131,11 +133,10 @@ def contacts(pixels: DataFrame) -> DataFrame:
     touch_prev counts previous pixels under the dilated current object, touch_curr current pixels
     under the dilated previous object.
     """
+    grown = written_once(dilate(pixels), "grown")  # of both frames: each is the one before for the next
     prev = pixels.select("seq", (F.col("frame") + 1).alias("frame"), "y", "x", F.col("label").alias("prev_label"))
-    grown = dilate(pixels).withColumnRenamed("label", "curr_label")
-    touch_prev = grown.join(prev, PIXEL).groupBy(*KEY, "prev_label", "curr_label").agg(F.count(F.lit(1)).alias("touch_prev"))
-    shifted = pixels.withColumn("frame", F.col("frame") + 1)
-    grown_prev = dilate(shifted).withColumnRenamed("label", "prev_label")
+    touch_prev = grown.withColumnRenamed("label", "curr_label").join(prev, PIXEL).groupBy(*KEY, "prev_label", "curr_label").agg(F.count(F.lit(1)).alias("touch_prev"))
+    grown_prev = grown.select("seq", (F.col("frame") + 1).alias("frame"), "y", "x", F.col("label").alias("prev_label"))
     touch_curr = grown_prev.join(pixels.withColumnRenamed("label", "curr_label"), PIXEL).groupBy(*KEY, "prev_label", "curr_label").agg(F.count(F.lit(1)).alias("touch_curr"))
     return touch_prev.join(touch_curr, [*KEY, "prev_label", "curr_label"])
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written_once
+
 from . import raster
 
 ASSIGNED = "seq string, frame int, label int, track int"
@@ -21,21 +23,18 @@ ASSIGNED = "seq string, frame int, label int, track int"
 def overlap_table(pixels: DataFrame, opened: DataFrame, meta: DataFrame) -> DataFrame:
     """One row per frame: segments, surviving openings and overlap counts at lags 1 and 2.
 
-    ``meta`` names every frame, so that empty frames are rows too.
+    ``meta`` names every frame, so that empty frames are rows too. One join counts both lags, whole and opened.
     """
-    kept = opened.select("seq", "frame", "label").distinct().groupBy("seq", "frame").agg(F.sort_array(F.collect_list("label")).alias("opened"))
-    segments = pixels.groupBy("seq", "frame").agg(F.sort_array(F.collect_set("label")).alias("segments"))
-    parts = []
-    for lag in (1, 2):
-        for kind, source in (("whole", pixels), ("open", opened)):
-            before = source.select("seq", (F.col("frame") + lag).alias("frame"), "y", "x", F.col("label").alias("prev"))
-            n = before.join(pixels, raster.PIXEL).groupBy("seq", "frame", "prev", "label").agg(F.count(F.lit(1)).alias("n"))
-            parts.append(n.select("seq", "frame", F.struct(F.lit(lag).alias("lag"), F.lit(kind).alias("kind"), "prev", "label", F.col("n").cast("int").alias("n")).alias("o")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    kept = opened.select(*raster.PIXEL, "label", F.lit(True).alias("open"))
+    marked = written_once(pixels.join(kept, [*raster.PIXEL, "label"], "left").select(*raster.PIXEL, "label", F.coalesce("open", F.lit(False)).alias("open")), "opened")
+    once = marked.groupBy("seq", "frame", "label").agg(F.max("open").alias("open")).groupBy("seq", "frame")
+    segments = once.agg(F.sort_array(F.collect_list("label")).alias("segments"), F.sort_array(F.collect_list(F.when(F.col("open"), F.col("label")))).alias("opened"))
+    before = marked.select("seq", "frame", "y", "x", F.col("label").alias("prev"), "open", F.explode(F.array(F.lit(1), F.lit(2))).alias("lag")).withColumn("frame", F.col("frame") + F.col("lag"))
+    met = before.join(marked.drop("open"), raster.PIXEL).groupBy("seq", "frame", "lag", "prev", "label").agg(F.count(F.lit(1)).cast("int").alias("whole"), F.count_if("open").cast("int").alias("open"))
+    counts = F.array(*[F.struct("lag", F.lit(k).alias("kind"), "prev", "label", F.col(k).alias("n")) for k in ("whole", "open")])
+    rows = met.select("seq", "frame", F.explode(F.filter(counts, lambda o: o["n"] > 0)).alias("o"))
     overlaps = rows.groupBy("seq", "frame").agg(F.collect_list("o").alias("overlaps"))
-    return meta.select("seq", "frame").distinct().join(segments, ["seq", "frame"], "left").join(kept, ["seq", "frame"], "left").join(overlaps, ["seq", "frame"], "left")
+    return meta.select("seq", "frame").distinct().join(segments, ["seq", "frame"], "left").join(overlaps, ["seq", "frame"], "left")
 
 
 class StrictTracker:
@@ -99,6 +98,7 @@ def strict_tracks(pixels: DataFrame, height: int, width: int, meta: DataFrame |
     A new object owns only what is left of its segment after opening; a segment that opens to
     nothing is not tracked when new. A lost id is kept for one missing frame.
     """
+    pixels = written_once(pixels.select(*raster.PIXEL, "label"), "segments")
     meta = meta if meta is not None else pixels.select("seq", "frame").distinct()
     table = overlap_table(pixels, raster.open_labels(pixels, height, width), meta)
     return table.groupBy("seq").applyInPandas(track_sequence, ASSIGNED)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written_once
+
 from .tracks import CAPACITY, label_frames, spans
 
 KEY = ["seq", "frame"]
@@ -53,8 +55,9 @@ def violations(pixels: DataFrame, tracks: DataFrame, source_frames: DataFrame |
     """All violations of a result's masks and track table [V-03 … V-16].
 
     ``source_frames``: (seq, frame) of the images; ``meta``: (seq, frame, height, width, dtype); masks of another type
-    than ``dtype`` are violations.
+    than ``dtype`` are violations. Pixels are read once: every rule works on the labels of each frame, which are written out.
     """
+    pixels = written_once(label_frames(pixels), "label-frames")
     out = [
         _row(missing_frames(pixels), "V-03", F.col("frame"), F.lit("missing frame")),
         _row(tracks.filter((F.col("label") <= 0) | (F.col("label") > CAPACITY)), "V-06", F.col("label"), F.lit("label out of range")),
