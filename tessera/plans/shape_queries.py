@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import naming
-from tessera.operators import loose_tracker, morphology, resample
+from tessera.operators import loose_tracker, morphology, raster, resample, tracker
+from tessera.sources.shared import shared_dir
+from tessera.streaming import tracking
 
 from .queries import HEIGHT, WIDTH, Masks, query, r6
 
@@ -92,3 +96,13 @@ def short_numbers(m: Masks) -> DataFrame:
     """[O-37]"""
     rows = m.table("lineitem").withColumn("e", (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 41 - 20)
     return rows.select("l_orderkey", "l_linenumber", "e", naming.short_number(F.col("l_extendedprice") * F.pow(F.lit(10.0), F.col("e"))).alias("short"))
+
+
+@query()
+def streamed_tracker(m: Masks) -> DataFrame:
+    """The strict tracker on a stream that replays the masks, frames of a file in any order [O-157]."""
+    table = tracker.overlap_table(m.res, raster.open_labels(m.res, HEIGHT, WIDTH), m.res.select(*K).distinct())
+    folder = f"{shared_dir(m.spark)}/tessera-stream-{uuid.uuid4().hex}"
+    table.repartition(4, F.xxhash64("frame")).write.parquet(f"{folder}/frames")
+    tracking.track_files(m.spark, f"{folder}/frames", f"{folder}/tracked", f"{folder}/checkpoint", table.schema, files_each_batch=2)
+    return m.spark.read.schema(tracker.ASSIGNED).parquet(f"{folder}/tracked")

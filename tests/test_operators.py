@@ -344,21 +344,3 @@ def test_tiff_round_trip(spark):
     assert {(r.y, r.x, r.label) for r in tiff.read_masks(files).collect()} == {(1, 2, 9), (4, 6, 65535)}
     with pytest.raises(ValueError):
         tiff.decode(b"PNG.....")
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    rng = np.random.default_rng(1)
-    px = [("01", f, int(y), int(x), int(k)) for f in range(6) for k in range(1, 4) for y in range(6 * k, 6 * k + 4) for x in range(f, f + 5) if rng.random() < 0.97 and (f + k) % 5]
-    pixels = spark.createDataFrame(px, PIXELS)
-    table = tracker.overlap_table(pixels, raster.open_labels(pixels, 40, 40), pixels.select("seq", "frame").distinct())
-    want = {tuple(r) for r in table.groupBy("seq").applyInPandas(tracker.track_sequence, tracker.ASSIGNED).collect()}
-    from tessera.streaming.tracking import track_stream
-
-    rows = sorted(table.collect(), key=lambda r: -r.frame)  # latest first: the state has to wait
-    for i, part in enumerate((rows[:3], rows[3:])):
-        spark.createDataFrame(part, table.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    q = track_stream(stream).writeStream.format("memory").queryName("tracked").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
-    q.processAllAvailable()
-    q.stop()
-    assert {tuple(r) for r in spark.table("tracked").collect()} == want
