@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import hash_of, in_sample
+from .scratch import materialise
 from .words import release_memory, slices
 
 ORDERS = (3, 4, 5, 6)
@@ -23,6 +24,8 @@ DIRECT_BITS, SKETCH_BITS = 20, 24
 THRESHOLD = 0.3
 #: Most labelled rows of each label that the classifier is fitted on (those with the least row hashes).
 MOST_POSITIVE, MOST_NEGATIVE = 1500, 3500
+#: Most bytes of their texts. Rows are taken by their hashes; one that would exceed this is passed over.
+MOST_BYTES = 64 << 20
 #: An n-gram must stand in this share of the fitted texts, but no fewer than the first and no more than the second bound.
 MIN_SHARE, MIN_TEXTS = 0.003, (5, 20)
 _BLOCK = 128
@@ -223,11 +226,20 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     for label, most in limit.items():
         chosen = chosen | ((F.col("tx_label") == label) & in_sample("doc_id", "toxic", most, sizes.get(label, 0)))
     picked = truth.filter(chosen).withColumn("tx_order", hash_of("doc_id", "toxic"))
-    # one text for each chosen id: about MARGIN times the bounds at most
+    # one text for each chosen id: about MARGIN times the bounds at most. Their sizes say which texts come to the driver
     found = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "tx_label", "tx_order").agg(F.max(F.col(text)).alias("tx_text"))
-    ranked, rows = sorted(found.collect(), key=lambda r: (r.tx_order, r.doc_id)), []
-    for label, most in limit.items():
-        rows += [r for r in ranked if r.tx_label == label][:most]
+    found = materialise(found.withColumn("tx_bytes", F.coalesce(F.octet_length("tx_text"), F.lit(0))), "labelled")
+    chosen_ids, room = [], MOST_BYTES
+    left = dict(limit)
+    for r in sorted(found.select("doc_id", "tx_label", "tx_order", "tx_bytes").collect(), key=lambda r: (r.tx_order, r.doc_id)):
+        if left[r.tx_label] and r.tx_bytes <= room:
+            chosen_ids.append((r.doc_id,))
+            left[r.tx_label] -= 1
+            room -= r.tx_bytes
+    wanted = docs.sparkSession.createDataFrame(chosen_ids, found.select("doc_id").schema)
+    ranked, rows = sorted(found.join(F.broadcast(wanted), "doc_id", "left_semi").collect(), key=lambda r: (r.tx_order, r.doc_id)), []
+    for label in limit:
+        rows += [r for r in ranked if r.tx_label == label]
     rows = list({r.tx_text: r for r in rows[::-1]}.values())  # copies teach once, as toxic if any is
     y = np.array([r.tx_label for r in rows], np.int64)
     taken = {label: min(n, limit.get(label, n)) for label, n in sizes.items()}
@@ -240,10 +252,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
 def score_column(model: Model, text: Column) -> Column:
     """Score of every whole text, from 0 to 1; null is scored as the empty text."""
     keys, weights, bias = model.keys, model.weights, model.bias
+    held: list[Model] = []  # the look-up table of a task, built once
 
     @F.arrow_udf("double")
     def toxic(texts: pa.Array) -> pa.Array:
-        own = Model(keys, weights, bias)
+        own = held[0] if held else Model(keys, weights, bias)
+        held[:] = [own]
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         parts = [own.score(texts.slice(a, b - a).to_pylist()) for a, b in slices(texts, 2 << 20)]
