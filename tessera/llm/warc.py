@@ -242,11 +242,13 @@ def write_archives(pages: DataFrame, directory: str, page_id: str = "page_id", u
         order = Window.partitionBy("wa_sha1", "wa_part").orderBy("wa_bytes")
         tied = single.filter(F.col("wa_twins").isNotNull() & F.col("wa_first")).drop("wa_html").withColumn("wa_part", F.spark_partition_id())
         tied = materialise(tied.withColumn("wa_rank", F.row_number().over(order)), "twins")
-        first = tied.groupBy("wa_sha1").agg(F.min("wa_part").alias("wa_least"))
-        tied = tied.join(first, "wa_sha1").withColumn("wa_first", (F.col("wa_part") == F.col("wa_least")) & (F.col("wa_rank") == 1))
+        first = materialise(tied.groupBy("wa_sha1").agg(F.min("wa_part").alias("wa_least"), F.count(F.lit(1)).alias("jn_rows")), "first-twins")
+        tied = many_to_one(tied, first, ["wa_sha1"])
+        tied = tied.withColumn("wa_first", (F.col("wa_part") == F.col("wa_least")) & (F.col("wa_rank") == 1))
         tied = tied.withColumn("wa_refers", F.when(~F.col("wa_first") & F.col("wa_keeper.k"), F.col("wa_keeper.id")))
+        # only the one first row of a payload gets it
         texts = rows.join(same.filter(F.col("wa_twins").isNotNull()).select("wa_sha1"), "wa_sha1", "left_semi").groupBy("wa_sha1").agg(F.max("wa_html").alias("wa_html"))
-        tied = tied.join(texts, "wa_sha1").withColumn("wa_html", F.when(F.col("wa_first"), F.col("wa_html")))
+        tied = tied.filter("wa_first").join(texts, "wa_sha1").select(*columns).unionByName(tied.filter("not wa_first").withColumn("wa_html", F.lit(None).cast("string")).select(*columns))
         out = plain.select(*columns).unionByName(tied.select(*columns))
     out = out.withColumn("wa_html", F.when(F.col("wa_first"), F.col("wa_html")))
     return materialise(out.mapInArrow(_write_partition(directory, archive_bytes), MANIFEST), "manifest")
