@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import WORDS, block_of, bloom_table, blocks_for, holds
-from .joins import as_row
+from .joins import as_row, many_to_one
 from .scratch import materialise
 
 #: (action, host, path). The longest fitting rule wins.
@@ -87,7 +87,9 @@ def url_filter(pages: DataFrame, listed: DataFrame, url: str = "url", listed_url
     if (size or 0) <= small_list:
         out = probed.join(F.broadcast(found), "uf_key", "left")
     else:
-        hits = probed.filter(F.col("uf_key").isNotNull()).join(found.hint("shuffle_hash"), "uf_key", "left")
+        possible = probed.filter(F.col("uf_key").isNotNull())
+        met = materialise(possible.groupBy("uf_key").agg(F.count(F.lit(1)).alias("jn_rows")).join(found, "uf_key"), "listed-hits")
+        hits = many_to_one(possible, met, ["uf_key"], "left")  # a listed url may hold many of the pages
         out = probed.filter(F.col("uf_key").isNull()).withColumn("uf_listed", F.lit(None).cast("boolean")).unionByName(hits)
     verdict = F.coalesce("uf_action", F.when(F.col("uf_listed"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("row.*", "uf_host", "uf_path", "uf_rule", verdict.alias("uf_verdict"))
