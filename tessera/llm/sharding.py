@@ -25,17 +25,19 @@ TOLERANCE = 0.002
 #: Copies of a text that weigh more than this share of a shard are placed before the rest: no more than shards / HEAVY texts can.
 HEAVY = 0.01
 BITS = 12
-#: A shard is sorted in pieces of about this size, at most MOST_PIECES of them.
+#: A shard is sorted in pieces of about this size, and in this many at least.
 PIECE_BYTES = 64 << 20
-LEAST_PIECES, MOST_PIECES = 4, 64
+LEAST_PIECES = 4
 _LOW = -(1 << 63)
 
 
-def _keys(df: DataFrame, text: str, id_column: str | None) -> DataFrame:
+def _keys(df: DataFrame, text: str, id_column: str | None, with_text: bool) -> DataFrame:
     """hs_size, hs_k1 (equal texts share it) and hs_k2 (spreads equal texts by id)."""
     body = F.coalesce(F.col(text), F.lit(""))
     rid = F.xxhash64(F.col(id_column), F.lit("row")) if id_column else F.xxhash64(F.lit("row"))
-    return df.select(as_row(df).alias("row"), (F.octet_length(body) + OVERHEAD).cast("long").alias("hs_size"), F.xxhash64(body).alias("hs_k1"), rid.alias("hs_k2"))
+    kept = df if with_text else df.drop(text)
+    row = F.struct(*[df[f"`{c}`"] for c in kept.columns]) if kept.columns else F.lit(None).cast("struct<none:int>")
+    return df.select(row.alias("row"), (F.octet_length(body) + OVERHEAD).cast("long").alias("hs_size"), F.xxhash64(body).alias("hs_k1"), rid.alias("hs_k2"))
 
 
 class Cut:
@@ -144,8 +146,8 @@ def _at_or_above(cuts: Column, key: Column) -> Column:
     return F.size(F.filter(cuts, lambda c: c <= key))
 
 
-def histogram_shards(df: DataFrame, shards: int = SHARDS, text: str = "text", id_column: str | None = "doc_id", tolerance: float = TOLERANCE) -> DataFrame:
-    """``df`` with hs_size, hs_shard (0 to shards - 1) and hs_slot (gapless from 0 in each shard).
+def histogram_shards(df: DataFrame, shards: int = SHARDS, text: str = "text", id_column: str | None = "doc_id", tolerance: float = TOLERANCE, with_text: bool = True) -> DataFrame:
+    """``df`` (without ``with_text``: all but the text, which then isn't shuffled) with hs_size, hs_shard (0 to shards - 1) and hs_slot (gapless from 0 in each shard).
 
     A row counts its text's UTF-8 bytes (null: none) plus 16. Equal texts are in one shard, unless
     their bytes outweigh a whole shard: then they are parted by id into the fewest equal parts that
@@ -157,7 +159,7 @@ def histogram_shards(df: DataFrame, shards: int = SHARDS, text: str = "text", id
     spark = df.sparkSession
     made = {"hs_size", "hs_shard", "hs_slot"}
     df = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in made])
-    keyed = _keys(df, text, id_column)
+    keyed = _keys(df, text, id_column, with_text)
     probes = materialise(keyed.select("hs_size", "hs_k1", "hs_k2"), "probes")
     total = probes.agg(F.sum("hs_size")).first()[0] or 0
     share = total / shards
@@ -174,22 +176,23 @@ def histogram_shards(df: DataFrame, shards: int = SHARDS, text: str = "text", id
     heavy = F.broadcast(heavy)
 
     room = rooms(load, total)
-    pieces = max(LEAST_PIECES, min(MOST_PIECES, math.ceil(share / PIECE_BYTES)))
+    pieces = max(LEAST_PIECES, math.ceil(share / PIECE_BYTES))
+    piece_bits = max(BITS, math.ceil(math.log2(pieces * shards)))  # hashes are even, so equal ranges of them are
     ends = [sum(room[: i + 1]) for i in range(shards)]
     borders = [Cut(x, tolerance * share) for x in ends[:-1]]
-    inner = [Cut(ends[s] - room[s] * i / pieces, share / pieces / 2) for s in range(shards) for i in range(1, pieces) if room[s]]
     if total:
         light = probes.join(heavy, "hs_k1", "left_anti") if groups else probes
-        _probe(light, "hs_k1", borders + inner, F.lit(0))
-    prefix = F.shiftrightunsigned(F.col("hs_k1").bitwiseXOR(F.lit(_LOW)), 64 - BITS).cast("int")
-    lookup = F.broadcast(_lookup(spark, [c.value for c in borders], "b").join(_lookup(spark, [c.value for c in inner], "i"), "hs_prefix"))
+        _probe(light, "hs_k1", borders, F.lit(0))
+    order = F.col("hs_k1").bitwiseXOR(F.lit(_LOW))
+    prefix = F.shiftrightunsigned(order, 64 - BITS).cast("int")
+    lookup = F.broadcast(_lookup(spark, [c.value for c in borders], "b"))
     placed = keyed.withColumn("hs_prefix", prefix).join(lookup, "hs_prefix").join(heavy, "hs_k1", "left")
     part = _at_or_above(F.col("hs_parts"), F.col("hs_k2"))
     placed = placed.withColumns(
         {
             "hs_shard": F.when(F.col("hs_in").isNotNull(), F.get("hs_in", part)).otherwise(F.col("b_below") + _at_or_above(F.col("b_cuts"), F.col("hs_k1"))).cast("int"),
             # copies of heavy texts are sorted apart from the rest, dealt by id
-            "hs_piece": F.when(F.col("hs_in").isNotNull(), -1 - F.pmod(F.xxhash64("hs_k1", "hs_k2"), F.lit(pieces))).otherwise(F.col("i_below") + _at_or_above(F.col("i_cuts"), F.col("hs_k1"))).cast("int"),
+            "hs_piece": F.when(F.col("hs_in").isNotNull(), -1 - F.pmod(F.xxhash64("hs_k1", "hs_k2"), F.lit(pieces))).otherwise(F.shiftrightunsigned(order, 64 - piece_bits)),
         }
     ).select("row", "hs_size", "hs_k1", "hs_k2", "hs_shard", "hs_piece")
     counts = placed.groupBy("hs_shard", "hs_piece").agg(F.count(F.lit(1)).alias("hs_n"))
@@ -197,12 +200,12 @@ def histogram_shards(df: DataFrame, shards: int = SHARDS, text: str = "text", id
     offsets = counts.select("hs_shard", "hs_piece", F.coalesce(F.sum("hs_n").over(before), F.lit(0)).alias("hs_before"))
     inside = Window.partitionBy("hs_shard", "hs_piece").orderBy("hs_k1", "hs_k2")
     ranked = placed.withColumn("hs_rank", F.row_number().over(inside) - 1)
-    out = ranked.join(F.broadcast(offsets), ["hs_shard", "hs_piece"])  # at most shards x (2 x pieces + 1) rows
+    out = ranked.join(offsets, ["hs_shard", "hs_piece"])  # dealt by these already
     return out.select("row.*", "hs_size", "hs_shard", (F.col("hs_rank") + F.col("hs_before")).cast("long").alias("hs_slot"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
-    out = histogram_shards(docs)
+    out = histogram_shards(docs, with_text=False)
     return out.select("doc_id", F.col("hs_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("hs_shard").alias("shard"), F.col("hs_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
