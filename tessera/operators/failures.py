@@ -41,6 +41,12 @@ def common_frames(gt: DataFrame, res: DataFrame, seg: DataFrame | None = None) -
     return both.unionByName(rest)
 
 
+def require_common_frames(gt: DataFrame, res: DataFrame, seg: DataFrame | None = None) -> None:
+    """An error where truth and result share no frame at all, so that nothing could be judged [O-54]."""
+    if common_frames(gt, res, seg).isEmpty():
+        raise ValueError("truth and result have no frame in common")
+
+
 def choose_truth(tra: DataFrame, seg: DataFrame) -> DataFrame:
     """Pixels of the markers in every frame that has any, else of the segmentation [O-55]."""
     return tra.unionByName(seg.join(tra.select(*KEY).distinct(), KEY, "left_anti").select(*tra.columns))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import naming
 from tessera.operators import loose_tracker, morphology, raster, resample, tracker
+from tessera.sources import tiff
 from tessera.sources.shared import shared_dir
 from tessera.streaming import tracking
 
@@ -106,3 +107,11 @@ def streamed_tracker(m: Masks) -> DataFrame:
     table.repartition(4, F.xxhash64("frame")).write.parquet(f"{folder}/frames")
     tracking.track_files(m.spark, f"{folder}/frames", f"{folder}/tracked", f"{folder}/checkpoint", table.schema, files_each_batch=2)
     return m.spark.read.schema(tracker.ASSIGNED).parquet(f"{folder}/tracked")
+
+
+@query("SELECT seq, frame, y, x, label FROM res")
+def mask_file_round_trip(m: Masks) -> DataFrame:
+    """Every frame as a compressed mask file, and its pixels read back [O-08, O-22]."""
+    files = tiff.mask_images(m.res, HEIGHT, WIDTH, deflate=True).select(F.concat_ws("/", "seq", "frame").alias("path"), "content")
+    at = F.split("path", "/")
+    return tiff.read_pages(files).select(at[0].alias("seq"), at[1].cast("int").alias("frame"), "y", "x", "label")

@@ -56,6 +56,7 @@ def pipeline(segments: DataFrame, config: Config, ground_truth: DataFrame | None
         "violations": validate.violations(sampled, sampled_tracks),
     }
     if ground_truth is not None and gt_tracks is not None:
+        failures.require_common_frames(ground_truth, sampled, segmentation)
         events = failures.events(ground_truth, sampled, gt_tracks, sampled_tracks, config.limits, segmentation)
         out |= {"events": events, "by_frame": failures.by_frame(events), "by_track": failures.by_track(events)}
     return out

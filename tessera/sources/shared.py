@@ -12,9 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share."""
+    """Folder that driver and executors share; an error where only a folder of one machine is known to a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera_scratch").rstrip("/")
+    if base:
+        return base.rstrip("/")
+    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera_scratch"
+    if not spark.sparkContext.master.startswith("local") and base.split(":", 1)[0] in ("file", base):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base
 
 
 def written_once(df: DataFrame, tag: str) -> DataFrame:

@@ -132,3 +132,94 @@ def test_short_numbers_equal_printf(spark):
     for r in df.select("v", naming.short_number(F.col("v")).alias("a"), F.expr("fmt_g12(v)").alias("b")).collect():
         want = None if r.v is None else f"{r.v:.12g}"
         assert (r.a, r.b) == (want, want), r.v
+
+
+# mask files
+
+
+def tiff_file(images, order="<", how=1, planar=1, predictor=1, kind=1, strips=2):
+    """A file of several pages, written out by the layout alone."""
+    import struct
+    import zlib
+
+    def packed(raw):
+        if how == 1:
+            return raw
+        if how in (8, 32946):
+            return zlib.compress(raw)
+        out = b""
+        for i in range(0, len(raw), 100):  # PackBits: literal runs, and one that repeats
+            part = raw[i : i + 100]
+            out += bytes([257 - len(part)]) + part[:1] if len(set(part)) == 1 and len(part) > 1 else bytes([len(part) - 1]) + part
+        return out + bytes([128])
+
+    data, heads = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0), []
+    for image in images:
+        h, w, s = image.shape
+        values = np.diff(image, axis=1, prepend=np.zeros((h, 1, s), image.dtype)) if predictor == 2 else image
+        values = values.astype(image.dtype.newbyteorder(order))
+        planes = [values[:, :, i : i + 1] for i in range(s)] if planar == 2 else [values]
+        parts = [packed(np.ascontiguousarray(p[a : a + -(-h // strips)]).tobytes()) for p in planes for a in range(0, h, -(-h // strips))]
+        places = []
+        for part in parts:
+            places.append(len(data))
+            data += part
+        entries = [(256, 3, [w]), (257, 3, [h]), (258, 3, [image.dtype.itemsize * 8] * s), (259, 3, [how]), (273, 4, places), (277, 3, [s]), (278, 3, [-(-h // strips)]), (279, 4, [len(p) for p in parts]), (284, 3, [planar]), (317, 3, [predictor]), (339, 3, [kind])]
+        body = struct.pack(order + "H", len(entries))
+        for tag, k, numbers in entries:
+            raw = struct.pack(f"{order}{len(numbers)}{'H' if k == 3 else 'I'}", *numbers)
+            if len(raw) > 4:
+                where, data = len(data), data + raw
+                raw = struct.pack(order + "I", where)
+            body += struct.pack(order + "HHI", tag, k, len(numbers)) + raw.ljust(4, b"\0")
+        heads.append((len(data), len(data) + len(body)))
+        data += body + struct.pack(order + "I", 0)
+    data = data[:4] + struct.pack(order + "I", heads[0][0]) + data[8:]
+    for (_, link), (start, _) in zip(heads, heads[1:], strict=False):
+        data = data[:link] + struct.pack(order + "I", start) + data[link + 4 :]
+    return data
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_files_of_every_kind(spark, order):
+    from tessera.sources import tiff
+
+    rng = np.random.default_rng(1)
+    grey = [rng.integers(0, 65536, (7, 9, 1)).astype(np.uint16) for _ in range(3)]
+    rgb = rng.integers(0, 256, (7, 9, 3)).astype(np.uint8)
+    for how in (1, 8, 32946, 32773):
+        for predictor in (1, 2):
+            got = tiff.pages(tiff_file(grey, order, how, predictor=predictor))
+            assert len(got) == 3 and all((a == b).all() for a, b in zip(got, grey, strict=True)), (how, predictor)
+        for planar in (1, 2):
+            (back,) = tiff.pages(tiff_file([rgb], order, how, planar))
+            assert (back == rgb).all() and (tiff.as_mask(back) == rgb[:, :, 0]).all() and (tiff.as_picture(back) == rgb).all()
+    flat = np.zeros((7, 9, 1), np.uint8)
+    assert (tiff.pages(tiff_file([flat], order, 32773))[0] == 0).all()
+    real = rng.integers(0, 9, (7, 9, 1)).astype(np.float32)
+    (back,) = tiff.pages(tiff_file([real], order, 8, kind=3))
+    assert (tiff.as_mask(back) == real[:, :, 0]).all()
+    assert (tiff.as_mask(np.moveaxis(rgb, 2, 0)) == rgb[:, :, 0]).all()
+    assert tiff.as_picture(grey[0]).shape == (7, 9, 3)
+    half, low, wide = real + 0.5, -1 - real, grey[0].astype(np.uint32) + 65536
+    files = {
+        "good": tiff_file(grey[:2], order, 8), "half": tiff_file([half], order, kind=3), "low": tiff_file([low], order, kind=3), "wide": tiff_file([wide], order),
+        "lzw": tiff_file([rgb], order).replace(b"", b""), "none": None, "text": b"PNG.....", "cut": tiff_file(grey, order, 8)[:60],
+    }
+    files["lzw"] = tiff_file([flat], order, 1)
+    at = files["lzw"].index((b"\x03\x01\x03\x00" if order == "<" else b"\x01\x03\x00\x03")) + 8
+    files["lzw"] = files["lzw"][:at] + (b"\x05\x00" if order == "<" else b"\x00\x05") + files["lzw"][at + 2 :]
+    found = tiff.read_pages(spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in files.items()], "path string, content binary")).collect()
+    problems = {r.path: r.problem for r in found if r.problem}
+    assert set(problems) == set(files) - {"good"} and "compression 5" in problems["lzw"] and "whole numbers" in problems["half"] and "16 bits" in problems["low"] and "16 bits" in problems["wide"]
+    assert {(r.page, r.y, r.x): r.label for r in found if r.path == "good"} == {(p, y, x): v for p in (0, 1) for (y, x), v in as_dict(grey[p][:, :, 0]).items()}
+
+
+def test_no_common_frame_is_an_error(spark):
+    from tessera.operators import failures
+
+    a, b = (spark.createDataFrame([("01", f, 0, 0, 1)], PIXELS) for f in (0, 1))
+    failures.require_common_frames(a, a)
+    with pytest.raises(ValueError, match="no frame in common"):
+        failures.require_common_frames(a, b)
+    failures.require_common_frames(a, b, b)
