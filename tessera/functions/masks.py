@@ -10,10 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cells(lineitem: DataFrame, sequences: int) -> DataFrame:
-    seq = 1 + F.col("l_linenumber") % 2 if sequences == 2 else 1 + F.floor(F.col("l_orderkey") / 20) % sequences
+#: Order keys of one sequence: their number, and so the number of sequences, grows with the table.
+KEYS_EACH = 1000
+
+
+def _cells(lineitem: DataFrame, sequences: int | None) -> DataFrame:
+    """Cells of objects; ``sequences`` deals them to so many sequences (None: a sequence for every KEYS_EACH order keys)."""
+    if sequences is None:
+        seq = F.format_string("%02d", 1 + F.floor(F.col("l_orderkey") / KEYS_EACH))
+    else:
+        seq = F.lpad((1 + F.floor(F.col("l_orderkey") / 20) % sequences).cast("string"), 5, "0")
     return lineitem.select(
-        F.lpad(seq.cast("string"), 2 if sequences == 2 else 5, "0").alias("seq"),
+        seq.alias("seq"),
         (F.col("l_orderkey") % 20).cast("int").alias("frame"),
         (1 + F.col("l_suppkey") % 12).cast("int").alias("obj"),
         (F.col("l_partkey") % 6).cast("int").alias("dy"),
@@ -26,7 +34,7 @@ def _pixels(cells: DataFrame, label, x) -> DataFrame:
     return cells.select("seq", "frame", y.alias("y"), x.alias("x"), label.alias("label")).groupBy("seq", "frame", "y", "x").agg(F.min("label").alias("label"))
 
 
-def ground_truth(lineitem: DataFrame, sequences: int = 2) -> DataFrame:
+def ground_truth(lineitem: DataFrame, sequences: int | None = None) -> DataFrame:
     """pixels(seq, frame, y, x, label) of the ground truth."""
     c = _cells(lineitem, sequences).filter("not (obj = 11 and frame = 2)")
     x = (F.col("obj") * 7) % 40 + F.col("frame") % 2 + F.col("dx")
@@ -34,7 +42,7 @@ def ground_truth(lineitem: DataFrame, sequences: int = 2) -> DataFrame:
     return _pixels(c, label, x)
 
 
-def results(lineitem: DataFrame, sequences: int = 2) -> DataFrame:
+def results(lineitem: DataFrame, sequences: int | None = None) -> DataFrame:
     """pixels(seq, frame, y, x, label) of the tracking result."""
     c = _cells(lineitem, sequences).filter("not ((obj + frame) % 7 = 0) and not (obj = 2 and frame = 8 and dx >= 2)")
     x = (F.col("obj") * 7) % 40 + F.col("frame") % 2 + F.col("dx") + F.when((F.col("obj") == 4) & (F.col("frame") == 15), 80).otherwise(0)
@@ -47,7 +55,7 @@ def results(lineitem: DataFrame, sequences: int = 2) -> DataFrame:
     return _pixels(c, label, x)
 
 
-def segmentation(lineitem: DataFrame, sequences: int = 2) -> DataFrame:
+def segmentation(lineitem: DataFrame, sequences: int | None = None) -> DataFrame:
     """pixels(seq, frame, y, x, label) of outlines: the ground truth's objects, drawn one pixel further right."""
     return ground_truth(lineitem, sequences).withColumn("x", F.col("x") + 1)
 
@@ -55,7 +63,7 @@ def segmentation(lineitem: DataFrame, sequences: int = 2) -> DataFrame:
 #: The same masks in SQL, as common table expressions gt, res and seg.
 SQL = """
 cells AS (
-  SELECT DISTINCT lpad(CAST(1 + l_linenumber % 2 AS VARCHAR), 2, '0') AS seq, CAST(l_orderkey % 20 AS INTEGER) AS frame,
+  SELECT DISTINCT printf('%02d', CAST(1 + l_orderkey // 1000 AS INTEGER)) AS seq, CAST(l_orderkey % 20 AS INTEGER) AS frame,
          CAST(1 + l_suppkey % 12 AS INTEGER) AS obj, CAST(l_partkey % 6 AS INTEGER) AS dy, CAST(CAST(l_quantity AS INTEGER) % 6 AS INTEGER) AS dx
   FROM lineitem
 ), gt AS (

@@ -218,6 +218,19 @@ def pad_align(pixels: DataFrame, height: int, width: int, align: int = 64) -> Da
     return pixels.withColumns({"y": F.col("y") + top, "x": F.col("x") + left})
 
 
+def crop_back(pixels: DataFrame, height: int, width: int, align: int = 64) -> DataFrame:
+    """Undo ``pad_align``: pixels of the image's own part, at their old places [O-137]."""
+    top, left = (-height % align) // 2, (-width % align) // 2
+    moved = pixels.withColumns({"y": F.col("y") - top, "x": F.col("x") - left})
+    return moved.filter(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+
+
+def merge_patches(pieces: DataFrame, patch_height: int, patch_width: int) -> DataFrame:
+    """Undo ``patches``: pixels at their place in the image [O-137]."""
+    y, x = (F.col("py") * patch_height + F.col("y")).cast("int"), (F.col("px") * patch_width + F.col("x")).cast("int")
+    return pieces.select(*KEY, y.alias("y"), x.alias("x"), "label")
+
+
 def patches(pixels: DataFrame, patch_height: int, patch_width: int) -> DataFrame:
     """Patch and position inside it of every pixel [O-137]."""
     y, x = F.col("y"), F.col("x")

@@ -109,6 +109,45 @@ def downsample_pixels(pixels: DataFrame, factor: int, offset: int = 0) -> DataFr
     return relabel(sampled, table)
 
 
+def downsample_result(
+    pixels: DataFrame,
+    parents: DataFrame,
+    frames: int,
+    factor: int,
+    offset: int = 0,
+    from_shape: tuple[int, int] | None = None,
+    to_shape: tuple[int, int] | None = None,
+    pad_missing: bool = False,
+    meta: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """A whole result at a lower rate and size: output frame i is source frame offset + i * factor [O-151].
+
+    'frames': (seq, frame, source_frame, missing) of every output frame; 'pixels': the frames' masks under the labels of their runs,
+    resized to ``to_shape`` if given; 'tracks': their track table. ``meta`` (seq, frame) names the frames that there are
+    (else those with pixels). A missing one is an error that names the first twenty, unless it is padded: then it is a blank mask.
+    """
+    from .raster import relabel, resize_nearest
+    from .validate import check_parameters
+
+    check_parameters(factor=factor)
+    if offset < 0 or frames < 1:
+        raise ValueError("offset can't be negative, and one frame is the least")
+    have = (pixels if meta is None else meta).select("seq", F.col("frame").alias("source_frame")).distinct()
+    wanted = have.select("seq").distinct().select("seq", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("frame"))
+    wanted = wanted.withColumn("source_frame", F.lit(offset) + F.col("frame") * factor)
+    listing = wanted.join(have.withColumn("there", F.lit(True)), ["seq", "source_frame"], "left").select("seq", "frame", "source_frame", F.col("there").isNull().alias("missing"))
+    if not pad_missing:
+        lost = listing.filter("missing").orderBy("seq", "frame").limit(20).collect()
+        if lost:
+            raise ValueError("frames are missing: " + ", ".join(f"{r.seq}/{r.source_frame}" for r in lost))
+    sampled = sample_frames(pixels, factor, offset).filter(F.col("frame") < frames)
+    table = numbered_runs(runs(label_frames(sampled)))
+    out = relabel(sampled, table)
+    if to_shape is not None:
+        out = resize_nearest(out, from_shape, to_shape)
+    return {"frames": listing, "pixels": out, "tracks": asof_parents(table, parents)}
+
+
 def pad_missing(pixels: DataFrame, frames: int) -> DataFrame:
     """Every frame 0 … frames - 1 of each sequence with its pixel count, 0 for blank padding [O-108, O-115]."""
     want = pixels.select("seq").distinct().select("seq", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("frame"))

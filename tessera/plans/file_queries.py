@@ -259,8 +259,7 @@ def sql_track_runs(m: Masks) -> DataFrame:
     rows = m.res.select("seq", "frame", "label").distinct()
     code = F.col("seq").cast("int") * 100000 + F.col("label")
     runs = m.spark.sql("SELECT * FROM track_runs(TABLE(SELECT label, frame FROM {rows}) PARTITION BY label ORDER BY frame)", rows=rows.select(code.alias("label"), "frame"))
-    width = 2 if m.sequences == 2 else 5
-    return runs.select(F.lpad(F.floor(F.col("label") / 100000).cast("string"), width, "0").alias("seq"), (F.col("label") % 100000).alias("label"), F.col("begin").alias("b"), F.col("end").alias("e"), "n")
+    return runs.select(F.format_string("%02d", F.floor(F.col("label") / 100000)).alias("seq"), (F.col("label") % 100000).alias("label"), F.col("begin").alias("b"), F.col("end").alias("e"), "n")
 
 
 @query("SELECT DISTINCT seq, frame, CAST(y + dy AS INTEGER) AS y, CAST(x + dx AS INTEGER) AS x FROM res CROSS JOIN near WHERE y + dy >= 0 AND x + dx >= 0")

@@ -23,7 +23,7 @@ K = ["seq", "frame"]
 class Masks:
     """Inputs of the queries: ground truth, result, and their track tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, sequences: int = 2):
+    def __init__(self, spark: SparkSession, sf_dir: str, sequences: int | None = None):
         self.spark, self.dir, self.sequences = spark, sf_dir, sequences
 
     def table(self, name: str) -> DataFrame:

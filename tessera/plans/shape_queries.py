@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import naming
-from tessera.operators import loose_tracker, morphology, raster, resample, tracker
+from tessera.operators import divide, loose_tracker, morphology, raster, resample, tracker, tracks, validate
 from tessera.sources import tiff
 from tessera.sources.shared import shared_dir
 from tessera.streaming import tracking
 
-from .queries import HEIGHT, WIDTH, Masks, query, r6
+from .queries import _DOWN, HEIGHT, WIDTH, Masks, query, r6
 
 K = ["seq", "frame"]
 
@@ -115,3 +115,45 @@ def mask_file_round_trip(m: Masks) -> DataFrame:
     files = tiff.mask_images(m.res, HEIGHT, WIDTH, deflate=True).select(F.concat_ws("/", "seq", "frame").alias("path"), "content")
     at = F.split("path", "/")
     return tiff.read_pages(files).select(at[0].alias("seq"), at[1].cast("int").alias("frame"), "y", "x", "label")
+
+
+@query("SELECT seq, frame, y, x, label FROM gt")
+def pad_crop_back(m: Masks) -> DataFrame:
+    """[O-137]"""
+    return raster.crop_back(raster.pad_align(m.gt, HEIGHT, WIDTH), HEIGHT, WIDTH).select(*K, "y", "x", "label")
+
+
+@query("SELECT seq, frame, y, x, label FROM gt")
+def patches_merged(m: Masks) -> DataFrame:
+    """[O-137]"""
+    return raster.merge_patches(raster.patches(m.gt, 16, 32), 16, 32)
+
+
+@query(_DOWN + """SELECT r.seq, CAST(r.frame / 3 AS INTEGER) AS frame, CAST(r.y // 2 AS INTEGER) AS y, CAST(r.x // 2 AS INTEGER) AS x, n.new_label AS label FROM res r
+  JOIN sn n ON r.seq = n.seq AND r.label = n.label AND r.frame / 3 BETWEEN n.b AND n.e WHERE r.frame % 3 = 0 AND r.y % 2 = 0 AND r.x % 2 = 0""")
+def downsample_resized(m: Masks) -> DataFrame:
+    """[O-151]"""
+    out = tracks.downsample_result(m.res, m.res_parents, 7, 3, 0, (HEIGHT, WIDTH), (HEIGHT // 2, WIDTH // 2), pad_missing=True)
+    return out["pixels"].select(*K, "y", "x", "label")
+
+
+@query("""SELECT s.seq, CAST(i AS INTEGER) AS frame, CAST(3 * i AS INTEGER) AS source_frame, NOT EXISTS (SELECT 1 FROM res r WHERE r.seq = s.seq AND r.frame = 3 * i) AS missing
+  FROM (SELECT DISTINCT seq FROM res) s CROSS JOIN (SELECT unnest(range(10)) AS i) t""")
+def downsample_frames(m: Masks) -> DataFrame:
+    """[O-151]"""
+    return tracks.downsample_result(m.res, m.res_parents, 10, 3, pad_missing=True)["frames"]
+
+
+@query()
+def division_legacy(m: Masks) -> DataFrame:
+    """[O-144]"""
+    return divide.normalise_divisions(m.res, rule="legacy")
+
+
+@query("""SELECT 'V-11' AS rule, seq, '' AS item, CAST(count(DISTINCT 80 + label % 2) AS VARCHAR) AS details FROM gt WHERE frame < label GROUP BY seq HAVING count(DISTINCT 80 + label % 2) > 1
+  UNION ALL SELECT 'V-10', seq, CAST(frame AS VARCHAR), 'uint8' FROM gt WHERE frame < label AND label % 5 = 0""")
+def shape_violations(m: Masks) -> DataFrame:
+    """[V-10, V-11, O-82]"""
+    kind = F.when(F.col("label") % 5 == 0, "uint8").otherwise("uint16")
+    meta = m.gt.filter("frame < label").select(*K, (80 + F.col("label") % 2).alias("height"), F.lit(128).alias("width"), kind.alias("dtype"))
+    return validate.violations(m.gt, m.gt_tracks, meta=meta).filter("rule = 'V-11' or (rule = 'V-10' and details = 'uint8')")

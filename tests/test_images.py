@@ -223,3 +223,21 @@ def test_no_common_frame_is_an_error(spark):
     with pytest.raises(ValueError, match="no frame in common"):
         failures.require_common_frames(a, b)
     failures.require_common_frames(a, b, b)
+
+
+# downsampling
+
+
+def test_downsampling_to_a_shape_pads_or_refuses(spark):
+    from tessera.operators import tracks
+
+    px = spark.createDataFrame([("01", f, y, x, 3) for f in (0, 2, 6) for y in range(4) for x in range(4)], PIXELS)
+    parents = spark.createDataFrame([("01", 3, 0)], "seq string, label int, parent int")
+    with pytest.raises(ValueError, match="01/4"):
+        tracks.downsample_result(px, parents, 4, 2)
+    out = tracks.downsample_result(px, parents, 4, 2, 0, (4, 4), (2, 2), pad_missing=True)
+    assert {(r.frame, r.source_frame, r.missing) for r in out["frames"].collect()} == {(0, 0, False), (1, 2, False), (2, 4, True), (3, 6, False)}
+    assert {(r.frame, r.y, r.x, r.label) for r in out["pixels"].collect()} == {(f, y, x, k) for f, k in ((0, 1), (1, 1), (3, 2)) for y in (0, 1) for x in (0, 1)}
+    assert {(r.label, r.begin, r.end) for r in out["tracks"].collect()} == {(1, 0, 1), (2, 3, 3)}
+    meta = spark.createDataFrame([("01", f) for f in range(7)], "seq string, frame int")
+    assert tracks.downsample_result(px, parents, 4, 2, meta=meta)["frames"].filter("missing").count() == 0
