@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import naming
 from tessera.operators import divide, loose_tracker, morphology, raster, resample, tracker, tracks, validate
-from tessera.sources import tiff
+from tessera.sources import nested, tiff
 from tessera.sources.shared import shared_dir
 from tessera.streaming import tracking
 
@@ -157,3 +157,20 @@ def shape_violations(m: Masks) -> DataFrame:
     kind = F.when(F.col("label") % 5 == 0, "uint8").otherwise("uint16")
     meta = m.gt.filter("frame < label").select(*K, (80 + F.col("label") % 2).alias("height"), F.lit(128).alias("width"), kind.alias("dtype"))
     return validate.violations(m.gt, m.gt_tracks, meta=meta).filter("rule = 'V-11' or (rule = 'V-10' and details = 'uint8')")
+
+
+@query("SELECT seq, frame, '$.Result[1].MASKS' AS key, y, x, label FROM gt")
+def nested_stack(m: Masks) -> DataFrame:
+    """Every frame as a nested document with its mask some levels down [O-05]."""
+    entries = lambda a, b: F.map_from_entries(F.collect_list(F.struct(a, b)))
+    lines = m.gt.groupBy(*K, "y").agg(entries("x", "label").alias("at"))
+    line = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda x: F.coalesce(F.try_element_at("at", x), F.lit(0)))
+    masks = lines.select(*K, "y", line.alias("line")).groupBy(*K).agg(entries("y", "line").alias("at"))
+    blank = F.array_repeat(F.lit(0), WIDTH)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), lambda y: F.coalesce(F.try_element_at("at", y), blank))
+    meta = F.struct(F.lit("none").alias("labels"), F.array(F.lit(HEIGHT), F.lit(WIDTH)).alias("shape"))
+    # the items of the list differ in form, so they are put in as text
+    body = F.concat(F.lit('{"meta":'), F.to_json(meta), F.lit(',"Result":[{"x":1},'), F.to_json(F.struct(rows.alias("MASKS"))), F.lit("]}"))
+    out = nested.nested_stacks(masks.select(F.concat_ws("/", *K).alias("path"), body.alias("body")))
+    at = F.split("path", "/")
+    return out.select(at[0].alias("seq"), at[1].cast("int").alias("frame"), "key", "y", "x", "label")
