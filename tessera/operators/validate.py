@@ -57,7 +57,11 @@ def violations(pixels: DataFrame, tracks: DataFrame, source_frames: DataFrame |
     ``source_frames``: (seq, frame) of the images; ``meta``: (seq, frame, height, width, dtype); masks of another type
     than ``dtype`` are violations. Pixels are read once: every rule works on the labels of each frame, which are written out.
     """
-    pixels = written_once(label_frames(pixels), "label-frames")
+    return _violations(written_once(label_frames(pixels), "label-frames"), tracks, source_frames, meta, dtype)
+
+
+def _violations(pixels: DataFrame, tracks: DataFrame, source_frames: DataFrame | None, meta: DataFrame | None, dtype: str = "uint16") -> DataFrame:
+    """``violations`` of the labels of each frame."""
     out = [
         _row(missing_frames(pixels), "V-03", F.col("frame"), F.lit("missing frame")),
         _row(tracks.filter((F.col("label") <= 0) | (F.col("label") > CAPACITY)), "V-06", F.col("label"), F.lit("label out of range")),
@@ -87,6 +91,36 @@ def violations(pixels: DataFrame, tracks: DataFrame, source_frames: DataFrame |
     return all_rows
 
 
+def audit(pixels: DataFrame, tracks: DataFrame, source_frames: DataFrame | None = None, meta: DataFrame | None = None) -> DataFrame:
+    """One row per sequence: frames, labels, max_label, tracks, with_parent, n_violations, rules, passed [O-96, O-97, V-03 … V-16].
+
+    Numbers and rules come from one pass over the pixels, whose labels by frame are written out. ``rules`` says how often each
+    rule is broken ('V-03=2, V-14=1'). A sequence that only one side has is a row too, with zeros for what it lacks.
+    """
+    seen = written_once(label_frames(pixels), "label-frames")
+    broken = _violations(seen, tracks, source_frames, meta).groupBy("seq", "rule").agg(F.count(F.lit(1)).alias("n"))
+    told = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rule", "n"))), lambda r: F.concat(r["rule"], F.lit("="), r["n"].cast("string"))), ", ")
+    broken = broken.groupBy("seq").agg(F.sum("n").alias("n_violations"), told.alias("rules"))
+    p = seen.groupBy("seq").agg(F.countDistinct("frame").alias("frames"), F.countDistinct("label").alias("labels"), F.max("label").alias("max_label"))
+    t = tracks.groupBy("seq").agg(F.count(F.lit(1)).alias("tracks"), F.count_if(F.col("parent") != 0).alias("with_parent"))
+    out = p.join(t, "seq", "full_outer").join(broken, "seq", "left")
+    zeros = [F.coalesce(c, F.lit(0)).alias(c) for c in ("frames", "labels", "max_label", "tracks", "with_parent", "n_violations")]
+    return out.select("seq", *zeros, F.coalesce("rules", F.lit("")).alias("rules"), F.col("n_violations").isNull().alias("passed"))
+
+
+def of_passed(rows: DataFrame, audited: DataFrame) -> DataFrame:
+    """``rows`` of the sequences that passed: a run goes on with these, and the others stay rows of the audit."""
+    return rows.join(audited.filter("passed").select("seq"), "seq", "left_semi")
+
+
+def enforced(rows: DataFrame, audited: DataFrame) -> DataFrame:
+    """``rows``, with an error inside the plan as soon as one belongs to a sequence that didn't pass (null: not audited, an error too)."""
+    said = audited.select("seq", F.when(~F.col("passed"), F.concat(F.lit("sequence "), F.col("seq"), F.lit(" breaks "), F.col("rules"))).otherwise(F.lit("")).alias("vl_said"))
+    j = rows.join(said, "seq", "left")
+    ok = F.when(F.col("vl_said") == "", F.lit(True)).otherwise(F.raise_error(F.coalesce("vl_said", F.lit("a sequence was not audited"))).cast("boolean"))
+    return j.filter(ok).select(*rows.columns)
+
+
 def missing_folders(wanted: DataFrame, found: DataFrame) -> DataFrame:
     """Sequences whose result folder is not there [V-01]; both sides have (seq)."""
     return _row(wanted.select("seq").distinct().join(found.select("seq").distinct(), "seq", "left_anti"), "V-01", F.col("seq"), F.lit("no result folder"))

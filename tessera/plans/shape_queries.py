@@ -13,7 +13,7 @@ from tessera.sources import nested, tiff
 from tessera.sources.shared import shared_dir
 from tessera.streaming import tracking
 
-from .queries import _DOWN, HEIGHT, WIDTH, Masks, query, r6
+from .queries import _DOWN, _VIOLATIONS, HEIGHT, WIDTH, Masks, query, r6
 
 K = ["seq", "frame"]
 
@@ -174,3 +174,13 @@ def nested_stack(m: Masks) -> DataFrame:
     out = nested.nested_stacks(masks.select(F.concat_ws("/", *K).alias("path"), body.alias("body")))
     at = F.split("path", "/")
     return out.select(at[0].alias("seq"), at[1].cast("int").alias("frame"), "key", "y", "x", "label")
+
+
+@query(f""", bad AS ({_VIOLATIONS}), told AS (SELECT seq, sum(n)::BIGINT AS n, string_agg(rule || '=' || n, ', ' ORDER BY rule) AS rules FROM (SELECT seq, rule, count(*) AS n FROM bad GROUP BY seq, rule) t GROUP BY seq),
+  p AS (SELECT seq, count(DISTINCT frame) AS frames, count(DISTINCT label) AS labels, max(label) AS max_label FROM res GROUP BY seq),
+  q AS (SELECT seq, count(*) AS tracks, count(*) FILTER (parent <> 0) AS with_parent FROM gtt GROUP BY seq)
+SELECT seq, coalesce(frames, 0) AS frames, coalesce(labels, 0) AS labels, coalesce(max_label, 0) AS max_label, coalesce(tracks, 0) AS tracks, coalesce(with_parent, 0) AS with_parent,
+  coalesce(n, 0) AS n_violations, coalesce(rules, '') AS rules, n IS NULL AS passed FROM p FULL JOIN q USING (seq) LEFT JOIN told USING (seq)""")
+def sequence_audit(m: Masks) -> DataFrame:
+    """[O-96, O-97, V-03 … V-16]"""
+    return validate.audit(m.res, m.gt_tracks, m.gt.withColumn("frame", F.col("frame") + 1))

@@ -241,3 +241,25 @@ def test_downsampling_to_a_shape_pads_or_refuses(spark):
     assert {(r.label, r.begin, r.end) for r in out["tracks"].collect()} == {(1, 0, 1), (2, 3, 3)}
     meta = spark.createDataFrame([("01", f) for f in range(7)], "seq string, frame int")
     assert tracks.downsample_result(px, parents, 4, 2, meta=meta)["frames"].filter("missing").count() == 0
+
+
+# audit
+
+
+def test_a_failing_sequence_is_a_row(spark):
+    from tessera.operators import validate
+
+    good = [("01", f, 0, 0, 1) for f in range(3)]
+    bad = [("02", f, 0, 0, 1) for f in (0, 2)]
+    px = spark.createDataFrame(good + bad, PIXELS)
+    rows = [("01", 1, 0, 2, 0), ("02", 1, 0, 1, 0), ("03", 4, 0, 1, 9)]
+    audited = validate.audit(px, spark.createDataFrame(rows, "seq string, label int, begin int, end int, parent int"))
+    found = {r.seq: r for r in audited.collect()}
+    assert found["01"].passed and found["01"].rules == "" and (found["01"].frames, found["01"].labels, found["01"].tracks) == (3, 1, 1)
+    assert found["02"].rules == "V-03=1, V-14=1, V-15=1" and found["02"].n_violations == 3 and not found["02"].passed
+    assert found["03"].rules == "V-12=1, V-16=1" and found["03"].frames == 0
+    assert validate.of_passed(px, audited).count() == 3
+    assert validate.enforced(px.filter("seq = '01'"), audited).count() == 3
+    for seq, what in (("02", "sequence 02 breaks V-03=1"), ("09", "not audited")):
+        with pytest.raises(Exception, match=what):
+            validate.enforced(px.filter("seq = '02'").withColumn("seq", F.lit(seq)), audited).collect()
