@@ -1,48 +1,24 @@
 """Division normalisation: a mother ends where her daughters begin.
 
 Pixels never move; only labels are renamed from a frame on. So the state of a sequence is a map from
-raw labels to ids, its parents and cooldowns. Frames stream by in order and two are held at a time.
+raw labels to ids, its parents and cooldowns, and what it needs of a frame are contact counts between raw labels.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frame_tables import FrameTable, frame_tables, owned
 from .tracks import CAPACITY
 
 MIN_PIXELS, MIN_RATIO = 10, 0.05
-_WIDE = 1 << 24
-_NEAR = np.array([dy * _WIDE + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1)], np.int64)
 OUTPUT = "seq string, kind string, frame int, label int, id int"
 
 
-class Frame:
-    """Pixel codes of every object of a frame, by id."""
-
-    def __init__(self, codes: np.ndarray, ids: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        names, first = np.unique(ids[order], return_index=True)
-        self.pixels = dict(zip(names.tolist(), np.split(codes[order], first[1:]), strict=True)) if len(names) else {}
-        self.codes, self.ids = (codes[o := np.argsort(codes)], ids[o]) if len(codes) else (codes, ids)
-
-    def under(self, codes: np.ndarray) -> np.ndarray:
-        """Ids of this frame's pixels among the given codes."""
-        if not len(self.codes):
-            return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return self.ids[at[self.codes[at] == codes]]
-
-
-def grown(codes: np.ndarray) -> np.ndarray:
-    """Distinct codes within one step."""
-    return np.unique((codes[:, None] + _NEAR).ravel())
-
-
 class Divider:
     """One sequence: renames raw labels so that divisions follow the rules; collects parents.
 
@@ -58,17 +34,16 @@ class Divider:
         self.names: dict[int, int] = {}
         self.parents: dict[int, int] = {}
         self.until: dict[int, int] = {}
-        self.last: tuple[np.ndarray, np.ndarray] | None = None
+        self.last: dict[int, int] = {}
 
     def rows(self, seq: str) -> list[tuple]:
         """Parents and cooldowns at the end of the sequence."""
         return [(seq, "parent", None, c, p) for c, p in self.parents.items()] + [(seq, "cooldown", end, c, None) for c, end in self.until.items()]
 
-    def _ids(self, labels: np.ndarray) -> np.ndarray:
-        raw, back = np.unique(labels, return_inverse=True)
-        return np.array([self.names.get(r, r) for r in raw.tolist()], np.int64)[back] if len(raw) else labels
+    def _ids(self, table: FrameTable) -> dict[int, int]:
+        return {k: self.names.get(k, k) for k in table.objects}
 
-    def _rename(self, old: int, new: int, labels: Iterable[int]) -> None:
+    def _rename(self, old: int, new: int) -> None:
         """From here on every raw label that goes by ``old`` goes by ``new``."""
         self.names = {r: new if i == old else i for r, i in self.names.items()}
         if old not in self.names:
@@ -80,48 +55,48 @@ class Divider:
             raise ValueError("ids exceed the label capacity")
         return self.top
 
-    def step(self, frame: int, codes: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        """Ids of the frame's pixels."""
-        before = self.last
-        if before is not None and len(before[0]):
-            self._divide(frame, Frame(*before), codes, labels)
-        ids = self._ids(labels)
-        self.last = (codes, ids)
-        return ids
-
-    def _divide(self, frame: int, prev: Frame, codes: np.ndarray, labels: np.ndarray) -> None:
-        now = Frame(codes, self._ids(labels))
+    def step(self, frame: int, table: FrameTable) -> dict[int, int]:
+        """The id of every object of the frame."""
+        if self.last:
+            self._divide(frame, owned(self.last), table)
+        self.last = self._ids(table)
+        return self.last
+
+    def _divide(self, frame: int, prev: dict[int, set[int]], table: FrameTable) -> None:
+        now = owned(self._ids(table))
+        before = {label: i for i, labels in prev.items() for label in labels}
         guarded = {t for t, end in self.until.items() if frame <= end} if self.cooldown else set()
-        born = sorted(set(now.pixels) - set(prev.pixels))
+        born = sorted(set(now) - set(prev))
         if guarded and born:
             taken: set[int] = set()
-            for t in sorted(guarded & set(prev.pixels)):
-                if t in now.pixels and t not in taken:
+            for t in sorted(guarded & set(prev)):
+                if t in now and t not in taken:
                     continue
-                reach = grown(prev.pixels[t])
-                near = [b for b in born if b not in taken and np.isin(now.pixels[b], reach).any()]
+                near = [b for b in born if b not in taken and table.near(now[b], prev[t])]
                 if len(near) == 1:
-                    self._rename(near[0], t, labels)
+                    self._rename(near[0], t)
                     taken.add(near[0])
-            now = Frame(codes, self._ids(labels))
-            born = sorted(set(now.pixels) - set(prev.pixels))
+            now = owned(self._ids(table))
+            born = sorted(set(now) - set(prev))
         mothers: dict[int, list[int]] = {}
-        for child in born if self.rule == "legacy" else sorted(now.pixels):
-            own = now.pixels[child]
-            if child in prev.pixels:
-                stay = int(np.isin(own, grown(prev.pixels[child])).sum())
-                if stay >= MIN_PIXELS and stay / len(own) >= MIN_RATIO:
+        for child in born if self.rule == "legacy" else sorted(now):
+            size = table.size(now[child])
+            if child in prev:
+                stay = table.near(now[child], prev[child])
+                if stay >= MIN_PIXELS and stay / size >= MIN_RATIO:
                     continue
-            names, touch = np.unique(prev.under(grown(own)), return_counts=True)
-            allowed = [(-n, t) for t, n in zip(names.tolist(), touch.tolist(), strict=True) if t != child and t not in guarded]
-            if allowed and -min(allowed)[0] >= MIN_PIXELS and -min(allowed)[0] / len(own) >= MIN_RATIO:
+            touch: dict[int, int] = {}
+            for label, n in table.under(now[child]).items():
+                touch[before[label]] = touch.get(before[label], 0) + n
+            allowed = [(-n, t) for t, n in touch.items() if t != child and t not in guarded]
+            if allowed and -min(allowed)[0] >= MIN_PIXELS and -min(allowed)[0] / size >= MIN_RATIO:
                 mothers.setdefault(min(allowed)[1], []).append(child)
-        present = set(now.pixels)
+        present = set(now)
         for mother in sorted(mothers):
             daughters = []
             if mother in present:
                 daughters.append(self._fresh())
-                self._rename(mother, daughters[0], labels)
+                self._rename(mother, daughters[0])
                 present = present - {mother} | {daughters[0]}
             elif self.rule == "legacy" or len(mothers[mother]) < 2:
                 continue
@@ -129,7 +104,7 @@ class Divider:
                 daughter = child
                 if child not in born:
                     daughter = self._fresh()
-                    self._rename(child, daughter, labels)
+                    self._rename(child, daughter)
                     present = present - {child} | {daughter}
                 daughters.append(daughter)
             for d in daughters:
@@ -142,12 +117,11 @@ def normalise_divisions(pixels: DataFrame, cooldown: int = 20, rule: str = "base
     """(seq, kind, frame, label, id): kind 'object' gives the id of each raw object, 'parent' the parent (id) of a track (label),
     'cooldown' the last frame (frame) in which a daughter (label) is guarded.
 
-    [O-60, O-74, O-113, O-143, O-144]. Frames are dealt by sequence and sorted, so a task streams
-    its sequences frame by frame.
+    [O-60, O-74, O-113, O-143, O-144]. Contacts are counted in parallel (``frame_tables``); a task runs through the
+    small rows of its sequences frame by frame and never sees a pixel.
     """
     top = pixels.groupBy("seq").agg(F.max("label").alias("top"))
-    frames = pixels.groupBy("seq", "frame").agg(F.collect_list(F.struct((F.col("y").cast("long") * _WIDE + F.col("x")).alias("c"), F.col("label").cast("long").alias("l"))).alias("p"))
-    frames = frames.join(top, "seq").select("seq", "frame", "top", F.col("p.c").alias("codes"), F.col("p.l").alias("labels"))
+    frames = frame_tables(pixels).drop("inter").join(top, "seq")
     n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,12 +133,11 @@ def normalise_divisions(pixels: DataFrame, cooldown: int = 20, rule: str = "base
                     if divider is not None:
                         out += divider.rows(seq)
                     seq, divider, at = r.seq, Divider(int(r.top), cooldown, rule), -1
-                codes, labels = np.asarray(r.codes, np.int64), np.asarray(r.labels, np.int64)
                 if r.frame != at + 1:  # blank frames between: nothing to go on from
-                    divider.last = None
-                ids = divider.step(int(r.frame), codes, labels)
+                    divider.last = {}
+                ids = divider.step(int(r.frame), FrameTable(r.objects, r.touched, r.touching))
                 at = r.frame
-                out += [(seq, "object", r.frame, a, b) for a, b in sorted(set(zip(labels.tolist(), ids.tolist(), strict=True)))]
+                out += [(seq, "object", r.frame, a, b) for a, b in sorted(ids.items())]
             yield pd.DataFrame(out, columns=["seq", "kind", "frame", "label", "id"]).astype({"frame": "Int32", "label": "Int32", "id": "Int32"})
         if divider is not None:
             yield pd.DataFrame(divider.rows(seq), columns=["seq", "kind", "frame", "label", "id"]).astype({"frame": "Int32", "label": "Int32", "id": "Int32"})

@@ -2,37 +2,32 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import written_once
 
-from .divide import _WIDE, Frame, grown, normalise_divisions
+from .divide import normalise_divisions
+from .frame_tables import FrameTable, frame_tables, owned
 
 OUTPUT = "seq string, kind string, frame int, label int, id int, event string, score double, second double"
 
 
-def confidence(lost: np.ndarray, found: np.ndarray, gap: int, cooling: bool, reach: float) -> float:
-    """Contact, IoU, centroid distance (more drift per gap frame) and size, from pixel codes [O-146]."""
-    if not len(lost) or not len(found):
-        return 0.0
-    big, small = max(len(lost), len(found)), min(len(lost), len(found))
-    touch = np.isin(found, grown(lost)).sum() / big
-    both = len(np.intersect1d(lost, found, assume_unique=True))
-
-    def centre(c: np.ndarray) -> tuple[float, float]:
-        return float((c // _WIDE).mean()), float((c % _WIDE).mean())
-
-    (ay, ax), (by, bx) = centre(lost), centre(found)
-    near = max(0.0, 1 - float(np.hypot(ay - by, ax - bx)) / (reach * (1 + 0.5 * (gap - 1))))
-    score = 0.35 * min(touch, 1.0) + 0.30 * both / (len(lost) + len(found) - both) + 0.20 * near + 0.15 * small / big
-    return float(min(score * 1.15, 1.0) if cooling else score)
+def confidence(lost: set[int], last: FrameTable, found: set[int], now: FrameTable, gap: int, cooling: bool, reach: float) -> float:
+    """Contact, IoU, centroid distance (more drift per gap frame) and size of two ids, by the labels that they own [O-146]."""
+    a, b = last.size(lost), now.size(found)
+    big, small = max(a, b), min(a, b)
+    touch, both = now.near(found, lost, gap) / big, now.common(found, lost, gap)
+    (ay, ax), (by, bx) = last.centre(lost), now.centre(found)
+    near = max(0.0, 1 - math.hypot(ay - by, ax - bx) / (reach * (1 + 0.5 * (gap - 1))))
+    score = 0.35 * min(touch, 1.0) + 0.30 * both / (a + b - both) + 0.20 * near + 0.15 * small / big
+    return min(score * 1.15, 1.0) if cooling else score
 
 
 @dataclass
@@ -54,27 +49,26 @@ class IdentityRescue:
     taken: set[int] = field(default_factory=set)
     audit: list[tuple[int, int, str, float, float]] = field(default_factory=list)
 
-    def ids(self, labels: np.ndarray) -> np.ndarray:
-        raw, back = np.unique(labels, return_inverse=True)
-        return np.array([self.names.get(r, r) for r in raw.tolist()], np.int64)[back] if len(raw) else labels
+    def ids(self, table: FrameTable) -> dict[int, int]:
+        return {k: self.names.get(k, k) for k in table.objects}
 
     def rename(self, old: int, new: int) -> None:
         self.names = {r: new if i == old else i for r, i in self.names.items()}
         self.names.setdefault(old, new)
 
-    def step(self, frame: int, before: tuple[np.ndarray, np.ndarray], coming: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def step(self, frame: int, last: FrameTable, last_ids: dict[int, int], coming: list[FrameTable]) -> None:
         """Decide for everything lost at ``frame``; ``coming`` are this frame and the ones to look ahead to."""
-        prev = Frame(*before)
-        for lost in sorted(set(prev.pixels) - set(np.unique(self.ids(coming[0][1])).tolist())):
+        prev = owned(last_ids)
+        for lost in sorted(set(prev) - set(self.ids(coming[0]).values())):
             if lost in self.excluded:
                 self.audit.append((frame, lost, "skip_excluded_parent", 0.0, 0.0))
                 continue
             cooling = frame <= self.until.get(lost, -1)
             scores = []
-            for k, (codes, labels) in enumerate(coming[: self.gap], 1):
-                now = Frame(codes, self.ids(labels))
-                fresh = sorted(set(now.pixels) - set(prev.pixels) - self.taken)
-                scores += [(-confidence(prev.pixels[lost], now.pixels[i], k, cooling, self.reach), k, i) for i in fresh]
+            for k, table in enumerate(coming[: self.gap], 1):
+                now = owned(self.ids(table))
+                fresh = sorted(set(now) - set(prev) - self.taken)
+                scores += [(-confidence(prev[lost], last, now[i], table, k, cooling, self.reach), k, i) for i in fresh]
             scores.sort()
             first, second = (-s[0] for s in (scores + [(0.0, 0, 0)] * 2)[:2])
             if not scores or first <= 0 or first < self.threshold:
@@ -91,38 +85,35 @@ class IdentityRescue:
 def rescue_identities(pixels: DataFrame, gap: int = 1, threshold: float = 0.3, reach: float = 50.0, history: DataFrame | None = None) -> DataFrame:
     """(seq, kind, frame, label, id, event, score, second) [O-95, O-119, O-147].
 
-    kind 'object': the id of each raw object; 'audit': what became of a lost id. A task streams its
-    sequences in frame order and holds gap + 1 frames. A gap of 0 changes nothing. ``history``: rows of
+    kind 'object': the id of each raw object; 'audit': what became of a lost id. A task runs through the small rows of its
+    sequences (``frame_tables``) in frame order, holds those of gap + 1 frames and never sees a pixel. A gap of 0 changes nothing. ``history``: rows of
     ``normalise_divisions``; its cooldowns raise scores and its mothers are never rescued.
     """
-    frames = pixels.groupBy("seq", "frame").agg(F.collect_list(F.struct((F.col("y").cast("long") * _WIDE + F.col("x")).alias("c"), F.col("label").cast("long").alias("l"))).alias("p"))
-    frames = frames.select("seq", "frame", F.col("p.c").alias("codes"), F.col("p.l").alias("labels"))
+    frames = frame_tables(pixels, max(gap, 1)).drop("touching")
     if history is None:
         frames = frames.withColumns({"guarded": F.array().cast("array<struct<l:int,f:int>>"), "mothers": F.array().cast("array<int>")})
     else:  # at most a row per track of the sequence
         h = history.groupBy("seq").agg(F.collect_list(F.when(F.col("kind") == "cooldown", F.struct(F.col("label").alias("l"), F.col("frame").alias("f")))).alias("guarded"), F.collect_set(F.when(F.col("kind") == "parent", F.col("id"))).alias("mothers"))
         frames = frames.join(h, "seq", "left")
     n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def table(out: list[tuple]) -> pd.DataFrame:
         names = ["seq", "kind", "frame", "label", "id", "event", "score", "second"]
         return pd.DataFrame(out, columns=names).astype({"frame": "Int32", "label": "Int32", "id": "Int32", "score": "float64", "second": "float64"})
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seq, state, queue, before = None, None, deque(), empty
+        seq, state, queue, last, ids = None, None, deque(), FrameTable(), {}
         out: list[tuple] = []
 
         def advance(at_least: int) -> None:
-            nonlocal before
+            nonlocal last, ids
             while len(queue) > at_least:
-                frame, codes, labels = queue[0]
+                frame, table = queue[0]
                 if gap:
-                    state.step(frame, before, [(c, x) for _, c, x in list(queue)[:gap]])
+                    state.step(frame, last, ids, [t for _, t in list(queue)[:gap]])
                 queue.popleft()
-                ids = state.ids(labels)
-                out.extend((seq, "object", frame, a, b, None, None, None) for a, b in sorted(set(zip(labels.tolist(), ids.tolist(), strict=True))))
-                before = (codes, ids)
+                last, ids = table, state.ids(table)
+                out.extend((seq, "object", frame, a, b, None, None, None) for a, b in sorted(ids.items()))
 
         def finish() -> None:
             advance(0)
@@ -135,11 +126,11 @@ def rescue_identities(pixels: DataFrame, gap: int = 1, threshold: float = 0.3, r
                         finish()
                     until = {int(g["l"]): int(g["f"]) for g in (r.guarded if r.guarded is not None else [])}
                     mothers = frozenset(map(int, r.mothers if r.mothers is not None else []))
-                    seq, state, queue, before, last = r.seq, IdentityRescue(gap, threshold, reach, until, mothers), deque(), empty, None
-                for blank in range(last + 1 if last is not None else r.frame, r.frame):
-                    queue.append((blank, *empty))
-                queue.append((int(r.frame), np.asarray(r.codes, np.int64), np.asarray(r.labels, np.int64)))
-                last = int(r.frame)
+                    seq, state, queue, last, ids, at = r.seq, IdentityRescue(gap, threshold, reach, until, mothers), deque(), FrameTable(), {}, None
+                for blank in range(at + 1 if at is not None else r.frame, r.frame):
+                    queue.append((blank, FrameTable()))
+                queue.append((int(r.frame), FrameTable(r.objects, r.touched, (), r.inter)))
+                at = int(r.frame)
                 advance(max(gap - 1, 0))
             yield table(out)
             out.clear()

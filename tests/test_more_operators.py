@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import divide, failures, lineage, logs, morphology, rescue, validate
+from tessera.operators import failures, lineage, logs, morphology, rescue, validate
 from tessera.sources import frames, text
 
+from . import pixel_machines
+
 PIXELS = "seq string, frame int, y int, x int, label int"
 TRACKS = "seq string, label int, begin int, end int, parent int"
 
@@ -137,11 +139,12 @@ def test_parts_equal_flooding(seed):
 
 def stages_by_hand(cells, cooldown, gap):
     """The stages over whole frames held in memory, one sequence."""
+
     def code(ps):
-        return np.array([y * divide._WIDE + x for y, x, _ in ps], np.int64), np.array([v for *_, v in ps], np.int64)
+        return np.array([y * pixel_machines.WIDE + x for y, x, _ in ps], np.int64), np.array([v for *_, v in ps], np.int64)
 
     def run_rescue(fs, until, excluded):
-        state, before, out = rescue.IdentityRescue(gap, 0.3, 50.0, until, excluded), (np.zeros(0, np.int64),) * 2, []
+        state, before, out = pixel_machines.IdentityRescue(gap, 0.3, 50.0, until, excluded), (np.zeros(0, np.int64),) * 2, []
         for i, (c, v) in enumerate(fs):
             state.step(i, before, fs[i : i + gap])
             before = (c, state.ids(v))
@@ -149,7 +152,7 @@ def stages_by_hand(cells, cooldown, gap):
         return out
 
     fs = run_rescue([code(c) for c in cells], {}, frozenset())
-    d = divide.Divider(max(int(v.max()) for _, v in fs if len(v)), cooldown)
+    d = pixel_machines.Divider(max(int(v.max()) for _, v in fs if len(v)), cooldown)
     fs = [(c, d.step(i, c, v)) for i, (c, v) in enumerate(fs)]
     if d.until:
         fs = run_rescue(fs, d.until, frozenset(d.parents.values()))
@@ -176,7 +179,7 @@ def test_repair_equals_stages_by_hand(spark, seed):
     want, parents = stages_by_hand(cells, 3, 2)
     found = collections.defaultdict(dict)
     for r in got["pixels"].collect():
-        found[r.frame][r.y * divide._WIDE + r.x] = r.label
+        found[r.frame][r.y * pixel_machines.WIDE + r.x] = r.label
     assert {f: dict(zip(c.tolist(), v.tolist(), strict=True)) for f, (c, v) in enumerate(want)} == found
     assert {r.label: r.parent for r in got["parents"].collect()} == parents and parents
     assert got["before"].count() > 0

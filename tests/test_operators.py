@@ -119,23 +119,24 @@ def test_validator(spark):
 
 # divisions
 
-D1 = [(0, 1, 2, 8, 2, 8)]
+WHOLE, TOP, LOW = (3, 11, 4, 13), (3, 7, 4, 13), (7, 11, 4, 13)  # a mother, and her halves: rows from and to, columns from and to
+D1 = [(0, 1, *WHOLE)]
 
 
 def mother_continues(*more, frames=(1,)):
     out = list(D1)
     for f in frames:
-        out += [(f, 1, 2, 5, 2, 8), (f, 2, 5, 8, 2, 8)]
+        out += [(f, 1, *TOP), (f, 2, *LOW)]
     return out + list(more)
 
 
 CASES = {
-    "a": (mother_continues(), 20, {2: 1, 3: 1}, {1: {2, 3}}),
-    "b": ([*D1, (1, 2, 2, 5, 2, 8), (1, 3, 5, 8, 2, 8)], 20, {2: 1, 3: 1}, {1: {2, 3}}),
-    "d": ([*D1, (0, 2, 9, 11, 9, 11), (1, 2, 2, 5, 2, 8), (1, 3, 5, 8, 2, 8)], 20, {3: 1, 4: 1}, {0: {1, 2}, 1: {3, 4}}),
-    "e": ([*mother_continues(), (2, 1, 2, 5, 2, 8), (2, 4, 5, 8, 2, 8)], 20, {2: 1, 5: 1}, {2: {2, 5}}),
-    "f": ([*mother_continues(frames=(1, 2)), (2, 4, 7, 10, 2, 8)], 20, {2: 1, 5: 1}, {2: {2, 4, 5}}),
-    "i": ([*mother_continues(), (2, 1, 2, 5, 2, 8), (2, 4, 5, 8, 2, 8)], 0, {2: 1, 5: 1}, {2: {4, 5}}),
+    "she goes on": (mother_continues(), 20, {2: 1, 3: 1}, {1: {2, 3}}),
+    "two newborns": ([*D1, (1, 2, *TOP), (1, 3, *LOW)], 20, {2: 1, 3: 1}, {1: {2, 3}}),
+    "a used label": ([*D1, (0, 2, 14, 17, 15, 18), (1, 2, *TOP), (1, 3, *LOW)], 20, {3: 1, 4: 1}, {0: {1, 2}, 1: {3, 4}}),
+    "guarded, renamed back": ([*mother_continues(), (2, 1, *TOP), (2, 4, *LOW)], 20, {2: 1, 5: 1}, {2: {2, 5}}),
+    "guarded, a stranger": ([*mother_continues(frames=(1, 2)), (2, 4, 10, 14, 4, 13)], 20, {2: 1, 5: 1}, {2: {2, 4, 5}}),
+    "unguarded": ([*mother_continues(), (2, 1, *TOP), (2, 4, *LOW)], 0, {2: 1, 5: 1}, {2: {4, 5}}),
 }
 
 
