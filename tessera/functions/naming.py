@@ -99,6 +99,19 @@ def from_unit(value: Column, high: float) -> Column:
     return F.rint(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)) * high)
 
 
+def three_channels(channels: list[Column]) -> list[Column]:
+    """The first three channels of an image; a single one counts for all three [O-09, O-43]."""
+    return channels * 3 if len(channels) == 1 else channels[:3]
+
+
+def grey(channels: list[Column]) -> Column:
+    """Mean of the channels, each from 0 to 1 [O-43]."""
+    total = channels[0]
+    for c in channels[1:]:
+        total = total + c
+    return total / len(channels)
+
+
 def scaled_size(size: Column, scale: float) -> Column:
     """max(1, round(size * scale)), half to even [O-45]."""
     return F.greatest(F.lit(1), F.rint(size * scale).cast("int"))

@@ -94,12 +94,24 @@ def image_mask_pairs(m: Masks) -> DataFrame:
     return pairs.withColumn("problem", F.lit(None).cast("string")).unionByName(problems)
 
 
-@query("SELECT DISTINCT 's' || frame || CASE WHEN frame % 2 = 0 THEN '_omni5_masks.tif' ELSE '_masks.tif' END AS name FROM gt WHERE frame % 2 = 0")
+_NAMES = "SELECT DISTINCT seq, 's' || frame || CASE WHEN frame % 2 = 0 AND seq <> '02' THEN '_omni5_masks.tif' ELSE '_masks.tif' END AS name FROM gt"
+
+
+def _mask_names(m: Masks) -> DataFrame:
+    end = F.when((F.col("frame") % 2 == 0) & (F.col("seq") != "02"), "_omni5_masks.tif").otherwise("_masks.tif")
+    return m.gt.select("seq", "frame").distinct().select("seq", F.concat(F.lit("s"), F.col("frame").cast("string"), end).alias("name"))
+
+
+@query(f", n AS ({_NAMES}) SELECT seq, name FROM n WHERE seq = '02' OR ends_with(name, '_omni5_masks.tif')")
 def mask_suffix(m: Masks) -> DataFrame:
-    """[O-06, O-16]"""
-    f = m.gt.select("frame").distinct()
-    end = F.when(F.col("frame") % 2 == 0, "_omni5_masks.tif").otherwise("_masks.tif")
-    return frames.mask_files(f.select(F.concat(F.lit("s"), F.col("frame").cast("string"), end).alias("name"))).select("name")
+    """Sequence 02 has no files of the suffix that the others have first [O-06, O-16]"""
+    return frames.mask_files(_mask_names(m))
+
+
+@query(f", n AS ({_NAMES}) SELECT seq, name FROM n WHERE regexp_matches(name, '^s1._masks')")
+def mask_pattern(m: Masks) -> DataFrame:
+    """[O-06]"""
+    return frames.mask_files(_mask_names(m), pattern="s1?_masks*", required=True)
 
 
 @query("SELECT DISTINCT CASE WHEN label < 10 THEN '0' || label ELSE CAST(label AS VARCHAR) END AS seq FROM gt")

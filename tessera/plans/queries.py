@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import masks, naming
 from tessera.operators import divide, failures, lineage, logs, raster, tracker, tracks, validate
+from tessera.sources import frames
 from tessera.streaming import sessions
 
 HEIGHT, WIDTH = 80, 128
@@ -663,8 +664,8 @@ def file_names(m: Masks) -> DataFrame:
 
 @query("SELECT seq, frame, CAST(row_number() OVER (PARTITION BY seq ORDER BY frame * 37) AS INTEGER) AS place FROM (SELECT DISTINCT seq, frame FROM gt) t")
 def natural_order(m: Masks) -> DataFrame:
-    f = m.gt.select(*K).distinct().withColumn("name", F.concat(F.lit("Frame_"), (F.col("frame") * 37).cast("string"), F.lit(".TIF")))
-    return f.select(*K, F.row_number().over(Window.partitionBy("seq").orderBy(naming.natural_key(F.col("name")))).alias("place"))
+    f = m.gt.select("seq", F.col("frame").alias("number")).distinct().withColumn("name", F.concat(F.lit("Frame_"), (F.col("number") * 37).cast("string"), F.lit(".TIF")))
+    return frames.by_position(f, ["seq"]).select("seq", F.col("number").alias("frame"), (F.col("frame") + 1).alias("place"))
 
 
 @query("SELECT DISTINCT seq, CAST(frame AS BIGINT) * 8 AS at, CAST(19 * 8 + 1 AS BIGINT) AS total FROM gt")

@@ -184,3 +184,10 @@ SELECT seq, coalesce(frames, 0) AS frames, coalesce(labels, 0) AS labels, coales
 def sequence_audit(m: Masks) -> DataFrame:
     """[O-96, O-97, V-03 … V-16]"""
     return validate.audit(m.res, m.gt_tracks, m.gt.withColumn("frame", F.col("frame") + 1))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round_even((least(1.0, greatest(0.0, l_quantity / 50)) + least(1.0, greatest(0.0, l_discount / 0.08)) + least(1.0, greatest(0.0, l_tax / 0.05))) / 3 * 65535, 0) AS grey FROM lineitem""")
+def image_grey(m: Masks) -> DataFrame:
+    """[O-43, O-44]"""
+    channels = naming.three_channels([naming.to_unit(F.col(c), high) for c, high in (("l_quantity", 50.0), ("l_discount", 0.08), ("l_tax", 0.05), ("l_quantity", 1.0))])
+    return m.table("lineitem").select("l_orderkey", "l_linenumber", naming.from_unit(naming.grey(channels), 65535.0).alias("grey"))

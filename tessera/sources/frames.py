@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -114,21 +115,31 @@ def widths(indexed: DataFrame) -> DataFrame:
     return indexed.filter("digits is not null").select("digits").distinct()
 
 
-def by_position(files: DataFrame, by: list[str] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Frames by place in natural order of names [O-06, O-07, O-71, O-116, Q8]."""
+def by_position(files: DataFrame, by: list[str], exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Frames by place in natural order of names, counted within each group of ``by`` [O-06, O-07, O-71, O-116, Q8]."""
     for x in exclude:
         files = files.filter(~F.col("name").contains(x))
-    w = Window.partitionBy(*(by or [])).orderBy(natural_key(F.col("name")), "name")
+    w = Window.partitionBy(*by).orderBy(natural_key(F.col("name")), "name")
     return files.withColumn("frame", F.row_number().over(w) - 1)
 
 
-def mask_files(files: DataFrame, suffixes: tuple[str, ...] = MASK_SUFFIXES) -> DataFrame:
-    """Files of the first suffix that has any [O-06, O-16]."""
-    rank = F.lit(None).cast("int")
-    for i, s in reversed(list(enumerate(suffixes))):
-        rank = F.when(F.col("name").endswith(s), F.lit(i)).otherwise(rank)
-    ranked = files.withColumn("rank", rank).filter("rank is not null")
-    return ranked.join(ranked.agg(F.min("rank").alias("rank")), "rank", "left_semi").drop("rank")
+def mask_files(files: DataFrame, suffixes: tuple[str, ...] = MASK_SUFFIXES, pattern: str | None = None, required: bool = False) -> DataFrame:
+    """Mask files: those whose name fits a glob ``pattern``, else those of the first suffix that has any [O-06, O-16].
+
+    With a column ``seq`` every sequence has a suffix of its own. ``required``: no file at all is an error.
+    """
+    if pattern is not None:
+        out = files.filter(F.col("name").rlike("^" + fnmatch.translate(pattern).removesuffix(r"\Z") + "$"))
+    else:
+        rank = F.lit(None).cast("int")
+        for i, s in reversed(list(enumerate(suffixes))):
+            rank = F.when(F.col("name").endswith(s), F.lit(i)).otherwise(rank)
+        ranked = files.withColumn("rank", rank).filter("rank is not null")
+        by = ["seq"] if "seq" in files.columns else []
+        out = ranked.join(ranked.groupBy(*by).agg(F.min("rank").alias("rank")), [*by, "rank"], "left_semi").drop("rank").select(*files.columns)
+    if required and out.isEmpty():
+        raise FileNotFoundError(f"no mask files: {pattern or ', '.join('*' + s for s in suffixes)}")
+    return out
 
 
 def image_files(files: DataFrame) -> DataFrame:

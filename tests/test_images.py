@@ -263,3 +263,19 @@ def test_a_failing_sequence_is_a_row(spark):
     for seq, what in (("02", "sequence 02 breaks V-03=1"), ("09", "not audited")):
         with pytest.raises(Exception, match=what):
             validate.enforced(px.filter("seq = '02'").withColumn("seq", F.lit(seq)), audited).collect()
+
+
+# files and channels
+
+
+def test_mask_files_by_suffix_or_pattern(spark):
+    from tessera.sources import frames
+
+    rows = [("01", "a_masks.tif"), ("01", "b_cp_masks.tif"), ("02", "c_masks.tif"), ("03", "d.png")]
+    files = spark.createDataFrame(rows, "seq string, name string")
+    assert {r.name for r in frames.mask_files(files).collect()} == {"b_cp_masks.tif", "c_masks.tif"}
+    assert {r.name for r in frames.mask_files(files.drop("seq")).collect()} == {"b_cp_masks.tif"}
+    assert {r.name for r in frames.mask_files(files, pattern="[ab]*.tif").collect()} == {"a_masks.tif", "b_cp_masks.tif"}
+    with pytest.raises(FileNotFoundError, match="x\\*"):
+        frames.mask_files(files, pattern="x*", required=True)
+    assert len(naming.three_channels([F.lit(1)])) == 3 and len(naming.three_channels([F.lit(1)] * 4)) == 3
