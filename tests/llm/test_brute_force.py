@@ -11,12 +11,41 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, sharding, toxicity
+from tessera.llm import langid, nearjoin, sharding, toxicity
 from tessera.llm.words import string_buffers
 
+from .test_llm_operators import words
+
 TABLES = "/root/testdata/sf0.001"
 
 
+# 1 n-gram join
+
+
+def test_near_join_finds_every_link_of_the_documents(spark):
+    """Against an exact set join over all documents of a table: by prefix, then the whole sets."""
+    table = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{table}/documents.parquet").collect()]
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset([("no words", t)]))
+    times = collections.Counter(g for s in sets for g in s)
+    held, links = collections.defaultdict(list), collections.Counter()
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        prefix = sorted(sets[i], key=lambda g: (times[g], g))[: len(sets[i]) - math.ceil(0.8 * len(sets[i])) + 1]
+        for j in {j for g in prefix for j in held[g]}:
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+        for g in prefix:
+            held[g].append(i)
+    want = sorted((rows[i][0], links[i]) for i in range(len(rows)))
+    assert sorted((r.doc_id, r.n_links) for r in nearjoin.query(spark, table).collect()) == want
+    assert sum(links.values()) > 100
+
+
 # 4 toxicity
 
 
