@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, joins, langid, licences, nearjoin, packing, pretokens, quality, sharding, toxicity, warc
+from tessera.llm import decontaminate, joins, langid, licences, nearjoin, packing, pretokens, quality, sharding, toxicity, urlfilter, warc
 from tessera.llm.words import hash_words, string_buffers
 
 from .test_llm_operators import DOCS, prose, words
@@ -126,6 +126,53 @@ def test_urls_come_back_as_they_were(spark, tmp_path):
     assert got == dict(enumerate(urls))
 
 
+def test_large_payloads_twins_and_clashing_columns(spark, tmp_path, monkeypatch):
+    """Payloads of megabytes, a third of the rows equal in everything, columns named like the operator's own."""
+    monkeypatch.setattr(joins, "LEAST_ROWS", 10)
+    monkeypatch.setattr(joins, "MOST_HOT", 5)
+    big = "".join(chr(97 + (i * i) % 23) for i in range(3_000_000))
+    rows = [(1, "http://a", big), (2, "http://b", big), (3, "http://c", big[:1_000_000])]
+    rows += [(9, "http://twin", "same page")] * 40 + [(i, f"http://p/{i}", f"page {i % 50}") for i in range(100, 180)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({n: F.lit("mine") for n in ("wa_sha1", "wa_html", "wa_first", "row", "path", "jn_rows")})
+    got = warc.read_archives(warc.write_archives(pages.repartition(7), f"file://{tmp_path}/w")).collect()
+    assert len(got) == len(rows)
+    groups = collections.defaultdict(list)
+    for i, _, html in rows:
+        groups[html or ""].append(i)
+    for html, ids in groups.items():
+        mine = [r for r in got if r.payload_digest == warc_digest(html)]
+        assert sorted(r.page_id or -1 for r in mine) == sorted(i or -1 for i in ids)
+        (response,) = [r for r in mine if r.record_type == "response"]
+        assert response.page_id == max(ids, key=lambda i: i or -1) and bytes(response.payload) == html.encode()
+        assert all(r.payload_bytes == len(html) for r in mine)
+        assert all(r.refers_to == response.page_id and not r.payload for r in mine if r.record_type == "revisit")
+
+
+def warc_digest(html):
+    import base64
+    import hashlib
+
+    return base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+
+
+# 8 url filter
+
+
+@pytest.mark.parametrize("small_list", [0, 1 << 20])
+def test_hot_and_very_long_urls(spark, monkeypatch, small_list):
+    """A listed url on a third of the pages, urls of a megabyte, and both ways of joining."""
+    monkeypatch.setattr(joins, "LEAST_ROWS", 10)
+    monkeypatch.setattr(joins, "MOST_HOT", 5)
+    long = "http://long.net/" + "a/b" * 350_000
+    urls = ["http://hot.net/x"] * 60 + [f"http://site{i}.net/p" for i in range(100)] + [long, long + "c", "http://hot.net/y", None, "no scheme", ""]
+    pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id bigint, url string, uf_key string")
+    listed = spark.createDataFrame([("http://hot.net/x",), ("http://HOT.net/x",), (long,), ("http://site7.net/p",), (None,)], "url string")
+    got = urlfilter.url_filter(pages, listed, small_list=small_list).collect()
+    assert len(got) == len(urls) and all(r.uf_key == "mine" for r in got)
+    blocked = {r.page_id for r in got if r.uf_verdict == "block"}
+    assert blocked == {i for i, u in enumerate(urls) if u in ("http://hot.net/x", long, "http://site7.net/p")}
+
+
 # 3 licences
 
 
