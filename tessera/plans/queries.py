@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import masks, naming
 from tessera.operators import divide, failures, lineage, logs, raster, tracker, tracks, validate
 from tessera.sources import frames
+from tessera.sources.shared import written_once
 from tessera.streaming import sessions
 
 HEIGHT, WIDTH = 80, 128
@@ -64,7 +65,16 @@ class Masks:
 
     @cached_property
     def events(self) -> DataFrame:
-        return failures.events(self.gt, self.res, self.gt_tracks, self.res_tracks, seg=self.seg)
+        w = self.written
+        return failures.events(w.gt, w.res, w.gt_tracks, w.res_tracks, seg=w.seg)
+
+    @cached_property
+    def written(self) -> Masks:
+        """The same masks as tables, for queries that read them many times: derived once."""
+        out = Masks(self.spark, self.dir, self.sequences)
+        for name in ("gt", "res", "seg"):
+            out.__dict__[name] = written_once(getattr(self, name), f"masks-{name}")
+        return out
 
     @cached_property
     def tra_log(self) -> DataFrame:
