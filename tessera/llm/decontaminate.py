@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .words import LUT, hash_words, release_memory, shingle_hashes, slices, string_buffers
 
 WINDOW = 13
@@ -259,7 +260,9 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_te
         frequency = np.zeros(len(vocabulary), np.int64)
         if len(vocabulary):
             found = docs.select(F.explode(_frequency_udf(vocabulary, windows.widths())(F.col(text))).alias("k"))
-            for r in found.groupBy("k").count().collect():  # as many rows as the block has shingles at most
+            with small_batches(docs.sparkSession):
+                counts = found.groupBy("k").count().collect()  # as many rows as the block has shingles at most
+            for r in counts:
                 frequency[r.k] = r["count"]
         match = _match_udf(Prefixes(windows, vocabulary, frequency))
         out = out.withColumn("contamination", match(F.col(text), previous))

@@ -190,7 +190,7 @@ def _presence_udf(vocabulary: list[str]):
         keys = keys[order]
         pair_id = {(singles.index(a), singles.index(b)): number[f"{a} {b}"] for a, b in pairs}
         out = []
-        for a, b in slices(text):
+        for a, b in slices(text, 2 << 20):
             words, _, _, at = hash_words(*string_buffers(text.slice(a, b - a)))
             k = np.minimum(np.searchsorted(keys, words), max(len(keys) - 1, 0))
             pos = np.flatnonzero(keys[k] == words) if len(keys) else np.zeros(0, np.int64)
@@ -217,7 +217,7 @@ def _scan_udf(model: Templates, threshold: float):
             text = text.combine_chunks()
         keys = np.sort(_hash_of(marked))
         out: list[dict | None] = []
-        for a, b in slices(text):
+        for a, b in slices(text, 2 << 20):
             part = text.slice(a, b - a)
             raw, offsets = string_buffers(part)
             words, starts, _, at = hash_words(raw, offsets)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bloom import possible, possible_members
 from .components import components
 from .joins import as_row, many_to_one
-from .scratch import materialise, shuffle_parts
+from .scratch import materialise, shuffle_parts, small_batches
 from .words import hash_words, mix, release_memory, shingle_hashes, shingle_sets, slices, string_buffers
 
 SHINGLE = 5
@@ -218,7 +218,8 @@ def near_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thres
         raise ValueError("at most 32 bands: raise rows or lower recall")
     signed = docs.select(F.col(doc_id).alias("doc_id"), *row_keys(docs, text, doc_id), *text_keys(text), F.octet_length(text).cast("long").alias("n_bytes"), _signature_udf(shingle, bands, rows)(F.col(text)).alias("s"))
     signed = signed.select("doc_id", "k1", "k2", "t1", "t2", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.coalesce("s.s1", F.xxhash64(F.lit("no words"), "t1")).alias("s1"), F.coalesce("s.s2", "t2").alias("s2"), "s.bands")
-    signed = materialise(signed, "signatures")
+    with small_batches(spark):
+        signed = materialise(signed, "signatures")
 
     classes = signed.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("low_id"), F.min(F.struct("t1", "t2", "n_bytes")).alias("t"), F.first("bands").alias("bands"))
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("cid"), "s1", "s2", "n_docs", "low_id", "t.*", "bands"), "classes")
@@ -240,7 +241,8 @@ def near_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thres
     placed = placed.select(F.col("i.bucket").alias("bucket"), F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "cid", "n_docs", "kept", "text")
     placed = placed.withColumn("key", F.xxhash64("bucket", "lo", "hi"))
     dealt = placed.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "bucket", "lo", "hi", "cid")
-    found = materialise(dealt.mapInArrow(_verify(shingle, threshold), _FOUND), "found")
+    with small_batches(spark):
+        found = materialise(dealt.mapInArrow(_verify(shingle, threshold), _FOUND), "found")
 
     roots = components(found.filter("is_edge").select("a", "b"))
     links = found.filter("not is_edge").groupBy(F.col("a").alias("cid")).agg(F.sum("doc_links").alias("doc_links"))

@@ -7,11 +7,16 @@ a lost executor costs a re-read and never a recomputation of a Python stage.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.sources.shared import shared_dir
 
+#: Rows of a batch that goes to a Python worker.
+BATCH_ROWS = 1000
+
 
 def _filesystem(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -32,6 +37,21 @@ def discard(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Python workers get at most so many rows at a time from what runs inside: whole texts are rows, so batches weigh megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    if 0 < before <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def materialise(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it (exact size statistics)."""
     spark = df.sparkSession

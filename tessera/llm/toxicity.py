@@ -260,7 +260,7 @@ def score_column(model: Model, text: Column) -> Column:
         held[:] = [own]
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        parts = [own.score(texts.slice(a, b - a).to_pylist()) for a, b in slices(texts, 2 << 20)]
+        parts = [own.score(texts.slice(a, b - a).to_pylist()) for a, b in slices(texts)]
         release_memory()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 

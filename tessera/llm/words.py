@@ -181,7 +181,7 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(words[at[i] : at[i + 1]], k)) for i in range(len(offsets) - 1)]
 
 
-def slices(column: pa.Array, most_bytes: int = 2 << 20) -> list[tuple[int, int]]:
+def slices(column: pa.Array, most_bytes: int = 1 << 19) -> list[tuple[int, int]]:
     """Row ranges of at most ``most_bytes`` of text each (a longer text alone)."""
     n = len(column)
     if n == 0:
