@@ -1,9 +1,10 @@
-"""What both jobs share: configuration read through Spark, a session for the command line, the log."""
+"""What both jobs share: configuration, a session for the command line, the log."""
 
 from __future__ import annotations
 
 import argparse
 import dataclasses
+import json
 import logging
 import sys
 from collections.abc import Callable
@@ -17,10 +18,14 @@ C = TypeVar("C")
 
 
 def read_config(spark: SparkSession, path: str | None, kind: type[C]) -> C:
-    """A JSON object of settings; what it leaves out keeps its default, what the job doesn't know is an error."""
+    """A JSON object of settings; what it leaves out keeps its default, what the job doesn't know is an error.
+
+    A path with a scheme is read by Spark, any other is a file beside the command line: executors needn't see it.
+    """
     if not path:
         return kind()
-    found = spark.read.option("multiLine", True).json(path).first().asDict(recursive=True)
+    text = spark.read.text(path, wholetext=True).first()[0] if "://" in path else Path(path).read_text(encoding="utf-8")
+    found = json.loads(text)
     unknown = set(found) - {f.name for f in dataclasses.fields(kind)}
     if unknown:
         raise ValueError(f"unknown settings in {path}: {', '.join(sorted(unknown))}")

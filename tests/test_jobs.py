@@ -177,7 +177,7 @@ def test_job_query_equals_its_sql(spark, name):
 def test_configuration(spark, tmp_path):
     assert read_config(spark, None, series_audit.Config) == series_audit.Config()
     assert read_config(spark, str(ROOT / "jobs/series_audit.json"), series_audit.Config) == series_audit.Config()
-    found = read_config(spark, str(ROOT / "jobs/tracking_evaluation.json"), tracking_evaluation.Config)
+    found = read_config(spark, (ROOT / "jobs/tracking_evaluation.json").as_uri(), tracking_evaluation.Config)
     assert found == tracking_evaluation.Config() and found.limits().jump == 50.0
     (tmp_path / "c.json").write_text(json.dumps({"no_such": 1}))
     with pytest.raises(ValueError, match="no_such"):
