@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Order keys of one sequence: their number, and so the number of sequences, grows with the table.
 KEYS_EACH = 1000
+#: Rows of the table that one task turns into masks.
+ROWS_EACH = 100_000
 
 
 def _cells(lineitem: DataFrame, sequences: int | None) -> DataFrame:
@@ -26,12 +28,19 @@ def _cells(lineitem: DataFrame, sequences: int | None) -> DataFrame:
         (1 + F.col("l_suppkey") % 12).cast("int").alias("obj"),
         (F.col("l_partkey") % 6).cast("int").alias("dy"),
         (F.col("l_quantity").cast("int") % 6).cast("int").alias("dx"),
-    ).distinct()
+    )
 
 
-def _pixels(cells: DataFrame, label, x) -> DataFrame:
+def _pixels(cells: DataFrame, pieces: int, label, x) -> DataFrame:
+    """Whole frames lie in ``pieces`` partitions, so what is counted or moved inside a frame needs no second shuffle."""
     y = F.col("obj") * 5 + F.col("frame") % 3 + F.col("dy")
-    return cells.select("seq", "frame", y.alias("y"), x.alias("x"), label.alias("label")).groupBy("seq", "frame", "y", "x").agg(F.min("label").alias("label"))
+    dealt = cells.select("seq", "frame", y.alias("y"), x.alias("x"), label.alias("label")).repartition(pieces, "seq", "frame")
+    return dealt.groupBy("seq", "frame", "y", "x").agg(F.min("label").alias("label"))
+
+
+def _pieces(lineitem: DataFrame) -> int:
+    """A task's share doesn't grow with the table, however well that is compressed."""
+    return max(lineitem.sparkSession.sparkContext.defaultParallelism, lineitem.count() // ROWS_EACH)
 
 
 def ground_truth(lineitem: DataFrame, sequences: int | None = None) -> DataFrame:
@@ -39,7 +48,7 @@ def ground_truth(lineitem: DataFrame, sequences: int | None = None) -> DataFrame
     c = _cells(lineitem, sequences).filter("not (obj = 11 and frame = 2)")
     x = (F.col("obj") * 7) % 40 + F.col("frame") % 2 + F.col("dx")
     label = F.when((F.col("obj") % 4 == 0) & (F.col("frame") >= 12), F.col("obj") + 24).otherwise(F.col("obj"))
-    return _pixels(c, label, x)
+    return _pixels(c, _pieces(lineitem), label, x)
 
 
 def results(lineitem: DataFrame, sequences: int | None = None) -> DataFrame:
@@ -52,7 +61,7 @@ def results(lineitem: DataFrame, sequences: int | None = None) -> DataFrame:
         .when((F.col("obj") % 3 == 0) & (F.col("frame") >= 10), F.col("obj") + 12)
         .otherwise(F.col("obj"))
     )
-    return _pixels(c, label, x)
+    return _pixels(c, _pieces(lineitem), label, x)
 
 
 def segmentation(lineitem: DataFrame, sequences: int | None = None) -> DataFrame:
