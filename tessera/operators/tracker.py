@@ -9,32 +9,60 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import written_once
-
 from . import raster
+from .frame_tables import FRAMES_EACH, Places, counted, dealt
 
 ASSIGNED = "seq string, frame int, label int, track int"
 
 
-def overlap_table(pixels: DataFrame, opened: DataFrame, meta: DataFrame) -> DataFrame:
+def _overlaps(shape: tuple[int, int] | None):
+    """Segments of a group of frames and their overlaps at lags 1 and 2; what is open is told by column or, with a shape, found here."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        p = Places(group)
+        opened = group["open"].to_numpy(bool)[p.order] if shape is None else p.opened(*shape)
+        rows, _ = counted(p.frame, p.label)
+        kept, _ = counted(p.frame[opened], p.label[opened])
+        parts = [("segment", 0, rows[:, 0], rows[:, 1], rows[:, 1], np.ones(len(rows), int)), ("opened", 0, kept[:, 0], kept[:, 1], kept[:, 1], np.ones(len(kept), int))]
+        for lag in (1, 2):
+            i = p.index(-lag)
+            for kind, met in (("whole", i >= 0), ("open", (i >= 0) & opened[i])):
+                rows, n = counted(p.frame[met], p.label[i[met]], p.label[met])
+                parts.append((kind, lag, *rows.T, n))
+        kinds, lags, *columns = zip(*parts, strict=True)
+        sizes = [len(n) for n in columns[-1]]
+        out = pd.DataFrame({"seq": key[0], "kind": np.repeat(np.array(kinds, object), sizes), "lag": np.repeat(lags, sizes)} | {k: np.concatenate(v) for k, v in zip(("frame", "prev", "label", "n"), columns, strict=True)})
+        return out[out["frame"].between(key[1] * FRAMES_EACH, (key[1] + 1) * FRAMES_EACH - 1)]
+
+    return run
+
+
+def _rows(pixels: DataFrame, shape: tuple[int, int] | None, meta: DataFrame | None) -> DataFrame:
+    grouped = dealt(pixels, 2, *(["open"] if shape is None else [])).groupBy("seq", "part")
+    met = grouped.applyInPandas(_overlaps(shape), "seq string, frame int, kind string, lag int, prev int, label int, n int")
+    segments, opened = (F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("label")))).alias(name) for k, name in (("segment", "segments"), ("opened", "opened")))
+    overlaps = F.collect_list(F.when(F.col("kind").isin("whole", "open"), F.struct("lag", "kind", "prev", "label", "n"))).alias("overlaps")
+    rows = met.groupBy("seq", "frame").agg(segments, opened, overlaps)
+    return rows if meta is None else meta.select("seq", "frame").distinct().join(rows.hint("merge"), ["seq", "frame"], "left")
+
+
+def overlap_table(pixels: DataFrame, opened: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """One row per frame: segments, surviving openings and overlap counts at lags 1 and 2.
 
-    ``meta`` names every frame, so that empty frames are rows too. One join counts both lags, whole and opened.
+    ``meta`` names every frame, so that empty frames are rows too (none: frames with pixels). Pixels meet in groups of a few frames, never by a join.
     """
-    kept = opened.select(*raster.PIXEL, "label", F.lit(True).alias("open"))
-    marked = written_once(pixels.join(kept, [*raster.PIXEL, "label"], "left").select(*raster.PIXEL, "label", F.coalesce("open", F.lit(False)).alias("open")), "opened")
-    once = marked.groupBy("seq", "frame", "label").agg(F.max("open").alias("open")).groupBy("seq", "frame")
-    segments = once.agg(F.sort_array(F.collect_list("label")).alias("segments"), F.sort_array(F.collect_list(F.when(F.col("open"), F.col("label")))).alias("opened"))
-    before = marked.select("seq", "frame", "y", "x", F.col("label").alias("prev"), "open", F.explode(F.array(F.lit(1), F.lit(2))).alias("lag")).withColumn("frame", F.col("frame") + F.col("lag"))
-    met = before.join(marked.drop("open"), raster.PIXEL).groupBy("seq", "frame", "lag", "prev", "label").agg(F.count(F.lit(1)).cast("int").alias("whole"), F.count_if("open").cast("int").alias("open"))
-    counts = F.array(*[F.struct("lag", F.lit(k).alias("kind"), "prev", "label", F.col(k).alias("n")) for k in ("whole", "open")])
-    rows = met.select("seq", "frame", F.explode(F.filter(counts, lambda o: o["n"] > 0)).alias("o"))
-    overlaps = rows.groupBy("seq", "frame").agg(F.collect_list("o").alias("overlaps"))
-    return meta.select("seq", "frame").distinct().join(segments, ["seq", "frame"], "left").join(overlaps, ["seq", "frame"], "left")
+    both = pixels.select(*raster.PIXEL, "label", F.lit(False).alias("open")).unionByName(opened.select(*raster.PIXEL, "label", F.lit(True).alias("open")))
+    return _rows(both.groupBy(*raster.PIXEL, "label").agg(F.max("open").alias("open")), None, meta)
+
+
+def opened_overlaps(pixels: DataFrame, height: int, width: int, meta: DataFrame | None = None) -> DataFrame:
+    """``overlap_table`` with the 3 x 3 opening of every label, found in the same pass."""
+    return _rows(pixels, (height, width), meta)
 
 
 class StrictTracker:
@@ -98,7 +126,4 @@ def strict_tracks(pixels: DataFrame, height: int, width: int, meta: DataFrame |
     A new object owns only what is left of its segment after opening; a segment that opens to
     nothing is not tracked when new. A lost id is kept for one missing frame.
     """
-    pixels = written_once(pixels.select(*raster.PIXEL, "label"), "segments")
-    meta = meta if meta is not None else pixels.select("seq", "frame").distinct()
-    table = overlap_table(pixels, raster.open_labels(pixels, height, width), meta)
-    return table.groupBy("seq").applyInPandas(track_sequence, ASSIGNED)
+    return opened_overlaps(pixels, height, width, meta).groupBy("seq").applyInPandas(track_sequence, ASSIGNED)

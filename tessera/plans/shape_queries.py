@@ -102,7 +102,7 @@ def short_numbers(m: Masks) -> DataFrame:
 @query()
 def streamed_tracker(m: Masks) -> DataFrame:
     """The strict tracker on a stream that replays the masks, frames of a file in any order [O-157]."""
-    table = tracker.overlap_table(m.res, raster.open_labels(m.res, HEIGHT, WIDTH), m.res.select(*K).distinct())
+    table = tracker.opened_overlaps(m.res, HEIGHT, WIDTH)
     folder = f"{shared_dir(m.spark)}/tessera-stream-{uuid.uuid4().hex}"
     table.repartition(4, F.xxhash64("frame")).write.parquet(f"{folder}/frames")
     tracking.track_files(m.spark, f"{folder}/frames", f"{folder}/tracked", f"{folder}/checkpoint", table.schema, files_each_batch=2)

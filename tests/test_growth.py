@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from tessera.functions import masks
-from tessera.operators import morphology
+from tessera.operators import frame_tables, morphology, raster, tracker
 
 SMALL = "/root/testdata/sf0.001"
 PIXELS = "seq string, frame int, y int, x int, label int"
@@ -30,3 +30,23 @@ def test_masks_come_in_pieces_of_whole_frames(spark, monkeypatch):
     for made in (masks.ground_truth(lineitem), masks.results(lineitem)):
         assert made.rdd.getNumPartitions() == lineitem.count() // 200
         assert plan(made.groupBy("seq", "frame", "label").count()).count("Exchange") == 1
+
+
+def test_pixels_of_the_trackers_are_never_joined_or_broadcast(spark):
+    rows = [("01", f, y, x, k) for f in range(20) for k in (1, 2) for y in range(6 * k, 6 * k + 4) for x in range(f, f + 5)]
+    px = spark.createDataFrame(rows, PIXELS)
+    for out in (tracker.strict_tracks(px, 40, 40), raster.contacts(px), frame_tables.frame_tables(px, 2), raster.open_labels(px, 40, 40)):
+        assert "Join" not in plan(out) and "Generate explode(array(" not in plan(out)
+
+
+def test_meetings_across_the_borders_of_groups(spark):
+    """What a frame meets doesn't depend on how frames are dealt to groups, negative and missing frames included."""
+    rows = [("01", f, y, x, k) for f in (-9, -8, 0, 6, 7, 8, 9, 15, 17, 18) for k in (1, 2) for y in range(6 * k, 6 * k + 4) for x in range(abs(f), abs(f) + 5)]
+    px = spark.createDataFrame(rows, PIXELS)
+    lists = lambda r: tuple(sorted(map(str, x)) for x in (r.objects, r.touched, r.touching, r.inter))
+    want = {r.frame: lists(r) for r in frame_tables.frame_tables(px, 2).collect()}
+    assert {f: sum(t.startswith("Row(lag=1") for t in v[1]) for f, v in want.items()} == {f: 2 if f in (-8, 7, 8, 9, 18) else 0 for f in want}
+    moved = {r.frame - 3: lists(r) for r in frame_tables.frame_tables(px.withColumn("frame", px.frame + 3), 2).collect()}
+    assert moved == want and len(want) == 10
+    tracked = {(r.frame, r.label): r.track for r in tracker.strict_tracks(px.filter("frame >= 0"), 40, 40).collect()}
+    assert all(len({tracked[f, k] for f in (6, 7, 8, 9)}) == 1 for k in (1, 2))
