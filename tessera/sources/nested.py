@@ -47,7 +47,7 @@ def walk(documents: DataFrame, body: str = "body", into_stacks: bool = False) ->
     level = documents.select("path", F.lit("$").alias("key"), F.array().cast("array<int>").alias("place"), root.alias("v")).filter("v is not null")
     out = None
     while True:
-        level = written_once(_typed(level), "nested")
+        level = written_once(_typed(level), "nested", wide=True)
         out = level if out is None else out.unionByName(level)
         inner = level.filter("open" if into_stacks else "open and not stack")
         if inner.isEmpty():
@@ -81,17 +81,21 @@ def nested_stacks(documents: DataFrame, body: str = "body", time_axis: str = "fi
     one = ~F.col("s.schema").startswith("ARRAY<ARRAY<ARRAY<")
     stack = F.when(one, F.array(F.expr("try_variant_get(s.v, '$', 'array<array<double>>')"))).otherwise(F.expr("try_variant_get(s.v, '$', 'array<array<array<double>>>')"))
     stacks = found.select("path", F.col("s.key").alias("key"), one.alias("one"), stack.alias("a"))
-    good = F.forall("a", lambda p: F.forall(p, lambda r: F.forall(r, lambda v: v.isNotNull() & (v == F.floor(v)) & v.between(0, _LIMIT))))
-    stacks = written_once(stacks.withColumn("good", F.coalesce(good, F.lit(False))), "stacks")
     shape = [F.size("a"), F.size(F.col("a")[0]), F.size(F.col("a")[0][0])]
     axis = F.when(F.col("one"), F.lit(0)).otherwise(_axis(shape, time_axis))
-    planes = stacks.filter("good").select("path", "key", axis.alias("axis"), F.posexplode("a").alias("i", "plane"))
-    lines = planes.select("path", "key", "axis", "i", F.posexplode("plane").alias("j", "line"))
-    cells = lines.select("path", "key", "axis", "i", "j", F.posexplode("line").alias("k", "label")).filter("label <> 0")
+    whole = F.coalesce(F.forall("a", lambda p: F.forall(p, lambda r: r.isNotNull())), F.lit(False))
+    planes = stacks.select("path", "key", axis.alias("axis"), whole.alias("whole"), F.posexplode_outer(F.when(whole, F.col("a"))).alias("i", "plane"))
+    lines = planes.select("path", "key", "axis", "whole", "i", F.posexplode_outer("plane").alias("j", "line"))
+    fine = F.col("line").isNull() | F.coalesce(F.forall("line", lambda v: v.isNotNull() & (v == F.floor(v)) & v.between(0, _LIMIT)), F.lit(False))
+    # a row is a line of a mask, as scans and writers hold thousands of rows at once; every stack has one at least
+    lines = written_once(lines.withColumn("good", F.col("whole") & fine).drop("whole"), "lines")
+    heads = lines.groupBy("path", "key").agg(F.min("good").alias("good"))
+    cells = lines.filter("good").select("path", "key", "axis", "i", "j", F.posexplode("line").alias("k", "label")).filter("label <> 0")
+    cells = cells.join(heads.filter("not good").select("path"), "path", "left_anti")
     frame = F.when(F.col("axis") == 0, F.col("i")).when(F.col("axis") == 1, F.col("j")).otherwise(F.col("k"))
     y, x = F.when(F.col("axis") == 0, F.col("j")).otherwise(F.col("i")), F.when(F.col("axis") == 2, F.col("j")).otherwise(F.col("k"))
     pixels = cells.select("path", "key", frame.alias("frame"), y.alias("y"), x.alias("x"), F.col("label").cast("int").alias("label"), F.lit(None).cast("string").alias("problem"))
     none = [F.lit(None).cast("int").alias(c) for c in ("frame", "y", "x", "label")]
-    wrong = stacks.filter("not good").select("path", "key", *none, F.lit("labels must be whole numbers from 0 to 65535").alias("problem"))
-    absent = documents.select("path").distinct().join(stacks.select("path"), "path", "left_anti").select("path", F.lit(None).cast("string").alias("key"), *none, F.lit("no stack found").alias("problem"))
+    wrong = heads.filter("not good").select("path", "key", *none, F.lit("labels must be whole numbers from 0 to 65535").alias("problem"))
+    absent = documents.select("path").distinct().join(heads.select("path"), "path", "left_anti").select("path", F.lit(None).cast("string").alias("key"), *none, F.lit("no stack found").alias("problem"))
     return pixels.unionByName(wrong).unionByName(absent)

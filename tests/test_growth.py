@@ -6,6 +6,7 @@ import math
 
 from tessera.functions import masks
 from tessera.operators import frame_tables, morphology, raster, tracker
+from tessera.sources.shared import written_once
 
 SMALL = "/root/testdata/sf0.001"
 PIXELS = "seq string, frame int, y int, x int, label int"
@@ -50,3 +51,22 @@ def test_meetings_across_the_borders_of_groups(spark):
     assert moved == want and len(want) == 10
     tracked = {(r.frame, r.label): r.track for r in tracker.strict_tracks(px.filter("frame >= 0"), 40, 40).collect()}
     assert all(len({tracked[f, k] for f in (6, 7, 8, 9)}) == 1 for k in (1, 2))
+
+
+def test_files_of_wide_rows_are_short_and_written_tables_are_not_broadcast(spark):
+    wide = written_once(spark.range(1000).coalesce(1), "wide", wide=True)
+    assert len(wide.inputFiles()) == 5 and wide.count() == 1000
+    assert "Broadcast" not in plan(spark.range(10).join(written_once(spark.range(10), "small"), "id"))
+
+
+def test_neighbours_and_boxes_take_one_pass(spark):
+    rows = [("01", f, y, x, 1 + (x > 9)) for f in (0, 7, 8) for y in range(4, 9) for x in range(3, 15)]
+    px = spark.createDataFrame(rows, PIXELS)
+    for out in (morphology.neighbour_counts(px), morphology.neighbour_counts(morphology.skeletons(px))):
+        assert "Join" not in plan(out) and "Generate explode(array(" not in plan(out)
+    got = {(r.frame, r.y, r.x): r.n for r in morphology.neighbour_counts(px).collect()}
+    assert len(got) == len(rows) and (got[0, 4, 3], got[7, 5, 4], got[8, 5, 9], got[8, 5, 10]) == (3, 8, 5, 5)
+    chain = morphology.box_chain(px, 20, 30, [(5, "dilate"), (3, "erode")])
+    apart = morphology.box_morphology(morphology.box_morphology(px, 20, 30, 5).selectExpr("*", "1 AS label"), 20, 30, 3, "erode")
+    assert plan(chain).count("FlatMapGroups") == 1  # before it has run: a finished plan is shown twice
+    assert set(map(tuple, chain.collect())) == set(map(tuple, apart.collect()))
