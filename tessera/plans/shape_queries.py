@@ -73,8 +73,7 @@ def _along_sql(source: str, by: str, along: str, n: int) -> str:
 @query(f", wide AS ({_box_sql(27)}), lines AS ({_along_sql('wide', 'y', 'x', WIDTH)}) {_along_sql('lines', 'x', 'y', HEIGHT)}")
 def box_erode9(m: Masks) -> DataFrame:
     """[O-130]"""
-    wide = morphology.box_morphology(m.gt, HEIGHT, WIDTH, 27).withColumn("label", F.lit(1))
-    return morphology.box_morphology(wide, HEIGHT, WIDTH, 9, "erode")
+    return morphology.box_chain(m.gt, HEIGHT, WIDTH, [(27, "dilate"), (9, "erode")])
 
 
 def _axis_sql(name: str, n: int) -> str:
