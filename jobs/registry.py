@@ -20,9 +20,11 @@ def _folder(spark: SparkSession, name: str) -> str:
 def job1_tracking_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks derived from ``lineitem`` are written as tables, evaluated twice and read back."""
     folder, m = _folder(spark, "job1"), Masks(spark, sf_dir)
-    tables = {"truth": m.gt, "result": m.res, "truth_tracks": m.gt_tracks, "result_tracks": m.res_tracks, "outlines": m.seg}
-    for name, df in tables.items():
+    tables = {"truth": "gt", "result": "res", "outlines": "seg", "truth_tracks": "gt_tracks", "result_tracks": "res_tracks"}
+    for name, made in tables.items():
+        df = getattr(m, made)
         df.write.parquet(f"{folder}/{name}")
+        m.__dict__[made] = spark.read.schema(df.schema).parquet(f"{folder}/{name}")  # the tracks come from the written masks
     for _ in range(2):
         tracking_evaluation.run(spark, **{n: f"{folder}/{n}" for n in tables}, out=f"{folder}/evaluation")
     return tracking_evaluation.read_evaluation(spark, f"{folder}/evaluation")

@@ -45,39 +45,40 @@ class Config:
         return failures.Limits(self.coverage, self.iou, self.split, self.jump, self.jump_factor)
 
 
-def status(gt: DataFrame, res: DataFrame, seg: DataFrame | None) -> DataFrame:
+def status(frames: DataFrame) -> DataFrame:
     """(seq, status) of every sequence that either side has: ok, no result, no truth or no common frame."""
-    common = failures.common_frames(gt, res, seg).select("seq").distinct().withColumn("common", F.lit(True))
-    truth = (gt if seg is None else gt.select("seq").unionByName(seg.select("seq"))).select("seq").distinct().withColumn("t", F.lit(True))
-    found = res.select("seq").distinct().withColumn("r", F.lit(True))
-    j = truth.join(found, "seq", "full_outer").join(common, "seq", "left")
-    return j.select("seq", F.when(F.col("r").isNull(), "no result").when(F.col("t").isNull(), "no truth").when(F.col("common").isNull(), "no common frame").otherwise("ok").alias("status"))
+    some = frames.groupBy("seq").agg(F.max("result").alias("r"), F.max(F.col("marked") | F.col("outlined")).alias("t"), F.max("common").alias("common"))
+    return some.select("seq", F.when(~F.col("r"), "no result").when(~F.col("t"), "no truth").when(~F.col("common"), "no common frame").otherwise("ok").alias("status"))
 
 
 def evaluation(gt: DataFrame, res: DataFrame, gt_tracks: DataFrame, res_tracks: DataFrame, seg: DataFrame | None = None, limits: failures.Limits = failures.Limits()) -> DataFrame:
     """Rows (level, frame, measure, n, seq): 'frame' rows count failures by kind, 'sequence' rows hold the status (n: 1) and totals.
 
-    Status and totals come from the labels of each frame, written once a side; pixels are only read for these and for the events.
+    Pixels are read and shuffled once; status, totals and events come from their counts by labels in place, written once.
     """
-    seen, seen_res = (_labels(x, name) for x, name in ((gt, "truth"), (res, "result")))
-    seen_seg = None if seg is None else _labels(seg, "outlines")
-    state = status(seen, seen_res, seen_seg)
+    counts = written_once(failures.pixel_counts(gt, res, seg), "counts")
+    for name, side in zip(("truth", "result", "outlines"), ("a", "b", "c"), strict=True):
+        if side in counts.columns:
+            read = counts.filter(F.col(side).isNotNull()).agg(F.coalesce(F.sum("n"), F.lit(0)), F.countDistinct(F.struct("seq", "frame", side))).first()
+            log.info("%s: %d pixels read, %d labels in frames", name, *read)
+    frames = failures.seen_frames(counts)
+    state = written_once(status(frames), "status")
     good = state.filter("status = 'ok'").select("seq")
-    gt, res, gt_tracks, res_tracks = (x.join(good, "seq", "left_semi") for x in (gt, res, gt_tracks, res_tracks))
-    seg = None if seg is None else seg.join(good, "seq", "left_semi")
-    events = failures.events(gt, res, gt_tracks, res_tracks, limits, seg)
+    gt_tracks, res_tracks = (x.join(good, "seq", "left_semi") for x in (gt_tracks, res_tracks))
+    events = failures.counted_events(counts, gt_tracks, res_tracks, limits, frames)
     by_frame = failures.by_frame(events).select(F.lit("frame").alias("level"), "frame", F.col("event_type").alias("measure"), F.col("count").alias("n"), "seq")
     none = F.lit(None).cast("int").alias("frame")
 
     def total(df: DataFrame, measure: str) -> DataFrame:
         return df.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).select(F.lit("sequence").alias("level"), none, F.lit(measure).alias("measure"), "n", "seq")
 
-    frames = failures.common_frames(seen, seen_res, seen_seg)
+    seen, seen_res = (counts.filter(F.col(side).isNotNull()).select("seq", F.col(side).alias("label"), "frame").distinct() for side in ("a", "b"))
+    common = frames.filter("common").select(*KEY)
     states = state.select(F.lit("sequence").alias("level"), none, F.concat(F.lit("status: "), F.col("status")).alias("measure"), F.lit(1).cast("bigint").alias("n"), "seq")
     totals = (
-        total(frames, "common frames"),
-        total(seen.join(frames, KEY, "left_semi"), "truth objects"),
-        total(seen_res.join(frames, KEY, "left_semi"), "result objects"),
+        total(common, "common frames"),
+        total(seen.join(common, KEY, "left_semi"), "truth objects"),
+        total(seen_res.join(common, KEY, "left_semi"), "result objects"),
         total(tracks.runs(seen_res), "result runs"),
     )
     out = by_frame.unionByName(states)
@@ -86,14 +87,6 @@ def evaluation(gt: DataFrame, res: DataFrame, gt_tracks: DataFrame, res_tracks:
     return out
 
 
-def _labels(pixels: DataFrame, name: str) -> DataFrame:
-    """The labels of every frame, written once; logs how many pixels that read."""
-    counts = written_once(pixels.groupBy("seq", "label", "frame").agg(F.count(F.lit(1)).alias("n")), f"{name}-labels")
-    read = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    log.info("%s: %d pixels read, %d labels in frames", name, *read)
-    return counts.drop("n")
-
-
 def read_evaluation(spark: SparkSession, out: str) -> DataFrame:
     """The evaluation as it stands."""
     return spark.read.schema(EVALUATION).parquet(out)
@@ -112,7 +105,8 @@ def run(spark: SparkSession, truth: str, result: str, truth_tracks: str, result_
     rows = evaluation(tables["truth"], tables["result"], tables["truth tracks"], tables["result tracks"], tables.get("outlines"), config.limits())
     rows = written_once(rows, "evaluation")
     written = rows.count()
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seq").parquet(out)
+    # a file for each sequence, not one from every task
+    rows.repartition("seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seq").parquet(out)
     bad = read_evaluation(spark, out).filter("measure like 'status: %' and measure <> 'status: ok'").count()
     log.info("%d rows written to %s; sequences there that could not be judged: %d", written, out, bad)
     return written

@@ -112,16 +112,34 @@ def divisions(gt_tracks: DataFrame, matched: DataFrame, res_tracks: DataFrame) -
     return j.select("seq", "frame", "child", "parent", "res_child", "res_parent", "found_parent", what.alias("outcome"))
 
 
-def pixel_counts(gt: DataFrame, res: DataFrame) -> DataFrame:
+def pixel_counts(gt: DataFrame, res: DataFrame, seg: DataFrame | None = None) -> DataFrame:
     """(seq, frame, a, b, n, sy, sx): pixels of every pair of labels in place, null where one side has none [O-51 … O-53].
 
-    One shuffle by pixel; both areas, every overlap and both sides' centroids come from this table, whose
-    size goes with the objects.
+    With ``seg`` also c, its labels. One shuffle by frame; all areas, every overlap and both sides' centroids come from this
+    table, whose size goes with the objects.
     """
-    none = F.lit(None).cast("int")
-    sides = gt.select(*raster.PIXEL, F.col("label").alias("a"), none.alias("b")).unionByName(res.select(*raster.PIXEL, none.alias("a"), F.col("label").alias("b")))
-    cells = sides.groupBy(*raster.PIXEL).agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    return cells.groupBy(*KEY, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum("x").alias("sx"))
+    sides = {"a": gt, "b": res} | ({} if seg is None else {"c": seg})
+    none, rows = F.lit(None).cast("int"), None
+    for own, x in sides.items():
+        part = x.select(*raster.PIXEL, *[(F.col("label") if k == own else none).alias(k) for k in sides])
+        rows = part if rows is None else rows.unionByName(part)
+    cells = rows.repartition(*KEY).groupBy(*raster.PIXEL).agg(*[F.max(k).alias(k) for k in sides])
+    return cells.groupBy(*KEY, *sides).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum("x").alias("sx"))
+
+
+def seen_frames(counts: DataFrame) -> DataFrame:
+    """(seq, frame, truth, result, outlined, common) of ``pixel_counts``: which sides a frame has, and whether it is common.
+
+    Written once. Outlines count where no frame of the sequence has both markers and results, as in ``common_frames``; ``truth`` then
+    says so by 'c', else 'a'. A frame without a sequence's name is never common.
+    """
+    outlines = F.max(F.col("c").isNotNull()) if "c" in counts.columns else F.lit(False)
+    frames = counts.groupBy(*KEY).agg(F.max(F.col("a").isNotNull()).alias("marked"), F.max(F.col("b").isNotNull()).alias("result"), outlines.alias("outlined"))
+    by = frames.groupBy(F.col("seq").alias("of")).agg(F.max(F.col("marked") & F.col("result")).alias("by_markers"))
+    known = F.when(F.col("by_markers"), F.col("marked")).otherwise(F.col("outlined"))
+    out = frames.join(by.hint("merge"), F.col("seq").eqNullSafe(F.col("of")))
+    out = out.select(*KEY, "marked", "result", "outlined", F.when(F.col("by_markers"), "a").otherwise("c").alias("truth"), (F.col("seq").isNotNull() & F.col("result") & known).alias("common"))
+    return written_once(out, "frames")
 
 
 class Pairs:
@@ -133,6 +151,12 @@ class Pairs:
         areas = {"a_area": F.sum("n").over(Window.partitionBy(*KEY, "a")), "b_area": F.sum("n").over(Window.partitionBy(*KEY, "b"))}
         self.table = written_once(both.withColumns(areas), "pixel-counts")
 
+    @classmethod
+    def of(cls, counts: DataFrame, side: Column) -> Pairs:
+        """One side of three against the results."""
+        two = counts.withColumn("a", side).filter("a is not null or b is not null")
+        return cls(two.groupBy(*KEY, "a", "b").agg(*[F.sum(k).alias(k) for k in ("n", "sy", "sx")]))
+
     def best(self, own: str, other: str) -> DataFrame:
         """Best cover of every label of one side, as ``raster.best_overlap``: (seq, frame, own, best, n, coverage)."""
         n = F.when(F.col(other).isNull(), F.lit(-1)).otherwise(F.col("n"))
@@ -187,11 +211,20 @@ def events(gt: DataFrame, res: DataFrame, gt_tracks: DataFrame, res_tracks: Data
     it has; None: nothing is annotated, so there are no IoU events. A sequence whose markers share no frame with the result
     is judged by ``seg`` alone. Scores stay numeric; text formatting is the sink's.
     """
-    if seg is not None:
-        frames = common_frames(gt, res, seg)
-        gt = choose_truth(gt.join(frames, KEY, "left_semi"), seg.join(frames, KEY, "left_semi"))
-    pairs = Pairs(pixel_counts(gt, res))
-    outlines = None if seg is None else Pairs(pixel_counts(seg.join(gt.select(*KEY).distinct(), KEY, "left_semi"), res))
+    counts = pixel_counts(gt, res, seg)
+    return counted_events(counts if seg is None else written_once(counts, "counts"), gt_tracks, res_tracks, limits)
+
+
+def counted_events(counts: DataFrame, gt_tracks: DataFrame, res_tracks: DataFrame, limits: Limits = Limits(), frames: DataFrame | None = None) -> DataFrame:
+    """``events`` from ``pixel_counts``, which with outlines are read several times; ``frames``: their ``seen_frames``, where known."""
+    outlines = None
+    if "c" in counts.columns:
+        frames = seen_frames(counts) if frames is None else frames
+        judged = counts.join(frames.filter("common").select(*KEY, "truth"), KEY)
+        outlines = Pairs.of(judged, F.col("c"))
+        pairs = Pairs.of(judged, F.when(F.col("truth") == "a", F.col("a")).otherwise(F.col("c")))
+    else:
+        pairs = Pairs(counts)
     m = pairs.best("a", "b").withColumnsRenamed({"a": "gt", "best": "res"}).withColumn("matched", (F.col("res") > 0) & (F.col("coverage") >= limits.coverage))
     m = written_once(m, "matches")
     good = m.filter("matched")

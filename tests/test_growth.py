@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import collections
 import math
+import os
 
+from jobs import tracking_evaluation
 from tessera.functions import masks
-from tessera.operators import frame_tables, morphology, raster, tracker
+from tessera.operators import failures, frame_tables, morphology, raster, tracker
 from tessera.sources.shared import written_once
 
 SMALL = "/root/testdata/sf0.001"
@@ -70,3 +73,24 @@ def test_neighbours_and_boxes_take_one_pass(spark):
     apart = morphology.box_morphology(morphology.box_morphology(px, 20, 30, 5).selectExpr("*", "1 AS label"), 20, 30, 3, "erode")
     assert plan(chain).count("FlatMapGroups") == 1  # before it has run: a finished plan is shown twice
     assert set(map(tuple, chain.collect())) == set(map(tuple, apart.collect()))
+
+
+def test_evaluation_shuffles_pixels_once_and_writes_a_file_for_each_sequence(spark, tmp_path):
+    rows = [(s, f, y, x, k) for s in ("01", "02", "03") for f in range(4) for k in (1, 2) for y in range(6 * k, 6 * k + 4) for x in range(f, f + 5)]
+    px = spark.createDataFrame(rows, PIXELS)
+    assert "Join" not in plan(failures.pixel_counts(px, px, px)) and plan(failures.pixel_counts(px, px, px)).count("Exchange") == 1
+    spark.createDataFrame([(s, k, 0, 3, 0) for s in ("01", "02", "03") for k in (1, 2)], "seq string, label int, begin int, end int, parent int").write.parquet(f"{tmp_path}/tracks")
+    px.write.parquet(f"{tmp_path}/truth")
+    px.filter("label = 1 and frame <> 2").repartition(5).write.parquet(f"{tmp_path}/result")
+    inputs = {"truth": "truth", "outlines": "truth", "result": "result", "truth_tracks": "tracks", "result_tracks": "tracks"}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")  # as by default
+    try:
+        tracking_evaluation.run(spark, **{n: f"{tmp_path}/{p}" for n, p in inputs.items()}, out=f"{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    found = tracking_evaluation.read_evaluation(spark, f"{tmp_path}/out")
+    files = collections.Counter(os.path.dirname(f) for f in found.inputFiles())
+    assert sorted(files.values()) == [1, 1, 1]
+    got = {(r.seq, r.measure): r.n for r in found.filter("seq = '02'").groupBy("seq", "measure").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert got == {("02", m): n for m, n in {"status: ok": 1, "common frames": 3, "truth objects": 6, "result objects": 3, "result runs": 2, "missed_gt_object": 3, "low_segmentation_iou": 3}.items()}
