@@ -6,9 +6,11 @@ import collections
 import math
 import os
 
+import numpy as np
+
 from jobs import tracking_evaluation
 from tessera.functions import masks
-from tessera.operators import failures, frame_tables, morphology, raster, tracker
+from tessera.operators import failures, frame_tables, morphology, raster, shapes, tracker
 from tessera.sources.shared import written_once
 
 SMALL = "/root/testdata/sf0.001"
@@ -94,3 +96,21 @@ def test_evaluation_shuffles_pixels_once_and_writes_a_file_for_each_sequence(spa
     assert sorted(files.values()) == [1, 1, 1]
     got = {(r.seq, r.measure): r.n for r in found.filter("seq = '02'").groupBy("seq", "measure").sum("n").withColumnRenamed("sum(n)", "n").collect()}
     assert got == {("02", m): n for m, n in {"status: ok": 1, "common frames": 3, "truth objects": 6, "result objects": 3, "result runs": 2, "missed_gt_object": 3, "low_segmentation_iou": 3}.items()}
+
+
+def test_small_boxes_take_no_sums(monkeypatch):
+    rng = np.random.default_rng(3)
+    cases = [(rng.random(shape) < share, k) for shape in ((1, 1), (1, 7), (6, 2), (20, 31)) for share in (0.1, 0.6, 0.95) for k in (1, 3, 5, 9)]
+    cases += [(np.ones((5, 5), bool), 3), (np.zeros((5, 5), bool), 9)]
+
+    def brute(m, k, grow):
+        r, (h, w) = k // 2, m.shape
+        near = [[m[max(0, y - r) : y + r + 1, max(0, x - r) : x + r + 1] for x in range(w)] for y in range(h)]
+        return np.array([[v.any() if grow else v.all() for v in row] for row in near])
+
+    monkeypatch.setattr(np, "cumsum", None)
+    for m, k in cases:
+        for grow in (True, False):
+            got = shapes.box(m, k, grow)
+            assert got.dtype == bool and (got == brute(m, k, grow)).all()
+        assert (shapes.opened(m, k) == brute(brute(m, k, False), k, True)).all()
