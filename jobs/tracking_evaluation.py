@@ -105,8 +105,9 @@ def run(spark: SparkSession, truth: str, result: str, truth_tracks: str, result_
     rows = evaluation(tables["truth"], tables["result"], tables["truth tracks"], tables["result tracks"], tables.get("outlines"), config.limits())
     rows = written_once(rows, "evaluation")
     written = rows.count()
-    # a file for each sequence, not one from every task
-    rows.repartition("seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seq").parquet(out)
+    # a file for each sequence, not one from every task; the number keeps few megabytes of many files from becoming few tasks
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(pieces, "seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seq").parquet(out)
     bad = read_evaluation(spark, out).filter("measure like 'status: %' and measure <> 'status: ok'").count()
     log.info("%d rows written to %s; sequences there that could not be judged: %d", written, out, bad)
     return written
