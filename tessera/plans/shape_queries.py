@@ -161,15 +161,16 @@ def shape_violations(m: Masks) -> DataFrame:
 @query("SELECT seq, frame, '$.Result[1].MASKS' AS key, y, x, label FROM gt")
 def nested_stack(m: Masks) -> DataFrame:
     """Every frame as a nested document with its mask some levels down [O-05]."""
-    entries = lambda a, b: F.map_from_entries(F.collect_list(F.struct(a, b)))
-    lines = m.gt.groupBy(*K, "y").agg(entries("x", "label").alias("at"))
-    line = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda x: F.coalesce(F.try_element_at("at", x), F.lit(0)))
-    masks = lines.select(*K, "y", line.alias("line")).groupBy(*K).agg(entries("y", "line").alias("at"))
-    blank = F.array_repeat(F.lit(0), WIDTH)
-    rows = F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), lambda y: F.coalesce(F.try_element_at("at", y), blank))
+    # the items of the list differ in form, so they are put in as text; a line's zeros are written as runs between its pixels
+    lines = m.gt.groupBy(*K, "y").agg(F.sort_array(F.collect_list(F.struct("x", "label"))).alias("at"))
+    zeros = lambda n: F.repeat(F.lit("0,"), n)
+    line = F.array_join(F.transform("at", lambda p, i: F.concat(zeros(p.x - F.coalesce(F.get("at", i - 1).x + 1, F.lit(0))), p.label.cast("string"))), ",")
+    line = F.concat(F.lit("["), line, F.repeat(F.lit(",0"), WIDTH - 1 - F.element_at("at", -1).x), F.lit("]"))
+    masks = lines.select(*K, "y", line.alias("line")).groupBy(*K).agg(F.map_from_entries(F.collect_list(F.struct("y", "line"))).alias("at"))
+    blank = "[" + ",".join(["0"] * WIDTH) + "]"
+    rows = F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), lambda y: F.coalesce(F.try_element_at("at", y), F.lit(blank)))
     meta = F.struct(F.lit("none").alias("labels"), F.array(F.lit(HEIGHT), F.lit(WIDTH)).alias("shape"))
-    # the items of the list differ in form, so they are put in as text
-    body = F.concat(F.lit('{"meta":'), F.to_json(meta), F.lit(',"Result":[{"x":1},'), F.to_json(F.struct(rows.alias("MASKS"))), F.lit("]}"))
+    body = F.concat(F.lit('{"meta":'), F.to_json(meta), F.lit(',"Result":[{"x":1},{"MASKS":['), F.array_join(rows, ","), F.lit("]}]}"))
     out = nested.nested_stacks(masks.select(F.concat_ws("/", *K).alias("path"), body.alias("body")))
     at = F.split("path", "/")
     return out.select(at[0].alias("seq"), at[1].cast("int").alias("frame"), "key", "y", "x", "label")

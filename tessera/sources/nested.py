@@ -16,6 +16,10 @@ PREFERRED = ("Final_tracked_tensor", "tracked_masks", "tracked_mask", "track_mas
 _STACK = r"^ARRAY<(ARRAY<){1,2}(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))>+$"
 _OPEN = r"^(OBJECT<|ARRAY<(OBJECT|ARRAY|VARIANT))"
 _LIMIT = 65535
+#: Levels that one pass of the search for stacks goes down before its state is written.
+LEVELS = 6
+#: Characters of stacks that one task turns into pixels.
+CHARACTERS_EACH = 16 << 20
 
 
 def _typed(nodes: DataFrame) -> DataFrame:
@@ -24,16 +28,26 @@ def _typed(nodes: DataFrame) -> DataFrame:
     return out.withColumns({"stack": F.col("schema").rlike(_STACK), "open": F.col("schema").rlike(_OPEN)})
 
 
+def _below(above: str, place: str, pos: str, key: str) -> tuple[Column, Column]:
+    """The name of a node under ``above``, and its place in the search."""
+    rank = F.lit(None).cast("int")
+    for i, name in enumerate(PREFERRED):
+        rank = F.when(F.lower(key) == name.lower(), F.lit(i)).otherwise(rank)
+    step = F.coalesce(rank, F.lit(len(PREFERRED)) + F.col(pos))
+    name = F.concat(above, F.when(F.col(key).isNull(), F.concat(F.lit("["), F.col(pos).cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col(key))))
+    return name, F.concat(place, F.array(step))
+
+
 def _children(nodes: DataFrame) -> DataFrame:
     """What the open nodes hold, each with its place in the search."""
     spark = nodes.sparkSession
     held = spark.sql("SELECT n.path, n.key AS above, n.place, t.pos, t.key, t.value AS v FROM {nodes} n, LATERAL variant_explode(n.v) t", nodes=nodes.select("path", "key", "place", "v"))
-    rank = F.lit(None).cast("int")
-    for i, name in enumerate(PREFERRED):
-        rank = F.when(F.lower("key") == name.lower(), F.lit(i)).otherwise(rank)
-    step = F.coalesce(rank, F.lit(len(PREFERRED)) + F.col("pos"))
-    name = F.concat("above", F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key"))))
-    return held.select("path", name.alias("key"), F.concat("place", F.array(step)).alias("place"), "v")
+    name, place = _below("above", "place", "pos", "key")
+    return held.select("path", name.alias("key"), place.alias("place"), "v")
+
+
+def _root(documents: DataFrame, body: str) -> Column:
+    return F.col(body) if documents.schema[body].dataType.typeName() == "variant" else F.try_parse_json(body)
 
 
 def walk(documents: DataFrame, body: str = "body", into_stacks: bool = False) -> DataFrame:
@@ -42,9 +56,7 @@ def walk(documents: DataFrame, body: str = "body", into_stacks: bool = False) ->
     ``body`` is JSON text or a VARIANT; text that isn't JSON and null bodies give no nodes. As many passes as the deepest
     document has levels, each written once.
     """
-    kind = documents.schema[body].dataType.typeName()
-    root = F.col(body) if kind == "variant" else F.try_parse_json(body)
-    level = documents.select("path", F.lit("$").alias("key"), F.array().cast("array<int>").alias("place"), root.alias("v")).filter("v is not null")
+    level = documents.select("path", F.lit("$").alias("key"), F.array().cast("array<int>").alias("place"), _root(documents, body).alias("v")).filter("v is not null")
     out = None
     while True:
         level = written_once(_typed(level), "nested", wide=True)
@@ -71,31 +83,76 @@ def _axis(shape: list[Column], wanted: str) -> Column:
     return F.when(fits, least).otherwise(F.lit(2))
 
 
+def _kind(v: str) -> Column:
+    """The schema of an array without objects, as far as a stack can be one; of other nodes only that there is something to walk into."""
+    is_object = F.expr(f"try_variant_get({v}, '$', 'map<string,boolean>')").isNotNull()
+    holds_objects = F.exists(F.expr(f"try_variant_get({v}, '$', 'array<map<string,boolean>>')"), lambda x: x.isNotNull())
+    return F.when(is_object, "OBJECT<>").when(holds_objects, "ARRAY<VARIANT>").otherwise(F.schema_of_variant(v))
+
+
+def _one_level(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (path, key, place, v, schema) with what the open ones hold in their stead. Stacks and rows without a place stay."""
+    spark = nodes.sparkSession
+    inner = nodes.withColumn("inner", F.when(F.col("schema").rlike(_OPEN) & ~F.col("schema").rlike(_STACK), F.col("v")))
+    held = spark.sql("SELECT n.path, n.key AS above, n.place, n.v, n.schema, t.pos, t.key, t.value FROM {nodes} n, LATERAL variant_explode_outer(n.inner) t", nodes=inner)
+    child = F.col("pos").isNotNull()
+    held = held.filter(child | F.col("place").isNull() | F.col("schema").rlike(_STACK))
+    either = lambda new, old: F.when(child, new).otherwise(F.col(old))
+    name, place = _below("above", "place", "pos", "key")
+    held = held.select("path", either(name, "above").alias("key"), either(place, "place").alias("place"), either(F.col("value"), "v").alias("v"), "schema", child.alias("child"))
+    return held.withColumn("schema", F.when(F.col("child"), _kind("v")).otherwise(F.col("schema"))).drop("child")
+
+
+def _stacks(documents: DataFrame, body: str) -> DataFrame:
+    """(path, key, place, schema, text, chars, ...): the stacks of each document as JSON text, and a row without a place for each document.
+
+    ``LEVELS`` levels are walked in one pass over the documents, as a stream of nodes; only what lies deeper is walked again.
+    """
+    # the row without a place tells a document without a stack from none
+    rows = documents.select("path", F.col(body).alias("body"), F.explode(F.array(F.lit(False), F.lit(True))).alias("inside"))
+    nodes = rows.select(
+        "path",
+        F.when(F.col("inside"), "$").alias("key"),
+        F.when(F.col("inside"), F.array().cast("array<int>")).alias("place"),
+        F.when(F.col("inside"), _root(rows, "body")).alias("v"),
+    ).withColumn("schema", _kind("v"))
+    out = None
+    while True:
+        for _ in range(LEVELS):
+            nodes = _one_level(nodes)
+        stack = F.coalesce(F.col("schema").rlike(_STACK), F.lit(False))
+        held = nodes.filter(F.col("place").isNull() | F.col("schema").rlike(_OPEN)).withColumns({"deeper": ~stack & F.col("place").isNotNull(), "text": F.when(stack, F.to_json("v"))})
+        held = held.withColumns({"chars": F.length("text"), "v": F.when(F.col("deeper"), F.col("v"))})
+        written = written_once(held, "nested", wide=True)
+        out = written if out is None else out.unionByName(written)
+        if not written.agg(F.max("deeper")).first()[0]:
+            return out
+        nodes = written.filter("deeper").select("path", "key", "place", "v", "schema")
+
+
 def nested_stacks(documents: DataFrame, body: str = "body", time_axis: str = "first") -> DataFrame:
     """(path, key, frame, y, x, label, problem): labelled pixels of the stack found in each document [O-05, O-08, O-136].
 
     A single mask is frame 0. Documents without a stack, with labels that aren't whole numbers from 0 to 65535, or that can't be read are one
     row with the ``problem``; stacks without labelled pixels give no rows.
     """
-    found = walk(documents, body).filter("stack").groupBy("path").agg(F.min_by(F.struct("key", "v", "schema"), "place").alias("s"))
-    one = ~F.col("s.schema").startswith("ARRAY<ARRAY<ARRAY<")
-    stack = F.when(one, F.array(F.expr("try_variant_get(s.v, '$', 'array<array<double>>')"))).otherwise(F.expr("try_variant_get(s.v, '$', 'array<array<array<double>>>')"))
-    stacks = found.select("path", F.col("s.key").alias("key"), one.alias("one"), stack.alias("a"))
+    stacks = _stacks(documents, body)
+    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, (stacks.agg(F.sum("chars")).first()[0] or 0) // CHARACTERS_EACH)
+    one = ~F.col("schema").startswith("ARRAY<ARRAY<ARRAY<")
+    # by number, as tasks aren't to be merged by the few bytes that text of zeros shuffles
+    found = stacks.repartition(tasks, "path").groupBy("path").agg(F.min_by(F.struct("key", "text", one.alias("one")), F.when(F.col("text").isNotNull(), F.col("place"))).alias("s"))
+    stack = F.when(F.col("s.one"), F.array(F.from_json("s.text", "array<array<double>>"))).otherwise(F.from_json("s.text", "array<array<array<double>>>"))
+    found = found.select("path", F.col("s.key").alias("key"), F.col("s.one").alias("one"), stack.alias("a"))
     shape = [F.size("a"), F.size(F.col("a")[0]), F.size(F.col("a")[0][0])]
     axis = F.when(F.col("one"), F.lit(0)).otherwise(_axis(shape, time_axis))
-    whole = F.coalesce(F.forall("a", lambda p: F.forall(p, lambda r: r.isNotNull())), F.lit(False))
-    planes = stacks.select("path", "key", axis.alias("axis"), whole.alias("whole"), F.posexplode_outer(F.when(whole, F.col("a"))).alias("i", "plane"))
-    lines = planes.select("path", "key", "axis", "whole", "i", F.posexplode_outer("plane").alias("j", "line"))
-    fine = F.col("line").isNull() | F.coalesce(F.forall("line", lambda v: v.isNotNull() & (v == F.floor(v)) & v.between(0, _LIMIT)), F.lit(False))
-    # a row is a line of a mask, as scans and writers hold thousands of rows at once; every stack has one at least
-    lines = written_once(lines.withColumn("good", F.col("whole") & fine).drop("whole"), "lines")
-    heads = lines.groupBy("path", "key").agg(F.min("good").alias("good"))
-    cells = lines.filter("good").select("path", "key", "axis", "i", "j", F.posexplode("line").alias("k", "label")).filter("label <> 0")
-    cells = cells.join(heads.filter("not good").select("path"), "path", "left_anti")
+    fine = lambda v: v.isNotNull() & (v == F.floor(v)) & v.between(0, _LIMIT)
+    good = F.coalesce(F.forall("a", lambda p: F.forall(p, lambda r: F.forall(F.array_distinct(r), fine))), F.lit(False))
+    found = found.select("path", "key", "a", axis.alias("axis"), good.alias("good"))
+    problem = F.when(F.col("key").isNull(), "no stack found").when(~F.col("good"), "labels must be whole numbers from 0 to 65535")
+    # outer, as a filter of empty arrays would read the text again
+    planes = found.select("path", "key", "axis", problem.alias("problem"), F.posexplode_outer(F.when(F.col("good"), F.col("a"))).alias("i", "plane"))
+    lines = planes.select("path", "key", "axis", "problem", "i", F.posexplode_outer("plane").alias("j", "line"))
+    cells = lines.select("path", "key", "axis", "problem", "i", "j", F.posexplode_outer("line").alias("k", "label")).filter("label <> 0 or problem is not null")
     frame = F.when(F.col("axis") == 0, F.col("i")).when(F.col("axis") == 1, F.col("j")).otherwise(F.col("k"))
     y, x = F.when(F.col("axis") == 0, F.col("j")).otherwise(F.col("i")), F.when(F.col("axis") == 2, F.col("j")).otherwise(F.col("k"))
-    pixels = cells.select("path", "key", frame.alias("frame"), y.alias("y"), x.alias("x"), F.col("label").cast("int").alias("label"), F.lit(None).cast("string").alias("problem"))
-    none = [F.lit(None).cast("int").alias(c) for c in ("frame", "y", "x", "label")]
-    wrong = heads.filter("not good").select("path", "key", *none, F.lit("labels must be whole numbers from 0 to 65535").alias("problem"))
-    absent = documents.select("path").distinct().join(heads.select("path"), "path", "left_anti").select("path", F.lit(None).cast("string").alias("key"), *none, F.lit("no stack found").alias("problem"))
-    return pixels.unionByName(wrong).unionByName(absent)
+    return cells.select("path", "key", frame.alias("frame"), y.alias("y"), x.alias("x"), F.col("label").cast("int").alias("label"), "problem")

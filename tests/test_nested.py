@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import types
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.plans import shape_queries
 from tessera.sources import frames, nested
+from tessera.sources.shared import written_once
 
 
 def first_stack(node, key="$"):
@@ -74,3 +77,44 @@ def test_time_axes(spark, shape):
         moved = np.moveaxis(a, frames.time_axis(shape, wanted), 0)
         got = {(r.frame, r.y, r.x): r.label for r in nested.nested_stacks(docs, time_axis=wanted).collect()}
         assert got == {tuple(map(int, at)): int(moved[at]) for at in zip(*np.nonzero(moved), strict=True)}, wanted
+
+
+def test_documents_are_walked_once_and_nothing_is_joined(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(nested, "written_once", lambda df, *a, **k: written.append(df.columns) or written_once(df, *a, **k))
+    docs = spark.createDataFrame([("a", json.dumps({"x": [1, {"y": {"seg": STACK}}]})), ("b", "[]")], "path string, body string")
+    out = nested.nested_stacks(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(written) == 1 and "Join" not in plan and plan.count("from_json(") == 2  # of two and of three axes
+    assert sorted((r.path, r.key, r.label) for r in out.collect() if r.path == "a") == [("a", "$.x[1].y.seg", k) for k in (1, 2, 3, 9)]
+
+
+def test_deep_documents_and_several_of_a_path(spark):
+    deep = MASK
+    for i in range(2 * nested.LEVELS + 1):
+        deep = {"z": deep} if i % 2 else [0, {"w": 1}, deep]
+    later = [{}, {"q": {"q": {"q": {"q": {"q": {"q": {"q": {"q": STACK}}}}}}}}, [[5]]]  # the first is the deeper one
+    rows = [("deep", deep), ("later", later), ("twice", {"data": [[7]]}), ("twice", {"masks": [[8]]}), ("twice", {}), ("none", {"a": deep[:2]})]
+    got = nested.nested_stacks(spark.createDataFrame([(p, json.dumps(v)) for p, v in rows], "path string, body string")).collect()
+    for path, body in (("deep", deep), ("later", later), ("twice", {"masks": [[8]]})):
+        key, a = first_stack(body)
+        assert sorted((r.key, r.label) for r in got if r.path == path) == sorted((key, int(v)) for v in a.ravel() if v), path
+    assert [(r.key, r.problem) for r in got if r.path == "none"] == [(None, "no stack found")]
+
+
+def test_the_query_writes_whole_masks(spark, monkeypatch):
+    px = [("01", 0, 0, 0, 5), ("01", 0, 0, 2, 6), ("01", 0, 79, 127, 70), ("01", 1, 40, 127, 1), ("02", 0, 3, 0, 2), ("02", 0, 3, 1, 2)]
+    seen = []
+    monkeypatch.setattr(nested, "nested_stacks", lambda docs: seen.append(docs) or docs.selectExpr("path", "'' AS key", "0 AS frame", "0 AS y", "0 AS x", "0 AS label"))
+    shape_queries.nested_stack(types.SimpleNamespace(gt=spark.createDataFrame(px, "seq string, frame int, y int, x int, label int")))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_entries(") == 1  # of a mask's lines, none of a line's cells
+    bodies = {r.path: r.body for r in seen[0].collect()}
+    assert set(bodies) == {"01/0", "01/1", "02/0"}
+    for path, body in bodies.items():
+        mask = np.zeros((80, 128), int)
+        for seq, frame, y, x, label in px:
+            if path == f"{seq}/{frame}":
+                mask[y, x] = label
+        want = {"meta": {"labels": "none", "shape": [80, 128]}, "Result": [{"x": 1}, {"MASKS": mask.tolist()}]}
+        assert body == json.dumps(want, separators=(",", ":")), path
