@@ -161,16 +161,22 @@ def shape_violations(m: Masks) -> DataFrame:
 @query("SELECT seq, frame, '$.Result[1].MASKS' AS key, y, x, label FROM gt")
 def nested_stack(m: Masks) -> DataFrame:
     """Every frame as a nested document with its mask some levels down [O-05]."""
-    # the items of the list differ in form, so they are put in as text; a line's zeros are written as runs between its pixels
-    lines = m.gt.groupBy(*K, "y").agg(F.sort_array(F.collect_list(F.struct("x", "label"))).alias("at"))
+    masks = m.gt.groupBy(*K).agg(F.sort_array(F.collect_list(F.struct("y", "x", "label"))).alias("at"))
     zeros = lambda n: F.repeat(F.lit("0,"), n)
-    line = F.array_join(F.transform("at", lambda p, i: F.concat(zeros(p.x - F.coalesce(F.get("at", i - 1).x + 1, F.lit(0))), p.label.cast("string"))), ",")
-    line = F.concat(F.lit("["), line, F.repeat(F.lit(",0"), WIDTH - 1 - F.element_at("at", -1).x), F.lit("]"))
-    masks = lines.select(*K, "y", line.alias("line")).groupBy(*K).agg(F.map_from_entries(F.collect_list(F.struct("y", "line"))).alias("at"))
-    blank = "[" + ",".join(["0"] * WIDTH) + "]"
-    rows = F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), lambda y: F.coalesce(F.try_element_at("at", y), F.lit(blank)))
+    blanks = lambda n: F.repeat(F.lit("[" + "0," * WIDTH + "],"), n)
+
+    def piece(p, i):
+        """What lies between a pixel and the one before it, and the pixel."""
+        before = F.get("at", i - 1)
+        y, x = F.coalesce(before.y, F.lit(0)), F.coalesce(before.x, F.lit(-1))
+        below = F.concat(zeros(WIDTH - 1 - x), F.lit("],"), blanks(p.y - y - 1), F.lit("["), zeros(p.x))
+        return F.concat(F.when(p.y == y, zeros(p.x - x - 1)).otherwise(below), p.label.cast("string"), F.lit(","))
+
+    last = F.element_at("at", -1)
+    stack = F.concat(F.lit("[["), F.array_join(F.transform("at", piece), ""), zeros(WIDTH - 1 - last.x), F.lit("],"), blanks(HEIGHT - 1 - last.y), F.lit("]"))
     meta = F.struct(F.lit("none").alias("labels"), F.array(F.lit(HEIGHT), F.lit(WIDTH)).alias("shape"))
-    body = F.concat(F.lit('{"meta":'), F.to_json(meta), F.lit(',"Result":[{"x":1},{"MASKS":['), F.array_join(rows, ","), F.lit("]}]}"))
+    # the items of the list differ in form, so they are put in as text; the mask is, as most of it is runs of zeros
+    body = F.concat(F.lit('{"meta":'), F.to_json(meta), F.lit(',"Result":[{"x":1},{"MASKS":'), F.replace(stack, F.lit(",]"), F.lit("]")), F.lit("}]}"))
     out = nested.nested_stacks(masks.select(F.concat_ws("/", *K).alias("path"), body.alias("body")))
     at = F.split("path", "/")
     return out.select(at[0].alias("seq"), at[1].cast("int").alias("frame"), "key", "y", "x", "label")

@@ -103,8 +103,8 @@ def _one_level(nodes: DataFrame) -> DataFrame:
     return held.withColumn("schema", F.when(F.col("child"), _kind("v")).otherwise(F.col("schema"))).drop("child")
 
 
-def _stacks(documents: DataFrame, body: str) -> DataFrame:
-    """(path, key, place, schema, text, chars, ...): the stacks of each document as JSON text, and a row without a place for each document.
+def _stacks(documents: DataFrame, body: str) -> tuple[DataFrame, int]:
+    """(path, key, place, schema, text, ...): the stacks of each document as JSON text, and a row without a place for each document; the characters of all.
 
     ``LEVELS`` levels are walked in one pass over the documents, as a stream of nodes; only what lies deeper is walked again.
     """
@@ -116,7 +116,7 @@ def _stacks(documents: DataFrame, body: str) -> DataFrame:
         F.when(F.col("inside"), F.array().cast("array<int>")).alias("place"),
         F.when(F.col("inside"), _root(rows, "body")).alias("v"),
     ).withColumn("schema", _kind("v"))
-    out = None
+    out, chars = None, 0
     while True:
         for _ in range(LEVELS):
             nodes = _one_level(nodes)
@@ -125,8 +125,10 @@ def _stacks(documents: DataFrame, body: str) -> DataFrame:
         held = held.withColumns({"chars": F.length("text"), "v": F.when(F.col("deeper"), F.col("v"))})
         written = written_once(held, "nested", wide=True)
         out = written if out is None else out.unionByName(written)
-        if not written.agg(F.max("deeper")).first()[0]:
-            return out
+        deeper, more = written.agg(F.max("deeper"), F.sum("chars")).first()
+        chars += more or 0
+        if not deeper:
+            return out, chars
         nodes = written.filter("deeper").select("path", "key", "place", "v", "schema")
 
 
@@ -136,8 +138,8 @@ def nested_stacks(documents: DataFrame, body: str = "body", time_axis: str = "fi
     A single mask is frame 0. Documents without a stack, with labels that aren't whole numbers from 0 to 65535, or that can't be read are one
     row with the ``problem``; stacks without labelled pixels give no rows.
     """
-    stacks = _stacks(documents, body)
-    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, (stacks.agg(F.sum("chars")).first()[0] or 0) // CHARACTERS_EACH)
+    stacks, chars = _stacks(documents, body)
+    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, chars // CHARACTERS_EACH)
     one = ~F.col("schema").startswith("ARRAY<ARRAY<ARRAY<")
     # by number, as tasks aren't to be merged by the few bytes that text of zeros shuffles
     found = stacks.repartition(tasks, "path").groupBy("path").agg(F.min_by(F.struct("key", "text", one.alias("one")), F.when(F.col("text").isNotNull(), F.col("place"))).alias("s"))
